@@ -81,10 +81,11 @@ def decide(requests: DataFrame) -> DataFrame:
 
 def teams(requests: DataFrame) -> DataFrame:
     """One row per request, role and team."""
-    roles = F.flatten(F.array(*[
-        F.transform(teams_of(role), lambda team, r=role: F.struct(F.lit(r).alias("role"), team.alias("team")))
-        for role in ROLE_RULES
-    ]))
+    def in_role(role: str) -> Column:
+        return F.transform(
+            teams_of(role), lambda team: F.struct(F.lit(role).alias("role"), team.alias("team")))
+
+    roles = F.flatten(F.array(*[in_role(role) for role in ROLE_RULES]))
     return requests.select("request_id", "principal", F.explode(roles).alias("t")).select(
         "request_id", "principal", "t.role", "t.team")
 

@@ -24,7 +24,7 @@ def reopened(changes: DataFrame) -> DataFrame:
     """Reopened alerts; an identity is reopened any number of times under one alert id."""
     return changes.filter(F.col("transition") == "REOPENED").groupBy("dedup_key", "identity_ms").agg(
         F.min("alert_id").alias("alert_id"), F.count(F.lit(1)).alias("times_reopened"),
-        F.count_distinct("alert_id").alias("alert_ids"))
+        (F.min("alert_id") == F.max("alert_id")).alias("same_alert_id"))
 
 
 def flapping(changes: DataFrame) -> DataFrame:

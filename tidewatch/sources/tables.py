@@ -76,17 +76,202 @@ def webhooks(rows: DataFrame) -> DataFrame:
         return F.to_json(F.struct(
             F.lit("webhook").alias("receiver"), status.alias("status"), F.array(*alerts).alias("alerts")))
 
-    one, disk = alert(name), alert(F.lit(OTHER_ALERT))
-    text = (
+    # the text is written once per row and then varied, so the plan holds one copy of it
+    alerts = F.when(k == 16, F.array(alert(name), alert(F.lit(OTHER_ALERT)))).otherwise(F.array(alert(name)))
+    text = F.to_json(F.struct(
+        F.lit("webhook").alias("receiver"), status.alias("status"), alerts.alias("alerts")))
+    varied = (
         F.when(k.isin(13, 63), F.lit('{"receiver":"webhook","alerts":[]}'))
-        .when(k == 14, F.substring(payload(one), 1, 40))
-        .when(k == 15, F.regexp_replace(payload(one), r'"alerts":\[', '"alerts":[null,'))
-        .when(k == 16, payload(one, disk))
-        .otherwise(payload(one))
+        .when(k == 14, F.substring("text", 1, 40))
+        .when(k == 15, F.regexp_replace("text", r'"alerts":\[', '"alerts":[null,'))
+        .otherwise(F.col("text"))
     )
-    return rows.select(
-        text.alias("value"),
+    return rows.withColumn("text", text).select(
+        varied.alias("value"),
         F.concat(F.lit("events-0-"), F.col("event_id")).alias("source_id"),
         F.col("event_id").alias("seq"),
         F.col("ts_ms").alias("ingest_ms"),
     )
+
+
+def _messages(rows: DataFrame, topic: Column, value: Column) -> DataFrame:
+    return rows.select(
+        topic.alias("topic"), value.alias("value"),
+        F.concat(F.lit("events-0-"), F.col("event_id")).alias("source_id"),
+        F.col("event_id").alias("seq"), F.col("ts_ms").alias("ingest_ms"),
+    )
+
+
+def payment_messages(rows: DataFrame) -> DataFrame:
+    """Every event as a payment text: a quarter as change envelopes, the others flat. Some values
+    of ``k`` give deletes, missing fields, text amounts and texts that are no payment."""
+    k = F.col("k")
+    account = F.concat(F.lit("ACC-"), F.col("user_id") % 25)
+    tx = F.concat(F.lit("TX-"), F.col("event_id"))
+    amount = F.round(F.col("value") * 100)
+    created = F.when(k % 8 == 0, (F.col("ts_ms") * 1000).cast("string")).otherwise(
+        iso_instant(F.col("ts_ms")))
+    envelope = F.to_json(F.struct(
+        F.when(k == 96, "d").otherwise("c").alias("op"), F.col("ts_ms"),
+        F.when(k != 96, F.struct(
+            tx.alias("transaction_id"), account.alias("account_id"), amount.alias("amount"),
+            F.lit("EUR").alias("currency"), F.lit("BOOKED").alias("status"),
+            created.alias("created_at"),
+        )).alias("after"),
+    ), {"ignoreNullFields": "false"})
+    flat = F.to_json(F.struct(
+        tx.alias("paymentId"),
+        F.when(k != 39, account).alias("sourceAccountIban"),
+        F.lit("ACC-DEST").alias("destAccountIban"),
+        F.when(~k.isin(33, 35), amount).alias("amount"),
+        F.when(k != 37, "GBP").alias("currency"),
+        F.col("ts_ms").alias("timestamp"),
+    ))
+    text = (
+        F.when(k % 4 == 0, envelope)
+        .when(k == 35, F.regexp_replace(flat, "^[{]", '{"amount":"oops",'))
+        .when(k == 41, "{}").when(k == 43, "[1,2]").otherwise(flat)
+    )
+    topic = F.when(k % 4 == 0, "banking.public.bank_transactions").otherwise("banking-payments")
+    return _messages(rows, topic, text)
+
+
+LEDGER_OPS = {"error": "d", "signup": "c"}
+
+
+def ledger_changes(rows: DataFrame) -> DataFrame:
+    """Every event as a change of its user's ledger row; an error deletes the row."""
+    op = _choose(F.col("event_type"), LEDGER_OPS, "u")
+    image = F.struct(
+        F.concat(F.lit("U-"), F.col("user_id")).alias("transaction_id"),
+        F.concat(F.lit("ACC-"), F.col("user_id") % 25).alias("account_id"),
+        F.col("value").alias("amount"), F.lit("EUR").alias("currency"),
+        F.col("event_type").alias("status"),
+    )
+    value = F.to_json(F.struct(
+        op.alias("op"), F.col("ts_ms"),
+        F.when(op != "c", image).alias("before"), F.when(op != "d", image).alias("after"),
+    ), {"ignoreNullFields": "false"})
+    return _messages(rows, F.lit("banking.public.bank_transactions"), value)
+
+
+IDENTITIES = [
+    # principal, group
+    ("User:admin", "Kafka_Admins"), ("team-a-reader", "TeamA_Readers"),
+    ("User:team-a-writer", "TeamA_Writers"), ("team-a-manager", "TeamA_ResourceManagers"),
+    ("equities-reader", "Equities_Readers"), ("User:equities-writer", "Equities_Writers"),
+    ("equities-manager", "Equities_ResourceManagers"), ("User:fi-reader", "FI_Readers"),
+    ("fi-writer", "FI_Writers"), ("u-11", "TeamB_Readers"), ("u-12", None),
+]
+OPERATIONS = ["READ", "WRITE", "CREATE", "DELETE", "ALTER", "DESCRIBE", "ALTER_CONFIGS", "DESCRIBE_CONFIGS"]
+RESOURCES = [
+    "team-a-orders", "team-b-inventory", "equities-trades", "equities-quotes", "fi-bonds",
+    "fi-yields", "Team-A-returns",
+]
+
+
+def _pick(values: list, place: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), place.cast("int"))
+
+
+def access_requests(rows: DataFrame) -> DataFrame:
+    """Every event as an access request; user, type and ``k`` decide who asks for what."""
+    k, who = F.col("k"), F.col("user_id") % len(IDENTITIES)
+    group = _pick([g for _, g in IDENTITIES], who)
+    return rows.select(
+        F.col("event_id").alias("request_id"),
+        _pick([p for p, _ in IDENTITIES], who).alias("principal"),
+        F.when(k == 98, "REPLICATION").otherwise("CLIENT").alias("listener"),
+        F.when(group.isNotNull(), F.array(group)).alias("groups"),
+        F.when(k == 95, F.array(F.lit("SystemAdmin"))).alias("roles"),
+        _pick(OPERATIONS, k % len(OPERATIONS)).alias("operation"),
+        _pick(RESOURCES, (k + F.col("user_id")) % len(RESOURCES)).alias("resource"),
+        _choose(F.col("event_type"), {"signup": "CLUSTER", "error": "GROUP"}, "TOPIC").alias("resource_type"),
+    )
+
+
+def payment_records(rows: DataFrame) -> DataFrame:
+    """Every event as a payment contract record; some values of ``k`` break one field."""
+    k = F.col("k")
+    text = F.to_json(F.struct(
+        F.concat(F.lit("PAY-"), F.col("event_id")).alias("paymentId"),
+        F.concat(F.lit("IBAN-"), F.col("user_id")).alias("sourceAccountIban"),
+        F.when(k != 21, "IBAN-DEST").alias("destAccountIban"),
+        F.col("value").alias("amount"),
+        F.when(k % 30 != 2, "EUR").alias("currency"),
+        F.col("ts_ms").alias("timestamp"),
+        F.when(F.col("event_type") == "purchase", F.concat(F.lit("invoice "), k)).alias("remittanceInfo"),
+        F.when(F.col("event_type") == "purchase", k / 100).alias("fraudRiskScore"),
+    ))
+    value = (
+        F.when(k == 22, F.regexp_replace(text, r'"amount":([\d.]+)', '"amount":"$1"'))
+        .when(k == 23, F.regexp_replace(text, r'"timestamp":\d+', '"timestamp":"soon"'))
+        .when(k == 24, F.regexp_replace(text, r'"paymentId":"PAY-', '"paymentId":7,"was":"'))
+        .when(k == 25, F.substring(text, 1, 30))
+        .when(k == 26, F.regexp_replace(text, r'"sourceAccountIban":"[^"]*"', '"sourceAccountIban":null'))
+        .otherwise(text)
+    )
+    return rows.select(
+        F.col("event_id").alias("seq"), F.lit("banking-payments-value").alias("subject"),
+        F.when(F.col("event_type") == "purchase", 2).otherwise(1).alias("version"), value.alias("value"))
+
+
+def equity_orders(lineitem: DataFrame) -> DataFrame:
+    """Every order line as an equity order record; quantity and discount break some."""
+    text = F.to_json(F.struct(
+        F.concat_ws("-", F.lit("ORD"), "l_orderkey", "l_linenumber").alias("orderId"),
+        F.concat(F.lit("SYM-"), F.col("l_suppkey")).alias("symbol"),
+        F.when(F.col("l_quantity") != 13, F.col("l_quantity").cast("int")).alias("shares"),
+        F.col("l_extendedprice").alias("price"),
+        F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
+    ))
+    value = F.when(
+        F.col("l_quantity") == 17, F.regexp_replace(text, r'"shares":(\d+)', '"shares":$1.5')
+    ).when(
+        F.col("l_quantity") == 19, F.regexp_replace(text, r'"side":"[A-Z]+"', '"side":1')
+    ).otherwise(text)
+    return lineitem.select("l_orderkey", "l_linenumber", value.alias("value"))
+
+
+def producer_lines(rows: DataFrame) -> DataFrame:
+    """Every event as a producer summary line; ``k`` = 7 gives a line of another form."""
+    k, value = F.col("k"), F.col("value").cast("string")
+    line = F.concat(
+        k * 100, F.lit(" records sent, "), value, F.lit(" records/sec ("), k, F.lit(".25 MB/sec), "),
+        value, F.lit(" ms avg latency, "), k * 10, F.lit(".00 ms max latency, "), k,
+        F.lit(" ms 50th, "), k + 5, F.lit(" ms 95th, "), k + 9, F.lit(" ms 99th, "), k + 20,
+        F.lit(" ms 99.9th."),
+    )
+    return rows.select(
+        F.col("event_id").alias("run_id"), F.col("event_type").alias("topic"), "ts_ms",
+        F.when(k == 11, 5).otherwise(0).cast("bigint").alias("failed_records"),
+        F.when(k == 7, "org.apache.kafka.common.errors.TimeoutException: records sent late")
+        .otherwise(line).alias("line"),
+    )
+
+
+CONSUMER_HEADER_LINE = (
+    "start.time, end.time, data.consumed.in.MB, MB.sec, data.consumed.in.nMsg, nMsg.sec, "
+    "rebalance.time.ms, fetch.time.ms, fetch.MB.sec, fetch.nMsg.sec"
+)
+
+
+def consumer_lines(rows: DataFrame) -> DataFrame:
+    """Every event as the lines of a consumer run; ``k`` = 8 has a warning after the header."""
+    k, value = F.col("k"), F.col("value").cast("string")
+    data = F.concat_ws(
+        ", ", F.lit("2024-01-01 00:00:00:000"), F.lit("2024-01-01 00:00:10:000"), value, value,
+        k * 100, value, k, k + 10, value, value)
+    lines = F.when(
+        k == 8, F.array(F.lit(CONSUMER_HEADER_LINE), F.lit("WARN rebalance in progress"), data)
+    ).otherwise(F.array(F.lit("starting"), F.lit(CONSUMER_HEADER_LINE), data))
+    return rows.select(
+        F.col("event_id").alias("run_id"), F.col("event_type").alias("topic"),
+        F.posexplode(lines).alias("line_no", "line"))
+
+
+def offsets(rows: DataFrame) -> DataFrame:
+    """End offsets per topic and partition of a topic that holds the rows."""
+    return rows.groupBy(
+        F.col("event_type").alias("topic"), (F.col("event_id") % 3).alias("partition")
+    ).agg(F.count(F.lit(1)).alias("offset"))
