@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidewatch.functions.plan import computed
+
 
 def _is_integer(kind: Column) -> Column:
     return kind == "BIGINT"
@@ -17,37 +19,36 @@ def _conforms(kind: Column, number: Column, wanted: T.DataType) -> Column:
     return _is_integer(kind)
 
 
-def violations(contract: T.StructType, optional: tuple[str, ...] = (), parsed: str = "doc") -> Column:
-    """(field, problem) of every field of the parsed record that breaks the contract."""
+def check(records: DataFrame, contract: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Records (value, ...) with ``violations``: (field, problem) of every field that is missing
+    or of another type. Text that is no JSON record breaks the record as a whole."""
+    parsed = computed(records, doc=F.try_parse_json("value"))
+
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("doc", path, "variant"))
+
+    kinds = F.struct(*[kind(f"$.{f.name}").alias(f.name) for f in contract.fields])
+    typed = computed(parsed, whole=F.schema_of_variant("doc"), kinds=kinds)
     found = []
     for field in contract.fields:
-        path = f"$.{field.name}"
-        value = F.try_variant_get(parsed, path, "variant")
-        kind = F.schema_of_variant(value)
-        number = F.try_variant_get(parsed, path, "bigint")
-        absent = value.isNull() | (kind == "VOID")
-        problem = F.when(absent, F.lit(None) if field.name in optional else F.lit("missing")).when(
-            ~_conforms(kind, number, field.dataType), "type")
+        seen = F.coalesce(F.col("kinds")[field.name], F.lit("VOID"))
+        number = F.try_variant_get("doc", f"$.{field.name}", "bigint")
+        problem = F.when(seen == "VOID", F.lit(None if field.name in optional else "missing")).when(
+            ~_conforms(seen, number, field.dataType), "type")
         found.append(F.when(problem.isNotNull(), F.struct(
             F.lit(field.name).alias("field"), problem.alias("problem"))))
-    return F.array_compact(F.array(*found))
-
-
-def check(records: DataFrame, contract: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
-    """Records (value, ...) with ``violations``; text that is no JSON breaks the whole record."""
-    parsed = records.withColumn("doc", F.try_parse_json("value"))
-    whole = F.array(F.struct(F.lit("*").alias("field"), F.lit("malformed").alias("problem")))
-    is_record = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
-    return parsed.withColumn(
-        "violations", F.when(is_record, violations(contract, optional)).otherwise(whole)
-    ).drop("doc")
+    malformed = F.array(F.struct(F.lit("*").alias("field"), F.lit("malformed").alias("problem")))
+    is_record = F.coalesce(F.col("whole").startswith("OBJECT"), F.lit(False))
+    return computed(
+        typed, violations=F.when(is_record, F.array_compact(F.array(*found))).otherwise(malformed),
+    ).drop("doc", "whole", "kinds")
 
 
 def conforming(records: DataFrame, contract: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
     """Conforming records, typed by the contract. Fields a record lacks are null, so records of
     an older version can be read with a newer contract."""
     good = check(records, contract, optional).filter(F.size("violations") == 0).drop("violations")
-    return good.withColumn("r", F.from_json("value", contract)).select(
+    return computed(good, r=F.from_json("value", contract)).select(
         *[c for c in records.columns if c != "value"], "r.*")
 
 

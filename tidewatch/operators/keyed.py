@@ -25,16 +25,13 @@ def row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_SETTING, str(DEFAULT_LIMIT)))
 
 
-def hot_keys(df: DataFrame, key: str, at_most: DataFrame | None = None, per_row: int = 1) -> DataFrame | None:
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
     """The keys with more rows than the limit, or None where there are none.
 
-    ``at_most`` may be a cheaper table; where ``per_row`` times its row count is within the limit,
-    no key of ``df`` can be hot and the keys are not counted. The list that comes back to the
-    driver has fewer entries than the row count divided by the limit.
+    The list that comes back to the driver has fewer entries than the row count divided by the
+    limit.
     """
     limit = row_limit(df)
-    if at_most is not None and at_most.count() * per_row <= limit:
-        return None
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
     found = [(row[key],) for row in counted.select(key).collect()]
     if not found:

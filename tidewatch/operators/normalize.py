@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.functions.plan import computed
 from tidewatch.functions.text import first_of, instant_ms, name_uuid, short_id
 from tidewatch.model import (
     CORRUPT, EMPTY_PAYLOAD_ERROR, EVENT_TYPE, SOURCE_NAME, STRINGS, WEBHOOK,
@@ -14,7 +15,7 @@ NULL_ALERT_ERROR = "Null alert in payload"
 def parse_webhooks(raw: DataFrame) -> DataFrame:
     """Add the parsed payload as ``payload``; unknown fields are ignored, bad text is flagged."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return raw.withColumn("payload", F.from_json("value", WEBHOOK, options))
+    return computed(raw, payload=F.from_json("value", WEBHOOK, options))
 
 
 def _well_formed() -> Column:
@@ -42,20 +43,15 @@ def dead_letters(raw: DataFrame) -> DataFrame:
 
 
 def explode_alerts(raw: DataFrame) -> DataFrame:
-    """One row per alert of every accepted payload, with its place in the payload.
-
-    The tests come after the outer explode: a filter before it would be pushed under the parsing
-    and parse every text a second time.
-    """
+    """One row per alert of every accepted payload, with its place in the payload."""
     return (
         parse_webhooks(raw)
+        .filter(_well_formed())
         .select(
             "source_id", "seq", "ingest_ms", F.col("payload.status").alias("payload_status"),
-            F.col(f"payload.{CORRUPT}").alias(CORRUPT),
-            F.posexplode_outer("payload.alerts").alias("alert_pos", "alert"),
+            F.posexplode("payload.alerts").alias("alert_pos", "alert"),
         )
-        .filter(F.col("alert").isNotNull() & F.col(CORRUPT).isNull())
-        .drop(CORRUPT)
+        .filter(F.col("alert").isNotNull())
     )
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.functions.plan import computed
 from tidewatch.functions.text import first_of, iso_instant, short_id
 from tidewatch.model import (
     FRAUD_TOPIC, HIGH_VALUE_AMOUNT, STRINGS, VELOCITY_COUNT, VELOCITY_WINDOW_MS,
@@ -21,9 +22,9 @@ def unwrap(messages: DataFrame) -> DataFrame:
     The record is the ``after`` image of a change envelope, or the message itself. ``rejected``
     names why a message yields no payment: empty, not an object, a delete, or a bad amount.
     """
-    rows = messages.withColumn("message", F.from_json("value", STRINGS))
+    rows = computed(messages, message=F.from_json("value", STRINGS))
     envelope = F.map_contains_key("message", F.lit("after"))
-    rows = rows.withColumn("record", F.when(
+    rows = computed(rows, record=F.when(
         envelope, F.from_json(F.col("message")["after"], STRINGS)).otherwise(F.col("message")))
     record = F.col("record")
     amount = F.when(~F.map_contains_key("record", F.lit("amount")), F.lit(0.0)).otherwise(
@@ -110,7 +111,7 @@ def audit_rows(messages: DataFrame, alerts_json: DataFrame) -> DataFrame:
 def current_ledger(messages: DataFrame, key: str = "transaction_id") -> DataFrame:
     """The table a change stream describes: the last image per key, without deleted rows."""
     images = F.from_json("value", "op string, ts_ms bigint, before map<string,string>, after map<string,string>")
-    rows = messages.select(images.alias("c"), "seq").filter("c.op IS NOT NULL").select(
+    rows = computed(messages.select("value", "seq"), c=images).filter("c.op IS NOT NULL").select(
         F.coalesce(F.col("c.after"), F.col("c.before"))[key].alias(key),
         F.col("c.after").alias("after"), F.struct("c.ts_ms", "seq").alias("at"),
     )

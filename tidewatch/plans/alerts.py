@@ -5,7 +5,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.operators import dedup, enrich, incidents, lifecycle, normalize
-from tidewatch.operators.keyed import hot_keys
+from tidewatch.operators.keyed import hot_keys, row_limit
 
 ALERTS_PER_TEXT = 2
 
@@ -22,8 +22,14 @@ class AlertPipeline:
                  alerts_per_text: int = ALERTS_PER_TEXT):
         self.raw, self.at_most, self.alerts_per_text = raw, at_most, alerts_per_text
 
+    @cached_property
+    def _few_rows(self) -> bool:
+        """Whether all rows together are within the limit of one key."""
+        return self.at_most is not None and (
+            self.at_most.count() * self.alerts_per_text <= row_limit(self.at_most))
+
     def _hot(self, column: str) -> DataFrame | None:
-        return hot_keys(self.normalized, column, self.at_most, self.alerts_per_text)
+        return None if self._few_rows else hot_keys(self.normalized, column)
 
     @cached_property
     def dead_letters(self) -> DataFrame:

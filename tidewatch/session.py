@@ -15,6 +15,7 @@ def build_session(app: str = "tidewatch", cores: str = "8", **conf) -> SparkSess
         "spark.sql.shuffle.partitions": cores,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "12g",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,

@@ -7,6 +7,7 @@ whole tables, from ``events(event_id, ts, user_id, event_type, value, props)``.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewatch.functions.plan import computed, spread
 from tidewatch.functions.text import iso_instant
 
 COMPRESSION = 20
@@ -23,7 +24,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The events with ``ts_ms`` (compressed) and ``k``, the number in their properties."""
-    rows = table(spark, folder, "events")
+    rows = spread(table(spark, folder, "events"), "event_id")
     return rows.select(
         "event_id", "user_id", "event_type", "value",
         F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (1000 * COMPRESSION)).alias("ts_ms"),
@@ -86,7 +87,7 @@ def webhooks(rows: DataFrame) -> DataFrame:
         .when(k == 15, F.regexp_replace("text", r'"alerts":\[', '"alerts":[null,'))
         .otherwise(F.col("text"))
     )
-    return rows.withColumn("text", text).select(
+    return computed(rows, text=text).select(
         varied.alias("value"),
         F.concat(F.lit("events-0-"), F.col("event_id")).alias("source_id"),
         F.col("event_id").alias("seq"),
