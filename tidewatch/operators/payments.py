@@ -76,6 +76,11 @@ def with_velocity(rows: DataFrame, key: str = "account_id", width_ms: int = VELO
 
 def fraud_alerts(rows: DataFrame) -> DataFrame:
     """No, one or two alerts per payment, high value first."""
+    return apply_rules(with_velocity(rows))
+
+
+def apply_rules(counted: DataFrame) -> DataFrame:
+    """Alerts of payments that carry their ``window_count``."""
     # fixed texts of the two rules
     high = F.struct(
         F.lit(0).alias("rule_no"), F.lit("HIGH_VALUE_ANOMALY").alias("alert_type"),
@@ -93,7 +98,7 @@ def fraud_alerts(rows: DataFrame) -> DataFrame:
         F.when(F.col("amount") >= HIGH_VALUE_AMOUNT, high),
         F.when(F.col("window_count") >= VELOCITY_COUNT, burst),
     ))
-    alerts = with_velocity(rows).select("*", F.explode(hits).alias("hit"))
+    alerts = counted.select("*", F.explode(hits).alias("hit"))
     return alerts.select(
         short_id("ALT", F.col("topic"), F.col("source_id"), F.col("hit.alert_type")).alias("alert_id"),
         "transaction_id", "account_id", "amount", "currency",
