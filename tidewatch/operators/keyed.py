@@ -4,7 +4,8 @@ A key with few rows is one window partition. A key with more rows than
 ``spark.tidewatch.maxRowsPerKey`` is hot: its rows are cut, in time order, into chunks of about
 that many rows, each chunk is its own window partition, and what a chunk needs from the chunks
 before it is one summary row per chunk. All running values used by the operators can be
-combined this way: the last non-null value before a row, a running sum, a running set.
+combined this way: the last non-null or the greatest value before a row, a running sum, a
+running set.
 """
 
 from __future__ import annotations
@@ -68,15 +69,18 @@ class Scan:
         prev: dict[str, Column] | None = None,
         total: dict[str, Column] | None = None,
         seen: dict[str, Column] | None = None,
+        peak: dict[str, Column] | None = None,
     ) -> DataFrame:
-        """``prev``: last non-null value strictly before the row; ``total``: sum up to and with
-        the row; ``seen``: sorted distinct values up to and with the row."""
-        prev, total, seen = prev or {}, total or {}, seen or {}
+        """``prev``: last non-null value strictly before the row; ``peak``: greatest value strictly
+        before the row; ``total``: sum up to and with the row; ``seen``: sorted distinct values up
+        to and with the row."""
+        prev, total, seen, peak = prev or {}, total or {}, seen or {}, peak or {}
         window = Window.partitionBy(*self.groups).orderBy(*self.order)
         before = window.rowsBetween(Window.unboundedPreceding, -1)
         upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = {
             **{n: F.last(c, ignorenulls=True).over(before) for n, c in prev.items()},
+            **{n: F.max(c).over(before) for n, c in peak.items()},
             **{n: F.sum(c).over(upto) for n, c in total.items()},
             **{n: F.array_sort(F.collect_set(c).over(upto)) for n, c in seen.items()},
         }
@@ -85,6 +89,7 @@ class Scan:
 
         summary = df.groupBy(*self.groups).agg(
             *[F.max_by(c, F.when(c.isNotNull(), self.position)).alias(n) for n, c in prev.items()],
+            *[F.max(c).alias(n) for n, c in peak.items()],
             *[F.sum(c).alias(n) for n, c in total.items()],
             *[F.collect_set(c).alias(n) for n, c in seen.items()],
         )
@@ -94,12 +99,14 @@ class Scan:
         carried = summary.select(
             *self.groups,
             *[F.last(n, ignorenulls=True).over(chunks_before).alias("_in_" + n) for n in prev],
+            *[F.max(n).over(chunks_before).alias("_in_" + n) for n in peak],
             *[F.sum(n).over(chunks_before).alias("_in_" + n) for n in total],
             *[F.flatten(F.collect_list(n).over(chunks_before)).alias("_in_" + n) for n in seen],
         )
         joined = df.select("*", *[c.alias(n) for n, c in local.items()]).join(carried, self.groups)
         combined = {
             **{n: F.coalesce(F.col(n), F.col("_in_" + n)) for n in prev},
+            **{n: F.greatest(F.col(n), F.col("_in_" + n)) for n in peak},
             **{n: F.col(n) + F.coalesce(F.col("_in_" + n), F.lit(0)) for n in total},
             **{n: F.array_sort(F.array_union(F.col(n), F.col("_in_" + n))) for n in seen},
         }

@@ -58,7 +58,10 @@ def rejected_messages(messages: DataFrame) -> DataFrame:
         "topic", "source_id", "seq", "rejected", "value")
 
 
-def with_velocity(rows: DataFrame, key: str = "account_id", width_ms: int = VELOCITY_WINDOW_MS) -> DataFrame:
+def with_velocity(
+    rows: DataFrame, key: str = "account_id", width_ms: int = VELOCITY_WINDOW_MS,
+    order: tuple[str, ...] = ("event_ms", "seq"),
+) -> DataFrame:
     """Add ``window_count``: rows of the key less than ``width_ms`` old, up to and with the row.
 
     Rows with the same time count only up to their own place, as in a record-by-record run. Rows
@@ -66,7 +69,7 @@ def with_velocity(rows: DataFrame, key: str = "account_id", width_ms: int = VELO
     """
     in_slice = Window.partitionBy(key, "_slice")
     numbered = trailing_slices(rows, "event_ms", width_ms).withColumn(
-        "_n", F.row_number().over(in_slice.orderBy("event_ms", "seq")))
+        "_n", F.row_number().over(in_slice.orderBy(*order)))
     oldest = F.min("_n").over(in_slice.orderBy("event_ms").rangeBetween(1 - width_ms, 0))
     return (
         numbered.withColumn("window_count", (F.col("_n") - oldest + 1).cast("long"))

@@ -23,13 +23,13 @@ class AlertPipeline:
         self.raw, self.at_most, self.alerts_per_text = raw, at_most, alerts_per_text
 
     @cached_property
-    def _few_rows(self) -> bool:
+    def few_rows(self) -> bool:
         """Whether all rows together are within the limit of one key."""
         return self.at_most is not None and (
             self.at_most.count() * self.alerts_per_text <= row_limit(self.at_most))
 
     def _hot(self, column: str) -> DataFrame | None:
-        return None if self._few_rows else hot_keys(self.normalized, column)
+        return None if self.few_rows else hot_keys(self.normalized, column)
 
     @cached_property
     def dead_letters(self) -> DataFrame:

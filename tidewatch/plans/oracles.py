@@ -1,4 +1,8 @@
-"""SQL for the registered queries, written from the semantics and runnable on the same tables."""
+"""SQL for the registered queries, written from the semantics and runnable on the same tables.
+
+Windows express duplicate cycles and trailing counts. The life cycle and the incidents are written
+as recursive queries that take one row after the other, unlike the DataFrame forms they check.
+"""
 
 EV = """
 ev AS (
@@ -451,3 +455,110 @@ j AS (SELECT topic, coalesce(target, 0) AS target, coalesce(n, 0) AS n FROM t FU
       count(DISTINCT event_type = 'purchase') AS versions, CAST(max(CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END) AS BIGINT) AS latest_version,
       count(*) AS records FROM ev"""),
 }
+
+_WEIGHT = """CASE WHEN regexp_matches(lower(alert_name), 'database|disk|storage|network') THEN 100
+  WHEN regexp_matches(lower(alert_name), 'pod|container|memory|oom') THEN 50
+  WHEN regexp_matches(lower(alert_name), 'http|ingress|gateway|latency') THEN 20 ELSE 0 END"""
+_RANK = """CASE WHEN alert_name IN ('DatabaseConnectionTimeout', 'DiskSpaceLow', 'StorageFailure') THEN 1
+  WHEN alert_name IN ('NetworkInterfaceDrop', 'DNSResolutionFailure') THEN 2
+  WHEN alert_name IN ('HighHTTP5xxErrorRate', 'GatewayTimeout') THEN 3
+  WHEN alert_name IN ('PodCrashLoopBackOff', 'MemoryLeakDetected', 'HighCPUUsage') THEN 4 ELSE 5 END"""
+
+# Rows of accepted state changes, each with its alert.
+_ACCEPTED = INCIDENTS + """,
+accepted AS (SELECT n.*, q.alert_id, q.alert_name FROM incidents n JOIN queue q USING (service, i)),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY i DESC) AS back FROM accepted) WHERE back = 1)"""
+
+_ITEMS = """
+items AS (
+  SELECT 'app-' || s_suppkey AS ci, 'host-' || s_nationkey AS parent, s_name AS ci_name FROM supplier
+  UNION ALL SELECT 'host-' || n_nationkey, 'zone-' || n_regionkey, n_name FROM nation
+  UNION ALL SELECT 'zone-' || r_regionkey, NULL, r_name FROM region
+)"""
+_TOPS = _ITEMS + """,
+climb AS (
+  SELECT ci, ci AS reached, 0 AS depth FROM items
+  UNION ALL SELECT c.ci, i.parent, depth + 1 FROM climb c JOIN items i ON i.ci = c.reached WHERE i.parent IS NOT NULL
+),
+tops AS (SELECT ci, arg_max(reached, depth) AS top FROM climb GROUP BY ci)"""
+
+ORACLES.update({
+    "count_threshold": _w(CANON + """,
+ranged AS (
+  SELECT key, ms, seq, alert_pos, count(*) OVER (PARTITION BY key ORDER BY ms RANGE BETWEEN 119999 PRECEDING AND CURRENT ROW) AS in_range,
+    count(*) OVER (PARTITION BY key, ms) AS same, row_number() OVER (PARTITION BY key, ms ORDER BY seq, alert_pos) AS nth FROM canon
+)""", """SELECT key AS deduplication_key, ms AS event_ms, in_range - (same - nth) AS window_count, seq, alert_pos
+      FROM ranged WHERE in_range - (same - nth) > 5"""),
+    "tag_clusters": _w(CANON + """,
+tagged AS (
+  SELECT *, CASE WHEN b < 2 THEN 'prod-us-east-1' ELSE 'default' END || ':' || CASE WHEN b = 2 THEN 'payments' ELSE 'default' END
+    || ':' || CASE WHEN b = 4 THEN 'default' ELSE service END AS ck FROM canon
+),
+gaps AS (SELECT *, ms - lag(ms) OVER (PARTITION BY ck ORDER BY ms, seq, alert_pos) AS gap FROM tagged),
+bursts AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 900000 THEN 1 ELSE 0 END) OVER (PARTITION BY ck ORDER BY ms, seq, alert_pos) AS burst FROM gaps)""",
+        """SELECT ck AS cluster_key, min(ms) AS burst_ms, count(*) AS alerts, max(ms) AS last_ms,
+      array_to_string(list_sort(list_distinct(list(alert_name))), ',') AS alert_names, count(*) >= 15 AS is_group FROM bursts GROUP BY ck, burst"""),
+    "ci_binding": _w(CANON + "," + _ITEMS, """SELECT seq, alert_pos, ci, ci_name, parent AS ci_parent
+      FROM canon LEFT JOIN items ON ci = rid"""),
+    "maintenance_tags": _w(CANON, """SELECT seq, alert_pos, EXISTS (SELECT 1 FROM ev w WHERE w.event_type = 'signup'
+      AND 'host-' || w.b = c.rid AND c.ms >= w.ts_ms AND c.ms < w.ts_ms + w.k * 60000) AS maintenance FROM canon c"""),
+    "topmost_items": "WITH RECURSIVE " + _TOPS + " SELECT ci, top FROM tops",
+    "topology_groups": "WITH RECURSIVE " + CANON + "," + _TOPS + """
+      SELECT top, count(*) AS events, count(DISTINCT key) AS alert_keys, min(ms) AS first_ms, max(ms) AS last_ms
+      FROM canon JOIN tops ON ci = rid GROUP BY top""",
+    "weighted_root_cause": _w(_ACCEPTED + f""",
+weighed AS (SELECT *, {_WEIGHT} AS w FROM accepted),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY w DESC, i) AS r FROM weighed) WHERE r = 1)""",
+        """SELECT best.service, best.created AS created_at_epoch_ms, best.alert_id AS root_cause_alert_id,
+      best.alert_name AS root_cause_alert_name, CAST(w AS BIGINT) AS weight,
+      CASE WHEN w = 100 THEN 'P1' ELSE last.inc_priority END AS priority FROM best JOIN last USING (incident_id)"""),
+    "ranked_root_cause": _w(_ACCEPTED + f""",
+ranked AS (SELECT *, {_RANK} AS rk FROM accepted),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY rk, i) AS r FROM ranked) WHERE r = 1)""",
+        """SELECT service, created AS created_at_epoch_ms, alert_id AS root_cause_alert_id, alert_name AS root_cause_alert_name,
+      CAST(rk AS BIGINT) AS cause_rank FROM best"""),
+    "child_suppression": _w(_ACCEPTED + """,
+listed AS (SELECT incident_id, root_id, unnest(ids) AS alert_id, unnest(names) AS alert_name FROM last)""",
+        """SELECT alert_id, alert_name, alert_id <> root_id AS is_secondary, incident_id AS parent_incident_id,
+      alert_id <> root_id AS suppress_notification FROM listed"""),
+    "remediation_commands": _w(_ACCEPTED, """SELECT 'KUBERNETES_RESTART_POD' AS action, service AS target, incident_id,
+      root_id AS root_cause_alert_id FROM last WHERE root_name = 'PodCrashLoopBackOff'"""),
+    "expired_alerts": _w(LIFE + """,
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS back FROM changes) WHERE back = 1),
+aged AS (SELECT *, (SELECT max(ts_ms) + 86000000 FROM ev) - ms AS age FROM newest)""",
+        """SELECT key AS dedup_key, alert_id, state AS current_state, ms AS last_ms,
+      CASE WHEN age > 1209600000 THEN 'CLOSED' ELSE 'EXPIRED' END AS verdict FROM aged
+      WHERE age > 1209600000 OR (state = 'RESOLVED' AND age > 86400000)"""),
+    "late_events": _w(EV + """,
+arrived AS (SELECT 'lane-' || b AS lane, event_id AS seq, ts_ms AS ms, ts_ms + CASE WHEN k = 50 THEN 60000 ELSE 0 END AS arrival FROM ev),
+peaked AS (SELECT *, max(ms) OVER (PARTITION BY lane ORDER BY arrival, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM arrived)""",
+        "SELECT lane, seq, ms AS event_ms, newest AS newest_ms FROM peaked WHERE ms < newest - 10000"),
+    "tickets": _w(_ACCEPTED, """SELECT incident_id AS correlation_id, title AS short_description, inc_priority AS severity, service AS cmdb_ci,
+      '["' || array_to_string(names, '","') || '"]' AS work_notes FROM last"""),
+    "incident_feedback": _w(_ACCEPTED + """,
+reached AS (SELECT incident_id, member_count, min(ms) AS ms FROM accepted WHERE member_count IN (2, 5) GROUP BY ALL),
+news AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ms DESC, member_count DESC) AS back FROM reached)""",
+        """SELECT last.incident_id, CASE news.member_count WHEN 2 THEN 'In Progress' WHEN 5 THEN 'Resolved' ELSE 'OPEN' END AS state,
+      CASE WHEN news.member_count IS NOT NULL THEN 'alice' END AS assigned_to, coalesce(news.ms, last.created) AS status_ms
+      FROM last LEFT JOIN news ON news.incident_id = last.incident_id AND news.back = 1"""),
+    "environment_matrix": _w(CANON, """SELECT env AS environment, severity AS source_severity,
+      CASE WHEN env = 'prod' THEN CASE WHEN severity = 'CRITICAL' THEN 'P1' WHEN severity IN ('HIGH', 'WARNING') THEN 'P2' ELSE 'P3' END
+        ELSE CASE WHEN severity = 'CRITICAL' THEN 'P2' WHEN severity IN ('HIGH', 'WARNING') THEN 'P3' ELSE 'P4' END END AS priority,
+      count(*) AS events FROM canon GROUP BY ALL"""),
+    "quiet_flaps": _w(LIFE + """,
+ahead AS (SELECT *, coalesce(lead(ms) OVER (PARTITION BY key ORDER BY n), (SELECT max(ts_ms) FROM ev)) AS next_ms FROM changes)""",
+        """SELECT key AS dedup_key, alert_id, ms + 600000 AS cleared_ms FROM ahead WHERE state = 'FLAPPING' AND next_ms - ms > 600000"""),
+    "closed_cycles": _w(DEDUP, """SELECT key AS dedup_key, first_ms AS first_seen_epoch_ms, count(*) AS occurrences,
+      max(ms) AS last_seen_epoch_ms, max(ms) + 300000 AS closed_ms FROM grouped GROUP BY key, cycle, first_ms"""),
+    "scattered_withdrawals": _w(EV + """,
+high AS (SELECT 'ACC-' || (user_id % 25) AS acct, 'place-' || (k % 10) AS place, event_id AS seq, ts_ms AS ms FROM ev WHERE round(value * 100) >= 500),
+ranged AS (SELECT *, list_sort(list_distinct(list(place) OVER (PARTITION BY acct ORDER BY ms RANGE BETWEEN 599999 PRECEDING AND CURRENT ROW))) AS places FROM high)""",
+        """SELECT acct AS account_id, seq, ms AS event_ms, array_to_string(places, ',') AS places FROM ranged WHERE len(places) > 3"""),
+    "noise_reduction": _w(_ACCEPTED + """,
+received AS (SELECT service, count(*) AS events FROM canon GROUP BY service),
+sent AS (SELECT service, count(*) AS n, avg(updated - created) AS open_ms FROM last GROUP BY service)""",
+        """SELECT service, events, coalesce(n, 0) AS notifications, round(1 - coalesce(n, 0) / events::DOUBLE, 6) AS noise_reduction,
+      round(open_ms, 3) AS mean_open_ms FROM received LEFT JOIN sent USING (service)"""),
+    "detection_delay": _w(_ACCEPTED, """SELECT service, count(*) AS n, quantile_cont((updated - created)::DOUBLE, 0.5) AS p50,
+      quantile_cont((updated - created)::DOUBLE, 0.95) AS p95 FROM last GROUP BY service"""),
+})

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch import model
-from tidewatch.operators import access, contracts, incidents, payments, reports, results
+from tidewatch.operators import access, contracts, extensions, incidents, payments, reports, results
 from tidewatch.operators.dedup import latest_groups
+from tidewatch.operators.keyed import hot_keys
 from tidewatch.plans.alerts import AlertPipeline
+from tidewatch.session import materialize
 from tidewatch.sources import records, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,3 +415,141 @@ def equity_orders_good(spark, folder):
 def contract_versions(spark, folder):
     return contracts.versions_per_subject(_payment_records(spark, folder)).select(
         "subject", "versions", F.col("latest_version").cast("bigint").alias("latest_version"), "records")
+
+
+# ---- extensions ---------------------------------------------------------------------------
+@query
+def count_threshold(spark, folder):
+    return extensions.over_threshold(alert_pipeline(spark, folder).normalized).select(
+        "deduplication_key", "event_ms", "window_count", *_long("seq", "alert_pos"))
+
+
+@query
+def tag_clusters(spark, folder):
+    pipeline = alert_pipeline(spark, folder)
+    events = pipeline.normalized.withColumn("cluster_key", extensions.cluster_key(F.col("labels")))
+    hot = None if pipeline.few_rows else hot_keys(events, "cluster_key")
+    return extensions.tag_clusters(pipeline.normalized, hot).withColumn(
+        "alert_names", F.array_join("alert_names", ","))
+
+
+@query
+def ci_binding(spark, folder):
+    bound = extensions.bind_items(
+        alert_pipeline(spark, folder).normalized, tables.configuration_items(spark, folder))
+    return bound.select(*_long("seq", "alert_pos"), "ci", "ci_name", "ci_parent")
+
+
+@query
+def maintenance_tags(spark, folder):
+    windows = tables.maintenance_windows(tables.events(spark, folder))
+    return extensions.tag_maintenance(alert_pipeline(spark, folder).normalized, windows).select(
+        *_long("seq", "alert_pos"), "maintenance")
+
+
+@query
+def topmost_items(spark, folder):
+    return extensions.topmost_items(tables.configuration_items(spark, folder))
+
+
+@query
+def topology_groups(spark, folder):
+    return extensions.by_topmost(
+        alert_pipeline(spark, folder).normalized, tables.configuration_items(spark, folder))
+
+
+@query
+def weighted_root_cause(spark, folder):
+    return extensions.weighted_root_causes(alert_pipeline(spark, folder).incident_changes).select(
+        "service", "created_at_epoch_ms", "root_cause_alert_id", "root_cause_alert_name",
+        *_long("weight"), "priority")
+
+
+@query
+def ranked_root_cause(spark, folder):
+    return extensions.ranked_root_causes(alert_pipeline(spark, folder).incident_changes).select(
+        "service", "created_at_epoch_ms", "root_cause_alert_id", "root_cause_alert_name",
+        *_long("cause_rank"))
+
+
+@query
+def child_suppression(spark, folder):
+    return extensions.secondary_flags(materialize(alert_pipeline(spark, folder).incident_changes))
+
+
+@query
+def remediation_commands(spark, folder):
+    latest = incidents.latest_incidents(alert_pipeline(spark, folder).incident_changes)
+    return extensions.remediation_commands(latest)
+
+
+@query
+def expired_alerts(spark, folder):
+    changes = alert_pipeline(spark, folder).state_changes
+    as_of = tables.events(spark, folder).agg(F.max("ts_ms") + 86_000_000).scalar()
+    return extensions.expired_alerts(changes, as_of)
+
+
+@query
+def late_events(spark, folder):
+    rows = tables.arrivals(tables.events(spark, folder))
+    return extensions.split_late(rows).filter("late").select("lane", "seq", "event_ms", "newest_ms")
+
+
+@query
+def tickets(spark, folder):
+    return extensions.tickets(alert_pipeline(spark, folder).incident_changes)
+
+
+@query
+def incident_feedback(spark, folder):
+    """Feedback is taken from the incidents: the second alert starts work, the fifth solves it."""
+    changes = materialize(alert_pipeline(spark, folder).incident_changes)
+    at = F.col("is_first_of_alert")
+    feedback = changes.filter(at & F.col("member_count").isin(2, 5)).select(
+        "incident_id", F.when(F.col("member_count") == 2, "In Progress").otherwise("Resolved").alias("state"),
+        F.lit("alice").alias("assigned_to"), "event_ms")
+    return extensions.with_feedback(changes, feedback)
+
+
+@query
+def environment_matrix(spark, folder):
+    priority = extensions.environment_priority(F.col("source_severity"), F.col("environment"))
+    return alert_pipeline(spark, folder).normalized.groupBy(
+        "environment", "source_severity", priority.alias("priority")
+    ).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def quiet_flaps(spark, folder):
+    pipeline = alert_pipeline(spark, folder)
+    as_of = tables.events(spark, folder).agg(F.max("ts_ms")).scalar()
+    hot = pipeline.hot_alerts
+    return extensions.quiet_flaps(
+        pipeline.state_changes, as_of,
+        hot and hot.withColumnRenamed("deduplication_key", "dedup_key"))
+
+
+@query
+def closed_cycles(spark, folder):
+    return extensions.closed_cycles(alert_pipeline(spark, folder).groups, model.DEDUP_GAP_MS)
+
+
+@query
+def scattered_withdrawals(spark, folder):
+    rows = tables.withdrawals(tables.events(spark, folder))
+    return extensions.scattered_withdrawals(rows, 500.0, 600_000).select(
+        "account_id", "seq", "event_ms", F.array_join("places", ",").alias("places"))
+
+
+@query
+def noise_reduction(spark, folder):
+    pipeline = alert_pipeline(spark, folder)
+    return extensions.noise_reduction(pipeline.normalized, pipeline.incident_changes)
+
+
+@query
+def detection_delay(spark, folder):
+    latest = incidents.latest_incidents(alert_pipeline(spark, folder).incident_changes).withColumn(
+        "open_ms", (F.col("updated_at_epoch_ms") - F.col("created_at_epoch_ms")).cast("double"))
+    return reports.percentiles(latest, "service", "open_ms", {"p50": 0.5, "p95": 0.95})

@@ -63,6 +63,8 @@ def webhooks(rows: DataFrame) -> DataFrame:
                 F.when(b == 0, "payment-service").when(b == 3, service).alias("service"),
                 F.when(b == 1, service).alias("app"), F.when(b == 2, service).alias("job"),
                 F.when(b == 0, "prod").alias("env"), F.when(b == 1, "staging").alias("environment"),
+                F.when(b < 2, "prod-us-east-1").alias("t_cluster"),
+                F.when(b == 2, "payments").alias("k8s_namespace"),
                 severity.alias("severity"),
             ).alias("labels"),
             F.struct(
@@ -276,3 +278,43 @@ def offsets(rows: DataFrame) -> DataFrame:
     return rows.groupBy(
         F.col("event_type").alias("topic"), (F.col("event_id") % 3).alias("partition")
     ).agg(F.count(F.lit(1)).alias("offset"))
+
+
+def configuration_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers, nations and regions as configuration items with their parents: a supplier
+    depends on its nation's host, a host on its region's zone."""
+    suppliers = table(spark, folder, "supplier").select(
+        F.concat(F.lit("app-"), F.col("s_suppkey")).alias("ci"),
+        F.concat(F.lit("host-"), F.col("s_nationkey")).alias("parent"), F.col("s_name").alias("ci_name"))
+    nations = table(spark, folder, "nation").select(
+        F.concat(F.lit("host-"), F.col("n_nationkey")).alias("ci"),
+        F.concat(F.lit("zone-"), F.col("n_regionkey")).alias("parent"), F.col("n_name").alias("ci_name"))
+    regions = table(spark, folder, "region").select(
+        F.concat(F.lit("zone-"), F.col("r_regionkey")).alias("ci"),
+        F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("ci_name"))
+    return suppliers.unionByName(nations).unionByName(regions)
+
+
+def maintenance_windows(rows: DataFrame) -> DataFrame:
+    """Signups as maintenance of the user's host, from then on for as many minutes as ``k`` says."""
+    return rows.filter(F.col("event_type") == "signup").select(
+        F.concat(F.lit("host-"), F.col("user_id") % 5).alias("ci"),
+        F.col("ts_ms").alias("from_ms"), (F.col("ts_ms") + F.col("k") * 60_000).alias("to_ms"))
+
+
+def arrivals(rows: DataFrame) -> DataFrame:
+    """Events in the order they arrive at their lane: some are a minute late."""
+    delay = F.when(F.col("k") == 50, 60_000).otherwise(0)
+    return rows.select(
+        F.concat(F.lit("lane-"), F.col("user_id") % 5).alias("lane"),
+        (F.col("ts_ms") + delay).alias("arrival_ms"), F.col("event_id").alias("seq"),
+        F.col("ts_ms").alias("event_ms"))
+
+
+def withdrawals(rows: DataFrame) -> DataFrame:
+    """Every event as a withdrawal of its user's account, at a place given by ``k``."""
+    return rows.select(
+        F.concat(F.lit("ACC-"), F.col("user_id") % 25).alias("account_id"),
+        F.concat(F.lit("place-"), F.col("k") % 10).alias("location"),
+        F.round(F.col("value") * 100).alias("amount"), F.col("event_id").alias("seq"),
+        F.col("ts_ms").alias("event_ms"))
