@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.functions.plan import computed
+
 RECORD_BYTES = 512
 
 # --- fixed values: the form of a producer summary line, and of a consumer summary ------------
@@ -24,13 +26,16 @@ CONSUMER_FIELDS = (
 
 def producer_stats(lines: DataFrame) -> DataFrame:
     """Numbers of the producer summary lines (column ``line``); other lines are left out."""
-    rows = lines.filter(F.col("line").contains("records sent") & F.col("line").rlike(PERF_LINE))
-    numbers = {
-        name: F.regexp_extract("line", PERF_LINE, i + 1).cast("double")
-        for i, name in enumerate(PERF_FIELDS)
-    }
+    # one pass of the pattern per line: its groups are joined by spaces, then split
+    groups = " ".join(f"${i + 1}" for i in range(len(PERF_FIELDS)))
+    found = F.when(
+        F.col("line").contains("records sent") & F.col("line").rlike(PERF_LINE),
+        F.split(F.regexp_replace("line", "^.*?" + PERF_LINE + ".*$", groups), " "),
+    )
+    rows = computed(lines, _found=found).filter("_found IS NOT NULL")
+    numbers = {name: F.get("_found", F.lit(i)).cast("double") for i, name in enumerate(PERF_FIELDS)}
     sent = F.regexp_extract("line", r"^\s*(\d+)", 1).try_cast("bigint")
-    return rows.withColumns({"records_sent": sent, **numbers}).drop("line")
+    return rows.withColumns({"records_sent": sent, **numbers}).drop("line", "_found")
 
 
 def consumer_stats(lines: DataFrame, run: str = "run_id", line_no: str = "line_no") -> DataFrame:

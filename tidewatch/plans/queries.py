@@ -398,14 +398,14 @@ def breaking_change_impact(spark, folder):
 
 @query
 def equity_order_violations(spark, folder):
-    orders = tables.equity_orders(tables.table(spark, folder, "lineitem"))
+    orders = tables.equity_orders(tables.order_lines(spark, folder))
     return contracts.quarantine(orders, model.EQUITY_ORDER_V1).select(
         "l_orderkey", *_long("l_linenumber"), "field", "problem")
 
 
 @query
 def equity_orders_good(spark, folder):
-    orders = tables.equity_orders(tables.table(spark, folder, "lineitem"))
+    orders = tables.equity_orders(tables.order_lines(spark, folder))
     return contracts.conforming(orders, model.EQUITY_ORDER_V1).groupBy("symbol", "side").agg(
         F.count(F.lit(1)).alias("orders"), F.sum("shares").alias("shares"),
         F.round(F.sum("price"), 2).alias("notional"))

@@ -219,8 +219,12 @@ def payment_records(rows: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "purchase", 2).otherwise(1).alias("version"), value.alias("value"))
 
 
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "lineitem"), "l_orderkey")
+
+
 def equity_orders(lineitem: DataFrame) -> DataFrame:
-    """Every order line as an equity order record; quantity and discount break some."""
+    """Every order line as an equity order record; some quantities break one field."""
     text = F.to_json(F.struct(
         F.concat_ws("-", F.lit("ORD"), "l_orderkey", "l_linenumber").alias("orderId"),
         F.concat(F.lit("SYM-"), F.col("l_suppkey")).alias("symbol"),

@@ -80,7 +80,14 @@ def changes_of(rows: DataFrame) -> DataFrame:
 def alert_job(
     events: DataFrame, sink, checkpoint: str, once: bool = False, ttl_ms: int | None = None
 ) -> StreamingQuery:
-    """Enriched events to alert groups and state changes."""
+    """Enriched events to alert groups and state changes.
+
+    ``ttl_ms`` lets the state of a silent alert expire. Expiry goes by the clock, and a job that
+    watches the clock has no present end to stop at.
+    """
+    if once and ttl_ms:
+        raise ValueError("a job with expiry cannot stop at the end of its source")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         sink.write(groups_of(batch), model.GROUPS_TOPIC, batch_id)
         sink.write(changes_of(batch), model.STATE_TOPIC, batch_id)
@@ -127,8 +134,12 @@ def fraud_job(messages: DataFrame, sink, checkpoint: str, once: bool = False) ->
     return _each_batch(counted, write, checkpoint, once)
 
 
-def topic_stream(spark: SparkSession, folders: TopicFolders, topic: str) -> DataFrame:
+def topic_stream(
+    spark: SparkSession, folders: TopicFolders, topic: str, per_trigger: int | None = None
+) -> DataFrame:
     """A topic folder as the stream of the next hop, its schema read from the written files."""
     path = folders.path(topic)
-    schema = spark.read.parquet(path).drop("batch").schema
-    return spark.readStream.schema(schema).parquet(path + "/batch=*")
+    reader = spark.readStream.schema(spark.read.parquet(path).drop("batch").schema)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return reader.parquet(path + "/batch=*")
