@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,7 +24,9 @@ def query(build: Query) -> Query:
     return build
 
 
+@lru_cache(maxsize=4)
 def alert_pipeline(spark: SparkSession, folder: str) -> AlertPipeline:
+    """The lazy tables of the pipeline; queries of one session and folder share their plans."""
     raw = tables.webhooks(tables.events(spark, folder))
     return AlertPipeline(raw, at_most=tables.table(spark, folder, "events"))
 
