@@ -196,3 +196,16 @@ def test_record_json_uses_wire_names(five):
     group = json.loads(records.group_json(five.deduplicated).first()[0])
     assert set(group) == {*records.GROUP_FIELDS, "latestEvent"}
     assert set(group["latestEvent"]) == set(records.EVENT_FIELDS)
+
+
+def test_written_topics_equal_the_lazy_tables(spark, five, tmp_path):
+    from tidewatch import model
+    from tidewatch.sources.sinks import TopicFolders
+    sink = TopicFolders(str(tmp_path))
+    AlertPipeline(raw(spark, scenarios())).write(sink)
+    for topic, expected in (
+        (model.GROUPS_TOPIC, five.groups), (model.STATE_TOPIC, five.state_changes.drop("enriched_metadata")),
+        (model.INCIDENT_TOPIC, five.incident_changes), (model.DEAD_LETTER_TOPIC, five.dead_letters.limit(0).selectExpr("raw value")),
+    ):
+        found = sink.read(spark, topic, 0).select(*expected.columns)
+        assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()

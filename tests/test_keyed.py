@@ -66,7 +66,8 @@ def test_chunks_equal_one_window(spark, limit, seed):
     limit(10_000)
     whole = {name: plain(df) for name, df in results(events).items()}
     limit(60)
-    assert hot_keys(events, "deduplication_key").count() >= 3
+    found = hot_keys(events, "deduplication_key", "service")
+    assert found["deduplication_key"].count() >= 3 and found["service"].count() == 2
     for name, df in results(events).items():
         assert plain(df) == whole[name], name
 

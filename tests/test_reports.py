@@ -56,7 +56,8 @@ def test_partition_balance(spark):
     assert [r["share"] for r in rows] == [0.3333, 0.3334, 0.3333]
 
 
-@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 3.0, 1.0, 9.0, 4.5], list(map(float, range(101)))])
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 3.0, 1.0, 9.0, 4.5], list(map(float, range(101))),
+    [float((i * 7919) % 50_021) for i in range(50_021)], [float(i % 3) for i in range(20_000)]])
 def test_percentiles(spark, values):
     import numpy as np
     df = spark.createDataFrame([("t", v) for v in values], "topic string, v double")

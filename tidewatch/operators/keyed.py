@@ -26,18 +26,22 @@ def row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_SETTING, str(DEFAULT_LIMIT)))
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
-    """The keys with more rows than the limit, or None where there are none.
+def hot_keys(df: DataFrame, *keys: str) -> dict[str, DataFrame | None]:
+    """For each key column, a table of its values with more rows than the limit, or None.
 
-    The list that comes back to the driver has fewer entries than the row count divided by the
-    limit.
+    All columns are counted in one pass. The list that comes back to the driver has, per column,
+    fewer entries than the row count divided by the limit.
     """
-    limit = row_limit(df)
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    found = [(row[key],) for row in counted.select(key).collect()]
-    if not found:
-        return None
-    return df.sparkSession.createDataFrame(found, df.select(key).schema)
+    together = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    single = F.explode(F.array(*[
+        F.struct(F.lit(key).alias("column"), F.col(key).alias("value")) for key in keys]))
+    counted = together.select(single.alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") > row_limit(df)).select("k.column", "k.value").collect()
+    tables = {}
+    for key in keys:
+        values = [(row["value"],) for row in found if row["column"] == key]
+        tables[key] = df.sparkSession.createDataFrame(values, f"`{key}` string") if values else None
+    return tables
 
 
 def cut_in_chunks(df: DataFrame, key: str, ms: str, limit: int) -> DataFrame:
@@ -127,9 +131,10 @@ def scan_by_key(
     count the rows per key first.
     """
     if isinstance(hot, str):
-        hot = hot_keys(df, key)
+        hot = hot_keys(df, key)[key]
     if hot is None:
         return step(df, Scan(key, order))
+    df = materialize(df)    # read for the ordinary keys, the hot keys and their time bins
     ordinary = step(df.join(hot, key, "left_anti"), Scan(key, order))
     rows = cut_in_chunks(df.join(hot, key, "left_semi"), key, order[0], row_limit(df))
     chunked = step(materialize(rows), Scan(key, order, chunked=True))

@@ -26,9 +26,8 @@ def _has_alerts() -> Column:
     return F.coalesce(F.size("payload.alerts"), F.lit(0)) > 0
 
 
-def dead_letters(raw: DataFrame) -> DataFrame:
+def letters_of(parsed: DataFrame) -> DataFrame:
     """One row per rejected payload, and one per null alert of an accepted payload."""
-    parsed = parse_webhooks(raw)
     reasons = (
         F.when(~_well_formed(), F.array(F.lit(MALFORMED_ERROR)))
         .when(~_has_alerts(), F.array(F.lit(EMPTY_PAYLOAD_ERROR)))
@@ -42,11 +41,14 @@ def dead_letters(raw: DataFrame) -> DataFrame:
     )
 
 
-def explode_alerts(raw: DataFrame) -> DataFrame:
+def dead_letters(raw: DataFrame) -> DataFrame:
+    return letters_of(parse_webhooks(raw))
+
+
+def alerts_of(parsed: DataFrame) -> DataFrame:
     """One row per alert of every accepted payload, with its place in the payload."""
     return (
-        parse_webhooks(raw)
-        .filter(_well_formed())
+        parsed.filter(_well_formed())
         .select(
             "source_id", "seq", "ingest_ms", F.col("payload.status").alias("payload_status"),
             F.posexplode("payload.alerts").alias("alert_pos", "alert"),
@@ -124,5 +126,9 @@ def normalize_alerts(alerts: DataFrame) -> DataFrame:
     )
 
 
+def events_of(parsed: DataFrame) -> DataFrame:
+    return normalize_alerts(alerts_of(parsed))
+
+
 def normalized_events(raw: DataFrame) -> DataFrame:
-    return normalize_alerts(explode_alerts(raw))
+    return events_of(parse_webhooks(raw))

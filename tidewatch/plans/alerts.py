@@ -2,10 +2,13 @@
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from tidewatch import model
 from tidewatch.operators import dedup, enrich, incidents, lifecycle, normalize
 from tidewatch.operators.keyed import hot_keys, row_limit
+from tidewatch.session import materialize
+from tidewatch.sources import records
 
 ALERTS_PER_TEXT = 2
 
@@ -28,16 +31,22 @@ class AlertPipeline:
         return self.at_most is not None and (
             self.at_most.count() * self.alerts_per_text <= row_limit(self.at_most))
 
-    def _hot(self, column: str) -> DataFrame | None:
-        return None if self.few_rows else hot_keys(self.normalized, column)
+    @cached_property
+    def _hot(self) -> dict[str, DataFrame | None]:
+        keys = ("deduplication_key", "service")
+        return dict.fromkeys(keys) if self.few_rows else hot_keys(self.normalized, *keys)
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return normalize.parse_webhooks(self.raw)
 
     @cached_property
     def dead_letters(self) -> DataFrame:
-        return normalize.dead_letters(self.raw)
+        return normalize.letters_of(self.parsed)
 
     @cached_property
     def normalized(self) -> DataFrame:
-        return normalize.normalized_events(self.raw)
+        return normalize.events_of(self.parsed)
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -45,7 +54,7 @@ class AlertPipeline:
 
     @cached_property
     def hot_alerts(self) -> DataFrame | None:
-        return self._hot("deduplication_key")
+        return self._hot["deduplication_key"]
 
     @cached_property
     def deduplicated(self) -> DataFrame:
@@ -65,8 +74,26 @@ class AlertPipeline:
 
     @cached_property
     def incident_changes(self) -> DataFrame:
-        return incidents.incident_changes(self.state_changes, self._hot("service"))
+        return incidents.incident_changes(self.state_changes, self._hot["service"])
 
     @cached_property
     def incident_members(self) -> DataFrame:
         return incidents.incident_members(self.incident_changes)
+
+    def write(self, sink, batch_id: int = 0) -> None:
+        """Write all result topics, each step from the written rows of the step before it.
+
+        ``sink`` writes and reads topics, as ``TopicFolders`` does. Nothing is computed twice and a
+        lost executor costs at most the work since the last written topic.
+        """
+        def kept(rows: DataFrame, topic: str) -> DataFrame:
+            sink.write(rows, topic, batch_id)
+            return sink.read(rows.sparkSession, topic, batch_id)
+
+        self.parsed = materialize(self.parsed)
+        sink.write(records.dead_letter_json(self.dead_letters), model.DEAD_LETTER_TOPIC, batch_id)
+        self.enriched = kept(self.enriched, model.NORMALIZED_TOPIC)
+        self.deduplicated = materialize(self.deduplicated)
+        sink.write(self.groups, model.GROUPS_TOPIC, batch_id)
+        self.state_changes = kept(self.state_changes, model.STATE_TOPIC)
+        sink.write(self.incident_changes, model.INCIDENT_TOPIC, batch_id)

@@ -431,7 +431,7 @@ def count_threshold(spark, folder):
 def tag_clusters(spark, folder):
     pipeline = alert_pipeline(spark, folder)
     events = pipeline.normalized.withColumn("cluster_key", extensions.cluster_key(F.col("labels")))
-    hot = None if pipeline.few_rows else hot_keys(events, "cluster_key")
+    hot = None if pipeline.few_rows else hot_keys(events, "cluster_key")["cluster_key"]
     return extensions.tag_clusters(pipeline.normalized, hot).withColumn(
         "alert_names", F.array_join("alert_names", ","))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -21,6 +21,9 @@ class TopicFolders:
     def path(self, topic: str) -> str:
         return f"{self.root}/{topic}"
 
+    def read(self, spark: SparkSession, topic: str, batch_id: int) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/{topic}/batch={batch_id}")
+
 
 @dataclass(frozen=True)
 class KafkaTopics:

@@ -37,12 +37,12 @@ def _each_batch(
 def normalize_job(raw: DataFrame, sink, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Raw texts to enriched events and dead letters."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        events = enrich.enriched_events(normalize.normalized_events(batch))
+        events = enrich.enriched_events(normalize.events_of(batch))
         sink.write(events, model.NORMALIZED_TOPIC, batch_id)
-        letters = records.dead_letter_json(normalize.dead_letters(batch))
+        letters = records.dead_letter_json(normalize.letters_of(batch))
         sink.write(letters, model.DEAD_LETTER_TOPIC, batch_id)
 
-    return _each_batch(raw, write, checkpoint, once)
+    return _each_batch(normalize.parse_webhooks(raw), write, checkpoint, once)
 
 
 def alert_rows(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
