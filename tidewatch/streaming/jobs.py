@@ -21,7 +21,7 @@ from tidewatch.sources.sinks import TopicFolders, start
 from tidewatch.streaming import state
 
 
-def _each_batch(
+def each_batch(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool
 ) -> StreamingQuery:
     def one_read(batch: DataFrame, batch_id: int) -> None:
@@ -42,7 +42,7 @@ def normalize_job(raw: DataFrame, sink, checkpoint: str, once: bool = False) ->
         letters = records.dead_letter_json(normalize.letters_of(batch))
         sink.write(letters, model.DEAD_LETTER_TOPIC, batch_id)
 
-    return _each_batch(normalize.parse_webhooks(raw), write, checkpoint, once)
+    return each_batch(normalize.parse_webhooks(raw), write, checkpoint, once)
 
 
 def alert_rows(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
@@ -92,7 +92,7 @@ def alert_job(
         sink.write(groups_of(batch), model.GROUPS_TOPIC, batch_id)
         sink.write(changes_of(batch), model.STATE_TOPIC, batch_id)
 
-    return _each_batch(alert_rows(events, ttl_ms), write, checkpoint, once)
+    return each_batch(alert_rows(events, ttl_ms), write, checkpoint, once)
 
 
 def incident_rows(changes: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def incident_job(changes: DataFrame, sink, checkpoint: str, once: bool = False)
     def write(batch: DataFrame, batch_id: int) -> None:
         sink.write(describe_incidents(batch), model.INCIDENT_TOPIC, batch_id)
 
-    return _each_batch(incident_rows(changes), write, checkpoint, once)
+    return each_batch(incident_rows(changes), write, checkpoint, once)
 
 
 def fraud_job(messages: DataFrame, sink, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -131,7 +131,7 @@ def fraud_job(messages: DataFrame, sink, checkpoint: str, once: bool = False) ->
     def write(batch: DataFrame, batch_id: int) -> None:
         sink.write(payments.apply_rules(batch), model.FRAUD_TOPIC, batch_id)
 
-    return _each_batch(counted, write, checkpoint, once)
+    return each_batch(counted, write, checkpoint, once)
 
 
 def topic_stream(
