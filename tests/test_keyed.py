@@ -9,7 +9,7 @@ from helpers import T0
 
 from tidewatch.model import ORDER
 from tidewatch.operators import dedup, incidents, lifecycle
-from tidewatch.operators.extensions import quiet_flaps, split_late
+from tidewatch.operators.extensions import quiet_flaps, scattered_withdrawals, split_late
 from tidewatch.operators.keyed import cut_in_chunks, hot_keys, scan_by_key, trailing_slices
 from tidewatch.operators.payments import with_velocity
 from tidewatch.plans import oracles
@@ -160,6 +160,22 @@ def test_trailing_count_against_brute_force(spark):
     assert found == expected
 
 
+def test_places_against_brute_force(spark):
+    pick = random.Random(8)
+    data, ms = [], 10**9
+    for seq in range(800):
+        ms += pick.choice([0, 500, 8_000, 20_000, 59_999, 60_000])
+        data.append((pick.choice("AAB"), pick.choice("uvwxyz"), 100.0, seq, ms))
+    df = spark.createDataFrame(data, "account_id string, location string, amount double, seq bigint, event_ms bigint")
+    found = {r["seq"]: r["places"] for r in scattered_withdrawals(df, 1.0).collect()}
+    expected = {}
+    for acct, _, _, at, now in data:
+        places = {p for a, p, _, s, t in data if a == acct and s <= at and now - t < 60_000}
+        if len(places) > 3:
+            expected[at] = len(places)
+    assert found == expected and expected
+
+
 def test_slices_keep_every_row_once(spark):
     df = spark.range(1000).select((F.col("id") * 777).alias("event_ms"))
     cut = trailing_slices(df, "event_ms", 60_000)

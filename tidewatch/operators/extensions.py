@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch.functions.text import has_word
 from tidewatch.model import ORDER
 from tidewatch.operators.incidents import INCIDENT, latest_incidents
-from tidewatch.operators.keyed import Scan, scan_by_key, trailing_slices
+from tidewatch.operators.keyed import Scan, scan_by_key, trailing_slices, trailing_sum
 from tidewatch.operators.payments import with_velocity
 from tidewatch.session import materialize
 
@@ -278,12 +278,21 @@ def closed_cycles(groups: DataFrame, gap_ms: int) -> DataFrame:
 
 
 def scattered_withdrawals(rows: DataFrame, least: float, width_ms: int = 60_000) -> DataFrame:
-    """High withdrawals that make more than three places for their account within a minute."""
-    in_window = Window.partitionBy("account_id", "_slice").orderBy("event_ms").rangeBetween(1 - width_ms, 0)
-    high = trailing_slices(rows.filter(F.col("amount") >= least), "event_ms", width_ms)
-    places = F.array_sort(F.collect_set("location").over(in_window))
-    return high.withColumn("places", places).filter(
-        F.col("_own") & (F.size("places") > WITHDRAWAL_PLACES)).drop("_slice", "_own")
+    """High withdrawals that make more than three places for their account within a minute.
+
+    A place is present from its first withdrawal until a window after its last, so the number of
+    places present is a running sum of places that come and go.
+    """
+    sliced = trailing_slices(rows.filter(F.col("amount") >= least), "event_ms", width_ms)
+    there = Window.partitionBy("account_id", "_slice", "location").orderBy("event_ms", "seq")
+    sliced = sliced.withColumns({
+        "_comes": F.coalesce(F.col("event_ms") - F.lag("event_ms").over(there) >= width_ms, F.lit(True)),
+        "_goes": F.coalesce(F.lead("event_ms").over(there) - F.col("event_ms") >= width_ms, F.lit(True)),
+    })
+    counted = trailing_sum(
+        sliced, "account_id", ("event_ms", "seq"), width_ms, "places",
+        F.col("_comes").cast("int"), F.col("_goes").cast("int"))
+    return counted.filter(F.col("places") > WITHDRAWAL_PLACES).drop("_comes", "_goes")
 
 
 def noise_reduction(events: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -141,19 +141,59 @@ def scan_by_key(
     return ordinary.unionByName(chunked.select(*ordinary.columns))
 
 
-def trailing_slices(df: DataFrame, ms: str, width_ms: int, slices_of_width: int = 5) -> DataFrame:
+SLICE_OF_WINDOWS = 5
+
+
+def trailing_slices(df: DataFrame, ms: str, width_ms: int) -> DataFrame:
     """Put each row in its time slice and, as context, in the next one where that can see it.
 
-    A slice is ``slices_of_width`` times the trailing window, so about a fifth of the rows is
-    doubled and a hot key is spread over as many tasks as it has slices. Rows to report on have
-    ``_own`` set; the others only fill the window.
+    A slice is five trailing windows long, so about a fifth of the rows is doubled and a hot key
+    is spread over as many tasks as it has slices. Rows to report on have ``_own`` set; the
+    others only fill the window.
     """
-    size = width_ms * slices_of_width
+    size = width_ms * SLICE_OF_WINDOWS
     own = F.floor(F.col(ms) / size)
-    last_seen_by = F.floor((F.col(ms) + F.lit(width_ms - 1)) / size)
+    last_seen_by = F.floor((F.col(ms) + (width_ms - 1)) / size)
     return (
         df.withColumn("_home", own)
         .withColumn("_slice", F.explode(F.sequence(own, last_seen_by)))
         .withColumn("_own", F.col("_slice") == F.col("_home"))
         .drop("_home")
     )
+
+
+def trailing_sum(
+    sliced: DataFrame, key: str, order: Sequence[str], width_ms: int, name: str,
+    enters: Column | int = 1, leaves: Column | int = 1,
+) -> DataFrame:
+    """Running sum over the rows of a key that are less than ``width_ms`` old, in linear time.
+
+    ``sliced`` comes from ``trailing_slices``. A row adds ``enters`` at its own place and takes
+    ``leaves`` away ``width_ms`` later, so that a running sum within the slice is the answer up to
+    and with each row. A sliding frame would go through the whole window again for every row,
+    which a hot key with millions of rows in a window cannot afford. Context rows and leavings are
+    shuffled without their other columns.
+    """
+    enters = F.lit(enters) if isinstance(enters, int) else enters
+    leaves = F.lit(leaves) if isinstance(leaves, int) else leaves
+    size = width_ms * SLICE_OF_WINDOWS
+    kept = [c for c in sliced.columns if c not in (key, "_slice", "_own")]
+    rest = F.col("_rest")
+    rows = sliced.select(
+        key, "_slice", enters.cast("bigint").alias("_in"), leaves.cast("bigint").alias("_out"),
+        F.struct(*order).alias("_place"), F.col(order[0]).alias("_at"),
+        F.when(F.col("_own"), F.struct(*kept)).alias("_rest"))
+    entry = F.struct(
+        F.col("_at").alias("at"), F.lit(1).alias("enters"), F.col("_place").alias("place"),
+        F.col("_in").alias("change"), rest.alias("row"))
+    leaving = F.struct(
+        (F.col("_at") + width_ms).alias("at"), F.lit(0).alias("enters"), F.col("_place").alias("place"),
+        (-F.col("_out")).alias("change"), F.when(F.lit(False), rest).alias("row"))
+    leaves_here = F.col("_at") + width_ms < (F.col("_slice") + 1) * size
+    moves = rows.select(key, "_slice", F.explode(
+        F.when(leaves_here, F.array(entry, leaving)).otherwise(F.array(entry))).alias("m"))
+    running = Window.partitionBy(key, "_slice").orderBy("m.at", "m.enters", "m.place").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    summed = moves.withColumn(name, F.sum("m.change").over(running)).filter("m.row IS NOT NULL")
+    wanted = [c for c in sliced.columns if c not in ("_slice", "_own")]
+    return summed.select(key, "m.row.*", name).select(*wanted, name)

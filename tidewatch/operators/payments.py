@@ -1,13 +1,13 @@
 """Payment records from flat messages and change envelopes, and the two fraud rules on them."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.plan import computed
 from tidewatch.functions.text import first_of, iso_instant, short_id
 from tidewatch.model import (
     FRAUD_TOPIC, HIGH_VALUE_AMOUNT, STRINGS, VELOCITY_COUNT, VELOCITY_WINDOW_MS,
 )
-from tidewatch.operators.keyed import trailing_slices
+from tidewatch.operators.keyed import trailing_slices, trailing_sum
 
 
 def _created_ms(text: Column) -> Column:
@@ -64,17 +64,10 @@ def with_velocity(
 ) -> DataFrame:
     """Add ``window_count``: rows of the key less than ``width_ms`` old, up to and with the row.
 
-    Rows with the same time count only up to their own place, as in a record-by-record run. Rows
-    are partitioned by key and time slice, so a hot account is spread over its slices.
+    Rows with the same time count only up to their own place, as in a record-by-record run.
     """
-    in_slice = Window.partitionBy(key, "_slice")
-    numbered = trailing_slices(rows, "event_ms", width_ms).withColumn(
-        "_n", F.row_number().over(in_slice.orderBy(*order)))
-    oldest = F.min("_n").over(in_slice.orderBy("event_ms").rangeBetween(1 - width_ms, 0))
-    return (
-        numbered.withColumn("window_count", (F.col("_n") - oldest + 1).cast("long"))
-        .filter("_own").drop("_n", "_slice", "_own")
-    )
+    return trailing_sum(
+        trailing_slices(rows, "event_ms", width_ms), key, order, width_ms, "window_count")
 
 
 def fraud_alerts(rows: DataFrame) -> DataFrame:

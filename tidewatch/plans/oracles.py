@@ -551,9 +551,13 @@ ahead AS (SELECT *, coalesce(lead(ms) OVER (PARTITION BY key ORDER BY n), (SELEC
     "closed_cycles": _w(DEDUP, """SELECT key AS dedup_key, first_ms AS first_seen_epoch_ms, count(*) AS occurrences,
       max(ms) AS last_seen_epoch_ms, max(ms) + 300000 AS closed_ms FROM grouped GROUP BY key, cycle, first_ms"""),
     "scattered_withdrawals": _w(EV + """,
-high AS (SELECT 'ACC-' || (user_id % 25) AS acct, 'place-' || (k % 10) AS place, event_id AS seq, ts_ms AS ms FROM ev WHERE round(value * 100) >= 500),
-ranged AS (SELECT *, list_sort(list_distinct(list(place) OVER (PARTITION BY acct ORDER BY ms RANGE BETWEEN 599999 PRECEDING AND CURRENT ROW))) AS places FROM high)""",
-        """SELECT acct AS account_id, seq, ms AS event_ms, array_to_string(places, ',') AS places FROM ranged WHERE len(places) > 3"""),
+high AS (SELECT 'ACC-' || (user_id % 25) AS acct, k % 10 AS place, event_id AS seq, ts_ms AS ms FROM ev WHERE round(value * 100) >= 500),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY acct ORDER BY ms, seq) AS n,
+  row_number() OVER (PARTITION BY acct ORDER BY ms, seq) - count(*) OVER (PARTITION BY acct ORDER BY ms RANGE BETWEEN 599999 PRECEDING AND CURRENT ROW)
+    + count(*) OVER (PARTITION BY acct, ms) - row_number() OVER (PARTITION BY acct, ms ORDER BY seq) AS gone FROM high),
+listed AS (SELECT acct, seq, ms, n, gone, list(place) OVER (PARTITION BY acct ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS places FROM numbered)""",
+        """SELECT acct AS account_id, seq, ms AS event_ms, CAST(len(list_distinct(places[gone + 1 : n])) AS BIGINT) AS places
+      FROM listed WHERE len(list_distinct(places[gone + 1 : n])) > 3"""),
     "noise_reduction": _w(_ACCEPTED + """,
 received AS (SELECT service, count(*) AS events FROM canon GROUP BY service),
 sent AS (SELECT service, count(*) AS n, avg(updated - created) AS open_ms FROM last GROUP BY service)""",

@@ -542,7 +542,7 @@ def closed_cycles(spark, folder):
 def scattered_withdrawals(spark, folder):
     rows = tables.withdrawals(tables.events(spark, folder))
     return extensions.scattered_withdrawals(rows, 500.0, 600_000).select(
-        "account_id", "seq", "event_ms", F.array_join("places", ",").alias("places"))
+        "account_id", "seq", "event_ms", "places")
 
 
 @query

@@ -6,6 +6,7 @@ watermark is used: a row is never late, and time may run backwards between micro
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 from pyspark.sql import Row
@@ -233,10 +234,13 @@ class VelocityProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         times = list(self.store.get()[0]) if self.store.exists() else []
+        heapq.heapify(times)    # the oldest first, also where time ran backwards
         names = _names(VELOCITY_OUT)
         for row in sorted(rows, key=lambda r: (r["event_ms"], r["seq"])):
             now = row["event_ms"]
-            times = [t for t in times if now - t < VELOCITY_WINDOW_MS] + [now]
+            while times and now - times[0] >= VELOCITY_WINDOW_MS:
+                heapq.heappop(times)
+            heapq.heappush(times, now)
             yield Row(*names)(*[row[n] for n in names[:-1]], len(times))
         self.store.update((times,))
 
