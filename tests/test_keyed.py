@@ -42,7 +42,7 @@ COLUMNS = (
 def frame(spark, seed):
     df = spark.createDataFrame(random_events(seed), COLUMNS)
     return df.select(
-        "*", F.create_map(F.lit("id"), F.col("rid")).alias("resource"),
+        "*", F.col("rid").alias("resource_id"),
         F.col("event_ms").cast("string").alias("event_timestamp"))
 
 

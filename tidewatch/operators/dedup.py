@@ -8,7 +8,7 @@ from tidewatch.operators.keyed import Scan, scan_by_key
 
 
 def _groups(events: DataFrame, scan: Scan) -> DataFrame:
-    resource_id = F.coalesce(F.col("resource")["id"], F.lit("default"))
+    resource_id = F.coalesce("resource_id", F.lit("default"))
     rows = scan.add(
         events,
         prev={"_last": F.struct("event_ms", "status")},
@@ -83,5 +83,5 @@ UNIQUE_COLUMNS = (
 def unique_alerts(deduplicated: DataFrame) -> DataFrame:
     """The events that open a cycle or change the status, with what the life cycle needs."""
     return deduplicated.filter("is_new").withColumn(
-        "resource_id", F.coalesce(F.col("resource")["id"], F.lit("unknown"))
+        "resource_id", F.coalesce("resource_id", F.lit("unknown"))
     ).select(*UNIQUE_COLUMNS)

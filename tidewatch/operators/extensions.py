@@ -81,8 +81,7 @@ def tag_clusters(events: DataFrame, hot="count") -> DataFrame:
 def bind_items(events: DataFrame, items: DataFrame) -> DataFrame:
     """Events with the configuration item of their resource, where there is one."""
     item = items.select(F.col("ci"), F.col("ci_name"), F.col("parent").alias("ci_parent"))
-    return events.withColumn("_ci", F.col("resource")["id"]).join(
-        item, F.col("_ci") == F.col("ci"), "left").drop("_ci")
+    return events.join(item, F.col("resource_id") == F.col("ci"), "left")
 
 
 def tag_maintenance(
@@ -98,12 +97,11 @@ def tag_maintenance(
         F.col("ci").alias("w_ci"), "from_ms", "to_ms",
         F.explode(F.sequence(F.floor(F.col("from_ms") / bucket_ms), F.floor(F.col("to_ms") / bucket_ms)))
         .alias("w_bucket"))
-    rows = events.withColumns({
-        "_ci": F.col("resource")["id"], "_bucket": F.floor(F.col("event_ms") / bucket_ms)})
+    rows = events.withColumn("_bucket", F.floor(F.col("event_ms") / bucket_ms))
     covered = cut.where(
-        (F.col("w_ci") == F.col("_ci").outer()) & (F.col("w_bucket") == F.col("_bucket").outer())
+        (F.col("w_ci") == F.col("resource_id").outer()) & (F.col("w_bucket") == F.col("_bucket").outer())
         & (F.col("event_ms").outer() >= F.col("from_ms")) & (F.col("event_ms").outer() < F.col("to_ms")))
-    return rows.withColumn("maintenance", covered.exists()).drop("_ci", "_bucket")
+    return rows.withColumn("maintenance", covered.exists()).drop("_bucket")
 
 
 def topmost_items(items: DataFrame, rounds: int = 32) -> DataFrame:
@@ -129,7 +127,7 @@ def topmost_items(items: DataFrame, rounds: int = 32) -> DataFrame:
 
 def by_topmost(events: DataFrame, items: DataFrame) -> DataFrame:
     """Events and alert keys counted per top-most item."""
-    rows = events.select(F.col("resource")["id"].alias("ci"), "deduplication_key", "event_ms")
+    rows = events.select(F.col("resource_id").alias("ci"), "deduplication_key", "event_ms")
     per_item = rows.groupBy("ci", "deduplication_key").agg(
         F.count(F.lit(1)).alias("n"), F.min("event_ms").alias("first_ms"), F.max("event_ms").alias("last_ms"))
     return per_item.join(topmost_items(items), "ci").groupBy("top").agg(

@@ -111,6 +111,8 @@ def normalize_alerts(alerts: DataFrame) -> DataFrame:
         "event_timestamp",
         "timestamp_epoch_ms",
         "resource",
+        # steps that need the id alone do not shuffle the map
+        F.col("resource")["id"].alias("resource_id"),
         "service",
         F.coalesce(first_of(labels, "env", "environment"), F.lit("dev")).alias("environment"),
         "labels",

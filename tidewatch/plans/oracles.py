@@ -200,6 +200,25 @@ alerts AS (
   SELECT *, {short('ALT', 'topic', "'events-0-' || seq", 'rule')} AS alert_id, {iso('ms')} AS stamp FROM hits
 )"""
 
+MESSAGES = f""",
+texts AS (
+  SELECT e.k, p.topic, p.tx, e.ts_ms AS ms, 'ACC-' || (e.user_id % 25) AS acct, CAST(round(e.value * 100) AS VARCHAR) AS amt,
+    CASE WHEN e.k % 8 = 0 THEN CAST(e.ts_ms * 1000 AS VARCHAR) ELSE {iso('e.ts_ms')} END AS created
+  FROM ev e JOIN pay p ON p.seq = e.event_id
+),
+messages AS (
+  SELECT topic, CASE
+    WHEN k = 96 THEN '{{"op":"d","ts_ms":' || ms || ',"after":null}}'
+    WHEN k % 4 = 0 THEN '{{"op":"c","ts_ms":' || ms || ',"after":{{"transaction_id":"' || tx || '","account_id":"' || acct || '","amount":'
+      || amt || ',"currency":"EUR","status":"BOOKED","created_at":"' || created || '"}}}}'
+    WHEN k = 41 THEN '{{}}' WHEN k = 43 THEN '[1,2]'
+    ELSE '{{' || CASE WHEN k = 35 THEN '"amount":"oops",' ELSE '' END || '"paymentId":"' || tx || '"'
+      || CASE WHEN k = 39 THEN '' ELSE ',"sourceAccountIban":"' || acct || '"' END || ',"destAccountIban":"ACC-DEST"'
+      || CASE WHEN k IN (33, 35) THEN '' ELSE ',"amount":' || amt END
+      || CASE WHEN k = 37 THEN '' ELSE ',"currency":"GBP"' END || ',"timestamp":' || ms || '}}' END AS value
+  FROM texts
+)"""
+
 PERF = EV + """,
 perf AS (
   SELECT event_id AS run_id, event_type AS topic, ts_ms, k * 100 AS sent, CASE WHEN k = 11 THEN 5 ELSE 0 END AS failed, value, k
@@ -364,6 +383,10 @@ listed AS (
       FROM incidents GROUP BY ALL"""),
     "incident_records": _w(INCIDENTS, """SELECT incident_id, array_to_string(ids, ',') AS correlated_alert_ids,
       array_to_string(names, ',') AS correlated_alert_names, seq, alert_pos FROM incidents"""),
+    "result_bundle": _w(INCIDENTS, """SELECT 'alert-groups' AS topic, group_id AS id, alert_name AS name, count(*) AS records
+        FROM grouped JOIN hashed USING (key) GROUP BY ALL
+      UNION ALL SELECT 'alerts.state-changes', alert_id, alert_name, count(*) FROM changes GROUP BY ALL
+      UNION ALL SELECT 'incidents.state-changes', incident_id, title, count(*) FROM incidents GROUP BY ALL"""),
     "latest_group_per_alert": _w(DEDUP, f"""SELECT alert_name, group_id, n AS occurrence_count, first_stamp AS first_seen, stamp AS last_seen
       FROM {_NUMBERED.format('alert_name', 'grouped')} JOIN hashed USING (key) WHERE back = 1"""),
     "cdc_unwrap": _w(PAY, """SELECT topic, tx AS transaction_id, acct AS account_id, amount, cur AS currency, ms AS event_ms, seq FROM good"""),
@@ -372,29 +395,17 @@ listed AS (
     "high_value": _w(PAY, """SELECT tx AS transaction_id, acct AS account_id, amount, cur AS currency, topic FROM good WHERE amount >= 10000"""),
     "fraud_alerts": _w(FRAUD, """SELECT alert_id, tx AS transaction_id, acct AS account_id, amount, cur AS currency, rule AS alert_type,
       severity, stamp AS timestamp, details, topic AS source_topic FROM alerts"""),
-    "audit_union": _w(FRAUD + f""",
-texts AS (
-  SELECT e.k, p.topic, p.tx, e.ts_ms AS ms, 'ACC-' || (e.user_id % 25) AS acct, CAST(round(e.value * 100) AS VARCHAR) AS amt,
-    CASE WHEN e.k % 8 = 0 THEN CAST(e.ts_ms * 1000 AS VARCHAR) ELSE {iso('e.ts_ms')} END AS created
-  FROM ev e JOIN pay p ON p.seq = e.event_id
-),
+    "audit_union": _w(FRAUD + MESSAGES + """,
 lines AS (
-  SELECT topic, CASE
-    WHEN k = 96 THEN '{{"op":"d","ts_ms":' || ms || ',"after":null}}'
-    WHEN k % 4 = 0 THEN '{{"op":"c","ts_ms":' || ms || ',"after":{{"transaction_id":"' || tx || '","account_id":"' || acct || '","amount":'
-      || amt || ',"currency":"EUR","status":"BOOKED","created_at":"' || created || '"}}}}'
-    WHEN k = 41 THEN '{{}}' WHEN k = 43 THEN '[1,2]'
-    ELSE '{{' || CASE WHEN k = 35 THEN '"amount":"oops",' ELSE '' END || '"paymentId":"' || tx || '"'
-      || CASE WHEN k = 39 THEN '' ELSE ',"sourceAccountIban":"' || acct || '"' END || ',"destAccountIban":"ACC-DEST"'
-      || CASE WHEN k IN (33, 35) THEN '' ELSE ',"amount":' || amt END
-      || CASE WHEN k = 37 THEN '' ELSE ',"currency":"GBP"' END || ',"timestamp":' || ms || '}}' END AS value
-  FROM texts
+  SELECT topic, value FROM messages
   UNION ALL
-  SELECT 'fraud-alerts', '{{"alertId":"' || alert_id || '","transactionId":"' || tx || '","accountId":"' || acct || '","amount":' || CAST(amount AS VARCHAR)
+  SELECT 'fraud-alerts', '{"alertId":"' || alert_id || '","transactionId":"' || tx || '","accountId":"' || acct || '","amount":' || CAST(amount AS VARCHAR)
     || ',"currency":"' || cur || '","alertType":"' || rule || '","severity":"' || severity || '","timestamp":"' || stamp
-    || '","details":"' || details || '","sourceTopic":"' || topic || '"}}'
+    || '","details":"' || details || '","sourceTopic":"' || topic || '"}'
   FROM alerts
 )""", "SELECT topic, value, count(*) AS copies FROM lines GROUP BY ALL"),
+    "topic_dump": _w(PAY + MESSAGES, """SELECT topic, count(*) AS records, CAST(sum(length(value)) AS BIGINT) AS characters
+      FROM messages WHERE value LIKE '{%' GROUP BY topic"""),
     "current_ledger": _w(EV, """SELECT 'U-' || user_id AS transaction_id, 'ACC-' || (user_id % 25) AS account_id, value AS amount,
       'EUR' AS currency, event_type AS status, ts_ms AS changed_ms
       FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, event_id DESC) AS back FROM ev)

@@ -8,12 +8,13 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch import model
+from tidewatch.functions.plan import computed
 from tidewatch.operators import access, contracts, extensions, incidents, payments, reports, results
 from tidewatch.operators.dedup import latest_groups
 from tidewatch.operators.keyed import hot_keys
 from tidewatch.plans.alerts import AlertPipeline
 from tidewatch.session import materialize
-from tidewatch.sources import records, tables
+from tidewatch.sources import records, sinks, streams, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,6 +202,22 @@ def latest_group_per_alert(spark, folder):
         "alert_name", "group_id", "occurrence_count", "first_seen", "last_seen")
 
 
+@query
+def result_bundle(spark, folder):
+    """The three result streams as records under their topics, counted by what they name."""
+    pipeline = alert_pipeline(spark, folder)
+    bundle = sinks.result_bundle({
+        model.GROUPS_TOPIC: records.group_json(pipeline.deduplicated),
+        model.STATE_TOPIC: records.change_json(pipeline.state_changes),
+        model.INCIDENT_TOPIC: records.incident_json(incidents.incident_records(pipeline.incident_changes)),
+    })
+    named = F.from_json("value", "groupId string, alertId string, incidentId string, alertName string, title string")
+    return computed(bundle, r=named).groupBy(
+        "topic", F.coalesce("r.incidentId", "r.alertId", "r.groupId").alias("id"),
+        F.coalesce("r.title", "r.alertName").alias("name"),
+    ).agg(F.count(F.lit(1)).alias("records"))
+
+
 # ---- payments -----------------------------------------------------------------------------
 def _messages(spark, folder):
     return tables.payment_messages(tables.events(spark, folder))
@@ -245,6 +262,13 @@ def audit_union(spark, folder):
     return rows.groupBy("topic", "value").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query
+def topic_dump(spark, folder):
+    """Records among the lines of the payment topics."""
+    return streams.only_json(_messages(spark, folder)).groupBy("topic").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.length("value")).alias("characters"))
+
+
 @query
 def current_ledger(spark, folder):
     changes = tables.ledger_changes(tables.events(spark, folder))
@@ -294,7 +318,7 @@ def peak_topic(spark, folder):
 
 
 def _deltas(spark, folder):
-    rows = tables.events(spark, folder)
+    rows = tables.events(spark, folder, texts=False)
     before = tables.offsets(rows.filter((F.col("k") < 30) & (F.col("event_type") != "signup")))
     return reports.partition_delta(before, tables.offsets(rows))
 
@@ -312,13 +336,13 @@ def partition_balance(spark, folder):
 @query
 def latency_percentiles(spark, folder):
     rows = reports.percentiles(
-        tables.events(spark, folder), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+        tables.events(spark, folder, texts=False), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     return rows.select("event_type", "n", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
 @query
 def reconcile_targets(spark, folder):
-    rows = tables.events(spark, folder)
+    rows = tables.events(spark, folder, texts=False)
     targets = rows.filter(F.col("event_type") != "view").groupBy(F.col("event_type").alias("topic")).agg(
         F.count_if(F.col("k") < 60).alias("target_records"))
     counts = rows.filter(F.col("event_type") != "error").groupBy(F.col("event_type").alias("topic")).agg(
@@ -445,7 +469,7 @@ def ci_binding(spark, folder):
 
 @query
 def maintenance_tags(spark, folder):
-    windows = tables.maintenance_windows(tables.events(spark, folder))
+    windows = tables.maintenance_windows(tables.events(spark, folder, texts=False))
     return extensions.tag_maintenance(alert_pipeline(spark, folder).normalized, windows).select(
         *_long("seq", "alert_pos"), "maintenance")
 
@@ -489,13 +513,13 @@ def remediation_commands(spark, folder):
 @query
 def expired_alerts(spark, folder):
     changes = alert_pipeline(spark, folder).state_changes
-    as_of = tables.events(spark, folder).agg(F.max("ts_ms") + 86_000_000).scalar()
+    as_of = tables.events(spark, folder, texts=False).agg(F.max("ts_ms") + 86_000_000).scalar()
     return extensions.expired_alerts(changes, as_of)
 
 
 @query
 def late_events(spark, folder):
-    rows = tables.arrivals(tables.events(spark, folder))
+    rows = tables.arrivals(tables.events(spark, folder, texts=False))
     return extensions.split_late(rows).filter("late").select("lane", "seq", "event_ms", "newest_ms")
 
 
@@ -526,7 +550,7 @@ def environment_matrix(spark, folder):
 @query
 def quiet_flaps(spark, folder):
     pipeline = alert_pipeline(spark, folder)
-    as_of = tables.events(spark, folder).agg(F.max("ts_ms")).scalar()
+    as_of = tables.events(spark, folder, texts=False).agg(F.max("ts_ms")).scalar()
     hot = pipeline.hot_alerts
     return extensions.quiet_flaps(
         pipeline.state_changes, as_of,
@@ -540,7 +564,7 @@ def closed_cycles(spark, folder):
 
 @query
 def scattered_withdrawals(spark, folder):
-    rows = tables.withdrawals(tables.events(spark, folder))
+    rows = tables.withdrawals(tables.events(spark, folder, texts=False))
     return extensions.scattered_withdrawals(rows, 500.0, 600_000).select(
         "account_id", "seq", "event_ms", "places")
 

@@ -22,9 +22,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """The events with ``ts_ms`` (compressed) and ``k``, the number in their properties."""
-    rows = spread(table(spark, folder, "events"), "event_id")
+def events(spark: SparkSession, folder: str, texts: bool = True) -> DataFrame:
+    """The events with ``ts_ms`` (compressed) and ``k``, the number in their properties.
+
+    Where ``texts`` are made of them and parsed, a table of few splits is spread over the cores.
+    """
+    rows = table(spark, folder, "events")
+    if texts:
+        rows = spread(rows, "event_id")
     return rows.select(
         "event_id", "user_id", "event_type", "value",
         F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (1000 * COMPRESSION)).alias("ts_ms"),

@@ -49,7 +49,7 @@ def alert_rows(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Group and state change per event, in one stateful step."""
     rows = events.select(
         "event_id", "deduplication_key", "alert_name", "service", "environment", "status",
-        "effective_priority", F.col("resource")["id"].alias("resource_id"), "event_timestamp", *model.ORDER)
+        "effective_priority", "resource_id", "event_timestamp", *model.ORDER)
     return rows.groupBy("deduplication_key").transformWithState(
         state.AlertProcessor(ttl_ms), state.ALERT_OUT, "append",
         "processingTime" if ttl_ms else "none")
