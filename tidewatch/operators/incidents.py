@@ -4,7 +4,7 @@ Rows are in time order, so incidents are the sessions of a service by silence, w
 RESOLVED rows a session begins with.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.text import has_word, iso_instant, short_id
 from tidewatch.model import CORRELATION_RULE, INCIDENT_GAP_MS, ORDER, ROOT_CAUSE_WORDS
@@ -101,13 +101,14 @@ def latest_incidents(incidents: DataFrame, per=INCIDENT) -> DataFrame:
 def incident_records(incidents: DataFrame) -> DataFrame:
     """Incident rows in the record form, with the members so far as two parallel lists.
 
-    The record form repeats the list on every change, so its size is the square of an incident's
-    members; use ``incident_changes`` with ``incident_members`` for tables.
+    Members only ever join, so the list of a row is the first ``member_count`` entries of its
+    incident's final list, and rows of one incident need not meet in one task. The incidents are
+    read twice; materialize them first where they are still to be worked out. The output repeats
+    the list on every change; tables are better served by ``incident_members``.
     """
-    so_far = Window.partitionBy(*INCIDENT).orderBy(*ORDER).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    members = F.collect_list(
-        F.when(F.col("is_first_of_alert"), F.struct("alert_id", "alert_name"))).over(so_far)
-    return incidents.withColumn("_m", members).withColumns({
+    entry = F.when(F.col("is_first_of_alert"), F.struct("member_count", "alert_id", "alert_name"))
+    final = incidents.groupBy(*INCIDENT).agg(F.array_sort(F.collect_list(entry)).alias("_m"))
+    so_far = F.slice("_m", F.lit(1), F.col("member_count").cast("int"))
+    return incidents.join(final, list(INCIDENT)).withColumn("_m", so_far).withColumns({
         "correlated_alert_ids": F.col("_m.alert_id"), "correlated_alert_names": F.col("_m.alert_name"),
     }).drop("_m")

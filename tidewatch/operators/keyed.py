@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch.session import materialize
 
 LIMIT_SETTING = "spark.tidewatch.maxRowsPerKey"
-DEFAULT_LIMIT = 5_000_000
+DEFAULT_LIMIT = 1_000_000
 BIN_MS = 1_000
 CHUNK = "_chunk"
 

@@ -83,17 +83,18 @@ class AlertPipeline:
     def write(self, sink, batch_id: int = 0) -> None:
         """Write all result topics, each step from the written rows of the step before it.
 
-        ``sink`` writes and reads topics, as ``TopicFolders`` does. Nothing is computed twice and a
-        lost executor costs at most the work since the last written topic.
+        ``sink`` writes and reads topics, as ``TopicFolders`` does. A lost executor costs at most
+        the work since the last written topic. The texts are parsed once for the events and once
+        for the dead letters, which costs less than keeping all parsed texts.
         """
         def kept(rows: DataFrame, topic: str) -> DataFrame:
             sink.write(rows, topic, batch_id)
             return sink.read(rows.sparkSession, topic, batch_id)
 
-        self.parsed = materialize(self.parsed)
         sink.write(records.dead_letter_json(self.dead_letters), model.DEAD_LETTER_TOPIC, batch_id)
-        self.enriched = kept(self.enriched, model.NORMALIZED_TOPIC)
-        self.deduplicated = materialize(self.deduplicated)
+        self.normalized = self.enriched = kept(self.enriched, model.NORMALIZED_TOPIC)
+        needed = [c for c in self.deduplicated.columns if c not in ("labels", "annotations", "resource")]
+        self.deduplicated = materialize(self.deduplicated.select(*needed))
         sink.write(self.groups, model.GROUPS_TOPIC, batch_id)
         self.state_changes = kept(self.state_changes, model.STATE_TOPIC)
         sink.write(self.incident_changes, model.INCIDENT_TOPIC, batch_id)

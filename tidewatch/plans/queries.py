@@ -188,7 +188,7 @@ def root_cause(spark, folder):
 
 @query
 def incident_records(spark, folder):
-    rows = incidents.incident_records(alert_pipeline(spark, folder).incident_changes)
+    rows = incidents.incident_records(materialize(alert_pipeline(spark, folder).incident_changes))
     return rows.select(
         "incident_id", F.array_join("correlated_alert_ids", ",").alias("correlated_alert_ids"),
         F.array_join("correlated_alert_names", ",").alias("correlated_alert_names"),
@@ -209,7 +209,8 @@ def result_bundle(spark, folder):
     bundle = sinks.result_bundle({
         model.GROUPS_TOPIC: records.group_json(pipeline.deduplicated),
         model.STATE_TOPIC: records.change_json(pipeline.state_changes),
-        model.INCIDENT_TOPIC: records.incident_json(incidents.incident_records(pipeline.incident_changes)),
+        model.INCIDENT_TOPIC: records.incident_json(
+            incidents.incident_records(materialize(pipeline.incident_changes))),
     })
     named = F.from_json("value", "groupId string, alertId string, incidentId string, alertName string, title string")
     return computed(bundle, r=named).groupBy(
