@@ -66,9 +66,9 @@ def alert_groups(deduplicated: DataFrame) -> DataFrame:
     )
 
 
-def latest_groups(groups: DataFrame) -> DataFrame:
-    """The last group record of every key."""
-    fields = [c for c in groups.columns if c != "dedup_key"]
+def latest_groups(groups: DataFrame, fields=None) -> DataFrame:
+    """The last group record of every key; only ``fields`` of it where they are named."""
+    fields = [c for c in fields or groups.columns if c != "dedup_key"]
     return groups.groupBy("dedup_key").agg(
         F.max_by(F.struct(*fields), F.struct(*ORDER)).alias("g")
     ).select("dedup_key", "g.*")

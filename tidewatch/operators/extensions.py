@@ -177,7 +177,7 @@ def secondary_flags(incidents: DataFrame) -> DataFrame:
     The incidents are read twice, for the members and for the last root cause; where they are
     still to be worked out, materialize them first.
     """
-    latest = latest_incidents(incidents).select(*INCIDENT, "incident_id", "root_cause_alert_id")
+    latest = latest_incidents(incidents, fields=("incident_id", "root_cause_alert_id"))
     members = incidents.filter("is_first_of_alert").select(*INCIDENT, "alert_id", "alert_name")
     secondary = F.col("alert_id") != F.col("root_cause_alert_id")
     return members.join(latest, list(INCIDENT)).select(
@@ -296,7 +296,7 @@ def scattered_withdrawals(rows: DataFrame, least: float, width_ms: int = 60_000)
 def noise_reduction(events: DataFrame, incidents: DataFrame) -> DataFrame:
     """Events in, notifications out and the share that was held back, per service."""
     received = events.groupBy("service").agg(F.count(F.lit(1)).alias("events"))
-    sent = latest_incidents(incidents).groupBy("service").agg(
+    sent = latest_incidents(incidents, fields=("updated_at_epoch_ms",)).groupBy("service").agg(
         F.count(F.lit(1)).alias("notifications"),
         F.avg(F.col("updated_at_epoch_ms") - F.col("created_at_epoch_ms")).alias("mean_open_ms"))
     return received.join(sent, "service", "left").select(

@@ -90,9 +90,12 @@ def incident_members(incidents: DataFrame) -> DataFrame:
     )
 
 
-def latest_incidents(incidents: DataFrame, per=INCIDENT) -> DataFrame:
-    """The last row of every incident, or of every service with ``per=("service",)``."""
-    fields = [c for c in incidents.columns if c not in per]
+def latest_incidents(incidents: DataFrame, per=INCIDENT, fields=None) -> DataFrame:
+    """The last row of every incident, or of every service with ``per=("service",)``.
+
+    Only ``fields`` are carried through the aggregation where they are named.
+    """
+    fields = [c for c in fields or incidents.columns if c not in per]
     return incidents.groupBy(*per).agg(
         F.max_by(F.struct(*fields), F.struct(*ORDER)).alias("i")
     ).select(*per, "i.*")

@@ -32,4 +32,6 @@ def flapping(changes: DataFrame) -> DataFrame:
 
 
 def latest_incident_per_service(incidents: DataFrame) -> DataFrame:
-    return latest_incidents(incidents, per=("service",))
+    return latest_incidents(incidents, ("service",), (
+        "incident_id", "status", "priority", "title", "root_cause_alert_id", "root_cause_alert_name",
+        "member_count", "created_at_epoch_ms", "updated_at_epoch_ms"))

@@ -96,9 +96,9 @@ def alert_groups(spark, folder):
 
 @query
 def alert_groups_latest(spark, folder):
-    return latest_groups(alert_pipeline(spark, folder).groups).select(
-        "dedup_key", "group_id", "status", "occurrence_count", "first_seen_epoch_ms",
-        "last_seen_epoch_ms", "latest_event_id")
+    return latest_groups(alert_pipeline(spark, folder).groups, (
+        "group_id", "status", "occurrence_count", "first_seen_epoch_ms", "last_seen_epoch_ms",
+        "latest_event_id"))
 
 
 @query
@@ -169,9 +169,9 @@ def incident_members(spark, folder):
 
 @query
 def incidents_latest(spark, folder):
-    return incidents.latest_incidents(alert_pipeline(spark, folder).incident_changes).select(
-        "incident_id", "service", "priority", "title", "root_cause_alert_id",
-        "root_cause_alert_name", "member_count", "created_at_epoch_ms", "updated_at_epoch_ms")
+    return incidents.latest_incidents(alert_pipeline(spark, folder).incident_changes, fields=(
+        "incident_id", "priority", "title", "root_cause_alert_id", "root_cause_alert_name",
+        "member_count", "updated_at_epoch_ms")).drop("created_seq")
 
 
 @query
@@ -507,7 +507,8 @@ def child_suppression(spark, folder):
 
 @query
 def remediation_commands(spark, folder):
-    latest = incidents.latest_incidents(alert_pipeline(spark, folder).incident_changes)
+    latest = incidents.latest_incidents(alert_pipeline(spark, folder).incident_changes, fields=(
+        "incident_id", "root_cause_alert_id", "root_cause_alert_name"))
     return extensions.remediation_commands(latest)
 
 
@@ -578,6 +579,8 @@ def noise_reduction(spark, folder):
 
 @query
 def detection_delay(spark, folder):
-    latest = incidents.latest_incidents(alert_pipeline(spark, folder).incident_changes).withColumn(
-        "open_ms", (F.col("updated_at_epoch_ms") - F.col("created_at_epoch_ms")).cast("double"))
-    return reports.percentiles(latest, "service", "open_ms", {"p50": 0.5, "p95": 0.95})
+    latest = incidents.latest_incidents(
+        alert_pipeline(spark, folder).incident_changes, fields=("updated_at_epoch_ms",))
+    rows = materialize(latest.select(
+        "service", (F.col("updated_at_epoch_ms") - F.col("created_at_epoch_ms")).cast("double").alias("open_ms")))
+    return reports.percentiles(rows, "service", "open_ms", {"p50": 0.5, "p95": 0.95})
