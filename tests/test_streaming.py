@@ -1,5 +1,6 @@
 """Every hop as a stream in several micro-batches, with restarts, against its batch form."""
 
+import json
 import time
 
 import pytest
@@ -7,9 +8,9 @@ from helpers import T0, alert, on, raw, webhook
 from pyspark.sql import functions as F
 
 from tidewatch import model
-from tidewatch.operators import payments
+from tidewatch.operators import incidents, payments
 from tidewatch.plans.alerts import AlertPipeline
-from tidewatch.sources import sinks, streams, tables
+from tidewatch.sources import records, sinks, streams, tables
 from tidewatch.streaming import jobs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -66,8 +67,19 @@ def test_alert_hops_equal_batch(spark, tmp_path):
     equal(read(model.STATE_TOPIC), batch.state_changes, "enriched_metadata")
 
     changes = jobs.topic_stream(spark, sink, model.STATE_TOPIC)
-    jobs.incident_job(changes, sink, str(tmp_path / "c3"), once=True).awaitTermination()
-    equal(read(model.INCIDENT_TOPIC), batch.incident_changes)
+    jobs.incident_job(changes, sink, str(tmp_path / "c3"), once=True, list_members=True).awaitTermination()
+    expected = incidents.incident_records(batch.incident_changes)
+    equal(read(model.INCIDENT_TOPIC), expected)
+
+    # what a topic of wire records would get
+    wire = records.wire_json(read(model.INCIDENT_TOPIC), model.INCIDENT_TOPIC)
+    equal(wire, records.incident_json(expected))
+    group = json.loads(records.wire_json(read(model.GROUPS_TOPIC), model.GROUPS_TOPIC).first()[0])
+    assert set(group) == {*records.GROUP_FIELDS, "latestEvent"}
+    assert set(group["latestEvent"]) == set(records.EVENT_FIELDS)
+    assert group["latestEvent"]["deduplicationKey"] == group["dedupKey"]
+    change = json.loads(records.wire_json(read(model.STATE_TOPIC), model.STATE_TOPIC).first()[0])
+    assert set(change) == set(records.CHANGE_FIELDS)
 
 
 def test_fraud_hop_equals_batch(spark, tmp_path):

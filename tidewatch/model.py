@@ -36,7 +36,7 @@ ROOT_CAUSE_WORDS = ("database", "timeout", "connection")
 
 # --- topics ---------------------------------------------------------------------------------
 RAW_TOPIC = "events.raw"
-DEAD_LETTER_TOPIC = "events.deadletter"
+DEAD_LETTER_TOPIC = "events.dead-letter"
 NORMALIZED_TOPIC = "events.normalized"
 GROUPS_TOPIC = "alert-groups"
 STATE_TOPIC = "alerts.state-changes"
@@ -79,3 +79,11 @@ LEDGER_ROW = _struct(
 
 # Columns that give rows of one key their order.
 ORDER = ("event_ms", "seq", "alert_pos")
+
+EVENT_RECORD = _struct(
+    eventId=T.StringType(), source=T.StringType(), eventType=T.StringType(), alertName=T.StringType(),
+    fingerprint=T.StringType(), status=T.StringType(), sourceSeverity=T.StringType(),
+    eventTimestamp=T.StringType(), timestampEpochMs=T.LongType(), resource=STRINGS,
+    service=T.StringType(), environment=T.StringType(), labels=STRINGS, annotations=STRINGS,
+    testing=T.BooleanType(), deduplicationKey=T.StringType(),
+)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch import model
+
 EVENT_FIELDS = {
     "eventId": "event_id", "source": "source", "eventType": "event_type", "alertName": "alert_name",
     "fingerprint": "fingerprint", "status": "status", "sourceSeverity": "source_severity",
@@ -72,3 +74,34 @@ def fraud_alert_json(alerts: DataFrame) -> DataFrame:
 def dead_letter_json(letters: DataFrame) -> DataFrame:
     """Error and raw text; the text is quoted, so the record is valid JSON."""
     return letters.select(_json(F.struct("error", "raw")))
+
+
+def event_record(name: str) -> Column:
+    """The event of a row as JSON text, to travel with a group until it is written."""
+    return F.to_json(_record(EVENT_FIELDS), {"ignoreNullFields": "false"}).alias(name)
+
+
+def _group_json(groups: DataFrame) -> DataFrame:
+    """Groups of the stream, whose latest event is a JSON text."""
+    named = {
+        name: column.replace("group_", "") if column != "group_id" else column
+        for name, column in GROUP_FIELDS.items()}
+    named["dedupKey"] = "dedup_key"
+    parts = [F.col(column).alias(name) for name, column in named.items()]
+    latest = F.from_json("latest_event", model.EVENT_RECORD).alias("latestEvent")
+    return groups.select(_json(F.struct(*parts, latest)))
+
+
+WIRE = {
+    model.NORMALIZED_TOPIC: event_json, model.GROUPS_TOPIC: _group_json, model.STATE_TOPIC: change_json,
+    model.INCIDENT_TOPIC: incident_json, model.FRAUD_TOPIC: fraud_alert_json,
+}
+
+
+def wire_json(rows: DataFrame, topic: str) -> DataFrame:
+    """Rows of a streaming job as the records of its topic."""
+    if rows.columns == ["value"]:
+        return rows
+    if topic in WIRE:
+        return WIRE[topic](rows)
+    return rows.select(_json(F.struct("*")))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch.sources import records
+
 
 @dataclass(frozen=True)
 class TopicFolders:
@@ -27,15 +29,14 @@ class TopicFolders:
 
 @dataclass(frozen=True)
 class KafkaTopics:
-    """Kafka topics, with records as JSON texts. Delivery is at least once; the ids in the records
-    are functions of the input, so a repeated record is an equal record."""
+    """Kafka topics, with records as JSON texts in the field names of the wire format. Delivery is
+    at least once; the ids in the records are functions of the input, so a repeated record is an
+    equal record."""
 
     servers: str
 
     def write(self, rows: DataFrame, topic: str, batch_id: int) -> None:
-        values = rows if rows.columns == ["value"] else rows.select(
-            F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-        values.write.format("kafka").option("kafka.bootstrap.servers", self.servers).option(
+        records.wire_json(rows, topic).write.format("kafka").option("kafka.bootstrap.servers", self.servers).option(
             "topic", topic).save()
 
 

@@ -17,7 +17,7 @@ from tidewatch import model
 from tidewatch.functions.text import iso_instant, short_id
 from tidewatch.operators import enrich, normalize, payments
 from tidewatch.sources import records
-from tidewatch.sources.sinks import TopicFolders, start
+from tidewatch.sources.sinks import KafkaTopics, TopicFolders, start
 from tidewatch.streaming import state
 
 
@@ -49,7 +49,8 @@ def alert_rows(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Group and state change per event, in one stateful step."""
     rows = events.select(
         "event_id", "deduplication_key", "alert_name", "service", "environment", "status",
-        "effective_priority", "resource_id", "event_timestamp", *model.ORDER)
+        "effective_priority", "resource_id", "event_timestamp",
+        records.event_record("latest_event"), *model.ORDER)
     return rows.groupBy("deduplication_key").transformWithState(
         state.AlertProcessor(ttl_ms), state.ALERT_OUT, "append",
         "processingTime" if ttl_ms else "none")
@@ -59,7 +60,7 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return rows.select(
         "group_id", "dedup_key", "alert_name", "service", "environment", "status",
         "occurrence_count", "first_seen", "last_seen", "first_seen_epoch_ms", "last_seen_epoch_ms",
-        "impacted_resources", F.col("event_id").alias("latest_event_id"), *model.ORDER)
+        "impacted_resources", F.col("event_id").alias("latest_event_id"), "latest_event", *model.ORDER)
 
 
 def changes_of(rows: DataFrame) -> DataFrame:
@@ -95,12 +96,13 @@ def alert_job(
     return each_batch(alert_rows(events, ttl_ms), write, checkpoint, once)
 
 
-def incident_rows(changes: DataFrame) -> DataFrame:
+def incident_rows(changes: DataFrame, list_members: bool = False) -> DataFrame:
     rows = changes.select(
         "service", "environment", "alert_id", "alert_name", "dedup_key", "identity_ms",
         "current_state", "effective_priority", *model.ORDER)
     return rows.groupBy("service").transformWithState(
-        state.IncidentProcessor(model.CORRELATION_RULE), state.INCIDENT_OUT, "append", "none")
+        state.IncidentProcessor(model.CORRELATION_RULE, list_members),
+        state.INCIDENT_OUT + (state.MEMBER_LISTS if list_members else ""), "append", "none")
 
 
 def describe_incidents(rows: DataFrame) -> DataFrame:
@@ -115,12 +117,17 @@ def describe_incidents(rows: DataFrame) -> DataFrame:
     })
 
 
-def incident_job(changes: DataFrame, sink, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """State changes to incidents."""
+def incident_job(
+    changes: DataFrame, sink, checkpoint: str, once: bool = False, list_members: bool | None = None
+) -> StreamingQuery:
+    """State changes to incidents. Their rows list the members for a sink of wire records."""
+    if list_members is None:
+        list_members = isinstance(sink, KafkaTopics)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         sink.write(describe_incidents(batch), model.INCIDENT_TOPIC, batch_id)
 
-    return each_batch(incident_rows(changes), write, checkpoint, once)
+    return each_batch(incident_rows(changes, list_members), write, checkpoint, once)
 
 
 def fraud_job(messages: DataFrame, sink, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -41,7 +41,7 @@ GROUP_OUT = (
     "event_id string, dedup_key string, status string, group_id string, alert_name string, "
     "service string, environment string, occurrence_count bigint, first_seen string, "
     "last_seen string, first_seen_epoch_ms bigint, last_seen_epoch_ms bigint, "
-    "impacted_resources array<string>, is_new boolean"
+    "impacted_resources array<string>, is_new boolean, latest_event string"
 )
 CHANGE_OUT = (
     "event_alert_name string, event_service string, event_environment string, "
@@ -121,7 +121,7 @@ class AlertProcessor(StatefulProcessor):
         group = (
             row["event_id"], dedup_key, row["status"], state["group_id"], state["alert_name"],
             state["service"], state["environment"], state["count"], state["first_seen"],
-            row["event_timestamp"], state["first_ms"], ms, list(state["resources"]), is_new,
+            row["event_timestamp"], state["first_ms"], ms, list(state["resources"]), is_new, row["latest_event"],
         )
         change = (None,) * len(_names(CHANGE_OUT))
         if is_new:
@@ -168,23 +168,28 @@ INCIDENT_OUT = (
     "alert_name string, dedup_key string, identity_ms bigint, is_first_of_alert boolean, "
     "event_ms bigint, seq bigint, alert_pos int"
 )
+MEMBER_LISTS = ", correlated_alert_ids array<string>, correlated_alert_names array<string>"
 
 
 class IncidentProcessor(StatefulProcessor):
     """Incidents of a service. The members are a map state of their own, so an incident with many
-    alerts is looked up by alert and never loaded whole."""
+    alerts is looked up by alert and not loaded whole, unless its rows are to list the members as
+    the wire records do."""
 
-    def __init__(self, rule: str):
-        self.rule = rule
+    def __init__(self, rule: str, list_members: bool = False):
+        self.rule, self.list_members = rule, list_members
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.store = handle.getValueState("incident", INCIDENT_STATE)
-        self.members = handle.getMapState("members", "dedup_key string, identity_ms bigint", "member_no bigint")
+        self.members = handle.getMapState(
+            "members", "dedup_key string, identity_ms bigint", "member_no bigint, alert_id string, alert_name string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         service = key[0]
         names = _names(INCIDENT_STATE)
         state = dict(zip(names, self.store.get())) if self.store.exists() else None
+        listed = sorted(tuple(value) for _, value in self.members.iterator()) if self.list_members else []
+        out = Row(*_names(INCIDENT_OUT + MEMBER_LISTS if self.list_members else INCIDENT_OUT))
         for row in in_order(rows):
             ms, active = row["event_ms"], row["current_state"] != "RESOLVED"
             lapsed = state is None or ms - state["updated_ms"] > INCIDENT_GAP_MS
@@ -193,6 +198,7 @@ class IncidentProcessor(StatefulProcessor):
             member = (row["dedup_key"], row["identity_ms"])
             if lapsed:
                 self.members.clear()
+                listed = []
                 state = dict(
                     created_ms=ms, created_seq=row["seq"], priority=row["effective_priority"],
                     environment=row["environment"], root_id=row["alert_id"],
@@ -207,12 +213,16 @@ class IncidentProcessor(StatefulProcessor):
             joins = lapsed or not self.members.containsKey(member)
             if joins:
                 state["members"] += 1
-                self.members.updateValue(member, (state["members"],))
-            yield Row(*_names(INCIDENT_OUT))(
+                entry = (state["members"], row["alert_id"], row["alert_name"])
+                self.members.updateValue(member, entry)
+                if self.list_members:
+                    listed.append(entry)
+            lists = ([m[1] for m in listed], [m[2] for m in listed]) if self.list_members else ()
+            yield out(
                 service, "OPEN", state["priority"], state["environment"], state["root_id"],
                 state["root_name"], state["members"], self.rule, state["created_ms"],
                 state["created_seq"], state["updated_ms"], row["alert_id"], row["alert_name"],
-                row["dedup_key"], row["identity_ms"], joins, ms, row["seq"], row["alert_pos"])
+                row["dedup_key"], row["identity_ms"], joins, ms, row["seq"], row["alert_pos"], *lists)
         if state is not None:
             self.store.update(tuple(state[name] for name in names))
 
