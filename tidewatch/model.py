@@ -87,3 +87,10 @@ EVENT_RECORD = _struct(
     service=T.StringType(), environment=T.StringType(), labels=STRINGS, annotations=STRINGS,
     testing=T.BooleanType(), deduplicationKey=T.StringType(),
 )
+CHANGE_RECORD = _struct(
+    alertId=T.StringType(), dedupKey=T.StringType(), alertName=T.StringType(), service=T.StringType(),
+    environment=T.StringType(), currentState=T.StringType(), previousState=T.StringType(),
+    transition=T.StringType(), effectivePriority=T.StringType(), flapping=T.BooleanType(),
+    suppressed=T.BooleanType(), occurrenceCount=T.LongType(), timestamp=T.StringType(),
+    timestampEpochMs=T.LongType(), enrichedMetadata=STRINGS,
+)

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import model
+from tidewatch.functions.plan import computed
 
 EVENT_FIELDS = {
     "eventId": "event_id", "source": "source", "eventType": "event_type", "alertName": "alert_name",
@@ -105,3 +106,28 @@ def wire_json(rows: DataFrame, topic: str) -> DataFrame:
     if topic in WIRE:
         return WIRE[topic](rows)
     return rows.select(_json(F.struct("*")))
+
+
+def _columns(messages: DataFrame, schema, fields: dict[str, str]) -> DataFrame:
+    """Columns of the records of a topic, ordered by their position in it."""
+    rows = computed(messages, r=F.from_json("value", schema)).filter("r IS NOT NULL")
+    event_ms = F.col("r.timestampEpochMs")
+    return rows.select(
+        *[F.col(f"r.{name}").alias(column) for name, column in fields.items()],
+        F.when(event_ms > 0, event_ms).otherwise(F.col("ingest_ms")).alias("event_ms"),
+        "seq", F.lit(0).alias("alert_pos"))
+
+
+def events_from_wire(messages: DataFrame) -> DataFrame:
+    """Enriched events from the messages of the normalized topic."""
+    return _columns(messages, model.EVENT_RECORD, EVENT_FIELDS).withColumns({
+        "resource_id": F.col("resource")["id"],
+        "effective_priority": F.col("annotations")["effective_priority"],
+    })
+
+
+def changes_from_wire(messages: DataFrame) -> DataFrame:
+    """State changes from the messages of their topic. The identity of an alert is then its key
+    with its short id, which is all a record tells of it."""
+    identity = F.conv(F.substring("alert_id", 5, 8), 16, 10).cast("bigint")
+    return _columns(messages, model.CHANGE_RECORD, CHANGE_FIELDS).withColumn("identity_ms", identity)
