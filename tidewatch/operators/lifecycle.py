@@ -102,8 +102,9 @@ def _changes(alerts: DataFrame, scan: Scan) -> DataFrame:
         prev={"_firing_before": firing},
         total={"occurrence_count": F.lit(1)},
     )
-    first = F.col("_firing_before").isNull()
+    first = F.col("occurrence_count") == 1
     rows = rows.withColumn("_flip", F.coalesce(F.col("_firing_before") != firing, F.lit(False)))
+    rows = rows.drop("_firing_before")
     rows = scan.add(
         rows,
         prev={"_resolved_ms": F.when(~firing & (first | F.col("_flip")), F.col("event_ms"))},
