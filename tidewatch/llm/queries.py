@@ -2,9 +2,19 @@
 
 from .common import table
 from .exact_dedup import exact_groups
+from .packing import packed
 from .sharding import shards
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_pattern_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048)
+
+
 def op8_feistel_shards(spark, sf_dir):
     return shards(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -13,7 +23,7 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op8_feistel_shards, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_pattern_packing, op8_feistel_shards, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
