@@ -1,7 +1,8 @@
 """The registered queries of this folder: each operator on its whole table, and its SQL."""
 
-from .common import table
+from .common import remainder, table
 from .exact_dedup import exact_groups
+from .language_id import languages, train
 from .packing import packed
 from .sharding import shards
 
@@ -15,6 +16,13 @@ def op4_pattern_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048)
 
 
+def op7_byte_gru_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(remainder("doc_id", 4) != 2))
+    held = docs.select("*", (remainder("doc_id", 4) == 2).alias("held_out"))
+    return languages(held, model, extra=["held_out"])
+
+
 def op8_feistel_shards(spark, sf_dir):
     return shards(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -23,7 +31,7 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op4_pattern_packing, op8_feistel_shards, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_pattern_packing, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
