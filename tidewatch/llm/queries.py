@@ -2,6 +2,7 @@
 
 from .common import remainder, table
 from .exact_dedup import exact_groups
+from .hmm_score import hmm_scores
 from .language_id import languages, train
 from .packing import packed
 from .sharding import shards
@@ -12,6 +13,10 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_hmm_score(spark, sf_dir):
+    return hmm_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
 def op4_pattern_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048)
 
@@ -31,7 +36,7 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op4_pattern_packing, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_hmm_score, op4_pattern_packing, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
