@@ -3,9 +3,10 @@
 from .common import remainder, table
 from .exact_dedup import exact_groups
 from .hmm_score import hmm_scores
-from .language_id import languages, train
+from .language_id import languages, train as train_languages
 from .packing import packed
 from .sharding import shards
+from .toxicity import toxicity, train as train_toxicity
 
 
 def _tokenizer() -> str:
@@ -17,13 +18,20 @@ def op2_hmm_score(spark, sf_dir):
     return hmm_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
 
 
+def op3_kernel_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_toxicity(docs.where(remainder("doc_id", 5) != 0), labels)
+    held = docs.select("*", (remainder("doc_id", 5) == 0).alias("held_out"))
+    return toxicity(held, model, extra=["held_out"])
+
+
 def op4_pattern_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048)
 
 
 def op7_byte_gru_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(remainder("doc_id", 4) != 2))
+    model = train_languages(docs.where(remainder("doc_id", 4) != 2))
     held = docs.select("*", (remainder("doc_id", 4) == 2).alias("held_out"))
     return languages(held, model, extra=["held_out"])
 
@@ -36,7 +44,7 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_hmm_score, op4_pattern_packing, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
