@@ -1,6 +1,7 @@
 """The registered queries of this folder: each operator on its whole table, and its SQL."""
 
 from .common import remainder, table
+from .decontamination import contaminated
 from .exact_dedup import exact_groups
 from .hmm_score import hmm_scores
 from .language_id import languages, train as train_languages
@@ -29,6 +30,10 @@ def op4_pattern_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048)
 
 
+def op5_pigeonhole_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_gru_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train_languages(docs.where(remainder("doc_id", 4) != 2))
@@ -44,7 +49,7 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op5_pigeonhole_decontamination, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
