@@ -5,6 +5,7 @@ from .decontamination import contaminated
 from .exact_dedup import exact_groups
 from .hmm_score import hmm_scores
 from .language_id import languages, train as train_languages
+from .ngram_join import ngram_groups
 from .packing import packed
 from .sharding import shards
 from .toxicity import toxicity, train as train_toxicity
@@ -49,7 +50,12 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op5_pigeonhole_decontamination, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup)}
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return ngram_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op5_pigeonhole_decontamination, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup,
+    op10_ngram_jaccard_join)}
 
 ORACLES = {
     "op9_exact_dedup": """
