@@ -4,6 +4,7 @@ from .common import remainder, table
 from .decontamination import contaminated
 from .exact_dedup import exact_groups
 from .hmm_score import hmm_scores
+from .html_extraction import main_text
 from .language_id import languages, train as train_languages
 from .ngram_join import ngram_groups
 from .packing import packed
@@ -16,6 +17,10 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_template_extraction(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_hmm_score(spark, sf_dir):
     return hmm_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
 
@@ -54,8 +59,9 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op5_pigeonhole_decontamination, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup,
-    op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (
+    op1_template_extraction, op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op5_pigeonhole_decontamination,
+    op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup, op10_ngram_jaccard_join)}
 
 ORACLES = {
     "op9_exact_dedup": """
