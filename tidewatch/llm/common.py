@@ -29,6 +29,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents whose id, null included, is among ``ids``. Rows that share an id stay or go
+    together, but of rows that repeat an id and a text one stays."""
+    def keys(df: DataFrame) -> DataFrame:
+        value = F.col(id_col)
+        return df.withColumns({"__id": F.coalesce(value.cast("string"), F.lit("")), "__null": value.isNull()})
+
+    wanted = keys(ids.select(id_col)).select("__id", "__null").distinct()
+    kept = keys(docs).join(wanted, ["__id", "__null"], "left_semi").dropDuplicates(["__id", "__null", text_col])
+    return kept.select(*docs.columns)
+
+
 def _roots(up: DataFrame) -> DataFrame:
     """The root over every node of a forest (node, up), by pointer doubling."""
     while True:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import keep_rows
+
 
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
@@ -42,6 +44,5 @@ def exact_groups(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The documents that stay, all their columns. Of rows that repeat an id, one stays."""
-    marks = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(marks, docs[id_col].eqNullSafe(marks["_stays"]), "left_semi").dropDuplicates([id_col])
+    """The documents that stay, with all their columns."""
+    return keep_rows(docs, exact_groups(docs, id_col, text_col, keep).where("kept"), id_col, text_col)

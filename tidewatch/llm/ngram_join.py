@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import components, stored
+from .common import components, keep_rows, stored
+from .repeats import repeated
 
 WORDS_KEPT = 300_000
-BUCKET = 2_000_000        # n-grams counted together, about
 BLOCK_DOCS, BLOCK_GRAMS = 768, 1_500_000
 DENSE = 48                # documents from which a column is multiplied densely
 HOT = 128                 # an n-gram in more than a HOT-th of the documents is not counted further
@@ -73,83 +73,6 @@ def _marks(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(mark, "row long, n long, sign binary, hot array<struct<g: long, c: long>>")
 
 
-def _repeated(rows: DataFrame, n: int, hot: np.ndarray, total: int) -> DataFrame:
-    """(row, gram, df): the n-grams that stand in more than one document, with the number of these.
-
-    An n-gram is cut to its leading 32 + ``bits`` bits, of which the first ``bits`` are its bucket.
-    A task sends for each bucket one row with the n-grams of some thousand documents; a bucket is
-    counted in one task. Frequent n-grams (``hot``) are not counted but pass on as most frequent.
-    """
-    bits = min(24, max(6, int(np.ceil(np.log2(max(1, total) / BUCKET)))))
-    shift = np.uint64(32 - bits)
-    frequent = np.unique(hot >> shift)
-
-    def deal(batches):
-        shingles = Shingler(n)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            at, size, keys = 0, 0, []
-            for i, text in enumerate(batch.column(1)):
-                key = shingles(text.as_py()) >> shift
-                key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-                keys.append(key)
-                size += len(key)
-                if size > 3_000_000 or i + 1 == batch.num_rows:
-                    yield _dealt(ids[at:i + 1], keys, frequent)
-                    at, size, keys = i + 1, 0, []
-
-    def count(batches):
-        parts = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4))))
-        for bucket, group in groupby(parts, key=lambda r: r[0]):
-            keys, row = [], []
-            for _, k, r, c in group:
-                keys.append(np.frombuffer(k, "<i8" if bucket < 0 else "<u4"))
-                row.append(np.repeat(np.frombuffer(r, "<i8"), np.frombuffer(c, "<u4")))
-                if bucket < 0:
-                    yield _counted(row.pop(), keys.pop(), np.int64(1 << 40))
-            if bucket >= 0:
-                low, row = np.concatenate(keys), np.concatenate(row)
-                order = np.argsort(low, kind="stable")
-                low, row = low[order], row[order]
-                of = np.cumsum(np.concatenate([[0], low[1:] != low[:-1]]))
-                times = np.bincount(of)[of]
-                some = times > 1
-                yield _counted(row[some], low[some].astype(np.int64) | np.int64(bucket) << np.int64(32), times[some])
-
-    dealt = rows.mapInArrow(deal, "bucket int, keys binary, rows binary, counts binary")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(max(parts, (1 << bits) // 8), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "row long, gram long, df long")
-
-
-def _dealt(ids: np.ndarray, keys: list[np.ndarray], frequent: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket: its n-grams, the documents they are of and how many are of each."""
-    doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    key = np.concatenate(keys)
-    bucket = (key >> np.uint64(32)).astype(np.int32)
-    if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-        bucket[frequent[place] == key] = -1 - int(ids[0]) % 1024
-    order = np.argsort(bucket, kind="stable")
-    bucket, key, doc = bucket[order], key[order], doc[order]
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(key) else np.zeros(1, int)
-    columns = [], [], [], []
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        which, count = np.unique(doc[a:b], return_counts=True)
-        columns[0].append(int(bucket[a]))
-        columns[1].append((key[a:b].astype("<i8") if bucket[a] < 0 else key[a:b].astype("<u4")).tobytes())
-        columns[2].append(ids[which].astype("<i8").tobytes())
-        columns[3].append(count.astype("<u4").tobytes())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-        names=["bucket", "keys", "rows", "counts"])
-
-
-def _counted(row: np.ndarray, key: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    times = np.broadcast_to(times, len(row)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(key), pa.array(times)], names=["row", "gram", "df"])
-
-
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """The product of two blocks of the incidence matrix: shared n-grams of every pair of documents.
 
@@ -296,13 +219,13 @@ def ngram_groups(
     marks = stored(marks)
     heads = marks.where("row = class and n > 0").select("row", "n")
 
-    repeated = _repeated(rows, n, hot, total or 0)
-    shared = repeated.groupBy("row").agg(F.collect_list(F.struct("df", "gram")).alias("grams")).join(heads, "row")
+    shared = repeated(rows, lambda: Shingler(n), total or 0, frequent=hot)
+    shared = shared.groupBy("row").agg(F.collect_list(F.struct("times", "key")).alias("grams")).join(heads, "row")
     # Two n-grams and more are allowed to have fallen together when cut to their leading bits.
     needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 + 2 + F.floor(F.col("n") * F.col("n") / 2.0 ** 38)
     wanted = (needed - (F.col("n") - F.size("grams"))).cast("int")
     rare = shared.withColumn("wanted", wanted).where("wanted > 0").select(
-        "row", F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("wanted"))["gram"]).alias("gram"))
+        "row", F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("wanted"))["key"]).alias("gram"))
     rare = stored(rare)
     first = rare.groupBy("gram").agg(F.min("row").alias("first"), F.count("*").alias("docs")).where("docs > 1")
     touching = rare.join(first, "gram").where("row > first").select(F.col("first").alias("a"), F.col("row").alias("b"))
@@ -321,5 +244,4 @@ def ngram_groups(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, that of the smallest id, with all its columns."""
     groups = ngram_groups(docs, id_col, text_col, **options)
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_stays"]), "left_semi").dropDuplicates([id_col])
+    return keep_rows(docs, groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))), id_col, text_col)

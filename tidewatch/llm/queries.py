@@ -9,6 +9,7 @@ from .language_id import languages, train as train_languages
 from .ngram_join import ngram_groups
 from .packing import packed
 from .sharding import shards
+from .suffix_dedup import passage_dedup
 from .toxicity import toxicity, train as train_toxicity
 
 
@@ -40,6 +41,10 @@ def op5_pigeonhole_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return passage_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_gru_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train_languages(docs.where(remainder("doc_id", 4) != 2))
@@ -61,7 +66,7 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_template_extraction, op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op5_pigeonhole_decontamination,
-    op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup, op10_ngram_jaccard_join)}
+    op6_suffix_dedup, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup, op10_ngram_jaccard_join)}
 
 ORACLES = {
     "op9_exact_dedup": """
