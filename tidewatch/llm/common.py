@@ -29,15 +29,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents whose id, null included, is among ``ids``. Rows that share an id stay or go
-    together, but of rows that repeat an id and a text one stays."""
-    def keys(df: DataFrame) -> DataFrame:
+def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, sha_col: str | None = None) -> DataFrame:
+    """The documents whose id, null included, is among ``ids``, or with ``sha_col`` whose id and
+    SHA-256 of the text are. Of rows that repeat an id and a text one stays."""
+    def keys(df: DataFrame, sha) -> DataFrame:
         value = F.col(id_col)
-        return df.withColumns({"__id": F.coalesce(value.cast("string"), F.lit("")), "__null": value.isNull()})
+        return df.withColumns({"__id": F.coalesce(value.cast("string"), F.lit("")), "__null": value.isNull(), "__sha": sha})
 
-    wanted = keys(ids.select(id_col)).select("__id", "__null").distinct()
-    kept = keys(docs).join(wanted, ["__id", "__null"], "left_semi").dropDuplicates(["__id", "__null", text_col])
+    wanted = keys(ids, F.col(sha_col) if sha_col else F.lit("")).select("__id", "__null", "__sha").distinct()
+    rows = keys(docs, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    on = ["__id", "__null", "__sha"] if sha_col else ["__id", "__null"]
+    kept = rows.join(wanted.select(*on), on, "left_semi").dropDuplicates(["__id", "__null", "__sha"])
     return kept.select(*docs.columns)
 
 

@@ -162,6 +162,6 @@ def _search(items: list[tuple[object, str]], per_error: int, kind):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no test item, all their columns."""
+    """The documents that hold no test item, with all their columns. Rows that share an id go together."""
     bad = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__bad"))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")

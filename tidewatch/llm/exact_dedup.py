@@ -45,4 +45,4 @@ def exact_groups(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The documents that stay, with all their columns."""
-    return keep_rows(docs, exact_groups(docs, id_col, text_col, keep).where("kept"), id_col, text_col)
+    return keep_rows(docs, exact_groups(docs, id_col, text_col, keep).where("kept"), id_col, text_col, "text_sha256")
