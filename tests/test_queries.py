@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tidewatch.plans.oracles import ORACLES
+from tidewatch.plans.queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ORACLES = entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +33,7 @@ def plain(frame):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -67,7 +67,9 @@ def test_percentiles(spark, values):
 
 
 def test_reconcile(spark):
-    targets = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10)], "topic string, target_records bigint")
-    counts = spark.createDataFrame([("a", 10), ("b", 7), ("d", 3)], "topic string, records bigint")
-    rows = {r["topic"]: (r["shortfall"], r["surplus"], r["planned_bytes"]) for r in reports.reconcile(targets, counts).collect()}
-    assert rows == {"a": (0, 0, 5120), "b": (3, 0, 5120), "c": (10, 0, 5120), "d": (0, 3, 0)}
+    planned = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10)], "topic string, target_records bigint")
+    sent = spark.createDataFrame([("a", 4), ("a", 6), ("b", 7), ("d", 3)], "topic string, records_sent bigint")
+    got = spark.createDataFrame([("a", 9), ("b", 7)], "topic string, records_consumed bigint")
+    rows = {r["topic"]: (r["unsent"], r["surplus"], r["unconsumed"], r["planned_bytes"])
+            for r in reports.reconcile(planned, sent, got).collect()}
+    assert rows == {"a": (0, 0, 1, 5120), "b": (3, 0, 0, 5120), "c": (10, 0, 0, 5120), "d": (0, 3, 3, 0)}

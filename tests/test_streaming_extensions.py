@@ -67,16 +67,37 @@ def test_quiet_flaps_clear(spark, tmp_path):
     assert found == [("a", 600_000)]
 
 
+def test_quiet_flaps_clear_inside_a_batch(spark, tmp_path):
+    schema = "dedup_key string, alert_id string, current_state string, event_ms bigint, seq bigint, alert_pos int"
+    rows = [("a", "A1", "FLAPPING", T0, 0, 0), ("a", "A2", "RESOLVED", T0 + 700_000, 1, 0),
+            ("b", "B1", "FLAPPING", T0, 2, 0), ("b", "B2", "FLAPPING", T0 + 600_000, 3, 0),
+            ("b", "B3", "FLAPPING", T0 + 1_300_000, 4, 0)]
+    frames = [spark.createDataFrame(rows, schema), spark.createDataFrame([("b", "B4", "OPEN", T0 + 5_000_000, 5, 0)], schema)]
+    parts(frames, str(tmp_path / "in"))
+    out = streaming.quiet_flaps(stream(spark, frames[0], str(tmp_path / "in")))
+    found = sorted((r["dedup_key"], r["cleared_ms"] - T0) for r in collected(spark, out, tmp_path).collect())
+    every = frames[0].unionByName(frames[1])
+    wanted = batch.quiet_flaps(every, F.lit(T0), hot=None).collect()
+    assert found == sorted((r["dedup_key"], r["cleared_ms"] - T0) for r in wanted)
+    assert found == [("a", 600_000), ("b", 1_200_000), ("b", 1_900_000)]
+
+
 def test_feedback_changes_the_status(spark, tmp_path):
-    incidents = spark.createDataFrame([("INC-1", T0), ("INC-2", T0)], "incident_id string, event_ms bigint")
-    schema = "incident_id string, state string, assigned_to string, event_ms bigint"
-    news = spark.createDataFrame(
-        [("INC-1", "In Progress", "alice", T0 + 5), ("INC-9", "Resolved", "bob", T0 + 6)], schema)
+    # the second and third incident share a label
+    incidents = spark.createDataFrame(
+        [("a", T0, 1, "INC-1"), ("b", T0, 2, "INC-2"), ("b", T0, 3, "INC-2")],
+        "service string, created_at_epoch_ms bigint, created_seq bigint, incident_id string").withColumn(
+        "event_ms", F.col("created_at_epoch_ms"))
+    schema = "service string, created_at_epoch_ms bigint, created_seq bigint, state string, assigned_to string, event_ms bigint"
+    news = spark.createDataFrame([
+        ("a", T0, 1, "In Progress", "alice", T0 + 5), ("b", T0, 3, "Resolved", "eve", T0 + 5),
+        ("z", T0, 9, "Resolved", "bob", T0 + 6)], schema)
     parts([incidents], str(tmp_path / "inc"))
     parts([news], str(tmp_path / "news"))
     out = streaming.incident_status(
         stream(spark, incidents, str(tmp_path / "inc")), stream(spark, news, str(tmp_path / "news")))
     found = {tuple(r) for r in collected(spark, out, tmp_path).collect()}
-    assert found == {("INC-1", "In Progress", "alice"), ("INC-2", "OPEN", None)}
-    expected = batch.with_feedback(incidents.withColumn("created_at_epoch_ms", F.col("event_ms")), news)
-    assert {tuple(r) for r in expected.select("incident_id", "state", "assigned_to").collect()} == found
+    assert found == {
+        ("a", T0, 1, "In Progress", "alice"), ("b", T0, 2, "OPEN", None), ("b", T0, 3, "Resolved", "eve")}
+    expected = batch.with_feedback(incidents, news)
+    assert {tuple(r) for r in expected.drop("incident_id", "status_ms").collect()} == found

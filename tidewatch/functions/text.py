@@ -58,6 +58,17 @@ def has_word(text: Column, words) -> Column:
     return found
 
 
+def last_wins(values: Column) -> Column:
+    """A parsed map without repeated keys: of equal keys the last entry stays."""
+    keys = F.map_keys(values)
+
+    def is_last(entry: Column, place: Column) -> Column:
+        return F.array_position(F.reverse(keys), entry["key"]) == F.size(keys) - place
+
+    once = F.map_from_entries(F.filter(F.map_entries(values), is_last))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), once).otherwise(values)
+
+
 def first_of(values: Column, *keys: str) -> Column:
     """First non-null value of a map under the given keys."""
     return F.coalesce(*[values[key] for key in keys])

@@ -72,10 +72,6 @@ EQUITY_ORDER_V1 = _struct(
     orderId=T.StringType(), symbol=T.StringType(), shares=T.IntegerType(),
     price=T.DoubleType(), side=T.StringType(),
 )
-LEDGER_ROW = _struct(
-    transaction_id=T.StringType(), account_id=T.StringType(), amount=T.DecimalType(15, 2),
-    currency=T.StringType(), status=T.StringType(), created_at=T.TimestampType(),
-)
 
 # Columns that give rows of one key their order.
 ORDER = ("event_ms", "seq", "alert_pos")

@@ -8,16 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.text import has_word
-from tidewatch.model import ORDER
+from tidewatch.model import HIGH_VALUE_AMOUNT, ORDER
 from tidewatch.operators.incidents import INCIDENT, latest_incidents
 from tidewatch.operators.keyed import Scan, scan_by_key, trailing_slices, trailing_sum
-from tidewatch.operators.payments import with_velocity
+from tidewatch.operators.payments import is_high, with_velocity
 from tidewatch.session import materialize
 
 # --- fixed values ----------------------------------------------------------------------------
 THRESHOLD_COUNT = 5
 THRESHOLD_MS = 120_000
-CLUSTER_GAP_MS = 900_000
+CLUSTER_MS = 900_000
 CLUSTER_ALERTS = 15
 LATENESS_MS = 10_000
 RESOLVED_TTL_MS = 24 * 3_600_000
@@ -60,22 +60,24 @@ def cluster_key(labels: Column) -> Column:
 
 
 def tag_clusters(events: DataFrame, hot="count") -> DataFrame:
-    """Bursts of alerts that share their tags, with at most 15 minutes between two alerts."""
-    def bursts(rows: DataFrame, scan: Scan) -> DataFrame:
-        rows = scan.add(rows, prev={"_ms_before": F.col("event_ms")})
-        begins = F.coalesce(F.col("event_ms") - F.col("_ms_before") > CLUSTER_GAP_MS, F.lit(True))
-        rows = rows.withColumn("_begin_here", F.when(begins, F.col("event_ms")))
-        rows = scan.add(rows, prev={"_begin_before": F.col("_begin_here")})
-        return rows.select(
-            "cluster_key", F.coalesce("_begin_here", "_begin_before").alias("burst_ms"),
-            "event_ms", "alert_name")
-
+    """Groups of alerts that share their tags: times at which 15 and more of them lie within 15
+    minutes. A group begins where the count of the trailing 15 minutes reaches 15 and lasts until
+    it falls below at an alert."""
     keyed = events.select(cluster_key(F.col("labels")).alias("cluster_key"), "alert_name", *ORDER)
-    rows = scan_by_key(keyed, "cluster_key", ORDER, bursts, hot)
-    return rows.groupBy("cluster_key", "burst_ms").agg(
-        F.count(F.lit(1)).alias("alerts"), F.max("event_ms").alias("last_ms"),
-        F.array_sort(F.collect_set("alert_name")).alias("alert_names"),
-    ).withColumn("is_group", F.col("alerts") >= CLUSTER_ALERTS)
+    counted = trailing_sum(
+        trailing_slices(keyed, "event_ms", CLUSTER_MS), "cluster_key", ORDER, CLUSTER_MS, "window_count")
+
+    def groups(rows: DataFrame, scan: Scan) -> DataFrame:
+        rows = rows.withColumn("_dense", F.col("window_count") >= CLUSTER_ALERTS)
+        rows = scan.add(rows, prev={"_dense_before": F.col("_dense")})
+        begins = F.col("_dense") & ~F.coalesce(F.col("_dense_before"), F.lit(False))
+        rows = scan.add(rows.withColumn("_begins", begins.cast("long")), total={"group_no": F.col("_begins")})
+        return rows.filter("_dense").select("cluster_key", "group_no", "event_ms", "alert_name", "window_count")
+
+    return scan_by_key(counted, "cluster_key", ORDER, groups, hot).groupBy("cluster_key", "group_no").agg(
+        F.min("event_ms").alias("reached_ms"), F.max("event_ms").alias("last_ms"),
+        F.count(F.lit(1)).alias("alerts"), F.max("window_count").alias("most_together"),
+        F.array_sort(F.collect_set("alert_name")).alias("alert_names"))
 
 
 def bind_items(events: DataFrame, items: DataFrame) -> DataFrame:
@@ -84,24 +86,26 @@ def bind_items(events: DataFrame, items: DataFrame) -> DataFrame:
     return events.join(item, F.col("resource_id") == F.col("ci"), "left")
 
 
-def tag_maintenance(
-    events: DataFrame, windows: DataFrame, bucket_ms: int = 600_000
-) -> DataFrame:
+def tag_maintenance(events: DataFrame, windows: DataFrame, hot="count") -> DataFrame:
     """Events with ``maintenance``: whether a planned window of their item covers them.
 
-    The windows are cut into time buckets, so the join is on item and bucket: an item with very
-    many events meets its windows in as many tasks as there are buckets. An event is asked whether
-    any window covers it and is never multiplied by them.
+    Windows and events of an item are one row of times: an event is covered where the latest end of
+    the windows that began before it lies after it. So neither meets the other pair by pair.
     """
-    cut = windows.select(
-        F.col("ci").alias("w_ci"), "from_ms", "to_ms",
-        F.explode(F.sequence(F.floor(F.col("from_ms") / bucket_ms), F.floor(F.col("to_ms") / bucket_ms)))
-        .alias("w_bucket"))
-    rows = events.withColumn("_bucket", F.floor(F.col("event_ms") / bucket_ms))
-    covered = cut.where(
-        (F.col("w_ci") == F.col("resource_id").outer()) & (F.col("w_bucket") == F.col("_bucket").outer())
-        & (F.col("event_ms").outer() >= F.col("from_ms")) & (F.col("event_ms").outer() < F.col("to_ms")))
-    return rows.withColumn("maintenance", covered.exists()).drop("_bucket")
+    begun = windows.select(
+        F.col("ci").alias("resource_id"), F.col("from_ms").alias("_at"), F.lit(0).alias("_event"), F.col("to_ms").alias("_end"))
+    there = events.filter("resource_id IS NOT NULL").select("*", F.col("event_ms").alias("_at"), F.lit(1).alias("_event"))
+    rows = there.unionByName(begun, allowMissingColumns=True)
+    order = ("_at", "_event", "seq", "alert_pos")
+
+    def mark(part: DataFrame, scan: Scan) -> DataFrame:
+        part = scan.add(part, peak={"_covered_to": F.col("_end")}).filter("_event = 1")
+        covered = F.coalesce(F.col("event_ms") < F.col("_covered_to"), F.lit(False))
+        return part.select(*events.columns, covered.alias("maintenance"))
+
+    marked = scan_by_key(rows.filter("resource_id IS NOT NULL"), "resource_id", order, mark, hot)
+    nowhere = events.filter("resource_id IS NULL").withColumn("maintenance", F.lit(False))
+    return marked.unionByName(nowhere)
 
 
 def topmost_items(items: DataFrame, rounds: int = 32) -> DataFrame:
@@ -159,16 +163,18 @@ def weighted_root_causes(incidents: DataFrame) -> DataFrame:
 
 
 def ranked_root_causes(incidents: DataFrame) -> DataFrame:
-    """Root cause per incident by the rank list of alert names."""
+    """Root cause per incident by the rank list of alert names; its priority is the highest of the
+    incident's changes."""
     ranks = F
     for name, rank in CAUSE_RANKS.items():
         ranks = ranks.when(F.col("alert_name") == name, rank)
     rows = incidents.withColumn("cause_rank", ranks.otherwise(UNRANKED))
     return rows.groupBy(*INCIDENT).agg(
-        F.min_by(F.struct("alert_id", "alert_name", "cause_rank"), F.struct("cause_rank", *ORDER)).alias("root")
+        F.min_by(F.struct("alert_id", "alert_name", "cause_rank"), F.struct("cause_rank", *ORDER)).alias("root"),
+        F.min("alert_priority").alias("priority"),
     ).select(
         *INCIDENT, F.col("root.alert_id").alias("root_cause_alert_id"),
-        F.col("root.alert_name").alias("root_cause_alert_name"), "root.cause_rank")
+        F.col("root.alert_name").alias("root_cause_alert_name"), "root.cause_rank", "priority")
 
 
 def secondary_flags(incidents: DataFrame) -> DataFrame:
@@ -177,21 +183,23 @@ def secondary_flags(incidents: DataFrame) -> DataFrame:
     The incidents are read twice, for the members and for the last root cause; where they are
     still to be worked out, materialize them first.
     """
-    latest = latest_incidents(incidents, fields=("incident_id", "root_cause_alert_id"))
-    members = incidents.filter("is_first_of_alert").select(*INCIDENT, "alert_id", "alert_name")
-    secondary = F.col("alert_id") != F.col("root_cause_alert_id")
+    latest = latest_incidents(incidents, fields=("incident_id", "root"))
+    members = incidents.filter("is_first_of_alert").select(
+        *INCIDENT, "alert_id", "alert_name", F.struct("dedup_key", "identity_ms").alias("_alert"))
+    # whole identities are compared; two alerts may share a label
+    secondary = F.col("_alert") != F.struct("root.dedup_key", "root.identity_ms")
     return members.join(latest, list(INCIDENT)).select(
         "alert_id", "alert_name", secondary.alias("is_secondary"),
         F.col("incident_id").alias("parent_incident_id"), secondary.alias("suppress_notification"))
 
 
 def remediation_commands(latest: DataFrame) -> DataFrame:
-    """Commands for incidents whose root cause has a known remedy."""
+    """Commands for incidents whose root cause has a known remedy, aimed at its resource."""
     action = F
     for name, command in REMEDIATIONS.items():
         action = action.when(F.col("root_cause_alert_name") == name, command)
     return latest.withColumn("action", action.otherwise(None)).filter("action IS NOT NULL").select(
-        "action", F.col("service").alias("target"), "incident_id", "root_cause_alert_id")
+        "action", F.col("root.resource_id").alias("target"), "incident_id", "root_cause_alert_id")
 
 
 def expired_alerts(changes: DataFrame, as_of_ms: Column) -> DataFrame:
@@ -228,17 +236,17 @@ def tickets(incidents: DataFrame) -> DataFrame:
 
 
 def with_feedback(incidents: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Status per incident after feedback (incident_id, state, assigned_to, event_ms)."""
-    first = incidents.groupBy("incident_id").agg(
-        F.min("created_at_epoch_ms").alias("event_ms")).select(
-        "incident_id", F.lit("OPEN").alias("state"), F.lit(None).cast("string").alias("assigned_to"), "event_ms",
-        F.lit(0).alias("later"))
-    rows = first.unionByName(feedback.withColumn("later", F.lit(1)))
-    return rows.groupBy("incident_id").agg(
+    """Status per incident after feedback (the identity of an incident, state, assigned_to, event_ms)."""
+    first = incidents.groupBy(*INCIDENT).agg(F.first("incident_id").alias("incident_id")).select(
+        *INCIDENT, "incident_id", F.lit("OPEN").alias("state"), F.lit(None).cast("string").alias("assigned_to"),
+        F.col("created_at_epoch_ms").alias("event_ms"), F.lit(0).alias("later"))
+    rows = first.unionByName(feedback.select(
+        *INCIDENT, F.lit(None).cast("string").alias("incident_id"), "state", "assigned_to", "event_ms",
+        F.lit(1).alias("later")))
+    return rows.groupBy(*INCIDENT).agg(
         F.max_by(F.struct("state", "assigned_to"), F.struct("later", "event_ms")).alias("s"),
-        F.max("event_ms").alias("status_ms"),
-        F.max(F.when(F.col("later") == 0, True)).alias("known"),
-    ).filter("known").select("incident_id", "s.state", "s.assigned_to", "status_ms")
+        F.max("event_ms").alias("status_ms"), F.max("incident_id").alias("incident_id"),
+    ).filter("incident_id IS NOT NULL").select(*INCIDENT, "incident_id", "s.state", "s.assigned_to", "status_ms")
 
 
 def environment_priority(severity: Column, environment: Column) -> Column:
@@ -275,13 +283,14 @@ def closed_cycles(groups: DataFrame, gap_ms: int) -> DataFrame:
     ).withColumn("closed_ms", F.col("last_seen_epoch_ms") + gap_ms)
 
 
-def scattered_withdrawals(rows: DataFrame, least: float, width_ms: int = 60_000) -> DataFrame:
+def scattered_withdrawals(
+    rows: DataFrame, least: float = HIGH_VALUE_AMOUNT, width_ms: int = 60_000) -> DataFrame:
     """High withdrawals that make more than three places for their account within a minute.
 
     A place is present from its first withdrawal until a window after its last, so the number of
     places present is a running sum of places that come and go.
     """
-    sliced = trailing_slices(rows.filter(F.col("amount") >= least), "event_ms", width_ms)
+    sliced = trailing_slices(rows.filter(is_high(F.col("amount"), least)), "event_ms", width_ms)
     there = Window.partitionBy("account_id", "_slice", "location").orderBy("event_ms", "seq")
     sliced = sliced.withColumns({
         "_comes": F.coalesce(F.col("event_ms") - F.lag("event_ms").over(there) >= width_ms, F.lit(True)),

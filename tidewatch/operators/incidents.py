@@ -31,7 +31,9 @@ def _incidents(changes: DataFrame, scan: Scan) -> DataFrame:
         "_incident_here": F.when(F.col("_opens"), F.struct(
             here.alias("at"), F.col("event_ms").alias("created_ms"), F.col("seq").alias("created_seq"),
             "effective_priority", "environment")),
-        "_root_here": F.when(F.col("_opens") | rooted, F.struct("alert_id", "alert_name")),
+        "_root_here": F.when(F.col("_opens") | rooted, F.struct(
+            "alert_id", "alert_name", "dedup_key", "identity_ms",
+            F.col("enriched_metadata")["resource_id"].alias("resource_id"))),
         "_urgent_here": F.when(
             ~F.col("_opens") & (rooted | (F.col("effective_priority") == "P1")), here),
     })
@@ -58,6 +60,7 @@ def _incidents(changes: DataFrame, scan: Scan) -> DataFrame:
         F.col("_incident.created_seq").alias("created_seq"),
         F.col("event_ms").alias("updated_at_epoch_ms"),
         "alert_id", "alert_name", "dedup_key", "identity_ms", "is_first_of_alert", *ORDER,
+        F.col("effective_priority").alias("alert_priority"), F.col("_root").alias("root"),
     )
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.plan import computed
-from tidewatch.functions.text import first_of, instant_ms, name_uuid, short_id
+from tidewatch.functions.text import first_of, instant_ms, last_wins, name_uuid, short_id
 from tidewatch.model import (
     CORRUPT, EMPTY_PAYLOAD_ERROR, EVENT_TYPE, SOURCE_NAME, STRINGS, WEBHOOK,
 )
@@ -89,8 +89,8 @@ def normalize_alerts(alerts: DataFrame) -> DataFrame:
         F.timestamp_millis("ingest_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     named = (
         alerts.withColumns({
-            "labels": F.coalesce(alert["labels"], empty),
-            "annotations": F.coalesce(alert["annotations"], empty),
+            "labels": F.coalesce(last_wins(alert["labels"]), empty),
+            "annotations": F.coalesce(last_wins(alert["annotations"]), empty),
         })
         .withColumns({
             "alert_name": F.coalesce(first_of(labels, "alertname", "alert_name"), F.lit("UnknownAlert")),

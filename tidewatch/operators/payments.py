@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.plan import computed
-from tidewatch.functions.text import first_of, iso_instant, short_id
+from tidewatch.functions.text import first_of, iso_instant, last_wins, short_id
 from tidewatch.model import (
     FRAUD_TOPIC, HIGH_VALUE_AMOUNT, STRINGS, VELOCITY_COUNT, VELOCITY_WINDOW_MS,
 )
@@ -20,12 +20,13 @@ def unwrap(messages: DataFrame) -> DataFrame:
     """Messages (value, topic, source_id, seq, ingest_ms) with their payment record.
 
     The record is the ``after`` image of a change envelope, or the message itself. ``rejected``
-    names why a message yields no payment: empty, not an object, a delete, or a bad amount.
+    names why a message yields no payment: empty, not an object, a delete, or a bad amount. Of
+    repeated fields the last counts. An amount may be NaN, which no rule takes for a high one.
     """
-    rows = computed(messages, message=F.from_json("value", STRINGS))
+    rows = computed(messages, message=last_wins(F.from_json("value", STRINGS)))
     envelope = F.map_contains_key("message", F.lit("after"))
     rows = computed(rows, record=F.when(
-        envelope, F.from_json(F.col("message")["after"], STRINGS)).otherwise(F.col("message")))
+        envelope, last_wins(F.from_json(F.col("message")["after"], STRINGS))).otherwise(F.col("message")))
     record = F.col("record")
     amount = F.when(~F.map_contains_key("record", F.lit("amount")), F.lit(0.0)).otherwise(
         record["amount"].try_cast("double"))
@@ -75,6 +76,11 @@ def fraud_alerts(rows: DataFrame) -> DataFrame:
     return apply_rules(with_velocity(rows))
 
 
+def is_high(amount: Column, least: float = HIGH_VALUE_AMOUNT) -> Column:
+    """Whether an amount reaches the limit; Spark would order NaN above it."""
+    return (amount >= least) & ~F.isnan(amount)
+
+
 def apply_rules(counted: DataFrame) -> DataFrame:
     """Alerts of payments that carry their ``window_count``."""
     # fixed texts of the two rules
@@ -91,7 +97,7 @@ def apply_rules(counted: DataFrame) -> DataFrame:
         .alias("details"),
     )
     hits = F.array_compact(F.array(
-        F.when(F.col("amount") >= HIGH_VALUE_AMOUNT, high),
+        F.when(is_high(F.col("amount")), high),
         F.when(F.col("window_count") >= VELOCITY_COUNT, burst),
     ))
     alerts = counted.select("*", F.explode(hits).alias("hit"))
@@ -113,8 +119,8 @@ def current_ledger(messages: DataFrame, key: str = "transaction_id") -> DataFram
     """The table a change stream describes: the last image per key, without deleted rows."""
     images = F.from_json("value", "op string, ts_ms bigint, before map<string,string>, after map<string,string>")
     rows = computed(messages.select("value", "seq"), c=images).filter("c.op IS NOT NULL").select(
-        F.coalesce(F.col("c.after"), F.col("c.before"))[key].alias(key),
-        F.col("c.after").alias("after"), F.struct("c.ts_ms", "seq").alias("at"),
+        last_wins(F.coalesce(F.col("c.after"), F.col("c.before")))[key].alias(key),
+        last_wins(F.col("c.after")).alias("after"), F.struct("c.ts_ms", "seq").alias("at"),
     )
     last = rows.groupBy(key).agg(F.max_by("after", "at").alias("after"), F.max("at").alias("at"))
     return last.filter("after IS NOT NULL").select(

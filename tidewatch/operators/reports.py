@@ -6,15 +6,14 @@ from tidewatch.functions.plan import computed
 
 RECORD_BYTES = 512
 
-# --- fixed values: the form of a producer summary line, and of a consumer summary ------------
-PERF_LINE = (
-    r"([\d.]+)\s+records/sec\s+\(([\d.]+)\s+MB/sec\),\s+([\d.]+)\s+ms avg latency,"
-    r"\s+([\d.]+)\s+ms max latency,\s+([\d.]+)\s+ms 50th,\s+([\d.]+)\s+ms 95th,\s+([\d.]+)\s+ms 99th"
-)
-PERF_FIELDS = (
-    "records_per_sec", "mb_per_sec", "avg_latency_ms", "max_latency_ms",
-    "p50_latency_ms", "p95_latency_ms", "p99_latency_ms",
-)
+# --- fixed values: unit words of a producer summary line, and the form of a consumer summary ---
+SENT = "records sent"
+RATES = ("records/sec", "MB/sec")
+LATENCIES = {
+    "avg_latency_ms": "ms avg latency", "max_latency_ms": "ms max latency", "p50_latency_ms": "ms 50th",
+    "p95_latency_ms": "ms 95th", "p99_latency_ms": "ms 99th",
+}
+PERF_FIELDS = ("records_per_sec", "mb_per_sec", *LATENCIES)
 CONSUMER_HEADER = "start.time"
 CONSUMER_FIELDS = (
     # place in the line, name, type
@@ -25,17 +24,29 @@ CONSUMER_FIELDS = (
 
 
 def producer_stats(lines: DataFrame) -> DataFrame:
-    """Numbers of the producer summary lines (column ``line``); other lines are left out."""
-    # one pass of the pattern per line: its groups are joined by spaces, then split
-    groups = " ".join(f"${i + 1}" for i in range(len(PERF_FIELDS)))
-    found = F.when(
-        F.col("line").contains("records sent") & F.col("line").rlike(PERF_LINE),
-        F.split(F.regexp_replace("line", "^.*?" + PERF_LINE + ".*$", groups), " "),
-    )
-    rows = computed(lines, _found=found).filter("_found IS NOT NULL")
-    numbers = {name: F.get("_found", F.lit(i)).cast("double") for i, name in enumerate(PERF_FIELDS)}
-    sent = F.regexp_extract("line", r"^\s*(\d+)", 1).try_cast("bigint")
-    return rows.withColumns({"records_sent": sent, **numbers}).drop("line", "_found")
+    """Numbers of the producer summary lines (column ``line``); other lines are left out.
+
+    A summary is a list of parts, each a number and its unit; the rate has a second number in
+    brackets. A line that lacks one of them is no summary.
+    """
+    def number(unit: str) -> Column:
+        part = F.get(F.filter("_parts", lambda p: p.endswith(" " + unit)), F.lit(0))
+        return F.substring_index(part, " ", 1)
+
+    rate = F.get(F.filter("_parts", lambda p: p.contains(f" {RATES[0]} (") & p.endswith(f" {RATES[1]})")), F.lit(0))
+    found = {
+        "records_per_sec": F.substring_index(rate, " ", 1),
+        "mb_per_sec": F.substring_index(F.substring_index(rate, "(", -1), " ", 1),
+        **{name: number(unit) for name, unit in LATENCIES.items()},
+    }
+    parts = F.when(F.col("line").contains(SENT), F.transform(F.split("line", ","), lambda p: F.trim(p)))
+    rows = computed(lines.withColumn("_parts", parts), _n=F.struct(
+        *[text.try_cast("double").alias(name) for name, text in found.items()],
+        number(SENT).try_cast("bigint").alias("records_sent")))
+    complete = F.lit(True)
+    for name in PERF_FIELDS:
+        complete = complete & F.col(f"_n.{name}").isNotNull()
+    return rows.filter(complete).select("*", "_n.*").drop("line", "_parts", "_n")
 
 
 def consumer_stats(lines: DataFrame, run: str = "run_id", line_no: str = "line_no") -> DataFrame:
@@ -136,13 +147,19 @@ def percentiles(rows: DataFrame, by: str, value: str, points: dict[str, float])
         F.max(F.when(F.col("point") == n, exact)).alias(n) for n in names])
 
 
-def reconcile(targets: DataFrame, counts: DataFrame) -> DataFrame:
-    """Planned against received records per topic; a topic may lack either."""
-    both = targets.join(counts, "topic", "full_outer").select(
-        "topic", F.coalesce("target_records", F.lit(0)).alias("target_records"),
-        F.coalesce("records", F.lit(0)).alias("records"))
-    return both.select(
-        "topic", "target_records", "records",
-        F.greatest(F.col("target_records") - F.col("records"), F.lit(0)).alias("shortfall"),
-        F.greatest(F.col("records") - F.col("target_records"), F.lit(0)).alias("surplus"),
-        (F.col("target_records") * RECORD_BYTES).alias("planned_bytes"))
+def reconcile(planned: DataFrame, sent: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Planned (topic, target_records) against the records that the producers' and the consumers'
+    logs tell of, per topic; a topic may lack any of them."""
+    def per_topic(rows: DataFrame, column: str) -> DataFrame:
+        return rows.groupBy("topic").agg(F.sum(column).alias(column))
+
+    def missing(of: Column, have: Column) -> Column:
+        return F.greatest(of - have, F.lit(0))
+
+    rows = planned.join(per_topic(sent, "records_sent"), "topic", "full_outer").join(
+        per_topic(consumed, "records_consumed"), "topic", "full_outer").na.fill(0)
+    target, out, back = F.col("target_records"), F.col("records_sent"), F.col("records_consumed")
+    return rows.select(
+        "topic", "target_records", "records_sent", "records_consumed", missing(target, out).alias("unsent"),
+        missing(out, target).alias("surplus"), missing(out, back).alias("unconsumed"),
+        (target * RECORD_BYTES).alias("planned_bytes"))

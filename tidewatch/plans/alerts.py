@@ -6,35 +6,24 @@ from pyspark.sql import DataFrame
 
 from tidewatch import model
 from tidewatch.operators import dedup, enrich, incidents, lifecycle, normalize
-from tidewatch.operators.keyed import hot_keys, row_limit
+from tidewatch.operators.keyed import hot_keys
 from tidewatch.session import materialize
 from tidewatch.sources import records
 
-ALERTS_PER_TEXT = 2
-
 
 class AlertPipeline:
     """Raw webhook texts to events, groups, state changes and incidents.
 
     Keys and services are counted once, on the normalized events. The later steps see a subset of
-    these rows, so a key that is not hot there is not hot anywhere. ``at_most`` can name a cheap
-    table with no fewer rows than there are raw texts; if it is small nothing is counted.
+    these rows, so a key that is not hot there is not hot anywhere.
     """
 
-    def __init__(self, raw: DataFrame, at_most: DataFrame | None = None,
-                 alerts_per_text: int = ALERTS_PER_TEXT):
-        self.raw, self.at_most, self.alerts_per_text = raw, at_most, alerts_per_text
-
-    @cached_property
-    def few_rows(self) -> bool:
-        """Whether all rows together are within the limit of one key."""
-        return self.at_most is not None and (
-            self.at_most.count() * self.alerts_per_text <= row_limit(self.at_most))
+    def __init__(self, raw: DataFrame):
+        self.raw = raw
 
     @cached_property
     def _hot(self) -> dict[str, DataFrame | None]:
-        keys = ("deduplication_key", "service")
-        return dict.fromkeys(keys) if self.few_rows else hot_keys(self.normalized, *keys)
+        return hot_keys(self.normalized, "deduplication_key", "service")
 
     @cached_property
     def parsed(self) -> DataFrame:

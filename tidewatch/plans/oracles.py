@@ -174,7 +174,7 @@ PAY = EV + """,
 pay AS (
   SELECT event_id AS seq, k % 4 = 0 AS cdc, 'TX-' || event_id AS tx, ts_ms AS ms,
     CASE WHEN k = 39 THEN 'UNKNOWN' ELSE 'ACC-' || (user_id % 25) END AS acct,
-    CASE WHEN k = 33 THEN 0.0 ELSE round(value * 100) END AS amount,
+    CASE WHEN k = 33 THEN 0.0 WHEN k = 45 THEN 'NaN'::DOUBLE ELSE round(value * 100) END AS amount,
     CASE WHEN k % 4 = 0 THEN 'EUR' WHEN k = 37 THEN 'USD' ELSE 'GBP' END AS cur,
     CASE WHEN k % 4 = 0 THEN 'banking.public.bank_transactions' ELSE 'banking-payments' END AS topic,
     CASE k WHEN 96 THEN 'deleted row' WHEN 35 THEN 'bad amount' WHEN 41 THEN 'empty message' WHEN 43 THEN 'not an object' END AS rejected
@@ -191,7 +191,7 @@ counted AS (SELECT *, in_range - (same - nth) AS window_count FROM ranged)"""
 FRAUD = PAY + f""",
 hits AS (
   SELECT *, 'HIGH_VALUE_ANOMALY' AS rule, 'CRITICAL' AS severity,
-    'Amount $' || format('{{:,.2f}}', amount) || ' exceeds $10,000 compliance threshold' AS details FROM counted WHERE amount >= 10000
+    'Amount $' || format('{{:,.2f}}', amount) || ' exceeds $10,000 compliance threshold' AS details FROM counted WHERE amount >= 10000 AND NOT isnan(amount)
   UNION ALL
   SELECT *, 'VELOCITY_BURST_ATTACK', 'HIGH', window_count || ' transactions in 60s window — rapid velocity attack'
   FROM counted WHERE window_count >= 3
@@ -202,7 +202,7 @@ alerts AS (
 
 MESSAGES = f""",
 texts AS (
-  SELECT e.k, p.topic, p.tx, e.ts_ms AS ms, 'ACC-' || (e.user_id % 25) AS acct, CAST(round(e.value * 100) AS VARCHAR) AS amt,
+  SELECT e.k, p.topic, p.tx, e.ts_ms AS ms, 'ACC-' || (e.user_id % 25) AS acct, CASE WHEN e.k = 45 THEN '"NaN"' ELSE CAST(round(e.value * 100) AS VARCHAR) END AS amt,
     CASE WHEN e.k % 8 = 0 THEN CAST(e.ts_ms * 1000 AS VARCHAR) ELSE {iso('e.ts_ms')} END AS created
   FROM ev e JOIN pay p ON p.seq = e.event_id
 ),
@@ -212,7 +212,7 @@ messages AS (
     WHEN k % 4 = 0 THEN '{{"op":"c","ts_ms":' || ms || ',"after":{{"transaction_id":"' || tx || '","account_id":"' || acct || '","amount":'
       || amt || ',"currency":"EUR","status":"BOOKED","created_at":"' || created || '"}}}}'
     WHEN k = 41 THEN '{{}}' WHEN k = 43 THEN '[1,2]'
-    ELSE '{{' || CASE WHEN k = 35 THEN '"amount":"oops",' ELSE '' END || '"paymentId":"' || tx || '"'
+    ELSE '{{' || CASE k WHEN 35 THEN '"amount":"oops",' WHEN 47 THEN '"amount":99999,' ELSE '' END || '"paymentId":"' || tx || '"'
       || CASE WHEN k = 39 THEN '' ELSE ',"sourceAccountIban":"' || acct || '"' END || ',"destAccountIban":"ACC-DEST"'
       || CASE WHEN k IN (33, 35) THEN '' ELSE ',"amount":' || amt END
       || CASE WHEN k = 37 THEN '' ELSE ',"currency":"GBP"' END || ',"timestamp":' || ms || '}}' END AS value
@@ -227,7 +227,7 @@ perf AS (
 
 OFFSETS = EV + """,
 post AS (SELECT event_type AS topic, event_id % 3 AS part, count(*) AS n FROM ev GROUP BY ALL),
-pre AS (SELECT event_type AS topic, event_id % 3 AS part, count(*) AS n FROM ev WHERE k < 30 AND event_type <> 'signup' GROUP BY ALL),
+pre AS (SELECT event_type AS topic, event_id % 3 AS part, count(*) AS n FROM ev WHERE ts_ms < (SELECT (min(ts_ms) + max(ts_ms)) // 2 FROM ev) GROUP BY ALL),
 delta AS (SELECT topic, part, post.n - coalesce(pre.n, 0) AS records FROM post LEFT JOIN pre USING (topic, part))"""
 
 REQ = EV + """,
@@ -392,14 +392,14 @@ listed AS (
     "cdc_unwrap": _w(PAY, """SELECT topic, tx AS transaction_id, acct AS account_id, amount, cur AS currency, ms AS event_ms, seq FROM good"""),
     "rejected_payments": _w(PAY, "SELECT topic, seq, rejected FROM pay WHERE rejected IS NOT NULL"),
     "velocity": _w(PAY, """SELECT tx AS transaction_id, acct AS account_id, ms AS event_ms, seq, window_count FROM counted"""),
-    "high_value": _w(PAY, """SELECT tx AS transaction_id, acct AS account_id, amount, cur AS currency, topic FROM good WHERE amount >= 10000"""),
+    "high_value": _w(PAY, """SELECT tx AS transaction_id, acct AS account_id, amount, cur AS currency, topic FROM good WHERE amount >= 10000 AND NOT isnan(amount)"""),
     "fraud_alerts": _w(FRAUD, """SELECT alert_id, tx AS transaction_id, acct AS account_id, amount, cur AS currency, rule AS alert_type,
       severity, stamp AS timestamp, details, topic AS source_topic FROM alerts"""),
     "audit_union": _w(FRAUD + MESSAGES + """,
 lines AS (
   SELECT topic, value FROM messages
   UNION ALL
-  SELECT 'fraud-alerts', '{"alertId":"' || alert_id || '","transactionId":"' || tx || '","accountId":"' || acct || '","amount":' || CAST(amount AS VARCHAR)
+  SELECT 'fraud-alerts', '{"alertId":"' || alert_id || '","transactionId":"' || tx || '","accountId":"' || acct || '","amount":' || CASE WHEN isnan(amount) THEN '"NaN"' ELSE CAST(amount AS VARCHAR) END
     || ',"currency":"' || cur || '","alertType":"' || rule || '","severity":"' || severity || '","timestamp":"' || stamp
     || '","details":"' || details || '","sourceTopic":"' || topic || '"}'
   FROM alerts
@@ -433,11 +433,10 @@ lines AS (
     "latency_percentiles": _w(EV, """SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50,
       round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM ev GROUP BY event_type"""),
     "reconcile_targets": _w(EV + """,
-t AS (SELECT event_type AS topic, count(*) FILTER (k < 60) AS target FROM ev WHERE event_type <> 'view' GROUP BY 1),
-c AS (SELECT event_type AS topic, count(*) FILTER (value >= 20) AS n FROM ev WHERE event_type <> 'error' GROUP BY 1),
-j AS (SELECT topic, coalesce(target, 0) AS target, coalesce(n, 0) AS n FROM t FULL JOIN c USING (topic))""",
-        """SELECT topic, target AS target_records, n AS records, greatest(target - n, 0) AS shortfall, greatest(n - target, 0) AS surplus,
-      target * 512 AS planned_bytes FROM j"""),
+j AS (SELECT event_type AS topic, CAST(sum(k * 100) AS BIGINT) AS target, CAST(coalesce(sum(k * 100) FILTER (k <> 7), 0) AS BIGINT) AS sent,
+  CAST(coalesce(sum(k * 100) FILTER (k <> 8), 0) AS BIGINT) AS got FROM ev GROUP BY 1)""",
+        """SELECT topic, target AS target_records, sent AS records_sent, got AS records_consumed, greatest(target - sent, 0) AS unsent,
+      greatest(sent - target, 0) AS surplus, greatest(sent - got, 0) AS unconsumed, target * 512 AS planned_bytes FROM j"""),
     "access_decisions": _w(REQ, """SELECT request_id, principal, operation, resource, resource_type, internal_rule, admin_rule,
       manager_rule, cluster_rule, writer_rule, reader_rule, group_rule, allowed FROM decided"""),
     "principal_teams": _w(REQ, """SELECT request_id, principal, 'manager' AS role, mteam AS team FROM req WHERE mteam IS NOT NULL
@@ -477,7 +476,7 @@ _RANK = """CASE WHEN alert_name IN ('DatabaseConnectionTimeout', 'DiskSpaceLow',
 
 # Rows of accepted state changes, each with its alert.
 _ACCEPTED = INCIDENTS + """,
-accepted AS (SELECT n.*, q.alert_id, q.alert_name FROM incidents n JOIN queue q USING (service, i)),
+accepted AS (SELECT n.*, q.alert_id, q.alert_name, q.priority AS own_priority FROM incidents n JOIN queue q USING (service, i)),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY i DESC) AS back FROM accepted) WHERE back = 1)"""
 
 _ITEMS = """
@@ -505,10 +504,14 @@ tagged AS (
   SELECT *, CASE WHEN b < 2 THEN 'prod-us-east-1' ELSE 'default' END || ':' || CASE WHEN b = 2 THEN 'payments' ELSE 'default' END
     || ':' || CASE WHEN b = 4 THEN 'default' ELSE service END AS ck FROM canon
 ),
-gaps AS (SELECT *, ms - lag(ms) OVER (PARTITION BY ck ORDER BY ms, seq, alert_pos) AS gap FROM tagged),
-bursts AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 900000 THEN 1 ELSE 0 END) OVER (PARTITION BY ck ORDER BY ms, seq, alert_pos) AS burst FROM gaps)""",
-        """SELECT ck AS cluster_key, min(ms) AS burst_ms, count(*) AS alerts, max(ms) AS last_ms,
-      array_to_string(list_sort(list_distinct(list(alert_name))), ',') AS alert_names, count(*) >= 15 AS is_group FROM bursts GROUP BY ck, burst"""),
+ranged AS (SELECT *, count(*) OVER (PARTITION BY ck ORDER BY ms RANGE BETWEEN 899999 PRECEDING AND CURRENT ROW) AS in_range,
+  count(*) OVER (PARTITION BY ck, ms) AS same, row_number() OVER (PARTITION BY ck, ms ORDER BY seq, alert_pos) AS nth FROM tagged),
+dense AS (SELECT *, in_range - (same - nth) AS together, in_range - (same - nth) >= 15 AS d FROM ranged),
+begun AS (SELECT *, d AND NOT coalesce(lag(d) OVER (PARTITION BY ck ORDER BY ms, seq, alert_pos), false) AS begins FROM dense),
+grouped_up AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY ck ORDER BY ms, seq, alert_pos) AS g FROM begun)""",
+        """SELECT ck AS cluster_key, CAST(g AS BIGINT) AS group_no, min(ms) AS reached_ms, max(ms) AS last_ms, count(*) AS alerts,
+      max(together) AS most_together, array_to_string(list_sort(list_distinct(list(alert_name))), ',') AS alert_names
+      FROM grouped_up WHERE d GROUP BY ck, g"""),
     "ci_binding": _w(CANON + "," + _ITEMS, """SELECT seq, alert_pos, ci, ci_name, parent AS ci_parent
       FROM canon LEFT JOIN items ON ci = rid"""),
     "maintenance_tags": _w(CANON, """SELECT seq, alert_pos, EXISTS (SELECT 1 FROM ev w WHERE w.event_type = 'signup'
@@ -524,19 +527,20 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id OR
       best.alert_name AS root_cause_alert_name, CAST(w AS BIGINT) AS weight,
       CASE WHEN w = 100 THEN 'P1' ELSE last.inc_priority END AS priority FROM best JOIN last USING (incident_id)"""),
     "ranked_root_cause": _w(_ACCEPTED + f""",
-ranked AS (SELECT *, {_RANK} AS rk FROM accepted),
+ranked AS (SELECT *, {_RANK} AS rk, min(own_priority) OVER (PARTITION BY incident_id) AS top_priority FROM accepted),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY rk, i) AS r FROM ranked) WHERE r = 1)""",
         """SELECT service, created AS created_at_epoch_ms, alert_id AS root_cause_alert_id, alert_name AS root_cause_alert_name,
-      CAST(rk AS BIGINT) AS cause_rank FROM best"""),
+      CAST(rk AS BIGINT) AS cause_rank, top_priority AS priority FROM best"""),
     "child_suppression": _w(_ACCEPTED + """,
 listed AS (SELECT incident_id, root_id, unnest(ids) AS alert_id, unnest(names) AS alert_name FROM last)""",
         """SELECT alert_id, alert_name, alert_id <> root_id AS is_secondary, incident_id AS parent_incident_id,
       alert_id <> root_id AS suppress_notification FROM listed"""),
-    "remediation_commands": _w(_ACCEPTED, """SELECT 'KUBERNETES_RESTART_POD' AS action, service AS target, incident_id,
-      root_id AS root_cause_alert_id FROM last WHERE root_name = 'PodCrashLoopBackOff'"""),
+    "remediation_commands": _w(_ACCEPTED, """SELECT 'KUBERNETES_RESTART_POD' AS action, r.rid AS target, l.incident_id,
+      l.root_id AS root_cause_alert_id FROM last l JOIN (SELECT DISTINCT alert_id, service, rid FROM queue) r
+      ON r.alert_id = l.root_id AND r.service = l.service WHERE l.root_name = 'PodCrashLoopBackOff'"""),
     "expired_alerts": _w(LIFE + """,
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS back FROM changes) WHERE back = 1),
-aged AS (SELECT *, (SELECT max(ts_ms) + 86000000 FROM ev) - ms AS age FROM newest)""",
+aged AS (SELECT *, (SELECT max(ts_ms) + 1166400000 FROM ev) - ms AS age FROM newest)""",
         """SELECT key AS dedup_key, alert_id, state AS current_state, ms AS last_ms,
       CASE WHEN age > 1209600000 THEN 'CLOSED' ELSE 'EXPIRED' END AS verdict FROM aged
       WHERE age > 1209600000 OR (state = 'RESOLVED' AND age > 86400000)"""),
@@ -562,9 +566,9 @@ ahead AS (SELECT *, coalesce(lead(ms) OVER (PARTITION BY key ORDER BY n), (SELEC
     "closed_cycles": _w(DEDUP, """SELECT key AS dedup_key, first_ms AS first_seen_epoch_ms, count(*) AS occurrences,
       max(ms) AS last_seen_epoch_ms, max(ms) + 300000 AS closed_ms FROM grouped GROUP BY key, cycle, first_ms"""),
     "scattered_withdrawals": _w(EV + """,
-high AS (SELECT 'ACC-' || (user_id % 25) AS acct, k % 10 AS place, event_id AS seq, ts_ms AS ms FROM ev WHERE round(value * 100) >= 500),
+high AS (SELECT 'ACC-' || (user_id % 25) AS acct, k % 10 AS place, event_id AS seq, ts_ms // 10 AS ms FROM ev WHERE round(value * 2000) >= 10000),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY acct ORDER BY ms, seq) AS n,
-  row_number() OVER (PARTITION BY acct ORDER BY ms, seq) - count(*) OVER (PARTITION BY acct ORDER BY ms RANGE BETWEEN 599999 PRECEDING AND CURRENT ROW)
+  row_number() OVER (PARTITION BY acct ORDER BY ms, seq) - count(*) OVER (PARTITION BY acct ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW)
     + count(*) OVER (PARTITION BY acct, ms) - row_number() OVER (PARTITION BY acct, ms ORDER BY seq) AS gone FROM high),
 listed AS (SELECT acct, seq, ms, n, gone, list(place) OVER (PARTITION BY acct ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS places FROM numbered)""",
         """SELECT acct AS account_id, seq, ms AS event_ms, CAST(len(list_distinct(places[gone + 1 : n])) AS BIGINT) AS places

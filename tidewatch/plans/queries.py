@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,7 +10,6 @@ from tidewatch import model
 from tidewatch.functions.plan import computed
 from tidewatch.operators import access, contracts, extensions, incidents, payments, reports, results
 from tidewatch.operators.dedup import latest_groups
-from tidewatch.operators.keyed import hot_keys
 from tidewatch.plans.alerts import AlertPipeline
 from tidewatch.session import materialize
 from tidewatch.sources import records, sinks, streams, tables
@@ -25,11 +23,8 @@ def query(build: Query) -> Query:
     return build
 
 
-@lru_cache(maxsize=4)
 def alert_pipeline(spark: SparkSession, folder: str) -> AlertPipeline:
-    """The lazy tables of the pipeline; queries of one session and folder share their plans."""
-    raw = tables.webhooks(tables.events(spark, folder))
-    return AlertPipeline(raw, at_most=tables.table(spark, folder, "events"))
+    return AlertPipeline(tables.webhooks(tables.events(spark, folder)))
 
 
 def _long(*names: str) -> list[Column]:
@@ -244,7 +239,7 @@ def velocity(spark, folder):
 @query
 def high_value(spark, folder):
     rows = payments.payments(_messages(spark, folder))
-    return rows.filter(F.col("amount") >= model.HIGH_VALUE_AMOUNT).select(
+    return rows.filter(payments.is_high(F.col("amount"))).select(
         "transaction_id", "account_id", "amount", "currency", "topic")
 
 
@@ -319,9 +314,10 @@ def peak_topic(spark, folder):
 
 
 def _deltas(spark, folder):
+    """Offsets now against those at the middle of the time that the events span."""
     rows = tables.events(spark, folder, texts=False)
-    before = tables.offsets(rows.filter((F.col("k") < 30) & (F.col("event_type") != "signup")))
-    return reports.partition_delta(before, tables.offsets(rows))
+    middle = rows.agg(F.floor((F.min("ts_ms") + F.max("ts_ms")) / 2)).scalar()
+    return reports.partition_delta(tables.offsets(rows.filter(F.col("ts_ms") < middle)), tables.offsets(rows))
 
 
 @query
@@ -343,12 +339,11 @@ def latency_percentiles(spark, folder):
 
 @query
 def reconcile_targets(spark, folder):
+    """Every run plans a hundred records for each of its number; the logs tell what came of it."""
     rows = tables.events(spark, folder, texts=False)
-    targets = rows.filter(F.col("event_type") != "view").groupBy(F.col("event_type").alias("topic")).agg(
-        F.count_if(F.col("k") < 60).alias("target_records"))
-    counts = rows.filter(F.col("event_type") != "error").groupBy(F.col("event_type").alias("topic")).agg(
-        F.count_if(F.col("value") >= 20).alias("records"))
-    return reports.reconcile(targets, counts)
+    planned = rows.groupBy(F.col("event_type").alias("topic")).agg(F.sum(F.col("k") * 100).alias("target_records"))
+    consumed = reports.consumer_stats(tables.consumer_lines(tables.events(spark, folder)))
+    return reports.reconcile(planned, _producer_stats(spark, folder), consumed)
 
 
 # ---- access audit -------------------------------------------------------------------------
@@ -454,10 +449,7 @@ def count_threshold(spark, folder):
 
 @query
 def tag_clusters(spark, folder):
-    pipeline = alert_pipeline(spark, folder)
-    events = pipeline.normalized.withColumn("cluster_key", extensions.cluster_key(F.col("labels")))
-    hot = None if pipeline.few_rows else hot_keys(events, "cluster_key")["cluster_key"]
-    return extensions.tag_clusters(pipeline.normalized, hot).withColumn(
+    return extensions.tag_clusters(alert_pipeline(spark, folder).normalized).withColumn(
         "alert_names", F.array_join("alert_names", ","))
 
 
@@ -497,7 +489,7 @@ def weighted_root_cause(spark, folder):
 def ranked_root_cause(spark, folder):
     return extensions.ranked_root_causes(alert_pipeline(spark, folder).incident_changes).select(
         "service", "created_at_epoch_ms", "root_cause_alert_id", "root_cause_alert_name",
-        *_long("cause_rank"))
+        *_long("cause_rank"), "priority")
 
 
 @query
@@ -508,14 +500,14 @@ def child_suppression(spark, folder):
 @query
 def remediation_commands(spark, folder):
     latest = incidents.latest_incidents(alert_pipeline(spark, folder).incident_changes, fields=(
-        "incident_id", "root_cause_alert_id", "root_cause_alert_name"))
+        "incident_id", "root_cause_alert_id", "root_cause_alert_name", "root"))
     return extensions.remediation_commands(latest)
 
 
 @query
 def expired_alerts(spark, folder):
     changes = alert_pipeline(spark, folder).state_changes
-    as_of = tables.events(spark, folder, texts=False).agg(F.max("ts_ms") + 86_000_000).scalar()
+    as_of = tables.events(spark, folder, texts=False).agg(F.max("ts_ms") + extensions.CLOSE_AFTER_MS - 43_200_000).scalar()
     return extensions.expired_alerts(changes, as_of)
 
 
@@ -536,9 +528,9 @@ def incident_feedback(spark, folder):
     changes = materialize(alert_pipeline(spark, folder).incident_changes)
     at = F.col("is_first_of_alert")
     feedback = changes.filter(at & F.col("member_count").isin(2, 5)).select(
-        "incident_id", F.when(F.col("member_count") == 2, "In Progress").otherwise("Resolved").alias("state"),
+        *incidents.INCIDENT, F.when(F.col("member_count") == 2, "In Progress").otherwise("Resolved").alias("state"),
         F.lit("alice").alias("assigned_to"), "event_ms")
-    return extensions.with_feedback(changes, feedback)
+    return extensions.with_feedback(changes, feedback).select("incident_id", "state", "assigned_to", "status_ms")
 
 
 @query
@@ -567,7 +559,7 @@ def closed_cycles(spark, folder):
 @query
 def scattered_withdrawals(spark, folder):
     rows = tables.withdrawals(tables.events(spark, folder, texts=False))
-    return extensions.scattered_withdrawals(rows, 500.0, 600_000).select(
+    return extensions.scattered_withdrawals(rows).select(
         "account_id", "seq", "event_ms", "places")
 
 

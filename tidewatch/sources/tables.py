@@ -46,7 +46,8 @@ def _choose(column: Column, values: dict[str, str], default: str) -> Column:
 
 def webhooks(rows: DataFrame) -> DataFrame:
     """Every event as a webhook text. The user decides service and host and under which labels
-    they are given; some values of ``k`` give empty, cut-off, null-bearing and two-alert texts."""
+    they are given; some values of ``k`` give empty, cut-off, null-bearing and two-alert texts, and texts
+    that repeat a key."""
     b, k = F.col("user_id") % 5, F.col("k")
     name = _choose(F.col("event_type"), ALERT_BY_TYPE, OTHER_ALERT)
     status = F.when(k % 2 == 0, "resolved").otherwise("firing")
@@ -80,10 +81,6 @@ def webhooks(rows: DataFrame) -> DataFrame:
             .alias("fingerprint"),
         )
 
-    def payload(*alerts: Column) -> Column:
-        return F.to_json(F.struct(
-            F.lit("webhook").alias("receiver"), status.alias("status"), F.array(*alerts).alias("alerts")))
-
     # the text is written once per row and then varied, so the plan holds one copy of it
     alerts = F.when(k == 16, F.array(alert(name), alert(F.lit(OTHER_ALERT)))).otherwise(F.array(alert(name)))
     text = F.to_json(F.struct(
@@ -92,6 +89,8 @@ def webhooks(rows: DataFrame) -> DataFrame:
         F.when(k.isin(13, 63), F.lit('{"receiver":"webhook","alerts":[]}'))
         .when(k == 14, F.substring("text", 1, 40))
         .when(k == 15, F.regexp_replace("text", r'"alerts":\[', '"alerts":[null,'))
+        .when(k == 17, F.regexp_replace("text", r'"annotations":[{]', '"annotations":{"summary":"older",'))
+        .when((k == 18) & severity.isNotNull(), F.regexp_replace("text", r'"labels":[{]', '"labels":{"severity":"older",'))
         .otherwise(F.col("text"))
     )
     return computed(rows, text=text).select(
@@ -112,7 +111,7 @@ def _messages(rows: DataFrame, topic: Column, value: Column) -> DataFrame:
 
 def payment_messages(rows: DataFrame) -> DataFrame:
     """Every event as a payment text: a quarter as change envelopes, the others flat. Some values
-    of ``k`` give deletes, missing fields, text amounts and texts that are no payment."""
+    of ``k`` give deletes, missing and repeated fields, text amounts and texts that are no payment."""
     k = F.col("k")
     account = F.concat(F.lit("ACC-"), F.col("user_id") % 25)
     tx = F.concat(F.lit("TX-"), F.col("event_id"))
@@ -138,6 +137,8 @@ def payment_messages(rows: DataFrame) -> DataFrame:
     text = (
         F.when(k % 4 == 0, envelope)
         .when(k == 35, F.regexp_replace(flat, "^[{]", '{"amount":"oops",'))
+        .when(k == 45, F.regexp_replace(flat, r'"amount":[^,]+', '"amount":"NaN"'))
+        .when(k == 47, F.regexp_replace(flat, "^[{]", '{"amount":99999,'))
         .when(k == 41, "{}").when(k == 43, "[1,2]").otherwise(flat)
     )
     topic = F.when(k % 4 == 0, "banking.public.bank_transactions").otherwise("banking-payments")
@@ -321,9 +322,10 @@ def arrivals(rows: DataFrame) -> DataFrame:
 
 
 def withdrawals(rows: DataFrame) -> DataFrame:
-    """Every event as a withdrawal of its user's account, at a place given by ``k``."""
+    """Every event as a withdrawal of its user's account, at a place given by ``k``. Time runs ten
+    times faster again, and amounts are twenty times the payments', so that places meet."""
     return rows.select(
         F.concat(F.lit("ACC-"), F.col("user_id") % 25).alias("account_id"),
         F.concat(F.lit("place-"), F.col("k") % 10).alias("location"),
-        F.round(F.col("value") * 100).alias("amount"), F.col("event_id").alias("seq"),
-        F.col("ts_ms").alias("event_ms"))
+        F.round(F.col("value") * 2000).alias("amount"), F.col("event_id").alias("seq"),
+        F.floor(F.col("ts_ms") / 10).alias("event_ms"))

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tidewatch.model import DEDUP_GAP_MS
 from tidewatch.operators.extensions import FLAP_QUIET_MS, LATENESS_MS
+from tidewatch.operators.incidents import INCIDENT
 from tidewatch.streaming.jobs import each_batch
 
 LATE_TOPIC = "events.late"
@@ -64,22 +65,31 @@ def closed_cycles(events: DataFrame, lateness: str = "10 seconds") -> DataFrame:
 
 
 class QuietFlapProcessor(StatefulProcessor):
-    """Sets a timer ten minutes after a flapping row; any later row of the alert takes it back."""
+    """Sets a timer ten minutes after a flapping row; a row within these takes it back, and a later
+    one, in the same micro-batch or another, tells that the time had run out before it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.store = handle.getValueState("flap", "alert_id string, due_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = max(rows, key=lambda r: (r["event_ms"], r["seq"]))
-        if self.store.exists():
-            self.handle.deleteTimer(self.store.get()[1])
+        out = Row("dedup_key", "alert_id", "cleared_ms")
+        waiting = self.store.get() if self.store.exists() else None
+        timer = waiting and waiting[1]
+        for row in sorted(rows, key=lambda r: (r["event_ms"], r["seq"])):
+            if waiting and row["event_ms"] > waiting[1]:
+                yield out(key[0], *waiting)
+            flapping = row["current_state"] == "FLAPPING"
+            waiting = (row["alert_id"], row["event_ms"] + FLAP_QUIET_MS) if flapping else None
+        due = waiting and waiting[1]
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if waiting is None:
             self.store.clear()
-        if last["current_state"] == "FLAPPING":
-            due = last["event_ms"] + FLAP_QUIET_MS
-            self.handle.registerTimer(due)
-            self.store.update((last["alert_id"], due))
-        return iter(())
+        else:
+            if timer != due:
+                self.handle.registerTimer(due)
+            self.store.update(waiting)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.store.exists():
@@ -115,17 +125,18 @@ class FeedbackProcessor(StatefulProcessor):
                 state, assigned, at = row["state"], row["assigned_to"], row["event_ms"]
         self.store.update((known, state, assigned, at))
         if known:
-            yield Row("incident_id", "state", "assigned_to")(key[0], state or "OPEN", assigned)
+            yield Row(*INCIDENT, "state", "assigned_to")(*key, state or "OPEN", assigned)
 
     def close(self) -> None:
         pass
 
 
 def incident_status(incidents: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Status per incident after every micro-batch that touches it."""
+    """Status per incident, under its full identity, after every micro-batch that touches it."""
     nothing = F.lit(None).cast("string")
     both = incidents.select(
-        "incident_id", nothing.alias("state"), nothing.alias("assigned_to"), "event_ms"
-    ).unionByName(feedback.select("incident_id", "state", "assigned_to", "event_ms"))
-    return both.groupBy("incident_id").transformWithState(
-        FeedbackProcessor(), "incident_id string, state string, assigned_to string", "append", "none")
+        *INCIDENT, nothing.alias("state"), nothing.alias("assigned_to"), "event_ms"
+    ).unionByName(feedback.select(*INCIDENT, "state", "assigned_to", "event_ms"))
+    return both.groupBy(*INCIDENT).transformWithState(
+        FeedbackProcessor(),
+        "service string, created_at_epoch_ms bigint, created_seq bigint, state string, assigned_to string", "append", "none")
