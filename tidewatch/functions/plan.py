@@ -12,11 +12,3 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """
     values = F.struct(*[column.alias(name) for name, column in columns.items()])
     return df.select("*", F.inline_outer(F.array(values)))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a few large splits over all cores; many splits are left as they are."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 >= wanted:
-        return df
-    return df.repartition(wanted, *keys)

@@ -108,30 +108,27 @@ def percentiles(rows: DataFrame, by: str, value: str, points: dict[str, float])
     """Exact percentiles, interpolated, of ``value`` per group.
 
     A sketch per group first brackets every point; then the values below a bracket are only
-    counted, and just the distinct values within it are put in order. A hot group is thereby never
-    sorted as a whole: its brackets hold some thousandths of its rows.
+    counted, in the tasks that read them, and just the distinct values within it are shuffled and
+    put in order. A hot group is thereby never sorted as a whole: its brackets hold some thousandths
+    of its rows. In a group of fewer than ``few`` rows the margin is less than two rows wide, so its
+    brackets are open.
     """
-    # The sketch errs by a rank of n/accuracy. The margin of n * 0.0005 ranks is wider by some rows
-    # once a group has 20,000 of them; smaller groups are put in order whole.
-    accuracy, margin, small = 10_000, 0.0005, 20_000
+    accuracy, margin, few = 10_000, 0.002, 1_000
     names = list(points)
     ends = [min(max(p + d, 0.0), 1.0) for p in points.values() for d in (-margin, margin)]
     sketch = rows.groupBy(by).agg(
         F.count(value).alias("n"), F.percentile_approx(value, ends, accuracy).alias("ends"))
-    place = {n: (F.col("n") - 1) * p for n, p in points.items()}
-    brackets = sketch.select(by, "n", F.array(*[
+    wide = F.col("n") >= few
+    brackets = sketch.select(by, "n", F.explode(F.array(*[
         F.struct(
-            F.lit(n).alias("point"), place[n].alias("place"),
-            F.when(F.col("n") >= small, F.col("ends")[2 * i]).alias("low"),
-            F.when(F.col("n") >= small, F.col("ends")[2 * i + 1]).alias("high"))
-        for i, n in enumerate(names)]).alias("brackets"))
-    # one row per value and point it can matter to; lower values collapse into one counted row
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    placed = counted.join(brackets, by).select(by, "n", value, "c", F.explode("brackets").alias("b")).filter(
+            F.lit(name).alias("point"), ((F.col("n") - 1) * p).alias("place"),
+            F.when(wide, F.col("ends")[2 * i]).alias("low"), F.when(wide, F.col("ends")[2 * i + 1]).alias("high"))
+        for i, (name, p) in enumerate(points.items())])).alias("b"))
+    placed = rows.select(by, value).filter(F.col(value).isNotNull()).join(brackets, by).filter(
         F.col("b.high").isNull() | (F.col(value) <= F.col("b.high")))
     below = F.coalesce(F.col(value) < F.col("b.low"), F.lit(False))
     kept = placed.groupBy(by, "n", "b.point", "b.place", F.when(~below, F.col(value)).alias("v")).agg(
-        F.sum("c").alias("c"))
+        F.count(F.lit(1)).alias("c"))
     ordered = Window.partitionBy(by, "point").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranked = kept.withColumn("upto", F.sum("c").over(ordered))

@@ -7,7 +7,7 @@ whole tables, from ``events(event_id, ts, user_id, event_type, value, props)``.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.functions.plan import computed, spread
+from tidewatch.functions.plan import computed
 from tidewatch.functions.text import iso_instant
 
 COMPRESSION = 20
@@ -22,6 +22,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The supplied tables are single splits; deal such rows out over all cores."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 >= wanted:
+        return df
+    return df.repartition(wanted, *keys)
+
+
 def events(spark: SparkSession, folder: str, texts: bool = True) -> DataFrame:
     """The events with ``ts_ms`` (compressed) and ``k``, the number in their properties.
 
@@ -29,7 +37,7 @@ def events(spark: SparkSession, folder: str, texts: bool = True) -> DataFrame:
     """
     rows = table(spark, folder, "events")
     if texts:
-        rows = spread(rows, "event_id")
+        rows = _spread(rows, "event_id")
     return rows.select(
         "event_id", "user_id", "event_type", "value",
         F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (1000 * COMPRESSION)).alias("ts_ms"),
@@ -226,7 +234,7 @@ def payment_records(rows: DataFrame) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "lineitem"), "l_orderkey")
+    return _spread(table(spark, folder, "lineitem"), "l_orderkey")
 
 
 def equity_orders(lineitem: DataFrame) -> DataFrame:
