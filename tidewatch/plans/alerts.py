@@ -1,5 +1,6 @@
 """The alert pipeline over one raw stream, as tables that share their upstream steps."""
 
+import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -72,18 +73,28 @@ class AlertPipeline:
     def write(self, sink, batch_id: int = 0) -> None:
         """Write all result topics, each step from the written rows of the step before it.
 
-        ``sink`` writes and reads topics, as ``TopicFolders`` does. A lost executor costs at most
-        the work since the last written topic. The texts are parsed once for the events and once
-        for the dead letters, which costs less than keeping all parsed texts.
+        ``sink`` writes topics, and where it also reads them, as ``TopicFolders`` does, the next
+        step goes on from its files. Rows for a sink that only writes, as Kafka is, are kept in the
+        shared folder and sent in their wire form. A lost executor costs at most the work since the
+        last written topic. The texts are parsed once for the events and once for the dead letters,
+        which costs less than keeping all parsed texts.
         """
+        reads = hasattr(sink, "read")
+        step = copy.copy(self)  # its tables are replaced by written ones
+
         def kept(rows: DataFrame, topic: str) -> DataFrame:
+            rows = rows if reads else materialize(rows)
             sink.write(rows, topic, batch_id)
-            return sink.read(rows.sparkSession, topic, batch_id)
-
-        sink.write(records.dead_letter_json(self.dead_letters), model.DEAD_LETTER_TOPIC, batch_id)
-        self.normalized = self.enriched = kept(self.enriched, model.NORMALIZED_TOPIC)
-        needed = [c for c in self.deduplicated.columns if c not in ("labels", "annotations", "resource")]
-        self.deduplicated = materialize(self.deduplicated.select(*needed))
-        sink.write(self.groups, model.GROUPS_TOPIC, batch_id)
-        self.state_changes = kept(self.state_changes, model.STATE_TOPIC)
-        sink.write(self.incident_changes, model.INCIDENT_TOPIC, batch_id)
+            return sink.read(rows.sparkSession, topic, batch_id) if reads else rows
+
+        sink.write(records.dead_letter_json(step.dead_letters), model.DEAD_LETTER_TOPIC, batch_id)
+        step.normalized = step.enriched = kept(step.enriched, model.NORMALIZED_TOPIC)
+        unused = ("labels", "annotations", "resource") if reads else ()
+        needed = [c for c in step.deduplicated.columns if c not in unused]
+        step.deduplicated = materialize(step.deduplicated.select(*needed))
+        sink.write(step.groups if reads else records.group_json(step.deduplicated), model.GROUPS_TOPIC, batch_id)
+        step.state_changes = kept(step.state_changes, model.STATE_TOPIC)
+        changes = step.incident_changes
+        if not reads:
+            changes = records.incident_json(incidents.incident_records(materialize(changes)))
+        sink.write(changes, model.INCIDENT_TOPIC, batch_id)

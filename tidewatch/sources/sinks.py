@@ -10,15 +10,23 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.sources import records
 
 
+def _finished(spark: SparkSession, folder: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 @dataclass(frozen=True)
 class TopicFolders:
-    """Topics as Parquet folders. A micro-batch owns one folder and writes it whole, so writing
-    it again after a restart changes nothing."""
+    """Topics as Parquet folders. A micro-batch owns one folder. A folder that was written whole
+    stays as it is when its batch comes again after a restart: a hop that has read its files would
+    take new ones for new rows. A folder that was left unfinished is written anew."""
 
     root: str
 
     def write(self, rows: DataFrame, topic: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{topic}/batch={batch_id}")
+        folder = f"{self.root}/{topic}/batch={batch_id}"
+        if not _finished(rows.sparkSession, folder):
+            rows.write.mode("overwrite").parquet(folder)
 
     def path(self, topic: str) -> str:
         return f"{self.root}/{topic}"
