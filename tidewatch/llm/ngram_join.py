@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegralType
 from .common import components, keep_rows, stored
 from .repeats import repeated
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 BLOCK_DOCS, BLOCK_GRAMS = 768, 1_500_000
 DENSE = 48                # documents from which a column is multiplied densely
 HOT = 128                 # an n-gram in more than a HOT-th of the documents is not counted further
@@ -48,22 +48,24 @@ class Shingler:
 
 
 def _marks(rows: DataFrame, n: int) -> DataFrame:
-    """(row, n, sign, hot): set size, 128-bit signature of the set, and with the last row of a batch
-    the n-grams that are frequent in the batch, [n-gram, count]."""
+    """(row, n, sign, hot): set size, 128-bit signature of the set, and with the last row of some
+    thousand those n-grams that are frequent among them, [n-gram, count]."""
     def mark(batches):
         shingles = Shingler(n)
         for batch in batches:
-            sizes, signs, all_of = [], [], []
-            for text in batch.column(1):
+            sizes, signs, hot, held, size = [], [], [], [], 0
+            for i, text in enumerate(batch.column(1)):
                 grams = shingles(text.as_py())
                 sizes.append(len(grams))
                 signs.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                all_of.append(grams)
-            hot = [None] * batch.num_rows
-            if batch.num_rows:
-                grams, count = np.unique(np.concatenate(all_of), return_counts=True)
-                some = np.flatnonzero(count >= max(16, batch.num_rows / (2 * HOT)))
-                hot[-1] = list(zip(grams[some].view(np.int64).tolist(), count[some].tolist()))
+                held.append(grams)
+                size += len(grams)
+                hot.append(None)
+                if size > 1_000_000 or i + 1 == batch.num_rows:
+                    grams, count = np.unique(np.concatenate(held), return_counts=True)
+                    some = np.flatnonzero(count >= max(16, len(held) / (2 * HOT)))
+                    hot[-1] = list(zip(grams[some].view(np.int64).tolist(), count[some].tolist()))
+                    held, size = [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()),
                  pa.array([None if h is None else [{"g": g, "c": c} for g, c in h] for h in hot],
@@ -84,14 +86,17 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     gram, doc = gram[order], doc[order]
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, int)
     size = np.diff(np.concatenate([start, [len(gram)]]))
-    out = np.zeros(n * m, np.float32)
+    out = np.zeros(n * m)
     for k in np.unique(size[(size > 1) & (size <= DENSE)]).tolist():
-        rows = doc[start[size == k][:, None] + np.arange(k)]  # documents of a column in order
-        for i in range(k - 1):
-            for j in range(i + 1, k):
-                a, b = rows[:, i], rows[:, j]
-                both = (a < n) & (b >= n)
-                out += np.bincount(a[both] * m + b[both] - n, minlength=n * m)
+        columns = start[size == k]
+        i, j = np.triu_indices(k, 1)
+        step = max(1, 1_000_000 // len(i))
+        for at in range(0, len(columns), step):
+            rows = doc[columns[at:at + step, None] + np.arange(k)]  # documents of a column in order
+            a, b = rows[:, i].ravel(), rows[:, j].ravel()
+            both = (a < n) & (b >= n)
+            pair, times = np.unique(a[both] * m + b[both] - n, return_counts=True)
+            out[pair] += times
     out = out.reshape(n, m)
     many = np.flatnonzero(size > DENSE)
     for at in range(0, len(many), 2048):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BUCKET = 2_000_000  # keys counted together, about
-FLUSH = 3_000_000   # keys that a task holds before it sends them
+FLUSH = 1_000_000   # keys that a task holds before it sends them
 FREQUENT = 1 << 40
 NOBODY = -(1 << 63)
 
