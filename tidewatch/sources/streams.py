@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.model import LEDGER_TOPIC, PAYMENT_TOPIC, RAW, RAW_TOPIC
 
+PER_TRIGGER = 1_000_000
+
 
 def _from_kafka(df: DataFrame) -> DataFrame:
     """Message columns from a Kafka frame; a position is unique over partitions."""
@@ -20,8 +22,10 @@ def _from_kafka(df: DataFrame) -> DataFrame:
 
 
 def kafka_stream(
-    spark: SparkSession, servers: str, topics: str, starting: str, per_trigger: int | None = None, **options
+    spark: SparkSession, servers: str, topics: str, starting: str, per_trigger: int | None = PER_TRIGGER, **options
 ) -> DataFrame:
+    """A stream of messages, at most ``per_trigger`` in a micro-batch (None: no bound), so that the
+    first read of a long topic does not put all of a key's past in one."""
     reader = (
         spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
         .option("subscribe", topics).option("startingOffsets", starting).options(**options)

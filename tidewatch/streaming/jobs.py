@@ -83,7 +83,7 @@ def alert_job(
 ) -> StreamingQuery:
     """Enriched events to alert groups and state changes.
 
-    ``ttl_ms`` lets the state of a silent alert expire. Expiry goes by the clock, and a job that
+    ``ttl_ms`` lets the state of a silent resolved alert expire; open ones are kept. Expiry goes by the clock, and a job that
     watches the clock has no present end to stop at.
     """
     if once and ttl_ms:

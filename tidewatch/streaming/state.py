@@ -91,16 +91,21 @@ class AlertProcessor(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.store = handle.getValueState("alert", ALERT_STATE, self.ttl_ms)
+        # only resolved alerts are forgotten; an open one keeps its state however long it is silent
+        self.open = handle.getValueState("alert", ALERT_STATE)
+        self.resolved = handle.getValueState("resolved", ALERT_STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         dedup_key = key[0]
         state = dict.fromkeys(_names(ALERT_STATE))
-        if self.store.exists():
-            state = dict(zip(state, self.store.get()))
+        for store in (self.open, self.resolved):
+            if store.exists():
+                state = dict(zip(state, store.get()))
         for row in in_order(rows):
             yield self._take(state, dedup_key, row)
-        self.store.update(tuple(state.values()))
+        keep, other = (self.resolved, self.open) if state["state"] == "RESOLVED" else (self.open, self.resolved)
+        other.clear()
+        keep.update(tuple(state.values()))
 
     def _take(self, state: dict, dedup_key: str, row: Row) -> Row:
         ms = row["event_ms"]
