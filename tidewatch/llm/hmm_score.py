@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
 
-HEAD = 65_000      # commonest words with emissions of their own
+HEAD = 65_000      # commonest words with emissions of their own, at most
 ENDINGS = 256      # classes of the other words, by their last three bytes
 SYMBOLS = 1 + HEAD + ENDINGS
 FLUSH = 300_000
@@ -48,13 +48,28 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _commonest(counts: DataFrame) -> list:
+    """The words of the highest counts, as many as fit in ``HEAD`` with all words of a like count.
+
+    A histogram of counts (64 steps to a doubling) gives the least count, and only the words above
+    it reach the driver; a top-k would send it as many rows from every partition."""
+    level = F.floor(F.log2("c") * 64).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()
+    least, total = 1 << 30, 0
+    for r in sorted(sizes, key=lambda r: -r.level):
+        if (total := total + r.n) > HEAD:
+            break
+        least = r.level
+    return counts.where(level >= least).collect()
+
+
 class Vocabulary:
     """What the tasks need of the counts: bounded by ``HEAD`` and ``ENDINGS``."""
 
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.sum("c"), F.count("*")).first()
         self.tokens, self.types = total[0] or 0, total[1]
-        head = counts.where("octet_length(token) > 0").orderBy(F.desc("c"), "token").limit(HEAD).collect()
+        head = sorted(_commonest(counts.where("octet_length(token) > 0")), key=lambda r: (-r.c, bytes(r.token)))
         self.symbol = {bytes(r.token): i for i, r in enumerate(head, 1)}
         ends = counts.where("octet_length(token) = 0").first()
         self.count = np.zeros(1 + HEAD)
