@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import keep_rows
+from .common import keep_rows, stored
 
 
 def exact_groups(
@@ -28,7 +28,8 @@ def exact_groups(
     single = rows.select("id", "h", F.sha2("text", 256).alias("sha")).join(groups.where("n = 1"), "h").select(
         "id", F.col("stays").alias("keep_id"), F.col("n").alias("group_size"), "sha")
 
-    several = rows.join(groups.where("n > 1"), "h")
+    # Written once: the texts of groups are read for the reference and for the comparison.
+    several = stored(rows.join(groups.where("n > 1"), "h"))
     # Where rows repeat the id that stays, the smallest of their texts is the reference.
     reference = several.where("id <=> stays").groupBy("h").agg(F.min("text").alias("reference"))
     several = several.join(reference, "h").select(
