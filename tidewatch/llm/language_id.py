@@ -196,6 +196,24 @@ def pooled(net: ByteGRU, texts: list[bytes]) -> np.ndarray:
         return total / count[:, None]
 
 
+def _labelled(model: tuple[ByteGRU, list[str]] | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of some texts, some megabytes worked on together."""
+    name, score = ["und"] * len(texts), [0.0] * len(texts)
+    some = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)] if model else []
+    at = 0
+    while at < len(some):
+        size, end = 0, at
+        while end < len(some) and (end == at or size < 4_000_000):
+            size += len(texts[some[end]])
+            end += 1
+        means = pooled(model[0], [texts[i].encode() for i in some[at:end]])
+        for i, m in zip(some[at:end], means):
+            best = int(np.argmax(m))
+            name[i], score[i] = model[1][best], float(min(1.0, m[best]))
+        at = end
+    return name, score
+
+
 def languages(
     docs: DataFrame, model: tuple[ByteGRU, list[str]] | None, id_col: str = "doc_id", text_col: str = "text",
     extra: list[str] | None = None,
@@ -211,20 +229,7 @@ def languages(
     """
     def label(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            name, score = ["und"] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)] if model else []
-            at = 0
-            while at < len(some):  # some megabytes of text at a time
-                size, end = 0, at
-                while end < len(some) and (end == at or size < 4_000_000):
-                    size += len(texts[some[end]])
-                    end += 1
-                means = pooled(model[0], [texts[i].encode() for i in some[at:end]])
-                for i, m in zip(some[at:end], means):
-                    best = int(np.argmax(m))
-                    name[i], score[i] = model[1][best], float(min(1.0, m[best]))
-                at = end
+            name, score = _labelled(model, batch.column(1).to_pylist())
             found = [pa.array(name, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:], *found], names=["id", *(extra or []), "lang_pred", "score"])
@@ -233,3 +238,17 @@ def languages(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in extra or []))
     out = rows.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     return rows.mapInArrow(label, out).withColumnRenamed("id", id_col)
+
+
+def keep_known(
+    docs: DataFrame, model: tuple[ByteGRU, list[str]] | None, least: float = 0.5, text_col: str = "text",
+) -> DataFrame:
+    """The documents, with all their columns, whose language is told with a score of ``least`` and
+    more; ``und`` goes. Rows are judged where they are read and not moved."""
+    def keep(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            name, score = _labelled(model, texts)
+            yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(name, score)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
