@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm.common import keep_rows, stored, table
+from tidewatch.llm.common import stored, table
 from tidewatch.llm.decontamination import drop_contaminated
 from tidewatch.llm.exact_dedup import drop_copies
-from tidewatch.llm.language_id import languages, train
+from tidewatch.llm.language_id import keep_known, train
 from tidewatch.llm.ngram_join import drop_near_copies
 from tidewatch.llm.packing import packed
 
@@ -17,8 +17,7 @@ CAPACITY = 2048
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network tells; ``und`` and mixed ones (score below a half) go."""
-    found = languages(docs, train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return keep_rows(docs, found, "doc_id", "text")
+    return keep_known(docs, train(docs), LEAST_SCORE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
