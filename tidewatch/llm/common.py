@@ -18,15 +18,28 @@ def remainder(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(0))
 
 
+def _place(spark: SparkSession) -> tuple[str, str]:
+    name = f"llm_{uuid.uuid4().hex}"
+    return name, f"{shared_folder(spark).rstrip('/')}/{name}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows to the folder that all executors share and go on from the files.
 
     Later steps read the files, so a lost executor costs its own tasks alone.
     """
+    _, path = _place(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, key: str) -> DataFrame:
+    """As ``stored``, in buckets of ``key``: rows that are joined on it later are not moved again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name, path = _place(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
 
 
 def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, sha_col: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import stored
+from .common import stored, stored_by
 from .repeats import key_bits, repeated
 from .sharding import numbered
 
@@ -138,25 +138,22 @@ def repeats_earlier(groups: np.ndarray, left: np.ndarray, bodies: list[bytes]) -
     return mask.view(np.int64)
 
 
-def _compared(found: DataFrame) -> DataFrame:
-    """(sign, row, place, mask): the first place of every signature and which of its windows stand
-    at an earlier place. All windows of the other places of a signature do."""
-    firsts = found.groupBy("sign", "name").agg(
-        F.min(F.struct("row", "place", "first")).alias("at"), F.max("bytes").alias("bytes"))
-    sizes = firsts.groupBy("name").agg(F.count("*").alias("n"))
-    firsts = firsts.join(sizes.where("n > 1"), "name").select(
-        "name", "sign", "at.row", "at.place", (F.col("at.place") - F.col("at.first")).alias("left"), "bytes", "n")
+def _compared(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(sign, mask) from the first place ``at`` of every signature: which of its windows stand at an
+    earlier place. All windows of the other places of a signature do."""
+    sizes = firsts.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    bodies = found.where("bytes IS NOT NULL").groupBy("sign").agg(F.max("bytes").alias("bytes"))
+    firsts = stored(firsts.join(sizes, "name").join(bodies, "sign").select(
+        "name", "sign", "at.row", "at.place", (F.col("at.place") - F.col("at.first")).alias("left"), "bytes", "n"))
 
     def compare(batches):
         held: list = []
 
         def masks(rows):
-            names, signs, row, place, left, body = zip(*rows)
+            names, signs, _, _, left, body = zip(*rows)
             _, group = np.unique(np.array(names), return_inverse=True)
             mask = repeats_earlier(group, np.array(left), list(body))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(signs, pa.binary()), pa.array(row, pa.int64()), pa.array(place, pa.int64()), pa.array(mask)],
-                names=["sign", "row", "place", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(signs, pa.binary()), pa.array(mask)], names=["sign", "mask"])
 
         for batch in batches:
             held.extend(zip(*(batch.column(k).to_pylist() for k in range(6))))
@@ -170,14 +167,14 @@ def _compared(found: DataFrame) -> DataFrame:
     few = firsts.where(F.col("n") <= MANY).drop("n")
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = few.repartition(parts, "name").sortWithinPartitions("name", "row", "place").mapInArrow(
-        compare, "sign binary, row long, place long, mask long")
+        compare, "sign binary, mask long")
 
     # A name with more surroundings: each window is a row, grouped by its bytes over all tasks.
     many = firsts.where(F.col("n") > MANY).withColumn("nth", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)))
     many = many.select("sign", "row", "place", "nth", (F.col("left") - F.col("nth")).alias("distance"), F.expr(
         f"substring(bytes, nth + 1, {LENGTH})").alias("window"))
     first = many.groupBy("distance", "window").agg(F.min(F.struct("row", "place")).alias("at"))
-    many = many.join(first, ["distance", "window"]).where("struct(row, place) != at").groupBy("sign", "row", "place").agg(
+    many = many.join(first, ["distance", "window"]).where("struct(row, place) != at").groupBy("sign").agg(
         F.sum(F.expr("shiftleft(1L, nth)")).alias("mask"))
     return few.unionByName(many)
 
@@ -228,17 +225,17 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = size * 2 // (COVER + 1)
     keys = repeated(rows, lambda: _names, total, meet=True).groupBy("row").agg(F.collect_set("key").alias("keys"))
     data = F.coalesce("text", F.lit("")).cast("binary")
-    rows = stored(rows.join(keys, "row", "left").select(
+    rows = stored_by(rows.join(keys, "row", "left").select(
         "row", "keys", F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha"),
-        F.when(F.col("keys").isNotNull() | F.lit(kept_text), F.col("text")).alias("text")))
+        F.when(F.col("keys").isNotNull() | F.lit(kept_text), F.col("text")).alias("text")), "row")
     touched = rows.where("keys is not null").select("row", "text", "keys")
     found = stored(_surroundings(touched, key_bits(total)))
-    marks = _compared(found)
-    first = found.groupBy("sign").agg(F.min(F.struct("row", "place")).alias("at"))
-    masks = first.join(marks.select("sign", "mask"), "sign", "left").select("sign", "at", "mask")
+    firsts = stored(found.groupBy("sign", "name").agg(F.min(F.struct("row", "place", "first")).alias("at")))
+    masks = firsts.select("sign", "at").join(_compared(found, firsts), "sign", "left")
     spans = found.select("row", "place", "first", "last", "sign").join(masks, "sign")
-    spans = spans.withColumn("whole", F.expr("struct(row, place) != at")).where("whole or mask != 0").groupBy("row").agg(
-        F.collect_list(F.struct("first", "last", F.when(~F.col("whole"), F.col("mask")).alias("mask"))).alias("spans"))
+    spans = spans.withColumn("whole", F.expr("struct(row, place, first) != at")).where("whole or mask != 0")
+    spans = stored(spans.groupBy("row").agg(
+        F.collect_list(F.struct("first", "last", F.when(~F.col("whole"), F.col("mask")).alias("mask"))).alias("spans")))
 
     def cut(batches):
         for batch in batches:
