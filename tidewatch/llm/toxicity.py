@@ -237,23 +237,26 @@ def train(
 ) -> tuple[WordScorer, np.ndarray] | None:
     """The machine and its calibration, from about ``positive`` toxic and ``negative`` clean texts.
 
-    The sample is bounded and chosen by a hash of the text. Every sentence's words carry the label
+    The sample is bounded and chosen by a hash of the id. Every sentence's words carry the label
     of their text; words far commoner in toxic texts are examples of one side, words of clean texts
     of the other, common ones and in later rounds those that the machine took for toxic. A third of
     the landmarks is of each of these three kinds. A text's score
     is a logistic function of its greatest word value and of the number and share of its hits.
     None where one of the labels has no text.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(
-        F.max(label_col).alias("y"))
-    rows = rows.join(marks, "id").where("text is not null and length(text) > 0")
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        F.max(label_col).cast("int").alias("y"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
+    known = marks.join(rows.select("id"), "id", "left_semi")
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if 0 not in sizes or 1 not in sizes:
         return None
     share = F.when(F.col("y") == 1, positive / sizes[1]).otherwise(negative / sizes[0])
-    chosen = rows.select("text", "y").dropDuplicates(["text"]).where(
-        F.abs(F.xxhash64(F.lit(seed), "text")) / F.lit(float(2 ** 63)) < share)
+    place = F.abs(F.xxhash64(F.lit(seed), "id")) / F.lit(float(2 ** 63))
+    # Ids are chosen first, so that of the texts only the sample is moved; its size is bounded.
+    ids = known.withColumn("place", place).where(F.col("place") < share).orderBy("place", "id").limit(
+        2 * (positive + negative)).select("id", "y")
+    chosen = stored(rows.join(F.broadcast(ids), "id").select("text", "y").dropDuplicates(["text"]))
 
     def distinct(batches):
         for batch in batches:
@@ -264,7 +267,6 @@ def train(
                 y += [label] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(y, pa.int32())], names=["w", "y"])
 
-    chosen = chosen.select("text", F.col("y").cast("int").alias("y"))
     table = chosen.mapInArrow(distinct, "w string, y int").groupBy("w").agg(
         F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     counts = chosen.groupBy("y").count().collect()
