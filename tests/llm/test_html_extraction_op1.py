@@ -45,3 +45,12 @@ def test_odd_pages(spark):
     got = sorted(((r.page_id, r.text[:9], r.n_chars) for r in main_text(df).collect()), key=str)
     assert got == sorted([(1, "", 0), (None, "", 0), (2, "x", 1), (2, "x", 1), (3, "word word", 20_000 * 11 - 2)], key=str)
     assert main_text(df.limit(0)).count() == 0 and main_text(df).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_names_and_hidden_are_compared_whole():
+    for attributes in ('class="overflow-hidden"', 'aria-hidden="false"', 'class="content no-sidebar"', 'class="post has-comments"',
+                       'id="share-price"', 'data-class="menu"', 'title="class=x hidden"'):
+        assert text_of(f"<body class='overflow-x-hidden'><div {attributes}><p>text of it</p></div></body>") == "text of it", attributes
+        assert text_of(f"<main {attributes}><p>text of it</p></main>") == "text of it", attributes
+    for attributes in ("hidden", 'hidden=""', 'style="color:red; display: none"', 'class="x sidebar"', "id=comments-list", 'class="site-footer"'):
+        assert text_of(f"<main><p>text of it</p><div {attributes}><p>not this</p></div></main>") == "text of it", attributes

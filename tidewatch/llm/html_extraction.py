@@ -27,22 +27,44 @@ CLOSES = {
     "th": {"td", "th"}, "option": {"option"},
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class, id or role names of what is not the article.
+# Class, id and role names of what is not the article, whole, after one of PLACES, or
+# as the first part of a longer name. Other parts of a name say nothing: no-sidebar, share-price.
 ASIDE_NAMES = frozenset(
     "ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer header login masthead menu modal nav navbar navigation newsletter notice popup promo promotion related "
-    "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+    "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
+    "page-footer post-footer entry-footer post-comments entry-comments article-comments related-posts".split())
+ASIDE_FIRST = frozenset(
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
+    "masthead menu nav navbar navigation newsletter popup promo sidebar signup social sponsor sponsored subscribe widget".split())
+PLACES = frozenset("site main global top bottom left right primary secondary".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 
-def _names(attributes: str) -> set[str]:
-    found = " ".join("".join(m) for m in NAMES.findall(attributes)).lower()
-    return set(re.split(r"[^a-z]+", found)) if found else set()
+def _named(attributes: str) -> bool:
+    """Whether a class, id or role name is one of what is not the article."""
+    for name in " ".join("".join(m) for m in NAMES.findall(attributes)).lower().split():
+        if name in ASIDE_NAMES:
+            return True
+        first, *others = re.split(r"[-_]+", name)
+        if others and (first in ASIDE_FIRST or first in PLACES and others[0] in ASIDE_NAMES and len(others) == 1):
+            return True
+    return False
+
+
+def _hidden(attributes: str) -> bool:
+    """Whether there is an attribute ``hidden``, or a style that shows nothing."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    return any(name.lower() == "hidden" or name.lower() == "style" and UNSHOWN.search("".join(values))
+               for name, *values in ATTRIBUTE.findall(attributes))
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, str]]:
@@ -103,8 +125,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
                 del stack[depth:]
             names = CLASS.search(attributes)
             name = tag + ("." + "".join(x or "" for x in names.groups()).strip().lower() if names else "")
-            aside = bool(stack and stack[-1][2]) or tag in ASIDE or bool(HIDDEN.search(attributes)) or (
-                tag not in ("html", "body", "article", "main") and not ASIDE_NAMES.isdisjoint(_names(attributes)))
+            aside = bool(stack and stack[-1][2]) or tag in ASIDE or _hidden(attributes) or (
+                tag not in ("html", "body", "article", "main") and _named(attributes))
             stack.append((tag, (stack[-1][1] + "/" if stack else "") + name, aside))
     if at < len(page):
         # A tag that is cut off at the end of the page is markup.
