@@ -54,3 +54,11 @@ def test_names_and_hidden_are_compared_whole():
         assert text_of(f"<main {attributes}><p>text of it</p></main>") == "text of it", attributes
     for attributes in ("hidden", 'hidden=""', 'style="color:red; display: none"', 'class="x sidebar"', "id=comments-list", 'class="site-footer"'):
         assert text_of(f"<main><p>text of it</p><div {attributes}><p>not this</p></div></main>") == "text of it", attributes
+
+
+def test_hosts_of_one_layout_keep_their_own_words(spark):
+    page = "<article><p>{1} {0}</p><p>same {2} end</p></article>"
+    # Both hosts have as many constant words and the same first ones; the other host's last is text here.
+    pages = [(k, f"http://h{h}.org/{k}", page.format(f"n{k}", "Read", f"w{h}")) for h in range(12) for k in range(6)]
+    rows = main_text(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    assert [r.text for r in rows if r.text != f"Read n{r.page_id}"] == []

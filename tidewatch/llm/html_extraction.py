@@ -242,16 +242,16 @@ def main_text(
         _host(url_col).alias("host"),
         F.concat_ws(" ", F.col(id_col).cast("string"), F.col(url_col).cast("string")).alias("key"))
     found = templates(rows.select("key", "host", "html"))
-    rows = rows.join(found, "host", "left").select("id", "url", "html", "root", "constant")
+    rows = rows.join(found, "host", "left").select("id", "url", "html", "root", "constant", "host")
 
     def extract(batches):
-        sets: dict[int, tuple[object, frozenset]] = {}
+        sets: dict[str, frozenset] = {}
         for batch in batches:
             texts = []
-            for page, root, constant in zip(*(batch.column(k) for k in (2, 3, 4))):
+            for page, root, constant, host in zip(*(batch.column(k) for k in (2, 3, 4, 5))):
                 # Rows of a host follow each other: its words are unpacked once.
                 words = constant.values
-                mark = (len(words), words[0].as_py() if len(words) else 0) if constant.is_valid and words is not None else None
+                mark = host.as_py() if constant.is_valid and words is not None else None
                 if mark is None:
                     known = frozenset()
                 elif mark in sets:
