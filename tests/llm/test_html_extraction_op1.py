@@ -62,3 +62,22 @@ def test_hosts_of_one_layout_keep_their_own_words(spark):
     pages = [(k, f"http://h{h}.org/{k}", page.format(f"n{k}", "Read", f"w{h}")) for h in range(12) for k in range(6)]
     rows = main_text(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
     assert [r.text for r in rows if r.text != f"Read n{r.page_id}"] == []
+
+
+def texts(spark, pages):
+    rows = main_text(spark.createDataFrame(list(pages), "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in rows}
+
+
+def test_root_is_the_common_ancestor_of_the_slots(spark):
+    page = ("<body><div class=top><p>Home of all</p></div><div class=post><h1>T{0}</h1><div class=entry><p>body {1}</p>"
+            "<p>more {0}</p></div></div><div class=low><article class=teaser><p>see {0}</p></article></div></body>")
+    got = texts(spark, ((k, f"http://d.org/{k}", page.format(k, f"w{k} " * 60)) for k in range(6)))
+    assert all(t == f"T{k}\n\nbody " + " ".join([f"w{k}"] * 60) + f"\n\nmore {k}" for k, t in got.items())
+    assert text_of(page.replace("article", "div").format(1, "w " * 60)).startswith("T1\n\nbody w")
+
+
+def test_most_text_overrides_a_name(spark):
+    page = "<body><div class=menu><p>go {0}</p></div><div class=widget><h2>T{0}</h2><p>{1}</p><div class=share><p>to {0}</p></div></div></body>"
+    got = texts(spark, ((k, f"http://e.org/{k}", page.format(k, f"word{k} " * 40)) for k in range(6)))
+    assert all(t == f"T{k}\n\n" + " ".join([f"word{k}"] * 40) for k, t in got.items())

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from collections import Counter
-from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import stored
+
 KEYS_KEPT = 200_000
+CHUNK = 64           # pages of a host that are searched together for frequent tokens
 LEAST_PAGES = 5      # hosts with fewer pages have no template of their own
 SHARE = 0.9          # of a host's pages that a template token stands in
+MOST_TEXT = 0.8      # of the text around it that an element holds to be the root
 
 # Names of HTML elements by their role.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LISTS = frozenset("ul ol dl blockquote figure".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
 ASIDE = frozenset("nav header footer aside form button select dialog menu".split())
 CLOSES = {
@@ -39,12 +42,13 @@ ASIDE_FIRST = frozenset(
     "masthead menu nav navbar navigation newsletter popup promo sidebar signup social sponsor sponsored subscribe widget".split())
 PLACES = frozenset("site main global top bottom left right primary secondary".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
-SPACE = re.compile(r"\s+")
+PART = re.compile(r"[\s/\x01\x02]+")
+NAMED, UNSEEN = MARKS = "\x01\x02"
 
 
 def _named(attributes: str) -> bool:
@@ -67,10 +71,11 @@ def _hidden(attributes: str) -> bool:
                for name, *values in ATTRIBUTE.findall(attributes))
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, str]]:
+def blocks(page: str | None, opened: list[str] | None = None) -> list[tuple[str, bool, str]]:
     """(path, aside, text) of the text blocks of a page in order.
 
-    The path names the open block elements and their classes. Inline elements do not end a block,
+    The path names the open block elements and their classes; an element that its names mark as aside
+    ends in NAMED, a hidden one in UNSEEN. ``opened`` receives the path of every block element. Inline elements do not end a block,
     ``br`` is white space. A paragraph ends where a block begins; what is never closed ends with
     its parent. ``aside`` marks what lies in a menu, header, footer, form or the like.
     """
@@ -83,7 +88,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
     def flush() -> None:
         if text:
             # Spaces next to a character reference count once it is decoded.
-            found = SPACE.sub(" ", html.unescape("".join(text))).strip()
+            found = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if found:
                 path, aside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
@@ -124,10 +129,15 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
             if depth is not None:
                 del stack[depth:]
             names = CLASS.search(attributes)
-            name = tag + ("." + "".join(x or "" for x in names.groups()).strip().lower() if names else "")
-            aside = bool(stack and stack[-1][2]) or tag in ASIDE or _hidden(attributes) or (
-                tag not in ("html", "body", "article", "main") and _named(attributes))
+            name = tag + ("." + PART.sub(" ", "".join(x or "" for x in names.groups())).strip().lower() if names else "")
+            if attributes and _hidden(attributes):
+                name += UNSEEN
+            elif attributes and tag not in ("html", "body", "article", "main") and _named(attributes):
+                name += NAMED
+            aside = bool(stack and stack[-1][2]) or tag in ASIDE or name[-1] in MARKS
             stack.append((tag, (stack[-1][1] + "/" if stack else "") + name, aside))
+            if opened is not None:
+                opened.append(stack[-1][1])
     if at < len(page):
         # A tag that is cut off at the end of the page is markup.
         text.append(re.sub(r"<[/!?A-Za-z][^<]*\Z", "", page[at:]))
@@ -135,12 +145,40 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
     return out
 
 
-def _in_article(path: str) -> bool:
-    return any(part.split(".")[0] in ("article", "main") for part in path.split("/"))
+def _tag(path: str) -> str:
+    part = path.rpartition("/")[2].rstrip(MARKS)
+    return part.partition(".")[0]
+
+
+def _under(path: str, root: str) -> bool:
+    return not root or path == root or path.startswith(root + "/")
+
+
+def _marked(path: str) -> bool:
+    """Whether the element itself is aside."""
+    return path[-1:] in (NAMED, UNSEEN) or _tag(path) in ASIDE
+
+
+def _above(path: str) -> list[str]:
+    """The path and those around it up to the page, which is "". An aside element ends the list."""
+    out = [path]
+    while path and not _marked(path):
+        path = path.rpartition("/")[0]
+        out.append(path)
+    return out
+
+
+def _aside(path: str, free: frozenset = frozenset()) -> bool:
+    """Whether an element of the path is aside. Those in ``free`` are not."""
+    while path:
+        if _marked(path) and path not in free:
+            return True
+        path = path.rpartition("/")[0]
+    return False
 
 
-def _token(path: str, word: str) -> int:
-    return int.from_bytes(blake2b(f"{path} {word}".encode(), digest_size=8).digest(), "little", signed=True)
+def _in_article(path: str) -> bool:
+    return any(part.split(".")[0] in ("article", "main") for part in path.split("/"))
 
 
 def _host(url_col: str):
@@ -148,78 +186,210 @@ def _host(url_col: str):
     return F.lower(host)
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, path, chars, pages, total, a, b) over pages (key, host, html).
+def _counted(page: str | None) -> tuple[Counter, Counter, Counter]:
+    """Counts of the tokens of a page, characters beneath its elements that are not in an aside one
+    deeper down, and characters that stand directly in its elements.
+
+    A token is an element, by its path, or (path, word) of a block. The page itself is the element ""."""
+    opened: list[str] = [""]
+    found = blocks(page, opened)
+    tokens, beneath, own = Counter(opened), Counter(), Counter()
+    for path, _, text in found:
+        words = text.split()
+        tokens.update((path, w) for w in words)
+        own[path] += len(text) + 1
+    for path, n in own.items():
+        for above in _above(path):
+            beneath[above] += n
+    return tokens, beneath, own
+
+
+def frequent(pages: DataFrame) -> DataFrame:
+    """(host, path, word): the tokens that stand in ``SHARE`` of the pages of some chunk of a host.
+
+    A token of that share of all of a host's pages has it in at least one chunk of any division, so
+    none is missed, and rare words are never moved. Pages are (host, html, times), see ``templates``."""
+    def search(batches):
+        # host: pages, their weight, weight of the pages of each token
+        seen: dict[str, list] = {}
+        held = 0
+
+        def rows(hosts) -> pa.RecordBatch:
+            nonlocal held
+            out: list[tuple] = []
+            for host in hosts:
+                _, n, weights = seen.pop(host)
+                held -= len(weights)
+                out += [(host, *(t if isinstance(t, tuple) else (t, None)))
+                        for t, w in weights.items() if w >= SHARE * n - 1e-6]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["host", "path", "word"])
 
-    A token is a word at the path of its block, or the path itself (``path`` set, ``chars`` its text).
-    a and b are sums of hashes of (page, count): equal for tokens with equal occurrence vectors, and
-    sums can be combined in any order, so no vector is ever held. ``total`` sums the counts."""
+        for batch in batches:
+            for host, page, times in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                mine = seen.setdefault(host, [0, 0.0, {}])
+                weights, before = mine[2], len(mine[2])
+                for token in _counted(page)[0]:
+                    weights[token] = weights.get(token, 0.0) + 1 / times
+                mine[0] += 1
+                mine[1] += 1 / times
+                held += len(weights) - before
+                if held > KEYS_KEPT:
+                    yield rows(list(seen))
+                elif mine[0] >= CHUNK:
+                    yield rows([host])
+        yield rows(list(seen))
+
+    return pages.select("host", "html", "times").mapInArrow(search, "host string, path string, word string").distinct()
+
+
+def occurrences(pages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(host, path, word, chars, own, pages, total, a, b) of the given tokens over pages (key, host, html, times).
+
+    ``word`` is null for an element; ``chars`` is its text, without that of aside elements in it, and
+    ``own`` what stands directly in it. a and b are sums of hashes of (page, count): equal for tokens
+    with equal occurrence vectors, and sums can be combined in any order, so no vector is ever held.
+    ``total`` sums the counts."""
     def count(batches):
         seen: dict[tuple, list] = {}
 
         def rows():
             found = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()),
-                 pa.array([k[2] for k in seen], pa.string()),
-                 *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(5))],
-                names=["host", "token", "path", "chars", "pages", "total", "a", "b"])
+                [*(pa.array([k[i] for k in seen], pa.string()) for i in range(3)),
+                 *(pa.array([v[i] for v in seen.values()], pa.float64()) for i in range(3)),
+                 *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3, 6))],
+                names=["host", "path", "word", "chars", "own", "pages", "total", "a", "b"])
             seen.clear()
             return found
 
-        ids: dict[tuple[str, str], int] = {}
+        wanted: dict[str, frozenset] = {}
         for batch in batches:
-            for key, host, page in zip(*(batch.column(k) for k in range(3))):
-                host, tokens, sizes = host.as_py(), Counter(), Counter()
-                for path, _, text in blocks(page.as_py()):
-                    tokens[path, None] += 1
-                    sizes[path] += len(text)
-                    tokens.update((path, w) for w in text.split())
-                x = zlib.crc32(key.as_py().encode())
-                y = zlib.crc32(key.as_py().encode(), 1)
-                if len(ids) > KEYS_KEPT:
-                    ids.clear()
-                for (path, word), n in tokens.items():
-                    token = ids.get((path, word))
-                    if token is None:
-                        token = ids[path, word] = _token(path, "" if word is None else word)
-                    slot = seen.get((host, token, path if word is None else None))
-                    if slot is None:
-                        slot = seen[host, token, path if word is None else None] = [0, 0, 0, 0, 0]
-                    slot[0] += sizes[path] if word is None else 0
-                    slot[1] += 1
-                    slot[2] += n
-                    slot[3] += (x * (2 * n + 1) ^ n * 0x9E3779B1) & 0x7FFFFFFF
-                    slot[4] += (y * (2 * n + 3) ^ n * 0x85EBCA6B) & 0x7FFFFFFF
+            for i, (key, host, page, times) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                known = wanted.get(host)
+                if known is None:
+                    if len(wanted) > 64:
+                        wanted.clear()
+                    known = wanted[host] = frozenset(
+                        t["path"] if t["word"] is None else (t["path"], t["word"]) for t in batch.column(4)[i].as_py())
+                x, y = key & 0x7FFFFFFF, (key >> 32) & 0x7FFFFFFF
+                tokens, beneath, own = _counted(page)
+                for token, n in tokens.items():
+                    if token not in known:
+                        continue
+                    path, word = token if isinstance(token, tuple) else (token, None)
+                    slot = seen.setdefault((host, path, word), [0.0, 0.0, 0.0, 0, 0, 0])
+                    slot[0] += (beneath[path] if word is None else n * (len(word) + 1)) / times
+                    slot[1] += own[path] / times if word is None else 0.0
+                    slot[2] += 1 / times
+                    slot[3] += n
+                    slot[4] += (x * (2 * n + 1) ^ n * 0x9E3779B1) & 0x7FFFFFFF
+                    slot[5] += (y * (2 * n + 3) ^ n * 0x85EBCA6B) & 0x7FFFFFFF
                 if len(seen) > KEYS_KEPT:
                     yield rows()
         yield rows()
 
-    found = pages.select("key", "host", "html").mapInArrow(
-        count, "host string, token long, path string, chars long, pages long, total long, a long, b long")
-    return found.groupBy("host", "token", "path").agg(*(F.sum(c).alias(c) for c in ("chars", "pages", "total", "a", "b")))
+    lists = tokens.groupBy("host").agg(F.collect_list(F.struct("path", "word")).alias("tokens"))
+    found = pages.join(stored(lists), "host").select("key", "host", "html", "times", "tokens").mapInArrow(
+        count, "host string, path string, word string, chars double, own double, pages double, total long, a long, b long")
+    return found.groupBy("host", "path", "word").agg(*(F.sum(c).alias(c) for c in ("chars", "own", "pages", "total", "a", "b")))
+
+
+def _root(chars: dict[str, float], own: dict[str, float], free: frozenset = frozenset()) -> tuple[str, str | None]:
+    """The root and the path of a title outside of it.
+
+    From the page inwards as long as one element holds ``MOST_TEXT`` of the text and is made of other
+    elements. An element lies in the nearest one around it that the template has. If no heading lies
+    in the root, it grows to the nearest element that also holds one, unless that is the whole body."""
+    inner: dict[str, list[str]] = {}
+    for path in chars:
+        if path and not _aside(path, free):
+            up = path.rpartition("/")[0]
+            while up not in chars and up:
+                up = up.rpartition("/")[0]
+            inner.setdefault(up, []).append(path)
+    root = ""
+    while True:
+        fit = [p for p in inner.get(root, ()) if _tag(p) not in LISTS and own[p] < chars[p] / 2]
+        best = max(fit, key=lambda p: (chars[p], p), default=None)
+        if best is None or chars[best] < max(1.0, MOST_TEXT * chars[root]):
+            break
+        root = best
+    if _tag(root) in ("", "html", "body"):
+        return root, None
+    heads = [p for p in chars if _tag(p) in HEADINGS and chars[p] >= 1 and (_heading(p) or not _aside(p, free))]
+    heads = [p for p in heads if _tag(p) == min(map(_tag, heads))]
+    if not heads or any(_under(p, root) for p in heads):
+        return root, None
+
+    def shared(path: str) -> str:
+        up = root
+        while up and not path.startswith(up + "/"):
+            up = up.rpartition("/")[0]
+        return up
+
+    title = max(heads, key=lambda p: (len(shared(p)), p))
+    up = shared(title)
+    return (up, None) if _tag(up) not in ("", "html", "body") else (root, title)
+
+
+def _template(rows: list[tuple]) -> tuple[str, str | None, list[str], list[tuple[str, str]]] | None:
+    """(root, title, free, constant) of a host from its tokens (path, word, chars, own, total, a, b)."""
+    size: Counter = Counter()
+    for path, word, _, _, *vector in rows:
+        # An element gives two tokens, its start and its end.
+        size[tuple(vector)] += 1 if word is not None else 2
+    chars = {r[0]: r[2] for r in rows if r[1] is None}
+    own = {r[0]: r[3] for r in rows if r[1] is None}
+    whole = dict(chars)
+    constant = sorted((r[0], r[1]) for r in rows if r[1] is not None and size[tuple(r[4:])] > 1)
+    weight = {(r[0], r[1]): r[2] for r in rows if r[1] is not None}
+    # What the site repeats is no slot.
+    for token in constant:
+        own[token[0]] = own.get(token[0], 0.0) - weight[token]
+        for path in _above(token[0]):
+            if path in chars:
+                chars[path] -= weight[token]
+    chars = {p: n if n >= 0.05 * whole[p] else 0.0 for p, n in chars.items()}
+    named = [p for p in chars if p.endswith(NAMED)]
+    total = chars.get("", 0.0) + sum(chars[p] for p in named)
+    free = frozenset(p for p in named if chars[p] > total / 2 and not _aside(p.rpartition("/")[0]))
+    for path in free:
+        for up in _above(path.rpartition("/")[0]):
+            if up in chars:
+                chars[up] += chars[path]
+    root, title = _root(chars, own, free)
+    return root, title, sorted(free), constant
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, root, constant): the template of every host with ``LEAST_PAGES`` pages and more.
+    """(host, root, title, free, constant): the template of every host with ``LEAST_PAGES`` pages and more.
 
     Tokens with one occurrence vector form a class; classes of at least two tokens that stand in
-    ``SHARE`` of the pages are valid. A class nests in the class that holds the longest path its own
-    paths begin with. Words of valid classes are ``constant``, what the site puts on every page; the
-    paths between them are the slots, and ``root`` is the element whose slots hold most text. Tokens
-    of less support are dropped before they meet, so a host's rows are bounded by its pages' size.
+    ``SHARE`` of the pages are valid. The start and end of an element are two tokens, so elements of
+    that support always belong to a valid class; words do if another token has their vector, and are
+    ``constant``, what the site puts on every page. Elements nest in the nearest valid one around
+    them, and what is in them without being constant is the text of their slots. ``root`` is the
+    nearest common ancestor of the slots with text, see ``_root``. Elements in ``free`` hold most of a
+    host's text, whatever their names say. Tokens of less support are dropped before they meet, so a
+    host's rows are bounded by its pages' size.
     """
-    sizes = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    tokens = occurrences(pages).join(sizes, "host").where(F.col("pages") >= SHARE * F.col("n"))
-    vector = ["host", "pages", "total", "a", "b"]
-    classes = tokens.groupBy(*vector).agg(
-        F.count("*").alias("size"), F.collect_list(F.when(F.col("path").isNull(), F.col("token"))).alias("words"),
-        F.collect_list(F.when(F.col("path").isNotNull(), F.struct("chars", "path"))).alias("slots"))
-    slots = classes.select("host", F.explode("slots").alias("s")).select("host", "s.chars", F.regexp_replace(
-        "s.path", "/[^/]*$", "").alias("parent"))
-    roots = slots.groupBy("host", "parent").agg(F.sum("chars").alias("chars")).groupBy("host").agg(
-        F.max(F.struct("chars", "parent"))["parent"].alias("root"))
-    constant = classes.where("size > 1").groupBy("host").agg(F.flatten(F.collect_list("words")).alias("constant"))
-    return roots.join(constant, "host", "left")
+    sizes = stored(pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES))
+    single = pages.join(sizes.select("host"), "host", "left_semi").withColumn("times", F.lit(1))
+    tokens = occurrences(single, frequent(single)).join(sizes, "host").where(F.col("pages") >= SHARE * F.col("n") - 1e-6)
+    fields = ("path", "word", "chars", "own", "total", "a", "b")
+
+    def build(batches):
+        for batch in batches:
+            found = [_template([tuple(r[f] for f in fields) for r in rows]) for rows in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([t[0] for t in found], pa.string()), pa.array([t[1] for t in found], pa.string()),
+                 pa.array([t[2] for t in found], pa.list_(pa.string())),
+                 pa.array([[{"path": p, "word": w} for p, w in t[3]] for t in found],
+                          pa.list_(pa.struct([("path", pa.string()), ("word", pa.string())])))],
+                names=["host", "root", "title", "free", "constant"])
+
+    return tokens.groupBy("host").agg(F.collect_list(F.struct(*fields)).alias("rows")).mapInArrow(
+        build, "host string, root string, title string, free array<string>, constant array<struct<path:string,word:string>>")
 
 
 def main_text(
@@ -227,11 +397,11 @@ def main_text(
 ) -> DataFrame:
     """One row per page: (id, url, text, n_chars).
 
-    The template of the page's host is worked out from all of its pages; a page's blocks that only
-    repeat words of the template are dropped, and of the remaining slots those of the article are
-    kept: what lies in ``article`` or ``main``, or else in the element that holds most of the host's
-    (or, with too few pages, of the page's) text, without menus, headers, footers, sidebars, forms,
-    adverts, notices and comments. Character references are decoded, white space inside a block is
+    The template of the page's host is worked out from all of its pages. A page that has the template's root gives the slots beneath it and the title; other pages
+    and hosts without a template give what lies in ``article`` or ``main``, or else in the root that
+    the page alone shows. Within these, menus, headers, footers, sidebars, forms, adverts, notices
+    and comments are left out, and blocks that only repeat words of the template are. A block with
+    a word of its own stays whole. Character references are decoded, white space inside a block is
     one space, blocks are trimmed and joined by an empty line.
 
     Null and empty html give an empty text. Null urls are one host. Null ids and repeated rows are
@@ -240,27 +410,22 @@ def main_text(
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"),
         _host(url_col).alias("host"),
-        F.concat_ws(" ", F.col(id_col).cast("string"), F.col(url_col).cast("string")).alias("key"))
-    found = templates(rows.select("key", "host", "html"))
-    rows = rows.join(found, "host", "left").select("id", "url", "html", "root", "constant", "host")
+        F.xxhash64(F.col(id_col).cast("string"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).alias("key"))
+    found = stored(templates(rows.select("key", "host", "html")))
+    rows = rows.join(found, "host", "left").select("id", "url", "html", "host", "root", "title", "free", "constant")
 
     def extract(batches):
-        sets: dict[str, frozenset] = {}
+        sets: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for page, root, constant, host in zip(*(batch.column(k) for k in (2, 3, 4, 5))):
-                # Rows of a host follow each other: its words are unpacked once.
-                words = constant.values
-                mark = host.as_py() if constant.is_valid and words is not None else None
-                if mark is None:
-                    known = frozenset()
-                elif mark in sets:
-                    known = sets[mark]
-                else:
+            for i, (page, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                # Rows of a host follow each other: its template is unpacked once.
+                if host not in sets:
                     if len(sets) > 64:
                         sets.clear()
-                    known = sets[mark] = frozenset(words.to_pylist())
-                texts.append("\n\n".join(article(blocks(page.as_py()), root.as_py(), known)))
+                    root, title, free, constant = (batch.column(k)[i].as_py() for k in range(4, 8))
+                    sets[host] = (root, frozenset((t["path"], t["word"]) for t in constant or ()), title, frozenset(free or ()))
+                texts.append("\n\n".join(article(blocks(page), *sets[host])))
             text = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), text, pa.array([len(t) for t in texts], pa.int64())],
@@ -270,25 +435,40 @@ def main_text(
     return rows.mapInArrow(extract, out).withColumnsRenamed({"id": id_col, "url": url_col})
 
 
-def article(found: list[tuple[str, bool, str]], root: str | None, constant: frozenset = frozenset()) -> list[str]:
+def article(
+    found: list[tuple[str, bool, str]], root: str | None, constant: frozenset = frozenset(),
+    title: str | None = None, free: frozenset = frozenset(),
+) -> list[str]:
     """The article's blocks of a page."""
-    inside = [x for x in found if _in_article(x[0])]
-    if inside:
+    if root is not None:
+        kept = [x for x in found if (_under(x[0], root) or x[0] == title) and (
+            not x[1] or not _aside(x[0], free) or _heading(x[0]) and x[0] != root)]
+        # Where elements of a slot are the article by their tags, with most of its text, these are taken.
+        if not _in_article(root):
+            inside = [x for x in kept if _in_article(x[0]) or x[0] == title]
+            if 2 * sum(len(x[2]) for x in inside) > sum(len(x[2]) for x in kept):
+                kept = inside
+    if root is None or not kept:
+        inside = [x for x in found if _in_article(x[0])]
         # Headings in the header of the article are its title.
-        kept = [x for x in inside if not x[1] or _title(x[0])]
-    else:
-        kept = [x for x in found if not x[1]]
-        if root is None or not any(x[0] == root or x[0].startswith(root + "/") for x in kept):
-            sizes: Counter = Counter()
-            for path, _, text in kept:
-                sizes[path.rpartition("/")[0]] += len(text)
-            root = max(sizes, key=lambda p: (sizes[p], p)) if sizes else ""
-        kept = [x for x in kept if x[0] == root or not root or x[0].startswith(root + "/")]
+        kept = [x for x in inside if not x[1] or _heading(x[0])]
+        if not inside:
+            own: Counter = Counter()
+            chars: Counter = Counter({"": 0})
+            for path, _, text in found:
+                own[path] += len(text)
+                for above in _above(path):
+                    chars[above] += len(text)
+            root, title = _root(chars, own)
+            kept = [x for x in found if not x[1] and _under(x[0], root) or x[0] == title]
     return [text for path, _, text in kept
-            if not constant or not all(_token(path, w) in constant for w in text.split())]
+            if not constant or not all((path, w) in constant for w in text.split())]
 
 
-def _title(path: str) -> bool:
-    parts = [p.split(".")[0] for p in path.split("/")]
-    last = max(i for i, p in enumerate(parts) if p in ("article", "main"))
-    return parts[-1] in HEADINGS and parts[last + 1:-1] in (["header"], ["header", "div"], ["header", "hgroup"])
+def _heading(path: str) -> bool:
+    """A heading in a header that is directly in the article, or in the root."""
+    parts = [p.rstrip(MARKS).split(".")[0] for p in path.split("/")]
+    if parts[-1] not in HEADINGS:
+        return False
+    last = max((i for i, p in enumerate(parts) if p in ("article", "main")), default=None)
+    return last is not None and parts[last + 1:-1] in (["header"], ["header", "div"], ["header", "hgroup"])
