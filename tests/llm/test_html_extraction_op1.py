@@ -81,3 +81,13 @@ def test_most_text_overrides_a_name(spark):
     page = "<body><div class=menu><p>go {0}</p></div><div class=widget><h2>T{0}</h2><p>{1}</p><div class=share><p>to {0}</p></div></div></body>"
     got = texts(spark, ((k, f"http://e.org/{k}", page.format(k, f"word{k} " * 40)) for k in range(6)))
     assert all(t == f"T{k}\n\n" + " ".join([f"word{k}"] * 40) for k, t in got.items())
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    text = "<nav><p>{0}</p></nav><article><h1>One title</h1><p>the same text of it</p><p>and more of it</p></article>"
+    whole = "One title\n\nthe same text of it\n\nand more of it"
+    # Repeated rows, equal html at other urls, and variants around one article.
+    pages = [(1, "http://f.org/a", text.format(0))] * 4 + [(k, f"http://f.org/a?utm={k}", text.format(k % 5)) for k in range(2, 40)]
+    pages += [(k, f"http://f.org/{k}", f"<article><h1>Other {k}</h1><p>its text {k * 7}</p></article>") for k in range(50, 53)]
+    got = texts(spark, pages)
+    assert {t for k, t in got.items() if k < 50} == {whole} and got[51] == "Other 51\n\nits text 357"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -13,7 +14,7 @@ from .common import stored
 
 KEYS_KEPT = 200_000
 CHUNK = 64           # pages of a host that are searched together for frequent tokens
-LEAST_PAGES = 5      # hosts with fewer pages have no template of their own
+LEAST_PAGES = 5      # hosts with fewer different pages have no template of their own
 SHARE = 0.9          # of a host's pages that a template token stands in
 MOST_TEXT = 0.8      # of the text around it that an element holds to be the root
 
@@ -362,8 +363,10 @@ def _template(rows: list[tuple]) -> tuple[str, str | None, list[str], list[tuple
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, root, title, free, constant): the template of every host with ``LEAST_PAGES`` pages and more.
+    """(host, root, title, free, constant): the template of every host with ``LEAST_PAGES`` different pages.
 
+    Pages (key, host, html) with equal ``contents`` are copies and count once: the one of the
+    smallest key stands for them, and where its row is repeated each takes its part (``times``).
     Tokens with one occurrence vector form a class; classes of at least two tokens that stand in
     ``SHARE`` of the pages are valid. The start and end of an element are two tokens, so elements of
     that support always belong to a valid class; words do if another token has their vector, and are
@@ -373,8 +376,17 @@ def templates(pages: DataFrame) -> DataFrame:
     host's text, whatever their names say. Tokens of less support are dropped before they meet, so a
     host's rows are bounded by its pages' size.
     """
-    sizes = stored(pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES))
-    single = pages.join(sizes.select("host"), "host", "left_semi").withColumn("times", F.lit(1))
+    known = stored(contents(pages))
+    copies = known.groupBy("host", "content", "key").agg(F.count("*").alias("times"))
+    groups = copies.groupBy("host", "content").agg(
+        F.min("key").alias("first"), F.sum("times").alias("rows"))
+    sizes = groups.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    # Most pages have no copy: only those that have are joined.
+    repeated = copies.join(groups.where("rows > 1"), ["host", "content"]).select(
+        "host", "key", F.when(F.col("key") == F.col("first"), F.col("times")).otherwise(0).alias("found"))
+    sizes, repeated = stored(sizes), stored(repeated)
+    single = pages.join(sizes.select("host"), "host", "left_semi").join(repeated, ["host", "key"], "left").withColumn(
+        "times", F.coalesce("found", F.lit(1))).where("times > 0")
     tokens = occurrences(single, frequent(single)).join(sizes, "host").where(F.col("pages") >= SHARE * F.col("n") - 1e-6)
     fields = ("path", "word", "chars", "own", "total", "a", "b")
 
@@ -392,12 +404,34 @@ def templates(pages: DataFrame) -> DataFrame:
         build, "host string, root string, title string, free array<string>, constant array<struct<path:string,word:string>>")
 
 
+def _content(page: str | None) -> str:
+    """The article's text as the page alone shows it, or all text beside menus and the like where
+    that is less than half of it, or else all text."""
+    found = blocks(page)
+    plain = "\n".join(x[2] for x in found if not x[1])
+    text = "\n".join(article(found, None))
+    return (text if 2 * len(text) >= len(plain) else plain) or "\n".join(x[2] for x in found)
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """(key, host, content): a hash of the text by which copies are told."""
+    def read(batches):
+        for batch in batches:
+            found = [int.from_bytes(blake2b(_content(p).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                     for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["key", "host", "content"])
+
+    return rows.select("key", "host", "html").mapInArrow(read, "key long, host string, content long")
+
+
 def main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
     """One row per page: (id, url, text, n_chars).
 
-    The template of the page's host is worked out from all of its pages. A page that has the template's root gives the slots beneath it and the title; other pages
+    The template of the page's host is worked out from all of its different pages (copies count
+    once). A page that has the template's root gives the slots beneath it and the title; other pages
     and hosts without a template give what lies in ``article`` or ``main``, or else in the root that
     the page alone shows. Within these, menus, headers, footers, sidebars, forms, adverts, notices
     and comments are left out, and blocks that only repeat words of the template are. A block with
