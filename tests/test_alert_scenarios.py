@@ -258,3 +258,36 @@ def test_records_can_be_read_back(spark, five):
     assert rows(back, "alert_id", "current_state", "effective_priority", "service") == rows(
         five.state_changes, "alert_id", "current_state", "effective_priority", "service")
     assert back.select("dedup_key", "identity_ms").distinct().count() == back.select("alert_id").distinct().count()
+
+
+def test_a_second_batch_run_replaces_the_first(spark, tmp_path):
+    from tidewatch import model
+    from tidewatch.sources.sinks import TopicFolders
+    sink = TopicFolders(str(tmp_path))
+    pipeline = AlertPipeline(raw(spark, scenarios()))
+    sink.write(pipeline.enriched.limit(0), model.NORMALIZED_TOPIC, 0)
+    sink.write(pipeline.groups.limit(0), model.GROUPS_TOPIC, 0)
+    pipeline.write(sink)
+    assert sink.read(spark, model.NORMALIZED_TOPIC, 0).count() == pipeline.enriched.count() > 0
+    assert sink.read(spark, model.GROUPS_TOPIC, 0).count() == pipeline.groups.count()
+
+
+def test_a_stream_with_a_new_checkpoint_is_refused_over_an_old_root(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from tidewatch.sources.sinks import TopicFolders
+    from tidewatch.streaming.jobs import each_batch
+    sink, folder = TopicFolders(str(tmp_path / "out")), str(tmp_path / "in")
+    spark.range(5).write.parquet(folder)
+
+    def run(checkpoint):
+        rows = spark.readStream.schema("id long").parquet(folder)
+        each_batch(rows, lambda df, i: sink.write(df, "t", i), str(tmp_path / checkpoint), True).awaitTermination()
+
+    run("a")
+    run("a")
+    with pytest.raises(StreamingQueryException, match="another run"):
+        run("b")
+    spark.range(7).write.mode("append").parquet(folder)
+    run("a")
+    assert spark.read.parquet(sink.path("t")).count() == 12

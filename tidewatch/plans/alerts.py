@@ -77,9 +77,11 @@ class AlertPipeline:
         step goes on from its files. Rows for a sink that only writes, as Kafka is, are kept in the
         shared folder and sent in their wire form. A lost executor costs at most the work since the
         last written topic. The texts are parsed once for the events and once for the dead letters,
-        which costs less than keeping all parsed texts.
+        which costs less than keeping all parsed texts. Topic folders of an earlier batch run with the
+        same ``batch_id`` are replaced.
         """
         reads = hasattr(sink, "read")
+        sink = sink.anew() if hasattr(sink, "anew") else sink  # rows of an earlier run are replaced
         step = copy.copy(self)  # its tables are replaced by written ones
 
         def kept(rows: DataFrame, topic: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,23 +10,64 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.sources import records
 
 
+def _place(spark: SparkSession, *parts: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(*parts)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def _finished(spark: SparkSession, folder: str) -> bool:
-    mark = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    files, mark = _place(spark, folder, "_SUCCESS")
+    return files.exists(mark)
+
+
+def _run_of(spark: SparkSession, note: str) -> str:
+    """The run noted for a folder; "" for none, or for a write outside of streams."""
+    files, path = _place(spark, note)
+    if not files.exists(path):
+        return ""
+    stream = files.open(path)
+    try:
+        return stream.readUTF()
+    finally:
+        stream.close()
+
+
+def _note_run(spark: SparkSession, note: str, run: str) -> None:
+    files, path = _place(spark, note)
+    stream = files.create(path, True)
+    try:
+        stream.writeUTF(run)
+    finally:
+        stream.close()
 
 
 @dataclass(frozen=True)
 class TopicFolders:
-    """Topics as Parquet folders. A micro-batch owns one folder. A folder that was written whole
-    stays as it is when its batch comes again after a restart: a hop that has read its files would
-    take new ones for new rows. A folder that was left unfinished is written anew."""
+    """Topics as Parquet folders. A micro-batch owns one folder. A folder that its own stream has
+    written whole stays as it is when its batch comes again after a restart: a hop that has read its
+    files would take new ones for new rows. A folder that was left unfinished is written anew.
+
+    The run of a folder, the id that a stream has from its checkpoint, is noted beside it, under
+    ``_runs``. A finished folder of another run is refused: batch ids begin at 0 again with a new
+    checkpoint, which needs a root of its own. ``anew`` replaces what an earlier batch run wrote."""
 
     root: str
+    replaces: bool = False
+
+    def anew(self) -> TopicFolders:
+        return replace(self, replaces=True)
 
     def write(self, rows: DataFrame, topic: str, batch_id: int) -> None:
-        folder = f"{self.root}/{topic}/batch={batch_id}"
-        if not _finished(rows.sparkSession, folder):
-            rows.write.mode("overwrite").parquet(folder)
+        spark = rows.sparkSession
+        folder, note = f"{self.root}/{topic}/batch={batch_id}", f"{self.root}/{topic}/_runs/{batch_id}"
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        if _finished(spark, folder):
+            if _run_of(spark, note) != run:
+                raise FileExistsError(f"{folder} holds the rows of another run; take another root")
+            if run or not self.replaces:
+                return
+        _note_run(spark, note, run)
+        rows.write.mode("overwrite").parquet(folder)
 
     def path(self, topic: str) -> str:
         return f"{self.root}/{topic}"
