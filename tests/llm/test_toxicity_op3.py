@@ -61,3 +61,21 @@ def test_gapped_and_inserted_insults(spark, odd, none):
     assert train(none, marks) is None and train(docs, marks.where("toxic = 1")) is None
     assert {r.score for r in toxicity(odd, None).collect()} == {0.0}
     assert np.isfinite(model[1]).all()
+
+
+def test_letters_of_all_scripts_stay_distinct():
+    for bad, same_length in (("дурак", "школа"), ("βλάκας", "θάλασσ"), ("غبي", "بيت"), ("मूर्ख", "मार्ग"), ("笨蛋", "学校"), ("éàü", "ûáé")):
+        value = kernel([bad, same_length], explicit([bad]))
+        assert value[0, 0] > 0.5 > value[1, 0], bad
+
+
+def test_insults_in_another_script(spark):
+    letters = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшжыз")
+    rows, labels = corpus(400, 3)
+    model = train(
+        spark.createDataFrame([(i, t.translate(letters)) for i, t in rows], "doc_id long, text string"),
+        spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fresh, truth = corpus(80, 4)
+    got = {r.doc_id: r.predicted for r in toxicity(spark.createDataFrame(
+        [(i, t.translate(letters)) for i, t in fresh], "doc_id long, text string"), model).collect()}
+    assert sum(got[i] == y for i, y in truth) >= 78

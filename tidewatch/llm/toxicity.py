@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -12,18 +14,26 @@ DECAY = 0.6        # weight of each letter that a subsequence spans
 SPAN = 7           # most letters that a subsequence of three spans
 PIECE = 24         # longer words are read in pieces that overlap by half
 LETTERS = 32
+OTHER = 256        # added to the code points of letters beside a to z
+HASHED_BITS = 17   # of the places of subsequences that hold such a letter
+PAD = LETTERS ** 3 + 2 ** HASHED_BITS
 WORDS_KEPT = 400_000
 NO_WORD = np.float32(-8.0)
 SURE = 0.6         # decision value from which a word counts as a hit
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 
 
+def _letter(c: int) -> bool:
+    # Vowel signs of the Indic and neighbouring scripts are letters of the word.
+    return chr(c).isalpha() or 0x900 <= c < 0x1100 and unicodedata.category(chr(c))[0] == "M"
+
+
 def _codes() -> np.ndarray:
     """Letter codes of the code points below 0x250; 255 is no letter, 26 the edge of a word."""
-    table = np.full(0x250, 255, np.uint8)
+    table = np.full(0x250, 255, np.int32)
     for c in range(0x250):
         if chr(c).isalpha():
-            table[c] = 28 + c % 4 if c >= 0x80 else ord(chr(c).lower()) - 97
+            table[c] = OTHER + c if c >= 0x80 else ord(chr(c).lower()) - 97
     return table
 
 
@@ -37,16 +47,17 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(w) for w in words])
     owner = np.repeat(np.arange(len(words)), sizes)
-    code = np.where(points < 0x250, CODES[np.minimum(points, 0x24F)], 27).astype(np.uint8)
-    for i in np.flatnonzero(points >= 0x250):
-        if not chr(points[i]).isalpha():
-            code[i] = 255
+    code = CODES[np.minimum(points, 0x24F)]
+    far = np.flatnonzero(points >= 0x250)
+    if len(far):
+        found, which = np.unique(points[far], return_inverse=True)
+        code[far] = np.array([OTHER + c if _letter(c) else 255 for c in found.tolist()], np.int32)[which]
     keep = code != 255
     code, owner = code[keep], owner[keep]
     n = np.bincount(owner, minlength=len(words))
     length = np.where(n, n + 2, 0)
     start = np.cumsum(length) - length
-    out = np.full(length.sum(), 26, np.uint8)
+    out = np.full(length.sum(), 26, np.int32)
     out[start[owner] + 1 + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]] = code
     return out, length
 
@@ -74,24 +85,40 @@ def _norms() -> np.ndarray:
 NORMS = _norms()
 
 
+def _places(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Places of subsequences. Those of a to z and edges have their own, the others hashed ones."""
+    place = (x * LETTERS + y) * LETTERS + z
+    other = (x | y | z) >= OTHER
+    if other.any():
+        a, b, c = (v[other].astype(np.uint32) for v in (x, y, z))
+        h = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F))
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + c * np.uint32(0xC2B2AE35)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0x297A2D39)
+        place[other] = LETTERS ** 3 + (h >> np.uint32(32 - HASHED_BITS)).astype(np.int32)
+    return np.where(z == 255, PAD, place)
+
+
 def subsequences(rows: np.ndarray):
-    """For every pair of steps: the codes of the three letters at each place, and their weight.
-    Places past a word have the code LETTERS ** 3."""
+    """For every pair of steps: the places of the three letters from each letter on, and their weight.
+    Beyond a word the place is PAD."""
+    plain = not (rows >= OTHER).any()
     for a, b in STEPS:
         w = rows.shape[1] - a - b
         if w > 0:
             x, y, z = rows[:, :w], rows[:, a:a + w], rows[:, a + b:a + b + w]
-            yield np.where(z == 255, LETTERS ** 3, (x * LETTERS + y) * LETTERS + z), DECAY ** (a + b + 1)
+            place = np.where(z == 255, PAD, (x * LETTERS + y) * LETTERS + z) if plain else _places(x, y, z)
+            yield place, DECAY ** (a + b + 1)
 
 
 def explicit(words: list[str]) -> np.ndarray:
     """(word, feature) weights of all subsequences, normalised: for landmarks only."""
     rows, size, owner = pieces(*coded(words))
-    out = np.zeros((len(words), LETTERS ** 3 + 1), np.float32)
+    out = np.zeros((len(words), PAD + 1), np.float32)
     for code, weight in subsequences(rows):
         np.add.at(out, (owner[:, None], code), np.float32(weight))
     out[:, -1] = 0
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
@@ -120,8 +147,10 @@ class WordScorer:
         if not words:
             return out
         rows, size, owner = pieces(*coded(words))
-        for low, high in ((0, 6), (6, 9), (9, 12), (12, 16), (16, PIECE)):
-            some = np.flatnonzero((size > low) & (size <= high))
+        # Words of a to z alone have the shorter way.
+        other = (rows >= OTHER).any(axis=1)
+        for low, high, kind in ((*r, k) for r in ((0, 6), (6, 9), (9, 12), (12, 16), (16, PIECE)) for k in (False, True)):
+            some = np.flatnonzero((size > low) & (size <= high) & (other == kind))
             for at in range(0, len(some), 4000):
                 k = some[at:at + 4000]
                 value = np.zeros(len(k), np.float32)
