@@ -6,7 +6,9 @@ from .exact_dedup import exact_groups
 from .hmm_score import hmm_scores
 from .html_extraction import main_text
 from .language_id import languages, train as train_languages
+from .merkle import tamper_proofs
 from .ngram_join import ngram_groups
+from .oracles import ORACLES
 from .packing import packed
 from .sharding import shards
 from .suffix_dedup import passage_dedup
@@ -64,14 +66,13 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    return tamper_proofs(docs, remainder("doc_id", 3) == 0, fields)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_template_extraction, op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op5_pigeonhole_decontamination,
-    op6_suffix_dedup, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup, op10_ngram_jaccard_join)}
-
-ORACLES = {
-    "op9_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-    """,
-}
+    op6_suffix_dedup, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup, op10_ngram_jaccard_join,
+    op11_merkle_manifest)}
