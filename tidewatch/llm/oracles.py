@@ -80,4 +80,22 @@ ORACLES = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
     "op11_merkle_manifest": _merkle(levels=7, upper=3),
+    "op13_line_dedup": f"""
+        WITH cut AS (
+          SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+        ),
+        lines AS (
+          SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS no FROM cut
+        ),
+        keyed AS (
+          SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines
+        ),
+        firsts AS (
+          SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10
+          GROUP BY key HAVING min(doc_id) <> max(doc_id)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first <> doc_id) AS n_dropped,
+          sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (first IS NULL OR first = doc_id), '')) AS kept_sha256
+        FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id
+    """,
 }

@@ -6,6 +6,7 @@ from .exact_dedup import exact_groups
 from .hmm_score import hmm_scores
 from .html_extraction import main_text
 from .language_id import languages, train as train_languages
+from .line_dedup import line_dedup
 from .merkle import tamper_proofs
 from .ngram_join import ngram_groups
 from .oracles import ORACLES
@@ -13,6 +14,7 @@ from .packing import packed
 from .sharding import shards
 from .suffix_dedup import passage_dedup
 from .toxicity import toxicity, train as train_toxicity
+from .whitening import whitened
 
 
 def _tokenizer() -> str:
@@ -72,7 +74,15 @@ def op11_merkle_manifest(spark, sf_dir):
     return tamper_proofs(docs, remainder("doc_id", 3) == 0, fields)
 
 
+def op12_embedding_whitening(spark, sf_dir):
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_template_extraction, op2_hmm_score, op3_kernel_toxicity, op4_pattern_packing, op5_pigeonhole_decontamination,
     op6_suffix_dedup, op7_byte_gru_language, op8_feistel_shards, op9_exact_dedup, op10_ngram_jaccard_join,
-    op11_merkle_manifest)}
+    op11_merkle_manifest, op12_embedding_whitening, op13_line_dedup)}
