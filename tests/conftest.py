@@ -19,15 +19,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
-
-
-@pytest.fixture
-def limit(spark):
-    """Sets the rows a key may have before it is cut in chunks."""
-    from tidewatch.operators.keyed import LIMIT_SETTING
-
-    def set_limit(rows):
-        spark.conf.set(LIMIT_SETTING, str(rows))
-
-    yield set_limit
-    spark.conf.unset(LIMIT_SETTING)

@@ -234,12 +234,15 @@ def test_a_sink_that_only_writes_gets_wire_records(spark):
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     from tidewatch.sources.sinks import TopicFolders
     sink = TopicFolders(str(tmp_path))
-    for _ in range(2):
-        sink.write(spark.range(5), "numbers", 3)
-        found = sorted(p.name for p in (tmp_path / "numbers" / "batch=3").glob("part-*"))
-    assert sink.read(spark, "numbers", 3).count() == 5
-    sink.write(spark.range(7), "numbers", 3)
-    assert found == sorted(p.name for p in (tmp_path / "numbers" / "batch=3").glob("part-*"))
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", "one stream")
+    try:
+        files = []
+        for rows in (5, 5, 7):
+            sink.write(spark.range(rows), "numbers", 3)
+            files.append(sorted(p.name for p in (tmp_path / "numbers" / "batch=3").glob("part-*")))
+        assert sink.read(spark, "numbers", 3).count() == 5 and files[0] == files[1] == files[2]
+    finally:
+        spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
 
 
 def test_records_can_be_read_back(spark, five):

@@ -7,10 +7,11 @@ import pandas as pd
 import pytest
 from helpers import T0
 
-from tidewatch.model import ORDER
 from tidewatch.operators import dedup, incidents, lifecycle
-from tidewatch.operators.extensions import quiet_flaps, scattered_withdrawals, split_late
-from tidewatch.operators.keyed import cut_in_chunks, hot_keys, scan_by_key, trailing_slices
+from tidewatch.operators.extensions import (
+    quiet_flaps, scattered_withdrawals, split_late, weighted_root_election,
+)
+from tidewatch.operators.keyed import CHUNK_MS, carried, trailing_slices, with_context
 from tidewatch.operators.payments import with_velocity
 from tidewatch.plans import oracles
 from pyspark.sql import functions as F
@@ -46,13 +47,14 @@ def frame(spark, seed):
         F.col("event_ms").cast("string").alias("event_timestamp"))
 
 
-def results(events):
-    grouped = dedup.deduplicate(events)
-    changes = lifecycle.state_changes(dedup.unique_alerts(grouped))
-    found = incidents.incident_changes(changes)
+def results(events, chunk_ms=CHUNK_MS):
+    grouped = dedup.deduplicate(events, chunk_ms)
+    changes = lifecycle.state_changes(dedup.unique_alerts(events, chunk_ms), chunk_ms).persist()
+    found = incidents.incident_changes(changes, chunk_ms).persist()
     return {
-        "groups": dedup.alert_groups(grouped), "changes": changes.drop("enriched_metadata"), "incidents": found,
-        "quiet": quiet_flaps(changes, F.lit(T0 + 10**12)),
+        "groups": dedup.alert_groups(grouped), "unique": dedup.unique_alerts(grouped),
+        "changes": changes.drop("enriched_metadata"), "incidents": found,
+        "quiet": quiet_flaps(changes, F.lit(T0 + 10**12), chunk_ms), "elected": weighted_root_election(found, chunk_ms),
     }
 
 
@@ -60,21 +62,17 @@ def plain(df):
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chunks_equal_one_window(spark, limit, seed):
-    events = frame(spark, seed)
-    limit(10_000)
-    whole = {name: plain(df) for name, df in results(events).items()}
-    limit(60)
-    found = hot_keys(events, "deduplication_key", "service")
-    assert found["deduplication_key"].count() >= 3 and found["service"].count() == 2
-    for name, df in results(events).items():
-        assert plain(df) == whole[name], name
+@pytest.mark.parametrize("seed", [2])
+def test_any_cut_gives_the_same(spark, seed):
+    events = frame(spark, seed).persist()
+    whole = {name: plain(df) for name, df in results(events, 10**13).items()}
+    for chunk_ms in (400_000, 7_000):
+        for name, df in results(events, chunk_ms).items():
+            assert plain(df) == whole[name], (name, chunk_ms)
 
 
 @pytest.mark.parametrize("seed", [1, 3, 4])
-def test_windows_equal_row_by_row_sql(spark, limit, seed):
-    limit(10_000)
+def test_chunks_equal_row_by_row_sql(spark, seed):
     found = results(frame(spark, seed))
     con = duckdb.connect()
     con.register("given", pd.DataFrame(
@@ -97,7 +95,7 @@ def test_windows_equal_row_by_row_sql(spark, limit, seed):
     assert [tuple(r) for r in mine] == rows
 
 
-def test_long_dense_toggle_chain_over_chunks(spark, limit):
+def test_long_dense_toggle_chain_over_a_thousand_chunks(spark):
     """One key that never falls silent: anchors depend on each other through all chunks."""
     pick = random.Random(9)
     rows, ms = [], T0
@@ -105,10 +103,10 @@ def test_long_dense_toggle_chain_over_chunks(spark, limit):
         ms += pick.choice([7_000, 40_000, 90_000])
         rows.append(("k", "Net", "svc", "prod", "FIRING" if seq % 2 else "RESOLVED", "P3", f"E{seq}", "h", ms, seq, 0))
     alerts = spark.createDataFrame(rows, COLUMNS).withColumnRenamed("rid", "resource_id")
-    limit(10_000)
-    whole = plain(lifecycle.state_changes(alerts).drop("enriched_metadata"))
-    limit(100)
-    assert plain(lifecycle.state_changes(alerts).drop("enriched_metadata")) == whole
+    whole = plain(lifecycle.state_changes(alerts, 10**13).drop("enriched_metadata"))
+    for chunk_ms in (CHUNK_MS, 30_000):
+        assert plain(lifecycle.state_changes(alerts, chunk_ms).drop("enriched_metadata")) == whole
+    assert len({r[8] // 30_000 for r in rows}) > 1000
     anchor, flips, expected = None, 0, []
     state, resolved = None, None
     for _, _, _, _, status, _, _, _, at, seq, _ in rows:     # the fold, told once more
@@ -124,26 +122,71 @@ def test_long_dense_toggle_chain_over_chunks(spark, limit):
     assert [r[0] for r in got] == expected
 
 
-def test_chunks_have_about_the_limit(spark, limit):
-    events = frame(spark, 5)
-    sizes = cut_in_chunks(events, "deduplication_key", "event_ms", 50).groupBy(
-        "deduplication_key", "_chunk").count().collect()
-    assert sum(r["count"] for r in sizes) == 900
-    assert max(r["count"] for r in sizes) <= 50 + 40      # a chunk ends with the bin that fills it
-
-
-@pytest.mark.parametrize("rows", [10_000, 20])
-def test_late_rows(spark, limit, rows):
-    limit(rows)
+@pytest.mark.parametrize("chunk_ms", [CHUNK_MS, 3_000])
+def test_late_rows(spark, chunk_ms):
     pick = random.Random(3)
     data = [("a", i * 1000, i, i * 1000 - pick.choice([0, 0, 5_000, 9_000, 15_000])) for i in range(200)]
+    data += [(None, i * 1000, i, i * 1000) for i in range(200)]
     df = spark.createDataFrame(data, "lane string, arrival_ms bigint, seq bigint, event_ms bigint")
     newest, expected = None, []
-    for _, _, seq, ms in data:
-        if newest is not None and ms < newest - 10_000:
+    for lane, _, seq, ms in data:
+        if lane and newest is not None and ms < newest - 10_000:
             expected.append(seq)
         newest = ms if newest is None else max(newest, ms)
-    assert sorted(r["seq"] for r in split_late(df).filter("late").collect()) == expected
+    out = split_late(df, chunk_ms=chunk_ms)
+    assert out.count() == 400 and sorted(r["seq"] for r in out.filter("late").collect()) == expected
+
+
+@pytest.mark.parametrize("chunk_ms", [10**9, 40, 1])
+def test_running_values_against_a_loop(spark, chunk_ms):
+    pick = random.Random(6)
+    data = [(pick.choice("aab"), t * pick.choice([1, 1, 3]), t, pick.choice([None, t, -t]), pick.random() < 0.2) for t in range(300)]
+    df = spark.createDataFrame(data, "k string, ms bigint, seq bigint, v bigint, m boolean").repartition(5)
+    v = F.col("v")
+    out = carried(
+        df, "k", ("ms", "seq"), prev={"prev": v}, total={"total": v}, since={"since": (F.coalesce(v, F.lit(0)), F.col("m"))},
+        peak={"peak": v}, first={"first": F.col("seq")}, chunk_ms=chunk_ms)
+    found = {r["seq"]: tuple(r[c] for c in ("prev", "total", "since", "peak", "first")) for r in out.collect()}
+    expected = {}
+    for key in "ab":
+        before, marked, total, since, first = [], False, None, 0, None
+        for _, _, seq, value, mark in sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2])):
+            first = seq if first is None else first
+            marked, since = marked or mark, 0 if mark else since
+            since += value or 0
+            total = total if value is None else (total or 0) + value
+            expected[seq] = (before[-1] if before else None, total, since if marked else None, max(before, default=None), first)
+            before += [value] if value is not None else []
+    wrong = {k: (found[k], expected[k]) for k in expected if (found[k][0], *found[k][2:]) != (expected[k][0], *expected[k][2:])}
+    assert not wrong and {k: v[1] for k, v in found.items()} == {k: v[1] for k, v in expected.items()}
+
+
+def test_resources_of_a_key_in_order_of_their_coming(spark):
+    rows = [("k", "N", "svc", "prod", "FIRING", "P3", f"E{n}", f"h{n * 7 % 11}", T0 + n * 90_000, n, 0) for n in range(40)]
+    events = spark.createDataFrame(rows, COLUMNS).select(
+        "*", F.col("rid").alias("resource_id"), F.col("event_ms").cast("string").alias("event_timestamp"))
+    for chunk_ms in (10**13, 100_000):
+        got = {r["seq"]: r["impacted_resources"] for r in dedup.alert_groups(dedup.deduplicate(events, chunk_ms)).collect()}
+        assert got == {n: sorted({r[7] for r in rows[:n + 1]}) for n in range(40)}
+
+
+def test_many_resources_of_one_key(spark):
+    """The last group of a key with 100,000 resources, without working out the lists on the way."""
+    events = spark.range(100_000, numPartitions=8).select(
+        F.lit("k").alias("deduplication_key"), F.lit("N").alias("alert_name"), F.lit("svc").alias("service"),
+        F.lit("prod").alias("environment"), F.lit("FIRING").alias("status"), F.concat(F.lit("E"), "id").alias("event_id"),
+        F.concat(F.lit("h"), "id").alias("resource_id"), (F.col("id") * 10 + T0).alias("event_ms"), F.col("id").alias("seq"),
+        F.lit(0).alias("alert_pos"), F.col("id").cast("string").alias("event_timestamp"))
+    last = dedup.latest_groups(dedup.alert_groups(dedup.deduplicate(events)), ("occurrence_count", "status")).collect()
+    assert [tuple(r) for r in last] == [("k", 100_000, "FIRING")]
+
+
+def test_building_a_pipeline_starts_no_job(spark):
+    events = frame(spark, 5)
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    for df in results(events).values():
+        df._jdf.queryExecution().executedPlan()
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
 
 
 def test_trailing_count_against_brute_force(spark):
@@ -183,7 +226,7 @@ def test_slices_keep_every_row_once(spark):
     assert cut.count() < 1300
 
 
-def test_scan_step_sees_no_chunk_column(spark, limit):
-    limit(60)
-    out = scan_by_key(frame(spark, 6), "deduplication_key", ORDER, lambda df, scan: scan.add(df, total={"n": F.lit(1)}))
-    assert "_chunk" not in out.columns and out.count() == 900
+def test_context_keeps_every_row_once(spark):
+    df = spark.range(1000).select((F.col("id") * 777).alias("ms"))
+    out = with_context(df, "ms", 60_000, 600_000, ahead_ms=30_000)
+    assert out.filter("_own").count() == 1000 and 1000 < out.count() < 1300

@@ -8,7 +8,7 @@ from helpers import T0, alert, on, raw, webhook
 from pyspark.sql import functions as F
 
 from tidewatch import model
-from tidewatch.operators import incidents, payments
+from tidewatch.operators import extensions, incidents, payments
 from tidewatch.plans.alerts import AlertPipeline
 from tidewatch.sources import records, sinks, streams, tables
 from tidewatch.streaming import jobs
@@ -69,7 +69,11 @@ def test_alert_hops_equal_batch(spark, tmp_path):
     changes = jobs.topic_stream(spark, sink, model.STATE_TOPIC)
     jobs.incident_job(changes, sink, str(tmp_path / "c3"), once=True, list_members=True).awaitTermination()
     expected = incidents.incident_records(batch.incident_changes)
-    equal(read(model.INCIDENT_TOPIC), expected)
+    found = read(model.INCIDENT_TOPIC)
+    equal(found, expected)
+    # ranks and remedies work on incidents of a stream as on those of a batch
+    for rank in (extensions.ranked_root_causes, lambda rows: extensions.remediation_commands(incidents.latest_incidents(rows))):
+        equal(rank(found), rank(batch.incident_changes))
 
     # what a topic of wire records would get
     wire = records.wire_json(read(model.INCIDENT_TOPIC), model.INCIDENT_TOPIC)
@@ -151,6 +155,79 @@ def test_line_sink_and_source(spark, tmp_path):
     assert streams.lines(spark, str(source)).select("source_id").distinct().count() == 2
 
 
+def test_equal_lines_are_different_records(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    texts = [f"line {k % 3}" for k in range(500)]
+    for name in ("a.txt", "b.txt"):
+        (source / name).write_text("\n".join(texts) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")      # several blocks to a file
+    try:
+        rows = streams.lines(spark, str(source))
+        assert rows.select("source_id").distinct().count() == 1000 and rows.rdd.getNumPartitions() > 4
+        found = rows.filter(F.col("source_id").contains("a.txt")).orderBy("seq").collect()
+        assert [r["value"] for r in found] == texts
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, streams.lines(spark, str(source)).collect()))
+        jobs.each_batch(
+            streams.line_stream(spark, str(source)), lambda df, i: df.write.mode("append").parquet(str(tmp_path / "out")),
+            str(tmp_path / "c"), True).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.read.parquet(str(tmp_path / "out")).select("source_id").distinct().count() == 1000
+
+
+def test_a_second_plain_write_fails(spark, tmp_path):
+    sink = sinks.TopicFolders(str(tmp_path))
+    sink.write(spark.range(3), "t", 0)
+    with pytest.raises(FileExistsError, match="anew"):
+        sink.write(spark.range(5), "t", 0)
+    sink.anew().write(spark.range(5), "t", 0)
+    assert sink.read(spark, "t", 0).count() == 5
+
+
+def test_a_reader_sees_no_part_of_a_micro_batch(spark, tmp_path):
+    """While the rows of a batch are being worked out and written, its folder does not exist."""
+    sink = sinks.TopicFolders(str(tmp_path))
+    sink.write(spark.range(3), "t", 0)
+    seen = spark.sparkContext.accumulator(0)
+    folder = str(tmp_path / "t")
+
+    def look(batches):
+        import glob
+        for batch in batches:
+            yield batch
+            seen.add(len(glob.glob(folder + "/batch=1/*")))
+
+    sink.write(spark.range(1000, numPartitions=6).mapInArrow(look, "id long"), "t", 1)
+    assert seen.value == 0 and spark.read.parquet(sink.path("t")).count() == 1003
+    assert not list((tmp_path / "t" / "_staging").iterdir())
+
+
+def test_change_stream_as_a_ledger(spark, tmp_path):
+    """Deletions and changes out of order, over micro-batches and a restart."""
+    def change(key, op, ms, seq, amount=None):
+        image = json.dumps({"transaction_id": key, "account_id": "A", "amount": str(amount), "currency": "EUR", "status": "S"})
+        after, before = ("null", image) if op == "d" else (image, "null")
+        return (f'{{"op":"{op}","ts_ms":{ms},"before":{before},"after":{after}}}', seq)
+
+    batches = [
+        [change("a", "c", 10, 0, 1), change("b", "c", 10, 1, 2), change("a", "u", 30, 2, 3)],
+        [change("a", "u", 20, 3, 4), change("b", "d", 40, 4), change("c", "c", 5, 5, 5), change("c", "d", 6, 6), change("c", "u", 6, 7, 6)],
+        [change("b", "u", 35, 8, 7), change("d", "d", 1, 9), change("e", "c", 9, 10, 8), ("not a change", 11)]]
+    sink, rows = sinks.TopicFolders(str(tmp_path / "out")), None
+    for part in batches:
+        df = spark.createDataFrame(part, "value string, seq bigint")
+        rows = df if rows is None else rows.unionByName(df)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        jobs.ledger_job(source, sink, str(tmp_path / "c"), once=True).awaitTermination()
+    images = spark.read.parquet(sink.path(model.LEDGER_ROWS_TOPIC)).drop("batch")
+    found, wanted = payments.last_images(images), payments.current_ledger(rows)
+    equal(found, wanted)
+    assert sorted(r["transaction_id"] for r in found.collect()) == ["a", "c", "e"]
+    assert images.filter("transaction_id = 'a'").count() == 1 and images.filter("deleted").count() == 2
+
+
 def test_audit_sink_merges_two_streams(spark, tmp_path):
     for name, text in (("pay", "payment"), ("fraud", "alert")):
         (tmp_path / name).mkdir()

@@ -1,3 +1,4 @@
+import random
 import time
 
 from helpers import T0
@@ -77,7 +78,7 @@ def test_quiet_flaps_clear_inside_a_batch(spark, tmp_path):
     out = streaming.quiet_flaps(stream(spark, frames[0], str(tmp_path / "in")))
     found = sorted((r["dedup_key"], r["cleared_ms"] - T0) for r in collected(spark, out, tmp_path).collect())
     every = frames[0].unionByName(frames[1])
-    wanted = batch.quiet_flaps(every, F.lit(T0), hot=None).collect()
+    wanted = batch.quiet_flaps(every, F.lit(T0)).collect()
     assert found == sorted((r["dedup_key"], r["cleared_ms"] - T0) for r in wanted)
     assert found == [("a", 600_000), ("b", 1_200_000), ("b", 1_900_000)]
 
@@ -101,3 +102,26 @@ def test_feedback_changes_the_status(spark, tmp_path):
         ("a", T0, 1, "In Progress", "alice"), ("b", T0, 2, "OPEN", None), ("b", T0, 3, "Resolved", "eve")}
     expected = batch.with_feedback(incidents, news)
     assert {tuple(r) for r in expected.drop("incident_id", "status_ms").collect()} == found
+
+
+def test_maintenance_over_micro_batches_and_a_restart(spark, tmp_path):
+    pick = random.Random(2)
+    events, windows, sink = [], [], sinks.TopicFolders(str(tmp_path / "out"))
+    known = lambda rows, name: rows.write.mode("append").parquet(str(tmp_path / name))     # noqa: E731
+    event_ddl, window_ddl = "resource_id string, event_ms bigint, seq bigint, alert_pos int", "ci string, from_ms bigint, to_ms bigint"
+    for part in range(3):
+        begin = T0 + part * 100_000
+        plans = [(f"h{pick.randrange(4)}", begin + pick.randrange(100) * 1000, 0) for _ in range(8)]
+        plans = [(ci, at, at + pick.choice([1_000, 20_000, 250_000])) for ci, at, _ in plans]
+        rows = [(pick.choice([f"h{pick.randrange(5)}", None]), begin + pick.randrange(100) * 1000, part * 200 + k, 0) for k in range(200)]
+        events, windows = events + rows, windows + plans
+        known(spark.createDataFrame(rows, event_ddl).coalesce(1), "ev")
+        known(spark.createDataFrame(plans, window_ddl).coalesce(1), "win")
+        read = lambda name, ddl: spark.readStream.schema(ddl).parquet(str(tmp_path / name))     # noqa: E731
+        out = streaming.maintenance(read("ev", event_ddl), read("win", window_ddl))
+        each_batch(out, lambda df, i: sink.write(df, "t", i), str(tmp_path / "c"), True).awaitTermination()
+    found = spark.read.parquet(sink.path("t")).select("resource_id", "event_ms", "seq", "alert_pos", "maintenance")
+    wanted = batch.tag_maintenance(
+        spark.createDataFrame(events, event_ddl), spark.createDataFrame(windows, window_ddl)).filter("resource_id IS NOT NULL")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.select(*found.columns).collect()))
+    assert 0 < found.filter("maintenance").count() < found.count()

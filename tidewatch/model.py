@@ -43,6 +43,7 @@ STATE_TOPIC = "alerts.state-changes"
 INCIDENT_TOPIC = "incidents.state-changes"
 PAYMENT_TOPIC = "banking-payments"
 LEDGER_TOPIC = "banking.public.bank_transactions"
+LEDGER_ROWS_TOPIC = "banking.ledger-rows"
 FRAUD_TOPIC = "fraud-alerts"
 
 # --- record schemas -------------------------------------------------------------------------

@@ -4,39 +4,49 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.text import polynomial_hash_hex
 from tidewatch.model import DEDUP_GAP_MS, ORDER
-from tidewatch.operators.keyed import Scan, scan_by_key
+from tidewatch.operators.keyed import CHUNK_MS, Keep, again, carried, in_chunk, with_context
 
+KEY = "deduplication_key"
 
-def _groups(events: DataFrame, scan: Scan) -> DataFrame:
-    resource_id = F.coalesce("resource_id", F.lit("default"))
-    rows = scan.add(
-        events,
-        prev={"_last": F.struct("event_ms", "status")},
-        total={"_n": F.lit(1)},
-        seen={"impacted_resources": resource_id},
-    )
-    first = F.col("_last").isNull()
-    reset = first | (F.col("event_ms") - F.col("_last.event_ms") > DEDUP_GAP_MS)
+
+def _flagged(events: DataFrame, chunk_ms: int) -> DataFrame:
+    """Events in chunks with ``_reset`` (they open a cycle) and ``is_new`` (or change the status).
+
+    An event looks back no further than the gap that ends a cycle, so both are known in its chunk.
+    """
+    rows = with_context(events, "event_ms", DEDUP_GAP_MS, chunk_ms)
+    window, _, _ = in_chunk(KEY, ORDER)
+    rows = rows.select("*", F.lag(F.struct("event_ms", "status")).over(window).alias("_last")).filter("_own").drop("_own")
+    near = F.coalesce(F.col("event_ms") - F.col("_last.event_ms") <= DEDUP_GAP_MS, F.lit(False))
     flipped = F.lower("status") != F.lower("_last.status")
-    rows = rows.withColumns({"_reset": reset, "is_new": reset | flipped})
-    # the group id is hashed only at a key's first event and carried from there
-    of_key = F.when(first, F.struct(
-        F.concat(F.lit("GRP-"), polynomial_hash_hex(F.col("deduplication_key"))).alias("group_id"),
-        "alert_name", "service", "environment"))
-    of_cycle = F.when(F.col("_reset"), F.struct(F.col("_n"), "event_ms", "event_timestamp"))
-    rows = scan.add(
-        rows.withColumns({"_key_here": of_key, "_cycle_here": of_cycle}),
-        prev={"_key_before": F.col("_key_here"), "_cycle_before": F.col("_cycle_here")},
-    )
-    of_key = F.coalesce("_key_here", "_key_before")
-    of_cycle = F.coalesce("_cycle_here", "_cycle_before")
-    return rows.withColumns({"_key": of_key, "_cycle": of_cycle}).select(
+    return rows.withColumns({"_reset": ~near, "is_new": ~near | flipped}).drop("_last")
+
+
+def deduplicate(events: DataFrame, chunk_ms: int = CHUNK_MS, keep: Keep = again) -> DataFrame:
+    """Every enriched event with the state of its alert group after it.
+
+    The event's own columns stay, so a row is the group record and its latest event in one;
+    ``is_new`` marks the events that go on to the life cycle.
+    """
+    rows = _flagged(events, chunk_ms)
+    of_cycle = F.when(F.col("_reset"), F.struct("event_ms", "event_timestamp"))
+    window, _, _ = in_chunk(KEY, ORDER)
+    label = F.concat(F.lit("GRP-"), polynomial_hash_hex(F.col(KEY)))
+    # the group id is hashed only at a chunk's first event and carried from there
+    group_id = F.when(F.row_number().over(window) == 1, label)
+    of_key = F.struct("_group_id", "alert_name", "service", "environment")
+    rows = carried(
+        rows.withColumns({"_cycle_here": of_cycle, "_group_id": group_id}), KEY, ORDER,
+        prev={"_cycle_before": F.col("_cycle_here")}, since={"_n": (F.lit(1), F.col("_reset"))}, first={"_first": of_key},
+        seen={"impacted_resources": F.coalesce("resource_id", F.lit("default"))}, keep=keep)
+    rows = rows.withColumn("_cycle", F.coalesce("_cycle_here", "_cycle_before"))
+    return rows.select(
         *events.columns,
-        F.col("_key.group_id").alias("group_id"),
-        F.col("_key.alert_name").alias("group_alert_name"),
-        F.col("_key.service").alias("group_service"),
-        F.col("_key.environment").alias("group_environment"),
-        (F.col("_n") - F.col("_cycle._n") + 1).alias("occurrence_count"),
+        F.col("_first._group_id").alias("group_id"),
+        F.col("_first.alert_name").alias("group_alert_name"),
+        F.col("_first.service").alias("group_service"),
+        F.col("_first.environment").alias("group_environment"),
+        F.col("_n").alias("occurrence_count"),
         F.col("_cycle.event_timestamp").alias("first_seen"),
         F.col("event_timestamp").alias("last_seen"),
         F.col("_cycle.event_ms").alias("first_seen_epoch_ms"),
@@ -46,15 +56,6 @@ def _groups(events: DataFrame, scan: Scan) -> DataFrame:
     )
 
 
-def deduplicate(events: DataFrame, hot="count") -> DataFrame:
-    """Every enriched event with the state of its alert group after it.
-
-    The event's own columns stay, so a row is the group record and its latest event in one;
-    ``is_new`` marks the events that go on to the life cycle.
-    """
-    return scan_by_key(events, "deduplication_key", ORDER, _groups, hot)
-
-
 def alert_groups(deduplicated: DataFrame) -> DataFrame:
     """The group record after every event."""
     return deduplicated.select(
@@ -80,8 +81,13 @@ UNIQUE_COLUMNS = (
 )
 
 
-def unique_alerts(deduplicated: DataFrame) -> DataFrame:
-    """The events that open a cycle or change the status, with what the life cycle needs."""
-    return deduplicated.filter("is_new").withColumn(
+def unique_alerts(events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """The events that open a cycle or change the status, with what the life cycle needs.
+
+    One shuffle of the enriched events. ``deduplicate`` marks the same events with ``is_new``, and
+    its rows serve as well.
+    """
+    rows = events if "is_new" in events.columns else _flagged(events, chunk_ms)
+    return rows.filter("is_new").withColumn(
         "resource_id", F.coalesce("resource_id", F.lit("unknown"))
     ).select(*UNIQUE_COLUMNS)

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch.functions.text import has_word
 from tidewatch.model import HIGH_VALUE_AMOUNT, ORDER
 from tidewatch.operators.incidents import INCIDENT, latest_incidents
-from tidewatch.operators.keyed import Scan, scan_by_key, trailing_slices, trailing_sum
+from tidewatch.operators.keyed import (
+    CHUNK_MS, Keep, again, carried, in_chunk, trailing_slices, trailing_sum, with_context,
+)
 from tidewatch.operators.payments import is_high, with_velocity
 from tidewatch.session import materialize
 
@@ -59,22 +61,23 @@ def cluster_key(labels: Column) -> Column:
     return F.concat_ws(":", tag("cluster"), tag("namespace"), tag("service"))
 
 
-def tag_clusters(events: DataFrame, hot="count") -> DataFrame:
+def tag_clusters(events: DataFrame, chunk_ms: int = 12 * CHUNK_MS, keep: Keep = again) -> DataFrame:
     """Groups of alerts that share their tags: times at which 15 and more of them lie within 15
     minutes. A group begins where the count of the trailing 15 minutes reaches 15 and lasts until
-    it falls below at an alert."""
+    it falls below at an alert.
+
+    Of 15 alerts within 15 minutes the one before the last is near enough to be seen in its chunk.
+    """
     keyed = events.select(cluster_key(F.col("labels")).alias("cluster_key"), "alert_name", *ORDER)
     counted = trailing_sum(
         trailing_slices(keyed, "event_ms", CLUSTER_MS), "cluster_key", ORDER, CLUSTER_MS, "window_count")
-
-    def groups(rows: DataFrame, scan: Scan) -> DataFrame:
-        rows = rows.withColumn("_dense", F.col("window_count") >= CLUSTER_ALERTS)
-        rows = scan.add(rows, prev={"_dense_before": F.col("_dense")})
-        begins = F.col("_dense") & ~F.coalesce(F.col("_dense_before"), F.lit(False))
-        rows = scan.add(rows.withColumn("_begins", begins.cast("long")), total={"group_no": F.col("_begins")})
-        return rows.filter("_dense").select("cluster_key", "group_no", "event_ms", "alert_name", "window_count")
-
-    return scan_by_key(counted, "cluster_key", ORDER, groups, hot).groupBy("cluster_key", "group_no").agg(
+    window, _, _ = in_chunk("cluster_key", ORDER)
+    dense = F.col("window_count") >= CLUSTER_ALERTS
+    rows = with_context(counted, "event_ms", CLUSTER_MS, chunk_ms).withColumn("_dense", dense)
+    begins = F.col("_dense") & ~F.coalesce(F.lag("_dense").over(window), F.lit(False))
+    rows = rows.withColumn("_begins", begins.cast("long")).filter("_own AND _dense").drop("_own")
+    rows = carried(rows, "cluster_key", ORDER, total={"group_no": F.col("_begins")}, keep=keep)
+    return rows.groupBy("cluster_key", "group_no").agg(
         F.min("event_ms").alias("reached_ms"), F.max("event_ms").alias("last_ms"),
         F.count(F.lit(1)).alias("alerts"), F.max("window_count").alias("most_together"),
         F.array_sort(F.collect_set("alert_name")).alias("alert_names"))
@@ -86,7 +89,9 @@ def bind_items(events: DataFrame, items: DataFrame) -> DataFrame:
     return events.join(item, F.col("resource_id") == F.col("ci"), "left")
 
 
-def tag_maintenance(events: DataFrame, windows: DataFrame, hot="count") -> DataFrame:
+def tag_maintenance(
+    events: DataFrame, windows: DataFrame, chunk_ms: int = CHUNK_MS, keep: Keep = again,
+) -> DataFrame:
     """Events with ``maintenance``: whether a planned window of their item covers them.
 
     Windows and events of an item are one row of times: an event is covered where the latest end of
@@ -95,15 +100,12 @@ def tag_maintenance(events: DataFrame, windows: DataFrame, hot="count") -> DataF
     begun = windows.select(
         F.col("ci").alias("resource_id"), F.col("from_ms").alias("_at"), F.lit(0).alias("_event"), F.col("to_ms").alias("_end"))
     there = events.filter("resource_id IS NOT NULL").select("*", F.col("event_ms").alias("_at"), F.lit(1).alias("_event"))
-    rows = there.unionByName(begun, allowMissingColumns=True)
-    order = ("_at", "_event", "seq", "alert_pos")
-
-    def mark(part: DataFrame, scan: Scan) -> DataFrame:
-        part = scan.add(part, peak={"_covered_to": F.col("_end")}).filter("_event = 1")
-        covered = F.coalesce(F.col("event_ms") < F.col("_covered_to"), F.lit(False))
-        return part.select(*events.columns, covered.alias("maintenance"))
-
-    marked = scan_by_key(rows.filter("resource_id IS NOT NULL"), "resource_id", order, mark, hot)
+    rows = there.unionByName(begun, allowMissingColumns=True).filter("resource_id IS NOT NULL")
+    rows = carried(
+        rows, "resource_id", ("_at", "_event", "seq", "alert_pos"), peak={"_covered_to": F.col("_end")}, chunk_ms=chunk_ms,
+        keep=keep)
+    covered = F.coalesce(F.col("event_ms") < F.col("_covered_to"), F.lit(False))
+    marked = rows.filter("_event = 1").select(*events.columns, covered.alias("maintenance"))
     nowhere = events.filter("resource_id IS NULL").withColumn("maintenance", F.lit(False))
     return marked.unionByName(nowhere)
 
@@ -150,6 +152,28 @@ def _earliest() -> Column:
     return F.struct(*[(-F.col(c)).alias(c) for c in ORDER])
 
 
+def weighted_root_election(incidents: DataFrame, chunk_ms: int = CHUNK_MS, keep: Keep = again) -> DataFrame:
+    """Root cause after every incident change by causal weight: an alert takes over only where its
+    weight is greater than that of all before it in the incident.
+
+    Incidents of a service follow one another, so the greatest (begin, weight, earliest place) so
+    far belongs to the incident of the row: a running maximum per service starts anew by itself.
+    """
+    here = F.struct(
+        F.col("created_at_epoch_ms").alias("begin"), F.col("created_seq").alias("begin_seq"),
+        causal_weight(F.col("alert_name")).alias("weight"), _earliest().alias("place"), "alert_id", "alert_name")
+    rows = carried(
+        incidents.withColumn("_here", here), "service", ORDER, peak={"_before": F.col("_here")}, chunk_ms=chunk_ms,
+        keep=keep)
+    root = F.greatest("_before", "_here")
+    rows = rows.withColumn("_elected", root)
+    top = F.col("_elected.weight") == CAUSAL_WEIGHTS[0][0]
+    return rows.select(
+        *INCIDENT, *ORDER, F.col("_elected.alert_id").alias("root_cause_alert_id"),
+        F.col("_elected.alert_name").alias("root_cause_alert_name"), F.col("_elected.weight").alias("weight"),
+        F.when(top, "P1").otherwise(F.col("priority")).alias("priority"))
+
+
 def weighted_root_causes(incidents: DataFrame) -> DataFrame:
     """Root cause per incident by causal weight: the first alert of the greatest weight."""
     weight = causal_weight(F.col("alert_name"))
@@ -213,14 +237,14 @@ def expired_alerts(changes: DataFrame, as_of_ms: Column) -> DataFrame:
         "dedup_key", "l.alert_id", "l.current_state", "l.last_ms", "verdict")
 
 
-def split_late(rows: DataFrame, key: str = "lane", hot="count") -> DataFrame:
-    """Rows in arrival order with ``late``: more than 10 s behind the newest time of their lane."""
-    def mark(part: DataFrame, scan: Scan) -> DataFrame:
-        part = scan.add(part, peak={"newest_ms": F.col("event_ms")})
-        return part.withColumn(
-            "late", F.coalesce(F.col("event_ms") < F.col("newest_ms") - LATENESS_MS, F.lit(False)))
-
-    return scan_by_key(rows, key, ("arrival_ms", "seq"), mark, hot)
+def split_late(rows: DataFrame, key: str = "lane", chunk_ms: int = CHUNK_MS, keep: Keep = again) -> DataFrame:
+    """Rows in arrival order with ``late``: more than 10 s behind the newest time of their lane.
+    Rows without a lane are a lane of their own."""
+    newest = carried(
+        rows.withColumn("_lane", F.struct(key)), "_lane", ("arrival_ms", "seq"), peak={"newest_ms": F.col("event_ms")},
+        chunk_ms=chunk_ms, keep=keep)
+    late = F.coalesce(F.col("event_ms") < F.col("newest_ms") - LATENESS_MS, F.lit(False))
+    return newest.select(*rows.columns, "newest_ms", late.alias("late"))
 
 
 def tickets(incidents: DataFrame) -> DataFrame:
@@ -260,20 +284,22 @@ def environment_priority(severity: Column, environment: Column) -> Column:
     ).otherwise(F.when(critical, "P2").when(middle, "P3").otherwise("P4"))
 
 
-def quiet_flaps(changes: DataFrame, as_of_ms: Column, hot="count") -> DataFrame:
-    """When flapping alerts would clear: ten minutes after a flapping row with no row after it."""
-    def gaps(rows: DataFrame, scan: Scan) -> DataFrame:
-        rows = scan.add(rows, prev={"_before": F.struct("current_state", "event_ms", "alert_id")})
-        silent = F.col("event_ms") - F.col("_before.event_ms") > FLAP_QUIET_MS
-        return rows.filter((F.col("_before.current_state") == "FLAPPING") & silent).select(
-            "dedup_key", "_before.alert_id", (F.col("_before.event_ms") + FLAP_QUIET_MS).alias("cleared_ms"))
+def quiet_flaps(changes: DataFrame, as_of_ms: Column, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """When flapping alerts would clear: ten minutes after a flapping row with no row after it.
 
+    The row after it is looked for no further away than that; only of the silent rows that are the
+    last of their key does ``as_of_ms`` decide.
+    """
     keyed = changes.select("dedup_key", "current_state", "alert_id", *ORDER)
-    last = keyed.groupBy("dedup_key").agg(
-        F.max_by(F.struct("current_state", "event_ms", "alert_id"), F.struct(*ORDER)).alias("l")
-    ).filter((F.col("l.current_state") == "FLAPPING") & (as_of_ms - F.col("l.event_ms") > FLAP_QUIET_MS))
-    at_end = last.select("dedup_key", "l.alert_id", (F.col("l.event_ms") + FLAP_QUIET_MS).alias("cleared_ms"))
-    return scan_by_key(keyed, "dedup_key", ORDER, gaps, hot).unionByName(at_end)
+    window, _, _ = in_chunk("dedup_key", ORDER)
+    rows = with_context(keyed, "event_ms", chunk_ms=chunk_ms, ahead_ms=FLAP_QUIET_MS)
+    gap = F.lead("event_ms").over(window) - F.col("event_ms")
+    silent = rows.withColumn("_silent", F.coalesce(gap > FLAP_QUIET_MS, F.lit(True))).filter(
+        (F.col("current_state") == "FLAPPING") & F.col("_silent") & F.col("_own"))
+    last = keyed.groupBy("dedup_key").agg(F.max(F.struct(*ORDER)).alias("_last"))
+    over = (F.struct(*ORDER) < F.col("_last")) | (as_of_ms - F.col("event_ms") > FLAP_QUIET_MS)
+    return silent.join(last, "dedup_key").filter(over).select(
+        "dedup_key", "alert_id", (F.col("event_ms") + FLAP_QUIET_MS).alias("cleared_ms"))
 
 
 def closed_cycles(groups: DataFrame, gap_ms: int) -> DataFrame:

@@ -1,11 +1,12 @@
-"""Running values over the ordered rows of a key, also where one key holds much of the data.
-
-A key with few rows is one window partition. A key with more rows than
-``spark.tidewatch.maxRowsPerKey`` is hot: its rows are cut, in time order, into chunks of about
-that many rows, each chunk is its own window partition, and what a chunk needs from the chunks
-before it is one summary row per chunk. All running values used by the operators can be
-combined this way: the last non-null or the greatest value before a row, a running sum, a
-running set.
+"""Running values over the ordered rows of a key, however many rows one key has.
+
+The rows of every key are cut by time into chunks of ``CHUNK_MS`` and each chunk is a window partition
+of its own. What a chunk needs from those before it is one summary row per chunk: summaries are
+combined along the key, which has as many of them as the data spans chunks of time, and are joined
+back. All keys go this one way; nothing is counted beforehand and building a plan starts no job.
+
+The rows with their running values inside a chunk are read twice, for the summaries and for the
+join. ``keep`` may store them in between, so that what comes before is worked out once (``kept``).
 """
 
 from __future__ import annotations
@@ -14,131 +15,133 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.session import materialize
-
-LIMIT_SETTING = "spark.tidewatch.maxRowsPerKey"
-DEFAULT_LIMIT = 1_000_000
-BIN_MS = 1_000
+CHUNK_MS = 3_600_000
 CHUNK = "_chunk"
 
 
-def row_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(LIMIT_SETTING, str(DEFAULT_LIMIT)))
+Keep = Callable[[DataFrame], DataFrame]
 
 
-def hot_keys(df: DataFrame, *keys: str) -> dict[str, DataFrame | None]:
-    """For each key column, a table of its values with more rows than the limit, or None.
+def again(df: DataFrame) -> DataFrame:
+    """Rows that are worked out again for each reader."""
+    return df
 
-    All columns are counted in one pass. The list that comes back to the driver has, per column,
-    fewer entries than the row count divided by the limit.
+
+def kept(df: DataFrame) -> DataFrame:
+    """Rows that are stored at their first use, for several readers.
+
+    They are cached blocks of the session, spilled to disk, and worked out again where an executor
+    is lost or after ``unpersist``, so dropping them costs time and never changes a result.
     """
-    together = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    single = F.explode(F.array(*[
-        F.struct(F.lit(key).alias("column"), F.col(key).alias("value")) for key in keys]))
-    counted = together.select(single.alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") > row_limit(df)).select("k.column", "k.value").collect()
-    tables = {}
-    for key in keys:
-        values = [(row["value"],) for row in found if row["column"] == key]
-        tables[key] = df.sparkSession.createDataFrame(values, f"`{key}` string") if values else None
-    return tables
-
-
-def cut_in_chunks(df: DataFrame, key: str, ms: str, limit: int) -> DataFrame:
-    """Add a chunk number per key: consecutive one-second bins, about ``limit`` rows together."""
-    spot = F.floor(F.col(ms) / BIN_MS)
-    bins = df.groupBy(key, spot.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = bins.select(
-        key, "_bin",
-        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / limit).alias(CHUNK),
-    )
-    return df.withColumn("_bin", spot).join(numbered, [key, "_bin"]).drop("_bin")
-
-
-class Scan:
-    """Adds running values to rows ordered within a key, or within chunks of a key."""
-
-    def __init__(self, key: str, order: Sequence[str], chunked: bool = False):
-        self.key, self.order, self.chunked = key, list(order), chunked
-        self.groups = [key, CHUNK] if chunked else [key]
-
-    @property
-    def position(self) -> Column:
-        return F.struct(*self.order)
-
-    def add(
-        self,
-        df: DataFrame,
-        prev: dict[str, Column] | None = None,
-        total: dict[str, Column] | None = None,
-        seen: dict[str, Column] | None = None,
-        peak: dict[str, Column] | None = None,
-    ) -> DataFrame:
-        """``prev``: last non-null value strictly before the row; ``peak``: greatest value strictly
-        before the row; ``total``: sum up to and with the row; ``seen``: sorted distinct values up
-        to and with the row."""
-        prev, total, seen, peak = prev or {}, total or {}, seen or {}, peak or {}
-        window = Window.partitionBy(*self.groups).orderBy(*self.order)
-        before = window.rowsBetween(Window.unboundedPreceding, -1)
-        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = {
-            **{n: F.last(c, ignorenulls=True).over(before) for n, c in prev.items()},
-            **{n: F.max(c).over(before) for n, c in peak.items()},
-            **{n: F.sum(c).over(upto) for n, c in total.items()},
-            **{n: F.array_sort(F.collect_set(c).over(upto)) for n, c in seen.items()},
-        }
-        if not self.chunked:
-            return df.select("*", *[c.alias(n) for n, c in local.items()])
-
-        summary = df.groupBy(*self.groups).agg(
-            *[F.max_by(c, F.when(c.isNotNull(), self.position)).alias(n) for n, c in prev.items()],
-            *[F.max(c).alias(n) for n, c in peak.items()],
-            *[F.sum(c).alias(n) for n, c in total.items()],
-            *[F.collect_set(c).alias(n) for n, c in seen.items()],
-        )
-        chunks_before = (
-            Window.partitionBy(self.key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        carried = summary.select(
-            *self.groups,
-            *[F.last(n, ignorenulls=True).over(chunks_before).alias("_in_" + n) for n in prev],
-            *[F.max(n).over(chunks_before).alias("_in_" + n) for n in peak],
-            *[F.sum(n).over(chunks_before).alias("_in_" + n) for n in total],
-            *[F.flatten(F.collect_list(n).over(chunks_before)).alias("_in_" + n) for n in seen],
-        )
-        joined = df.select("*", *[c.alias(n) for n, c in local.items()]).join(carried, self.groups)
-        combined = {
-            **{n: F.coalesce(F.col(n), F.col("_in_" + n)) for n in prev},
-            **{n: F.greatest(F.col(n), F.col("_in_" + n)) for n in peak},
-            **{n: F.col(n) + F.coalesce(F.col("_in_" + n), F.lit(0)) for n in total},
-            **{n: F.array_sort(F.array_union(F.col(n), F.col("_in_" + n))) for n in seen},
-        }
-        kept = [F.col(c) for c in df.columns]
-        return materialize(joined.select(*kept, *[c.alias(n) for n, c in combined.items()]))
-
-
-def scan_by_key(
+    return df.persist()
+
+
+def in_chunks(df: DataFrame, ms: str, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    return df.withColumn(CHUNK, F.floor(F.col(ms) / chunk_ms))
+
+
+def with_context(
+    df: DataFrame, ms: str, back_ms: int = 0, chunk_ms: int = CHUNK_MS, ahead_ms: int = 0,
+) -> DataFrame:
+    """Rows in their chunk and, as context, in those that look back ``back_ms`` or ahead ``ahead_ms`` to them.
+
+    Rows to report on have ``_own`` set. Whatever depends on rows no further away is known inside a
+    chunk this way, without a summary.
+    """
+    own = F.floor(F.col(ms) / chunk_ms)
+    seen_from, seen_to = F.floor((F.col(ms) - ahead_ms) / chunk_ms), F.floor((F.col(ms) + back_ms) / chunk_ms)
+    return (
+        df.withColumn("_home", own).withColumn(CHUNK, F.explode(F.sequence(seen_from, seen_to)))
+        .withColumn("_own", F.col(CHUNK) == F.col("_home")).drop("_home"))
+
+
+def in_chunk(key: str, order: Sequence[str]):
+    """The window of a chunk, and its frames before the row and up to and with it."""
+    window = Window.partitionBy(key, CHUNK).orderBy(*order)
+    return (window, window.rowsBetween(Window.unboundedPreceding, -1),
+            window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def chunks_before(key: str):
+    """The chunks of a key before a chunk."""
+    return Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def of_chunk(rows: DataFrame, entering: DataFrame, key: str) -> DataFrame:
+    """Rows with what enters their chunk, a table of (_key, _of, ...) with one row per chunk."""
+    return rows.join(entering, (F.col(key) == F.col("_key")) & (F.col(CHUNK) == F.col("_of"))).drop("_key", "_of")
+
+
+def carried(
     df: DataFrame,
     key: str,
     order: Sequence[str],
-    step: Callable[[DataFrame, Scan], DataFrame],
-    hot: DataFrame | None | str = "count",
+    prev: dict[str, Column] | None = None,
+    total: dict[str, Column] | None = None,
+    since: dict[str, tuple[Column, Column]] | None = None,
+    peak: dict[str, Column] | None = None,
+    first: dict[str, Column] | None = None,
+    seen: dict[str, Column] | None = None,
+    chunk_ms: int = CHUNK_MS,
+    keep: Keep = again,
 ) -> DataFrame:
-    """Run ``step`` on the rows of ordinary keys and, cut in chunks, on the rows of hot keys.
+    """Add running values over the rows of each key, and the chunk where rows are not cut yet.
 
-    ``hot`` is a table of hot keys, None where it is known that there are none, or "count" to
-    count the rows per key first.
+    ``prev``: last non-null value strictly before the row; ``peak``: greatest value strictly before
+    it; ``total``: sum up to and with the row; ``since``: of (value, mark), the sum from the last
+    marked row up to and with the row, null before any mark; ``first``: a non-null value of the key's
+    first row. Times ``order[0]`` are milliseconds; rows without a key are a key of their own.
     """
-    if isinstance(hot, str):
-        hot = hot_keys(df, key)[key]
-    if hot is None:
-        return step(df, Scan(key, order))
-    df = materialize(df)    # read for the ordinary keys, the hot keys and their time bins
-    ordinary = step(df.join(hot, key, "left_anti"), Scan(key, order))
-    rows = cut_in_chunks(df.join(hot, key, "left_semi"), key, order[0], row_limit(df))
-    chunked = step(materialize(rows), Scan(key, order, chunked=True))
-    return ordinary.unionByName(chunked.select(*ordinary.columns))
+    prev, total, since, peak, first, seen = prev or {}, total or {}, since or {}, peak or {}, first or {}, seen or {}
+    rows = df if CHUNK in df.columns else in_chunks(df, order[0], chunk_ms)
+    _, before, upto = in_chunk(key, order)
+    position = F.struct(*order)
+    rows = rows.select(
+        "*",
+        *[F.last(c, ignorenulls=True).over(before).alias(n) for n, c in prev.items()],
+        *[F.max(c).over(before).alias(n) for n, c in peak.items()],
+        *[F.sum(c).over(upto).alias(n) for n, c in total.items()],
+        *[F.first(c).over(upto).alias(n) for n, c in first.items()],
+        *[F.collect_set(c).over(upto).alias(n) for n, c in seen.items()],
+        *[F.sum(c).over(upto).alias("_t_" + n) for n, (c, _) in since.items()])
+    rows = rows.select("*", *[
+        F.last(F.when(mark, F.col("_t_" + n) - c), ignorenulls=True).over(upto).alias("_b_" + n)
+        for n, (c, mark) in since.items()])
+    rows = keep(rows)
+
+    summary = rows.groupBy(key, CHUNK).agg(
+        *[F.max_by(c, F.when(c.isNotNull(), position)).alias(n) for n, c in prev.items()],
+        *[F.max(c).alias(n) for n, c in peak.items()],
+        *[F.sum(c).alias(n) for n, c in total.items()],
+        *[F.min_by(c, position).alias(n) for n, c in first.items()],
+        *[F.collect_set(c).alias(n) for n, c in seen.items()],
+        *[F.sum(c).alias("_t_" + n) for n, (c, _) in since.items()],
+        *[F.max_by("_b_" + n, position).alias("_b_" + n) for n in since])
+    earlier = chunks_before(key)
+    summary = summary.select(
+        F.col(key).alias("_key"), F.col(CHUNK).alias("_of"), key, CHUNK,
+        *[F.last(n, ignorenulls=True).over(earlier).alias("_in_" + n) for n in prev],
+        *[F.max(n).over(earlier).alias("_in_" + n) for n in peak],
+        *[F.sum(n).over(earlier).alias("_in_" + n) for n in total],
+        *[F.first(n).over(earlier).alias("_in_" + n) for n in first],
+        *[F.array_distinct(F.flatten(F.collect_list(n).over(earlier))).alias("_in_" + n) for n in seen],
+        *[F.coalesce(F.sum("_t_" + n).over(earlier), F.lit(0)).alias("_c_" + n) for n in since],
+        *["_b_" + n for n in since])
+    summary = summary.select("*", *[
+        (F.col("_c_" + n) - F.last(F.col("_c_" + n) + F.col("_b_" + n), ignorenulls=True).over(earlier)).alias("_in_" + n)
+        for n in since]).drop(key, CHUNK, *["_b_" + n for n in since])
+    joined = of_chunk(rows, summary, key)
+    combined = {
+        **{n: F.coalesce(F.col(n), F.col("_in_" + n)) for n in prev},
+        **{n: F.greatest(F.col(n), F.col("_in_" + n)) for n in peak},
+        **{n: F.coalesce(F.col(n) + F.col("_in_" + n), n, "_in_" + n) for n in total},
+        **{n: F.coalesce(F.col("_in_" + n), F.col(n)) for n in first},
+        **{n: F.array_sort(F.array_union(F.col("_in_" + n), F.col(n))) for n in seen},
+        **{n: F.when(F.col("_b_" + n).isNotNull(), F.col("_t_" + n) - F.col("_b_" + n)).otherwise(
+            F.col("_in_" + n) + F.col("_t_" + n)) for n in since},
+    }
+    names = df.columns if CHUNK in df.columns else [*df.columns, CHUNK]
+    return joined.select(*names, *[c.alias(n) for n, c in combined.items()])
 
 
 SLICE_OF_WINDOWS = 5

@@ -115,19 +115,28 @@ def audit_rows(messages: DataFrame, alerts_json: DataFrame) -> DataFrame:
         alerts_json.select(F.lit(FRAUD_TOPIC).alias("topic"), "value"))
 
 
-def current_ledger(messages: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """The table a change stream describes: the last image per key, without deleted rows."""
+def ledger_images(messages: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Change records as the row after them: its columns, when it changed and whether it is deleted."""
     images = F.from_json("value", "op string, ts_ms bigint, before map<string,string>, after map<string,string>")
     rows = computed(messages.select("value", "seq"), c=images).filter("c.op IS NOT NULL").select(
         last_wins(F.coalesce(F.col("c.after"), F.col("c.before")))[key].alias(key),
-        last_wins(F.col("c.after")).alias("after"), F.struct("c.ts_ms", "seq").alias("at"),
-    )
-    last = rows.groupBy(key).agg(F.max_by("after", "at").alias("after"), F.max("at").alias("at"))
-    return last.filter("after IS NOT NULL").select(
+        last_wins(F.col("c.after")).alias("after"), F.col("c.ts_ms").alias("changed_ms"), "seq")
+    return rows.select(
         key,
         F.col("after")["account_id"].alias("account_id"),
         F.col("after")["amount"].cast("decimal(15,2)").alias("amount"),
         F.col("after")["currency"].alias("currency"),
         F.col("after")["status"].alias("status"),
-        F.col("at.ts_ms").alias("changed_ms"),
-    )
+        "changed_ms", "seq", F.col("after").isNull().alias("deleted"))
+
+
+def last_images(rows: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """The table that images describe: the last one per key, without deleted rows."""
+    fields = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct("changed_ms", "seq")).alias("r"))
+    return last.filter("NOT r.deleted").select(key, *(f"r.{c}" for c in fields if c not in ("seq", "deleted")))
+
+
+def current_ledger(messages: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """The table a change stream describes: the last image per key, without deleted rows."""
+    return last_images(ledger_images(messages, key), key)

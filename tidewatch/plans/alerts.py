@@ -1,30 +1,34 @@
 """The alert pipeline over one raw stream, as tables that share their upstream steps."""
 
-import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from tidewatch import model
 from tidewatch.operators import dedup, enrich, incidents, lifecycle, normalize
-from tidewatch.operators.keyed import hot_keys
+from tidewatch.operators.keyed import kept
 from tidewatch.session import materialize
 from tidewatch.sources import records
 
 
 class AlertPipeline:
-    """Raw webhook texts to events, groups, state changes and incidents.
+    """Raw webhook texts to events, groups, state changes and incidents, all of them lazy.
 
-    Keys and services are counted once, on the normalized events. The later steps see a subset of
-    these rows, so a key that is not hot there is not hot anywhere.
+    Rows that a step reads twice are stored in between (``keep``), so each result parses the texts
+    once. ``close`` gives the storage back; what is read later is worked out anew.
     """
 
     def __init__(self, raw: DataFrame):
         self.raw = raw
+        self._kept: list[DataFrame] = []
 
-    @cached_property
-    def _hot(self) -> dict[str, DataFrame | None]:
-        return hot_keys(self.normalized, "deduplication_key", "service")
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(kept(df))
+        return self._kept[-1]
+
+    def close(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -43,28 +47,31 @@ class AlertPipeline:
         return enrich.enriched_events(self.normalized)
 
     @cached_property
-    def hot_alerts(self) -> DataFrame | None:
-        return self._hot["deduplication_key"]
+    def events(self) -> DataFrame:
+        """The enriched events without the maps of their texts, which the states do not need."""
+        unused = ("labels", "annotations", "resource")
+        return self.enriched.select(*(c for c in self.enriched.columns if c not in unused))
 
     @cached_property
     def deduplicated(self) -> DataFrame:
-        return dedup.deduplicate(self.enriched, self.hot_alerts)
+        """Whole events with their groups."""
+        return dedup.deduplicate(self.enriched, keep=self.keep)
 
     @cached_property
     def groups(self) -> DataFrame:
-        return dedup.alert_groups(self.deduplicated)
+        return dedup.alert_groups(dedup.deduplicate(self.events, keep=self.keep))
 
     @cached_property
     def unique_alerts(self) -> DataFrame:
-        return dedup.unique_alerts(self.deduplicated)
+        return dedup.unique_alerts(self.events)
 
     @cached_property
     def state_changes(self) -> DataFrame:
-        return lifecycle.state_changes(self.unique_alerts, self.hot_alerts)
+        return lifecycle.state_changes(self.unique_alerts, keep=self.keep)
 
     @cached_property
     def incident_changes(self) -> DataFrame:
-        return incidents.incident_changes(self.state_changes, self._hot["service"])
+        return incidents.incident_changes(self.state_changes, keep=self.keep)
 
     @cached_property
     def incident_members(self) -> DataFrame:
@@ -82,21 +89,24 @@ class AlertPipeline:
         """
         reads = hasattr(sink, "read")
         sink = sink.anew() if hasattr(sink, "anew") else sink  # rows of an earlier run are replaced
-        step = copy.copy(self)  # its tables are replaced by written ones
+        step = AlertPipeline(self.raw)  # its tables are replaced by written ones
 
-        def kept(rows: DataFrame, topic: str) -> DataFrame:
+        def written(rows: DataFrame, topic: str) -> DataFrame:
             rows = rows if reads else materialize(rows)
             sink.write(rows, topic, batch_id)
             return sink.read(rows.sparkSession, topic, batch_id) if reads else rows
 
         sink.write(records.dead_letter_json(step.dead_letters), model.DEAD_LETTER_TOPIC, batch_id)
-        step.normalized = step.enriched = kept(step.enriched, model.NORMALIZED_TOPIC)
+        step.enriched = written(step.enriched, model.NORMALIZED_TOPIC)
         unused = ("labels", "annotations", "resource") if reads else ()
         needed = [c for c in step.deduplicated.columns if c not in unused]
         step.deduplicated = materialize(step.deduplicated.select(*needed))
-        sink.write(step.groups if reads else records.group_json(step.deduplicated), model.GROUPS_TOPIC, batch_id)
-        step.state_changes = kept(step.state_changes, model.STATE_TOPIC)
+        groups = (dedup.alert_groups if reads else records.group_json)(step.deduplicated)
+        sink.write(groups, model.GROUPS_TOPIC, batch_id)
+        step.unique_alerts = dedup.unique_alerts(step.deduplicated)
+        step.state_changes = written(step.state_changes, model.STATE_TOPIC)
         changes = step.incident_changes
         if not reads:
             changes = records.incident_json(incidents.incident_records(materialize(changes)))
         sink.write(changes, model.INCIDENT_TOPIC, batch_id)
+        step.close()

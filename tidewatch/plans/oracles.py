@@ -526,6 +526,14 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id OR
         """SELECT best.service, best.created AS created_at_epoch_ms, best.alert_id AS root_cause_alert_id,
       best.alert_name AS root_cause_alert_name, CAST(w AS BIGINT) AS weight,
       CASE WHEN w = 100 THEN 'P1' ELSE last.inc_priority END AS priority FROM best JOIN last USING (incident_id)"""),
+    "weighted_root_election": _w(_ACCEPTED + f""",
+weighed AS (SELECT *, {_WEIGHT} AS w FROM accepted)""",
+        """SELECT service, created AS created_at_epoch_ms, seq, alert_pos,
+      arg_max(alert_id, CAST(w AS BIGINT) * 1000000000 - i) OVER so_far AS root_cause_alert_id,
+      arg_max(alert_name, CAST(w AS BIGINT) * 1000000000 - i) OVER so_far AS root_cause_alert_name,
+      CAST(max(w) OVER so_far AS BIGINT) AS weight,
+      CASE WHEN max(w) OVER so_far = 100 THEN 'P1' ELSE inc_priority END AS priority
+      FROM weighed WINDOW so_far AS (PARTITION BY incident_id ORDER BY i ROWS UNBOUNDED PRECEDING)"""),
     "ranked_root_cause": _w(_ACCEPTED + f""",
 ranked AS (SELECT *, {_RANK} AS rk, min(own_priority) OVER (PARTITION BY incident_id) AS top_priority FROM accepted),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY rk, i) AS r FROM ranked) WHERE r = 1)""",

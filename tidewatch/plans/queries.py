@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import weakref
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,20 +14,41 @@ from tidewatch.functions.plan import computed
 from tidewatch.operators import access, contracts, extensions, incidents, payments, reports, results
 from tidewatch.operators.dedup import latest_groups
 from tidewatch.plans.alerts import AlertPipeline
-from tidewatch.session import materialize
 from tidewatch.sources import records, sinks, streams, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+_made: ContextVar[list[AlertPipeline]] = ContextVar("_made")
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
-    return build
+    """Register a query. What its pipelines keep is given back when its result is no longer held."""
+    @functools.wraps(build)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        token = _made.set([])
+        try:
+            found = build(spark, folder)
+            for pipeline in _made.get():
+                weakref.finalize(found, _close, pipeline).atexit = False
+        finally:
+            _made.reset(token)
+        return found
+
+    QUERIES[build.__name__] = run
+    return run
+
+
+def _close(pipeline: AlertPipeline) -> None:
+    if SparkSession.getActiveSession():
+        pipeline.close()
 
 
 def alert_pipeline(spark: SparkSession, folder: str) -> AlertPipeline:
-    return AlertPipeline(tables.webhooks(tables.events(spark, folder)))
+    pipeline = AlertPipeline(tables.webhooks(tables.events(spark, folder)))
+    made = _made.get(None)
+    if made is not None:
+        made.append(pipeline)
+    return pipeline
 
 
 def _long(*names: str) -> list[Column]:
@@ -183,7 +207,8 @@ def root_cause(spark, folder):
 
 @query
 def incident_records(spark, folder):
-    rows = incidents.incident_records(materialize(alert_pipeline(spark, folder).incident_changes))
+    pipeline = alert_pipeline(spark, folder)
+    rows = incidents.incident_records(pipeline.keep(pipeline.incident_changes))
     return rows.select(
         "incident_id", F.array_join("correlated_alert_ids", ",").alias("correlated_alert_ids"),
         F.array_join("correlated_alert_names", ",").alias("correlated_alert_names"),
@@ -201,11 +226,13 @@ def latest_group_per_alert(spark, folder):
 def result_bundle(spark, folder):
     """The three result streams as records under their topics, counted by what they name."""
     pipeline = alert_pipeline(spark, folder)
+    pipeline.enriched = pipeline.keep(pipeline.enriched)  # read for the groups and for the states
+    pipeline.state_changes = pipeline.keep(pipeline.state_changes)
+    changes = pipeline.keep(incidents.incident_changes(pipeline.state_changes, keep=pipeline.keep))
     bundle = sinks.result_bundle({
         model.GROUPS_TOPIC: records.group_json(pipeline.deduplicated),
         model.STATE_TOPIC: records.change_json(pipeline.state_changes),
-        model.INCIDENT_TOPIC: records.incident_json(
-            incidents.incident_records(materialize(pipeline.incident_changes))),
+        model.INCIDENT_TOPIC: records.incident_json(incidents.incident_records(changes)),
     })
     named = F.from_json("value", "groupId string, alertId string, incidentId string, alertName string, title string")
     return computed(bundle, r=named).groupBy(
@@ -449,7 +476,8 @@ def count_threshold(spark, folder):
 
 @query
 def tag_clusters(spark, folder):
-    return extensions.tag_clusters(alert_pipeline(spark, folder).normalized).withColumn(
+    pipeline = alert_pipeline(spark, folder)
+    return extensions.tag_clusters(pipeline.normalized, keep=pipeline.keep).withColumn(
         "alert_names", F.array_join("alert_names", ","))
 
 
@@ -463,7 +491,9 @@ def ci_binding(spark, folder):
 @query
 def maintenance_tags(spark, folder):
     windows = tables.maintenance_windows(tables.events(spark, folder, texts=False))
-    return extensions.tag_maintenance(alert_pipeline(spark, folder).normalized, windows).select(
+    pipeline = alert_pipeline(spark, folder)
+    events = pipeline.normalized.select("resource_id", *model.ORDER)
+    return extensions.tag_maintenance(events, windows, keep=pipeline.keep).select(
         *_long("seq", "alert_pos"), "maintenance")
 
 
@@ -485,6 +515,14 @@ def weighted_root_cause(spark, folder):
         *_long("weight"), "priority")
 
 
+@query
+def weighted_root_election(spark, folder):
+    pipeline = alert_pipeline(spark, folder)
+    return extensions.weighted_root_election(pipeline.incident_changes, keep=pipeline.keep).select(
+        "service", "created_at_epoch_ms", "root_cause_alert_id", "root_cause_alert_name",
+        *_long("weight", "seq", "alert_pos"), "priority")
+
+
 @query
 def ranked_root_cause(spark, folder):
     return extensions.ranked_root_causes(alert_pipeline(spark, folder).incident_changes).select(
@@ -494,7 +532,8 @@ def ranked_root_cause(spark, folder):
 
 @query
 def child_suppression(spark, folder):
-    return extensions.secondary_flags(materialize(alert_pipeline(spark, folder).incident_changes))
+    pipeline = alert_pipeline(spark, folder)
+    return extensions.secondary_flags(pipeline.keep(pipeline.incident_changes))
 
 
 @query
@@ -525,7 +564,8 @@ def tickets(spark, folder):
 @query
 def incident_feedback(spark, folder):
     """Feedback is taken from the incidents: the second alert starts work, the fifth solves it."""
-    changes = materialize(alert_pipeline(spark, folder).incident_changes)
+    pipeline = alert_pipeline(spark, folder)
+    changes = pipeline.keep(pipeline.incident_changes)
     at = F.col("is_first_of_alert")
     feedback = changes.filter(at & F.col("member_count").isin(2, 5)).select(
         *incidents.INCIDENT, F.when(F.col("member_count") == 2, "In Progress").otherwise("Resolved").alias("state"),
@@ -545,10 +585,7 @@ def environment_matrix(spark, folder):
 def quiet_flaps(spark, folder):
     pipeline = alert_pipeline(spark, folder)
     as_of = tables.events(spark, folder, texts=False).agg(F.max("ts_ms")).scalar()
-    hot = pipeline.hot_alerts
-    return extensions.quiet_flaps(
-        pipeline.state_changes, as_of,
-        hot and hot.withColumnRenamed("deduplication_key", "dedup_key"))
+    return extensions.quiet_flaps(pipeline.keep(pipeline.state_changes), as_of)
 
 
 @query
@@ -566,13 +603,14 @@ def scattered_withdrawals(spark, folder):
 @query
 def noise_reduction(spark, folder):
     pipeline = alert_pipeline(spark, folder)
-    return extensions.noise_reduction(pipeline.normalized, pipeline.incident_changes)
+    pipeline.events = pipeline.keep(pipeline.events)
+    return extensions.noise_reduction(pipeline.events, pipeline.incident_changes)
 
 
 @query
 def detection_delay(spark, folder):
-    latest = incidents.latest_incidents(
-        alert_pipeline(spark, folder).incident_changes, fields=("updated_at_epoch_ms",))
-    rows = materialize(latest.select(
+    pipeline = alert_pipeline(spark, folder)
+    latest = incidents.latest_incidents(pipeline.incident_changes, fields=("updated_at_epoch_ms",))
+    rows = pipeline.keep(latest.select(
         "service", (F.col("updated_at_epoch_ms") - F.col("created_at_epoch_ms")).cast("double").alias("open_ms")))
     return reports.percentiles(rows, "service", "open_ms", {"p50": 0.5, "p95": 0.95})

@@ -41,15 +41,27 @@ def _note_run(spark: SparkSession, note: str, run: str) -> None:
         stream.close()
 
 
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    files, path = _place(spark, target)
+    _, staged = _place(spark, source)
+    files.delete(path, True)
+    if not files.rename(staged, path):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 @dataclass(frozen=True)
 class TopicFolders:
     """Topics as Parquet folders. A micro-batch owns one folder. A folder that its own stream has
     written whole stays as it is when its batch comes again after a restart: a hop that has read its
     files would take new ones for new rows. A folder that was left unfinished is written anew.
 
+    Rows are written beside the topic and moved to its folder as a whole, so a reader of ``batch=*``
+    sees all of a micro-batch or none of it.
+
     The run of a folder, the id that a stream has from its checkpoint, is noted beside it, under
     ``_runs``. A finished folder of another run is refused: batch ids begin at 0 again with a new
-    checkpoint, which needs a root of its own. ``anew`` replaces what an earlier batch run wrote."""
+    checkpoint, which needs a root of its own. A write outside of streams is refused over a finished
+    folder as well, unless ``anew`` lets it replace what an earlier batch run wrote."""
 
     root: str
     replaces: bool = False
@@ -64,10 +76,14 @@ class TopicFolders:
         if _finished(spark, folder):
             if _run_of(spark, note) != run:
                 raise FileExistsError(f"{folder} holds the rows of another run; take another root")
-            if run or not self.replaces:
+            if run:
                 return
+            if not self.replaces:
+                raise FileExistsError(f"{folder} is written already; anew() replaces it")
         _note_run(spark, note, run)
-        rows.write.mode("overwrite").parquet(folder)
+        staged = f"{self.root}/{topic}/_staging/{batch_id}"
+        rows.write.mode("overwrite").parquet(staged)
+        _move(spark, staged, folder)
 
     def path(self, topic: str) -> str:
         return f"{self.root}/{topic}"

@@ -4,7 +4,12 @@ The Kafka options are kept here in one place. They need the Kafka source on the
 a plain PySpark installation does not bring, so the tests run on the file forms.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.model import LEDGER_TOPIC, PAYMENT_TOPIC, RAW, RAW_TOPIC
 
@@ -56,28 +61,43 @@ def message_files(spark: SparkSession, folder: str, per_trigger: int | None = No
     return reader.parquet(folder)
 
 
-def _line(value: Column) -> list[Column]:
-    path = F.col("_metadata.file_path")
-    return [
-        value.alias("value"), F.concat_ws("#", path, F.md5(value)).alias("source_id"),
-        F.xxhash64(path, value).alias("seq"),
-        F.unix_millis("_metadata.file_modification_time").alias("ingest_ms"),
-    ]
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the lines of every file block from the block's start: a line has a byte at least, so
+    numbers of different blocks do not meet, and they ascend along the file."""
+    block, lines = None, 0
+    for batch in batches:
+        numbers = []
+        for at in zip(batch["path"].to_pylist(), batch["block_start"].to_pylist()):
+            block, lines = (block, lines + 1) if at == block else (at, 0)
+            numbers.append(at[1] + lines)
+        yield pa.RecordBatch.from_arrays(
+            [batch["value"], batch["path"], pa.array(numbers, pa.int64()), batch["ingest_ms"]],
+            names=["value", "path", "seq", "ingest_ms"])
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    at = rows.select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"),
+        F.unix_millis("_metadata.file_modification_time").alias("ingest_ms"))
+    numbered = at.mapInArrow(_numbered, "value string, path string, seq bigint, ingest_ms bigint")
+    return numbered.select("value", F.concat_ws("#", "path", "seq").alias("source_id"), "seq", "ingest_ms")
 
 
 def line_stream(spark: SparkSession, folder: str, per_trigger: int | None = None) -> DataFrame:
     """A stream of text files, one record per line.
 
-    A text file tells no line numbers, so lines of one time are ordered by a hash of their text.
+    A line is known by its file and ``seq``, its number counted from the start of its block of the
+    file, so that equal lines are different records. Blocks are those of ``spark.sql.files.maxPartitionBytes``.
     """
     reader = spark.readStream
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.text(folder).select(*_line(F.col("value")))
+    return _lines(reader.text(folder))
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.text(folder).select(*_line(F.col("value")))
+    """The lines of text files, known as in ``line_stream``."""
+    return _lines(spark.read.text(folder))
 
 
 def ledger_snapshot(

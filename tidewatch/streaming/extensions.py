@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tidewatch.model import DEDUP_GAP_MS
+from tidewatch.model import DEDUP_GAP_MS, ORDER
 from tidewatch.operators.extensions import FLAP_QUIET_MS, LATENESS_MS
 from tidewatch.operators.incidents import INCIDENT
 from tidewatch.streaming.jobs import each_batch
@@ -140,3 +141,50 @@ def incident_status(incidents: DataFrame, feedback: DataFrame) -> DataFrame:
     return both.groupBy(*INCIDENT).transformWithState(
         FeedbackProcessor(),
         "service string, created_at_epoch_ms bigint, created_seq bigint, state string, assigned_to string", "append", "none")
+
+
+class MaintenanceProcessor(StatefulProcessor):
+    """Events of an item against the planned windows known so far.
+
+    The windows are held in the order of their begins, only those that reach further than all before
+    them, so the last one that has begun tells whether any covers an event.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.store = handle.getValueState("windows", "begins array<bigint>, ends array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        begins, ends = map(list, self.store.get()) if self.store.exists() else ([], [])
+        events = []
+        for row in rows:
+            if row["to_ms"] is None:
+                events.append((row["event_ms"], row["seq"], row["alert_pos"]))
+                continue
+            at = bisect.bisect_right(begins, row["event_ms"])
+            if at == 0 or ends[at - 1] < row["to_ms"]:
+                last = at
+                while last < len(ends) and ends[last] <= row["to_ms"]:
+                    last += 1
+                begins[at:last], ends[at:last] = [row["event_ms"]], [row["to_ms"]]
+        self.store.update((begins, ends))
+        for event_ms, seq, alert_pos in events:
+            at = bisect.bisect_right(begins, event_ms)
+            yield Row("resource_id", *ORDER, "maintenance")(
+                key[0], event_ms, seq, alert_pos, at > 0 and event_ms < ends[at - 1])
+
+    def close(self) -> None:
+        pass
+
+
+def maintenance(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """(resource_id, place of the event, maintenance): whether a planned window covers an event.
+
+    Windows count for the events of their own micro-batch and of later ones.
+    """
+    begun = windows.select(
+        F.col("ci").alias("resource_id"), F.col("from_ms").alias("event_ms"), F.lit(None).cast("bigint").alias("seq"),
+        F.lit(None).cast("int").alias("alert_pos"), "to_ms")
+    both = events.select("resource_id", *ORDER, F.lit(None).cast("bigint").alias("to_ms")).unionByName(begun)
+    return both.filter("resource_id IS NOT NULL").groupBy("resource_id").transformWithState(
+        MaintenanceProcessor(), "resource_id string, event_ms bigint, seq bigint, alert_pos int, maintenance boolean",
+        "append", "none")

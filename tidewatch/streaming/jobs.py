@@ -99,7 +99,8 @@ def alert_job(
 def incident_rows(changes: DataFrame, list_members: bool = False) -> DataFrame:
     rows = changes.select(
         "service", "environment", "alert_id", "alert_name", "dedup_key", "identity_ms",
-        "current_state", "effective_priority", *model.ORDER)
+        "current_state", "effective_priority",
+        F.col("enriched_metadata")["resource_id"].alias("resource_id"), *model.ORDER)
     return rows.groupBy("service").transformWithState(
         state.IncidentProcessor(model.CORRELATION_RULE, list_members),
         state.INCIDENT_OUT + (state.MEMBER_LISTS if list_members else ""), "append", "none")
@@ -141,6 +142,28 @@ def fraud_job(messages: DataFrame, sink, checkpoint: str, once: bool = False) ->
     return each_batch(counted, write, checkpoint, once)
 
 
+LEDGER_OUT = (
+    "transaction_id string, account_id string, amount decimal(15,2), currency string, status string, changed_ms bigint, "
+    "seq bigint, deleted boolean"
+)
+
+
+def ledger_rows(messages: DataFrame) -> DataFrame:
+    """Change records to the row of each key that they change: its last image, or that it is deleted.
+
+    A change older than the last one of its key is ignored, also where that was a deletion, so the
+    state remembers deleted keys.
+    """
+    return payments.ledger_images(messages).groupBy("transaction_id").transformWithState(
+        state.LedgerProcessor(), LEDGER_OUT, "append", "none")
+
+
+def ledger_job(messages: DataFrame, sink, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """A change stream to the rows by which its table changes, one per key and micro-batch."""
+    return each_batch(
+        ledger_rows(messages), lambda batch, batch_id: sink.write(batch, model.LEDGER_ROWS_TOPIC, batch_id), checkpoint, once)
+
+
 def topic_stream(
     spark: SparkSession, folders: TopicFolders, topic: str, per_trigger: int | None = None
 ) -> DataFrame:

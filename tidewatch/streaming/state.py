@@ -164,15 +164,18 @@ def _names(ddl: str) -> list[str]:
 
 INCIDENT_STATE = (
     "created_ms bigint, created_seq bigint, priority string, environment string, "
-    "root_id string, root_name string, updated_ms bigint, members bigint"
+    "root struct<alert_id: string, alert_name: string, dedup_key: string, identity_ms: bigint, resource_id: string>, "
+    "updated_ms bigint, members bigint"
 )
 INCIDENT_OUT = (
     "service string, status string, priority string, environment string, root_cause_alert_id string, "
     "root_cause_alert_name string, member_count bigint, correlation_rule string, "
     "created_at_epoch_ms bigint, created_seq bigint, updated_at_epoch_ms bigint, alert_id string, "
     "alert_name string, dedup_key string, identity_ms bigint, is_first_of_alert boolean, "
-    "event_ms bigint, seq bigint, alert_pos int"
+    "event_ms bigint, seq bigint, alert_pos int, alert_priority string, "
+    "root struct<alert_id: string, alert_name: string, dedup_key: string, identity_ms: bigint, resource_id: string>"
 )
+ROOT = ("alert_id", "alert_name", "dedup_key", "identity_ms", "resource_id")
 MEMBER_LISTS = ", correlated_alert_ids array<string>, correlated_alert_names array<string>"
 
 
@@ -206,12 +209,11 @@ class IncidentProcessor(StatefulProcessor):
                 listed = []
                 state = dict(
                     created_ms=ms, created_seq=row["seq"], priority=row["effective_priority"],
-                    environment=row["environment"], root_id=row["alert_id"],
-                    root_name=row["alert_name"], updated_ms=ms, members=0)
+                    environment=row["environment"], root=tuple(row[c] for c in ROOT), updated_ms=ms, members=0)
             else:
                 rooted = any(word in row["alert_name"].lower() for word in ROOT_CAUSE_WORDS)
                 if rooted:
-                    state.update(root_id=row["alert_id"], root_name=row["alert_name"])
+                    state["root"] = tuple(row[c] for c in ROOT)
                 if rooted or row["effective_priority"] == "P1":
                     state["priority"] = "P1"
                 state["updated_ms"] = ms
@@ -224,10 +226,11 @@ class IncidentProcessor(StatefulProcessor):
                     listed.append(entry)
             lists = ([m[1] for m in listed], [m[2] for m in listed]) if self.list_members else ()
             yield out(
-                service, "OPEN", state["priority"], state["environment"], state["root_id"],
-                state["root_name"], state["members"], self.rule, state["created_ms"],
+                service, "OPEN", state["priority"], state["environment"], *state["root"][:2],
+                state["members"], self.rule, state["created_ms"],
                 state["created_seq"], state["updated_ms"], row["alert_id"], row["alert_name"],
-                row["dedup_key"], row["identity_ms"], joins, ms, row["seq"], row["alert_pos"], *lists)
+                row["dedup_key"], row["identity_ms"], joins, ms, row["seq"], row["alert_pos"],
+                row["effective_priority"], tuple(state["root"]), *lists)
         if state is not None:
             self.store.update(tuple(state[name] for name in names))
 
@@ -261,3 +264,23 @@ class VelocityProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class LedgerProcessor(StatefulProcessor):
+    """The last image of a ledger key. Only the newest change of a micro-batch counts, so the rows
+    of a key are gone through once and not held."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.store = handle.getValueState("last", "changed_ms bigint, seq bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest = max(rows, key=lambda row: (row["changed_ms"], row["seq"]))
+        at = (newest["changed_ms"], newest["seq"])
+        if self.store.exists() and tuple(self.store.get()) >= at:
+            return
+        self.store.update(at)
+        names = ("account_id", "amount", "currency", "status", "changed_ms", "seq", "deleted")
+        yield Row("transaction_id", *names)(key[0], *(newest[name] for name in names))
+
+    def close(self) -> None:
+        pass
