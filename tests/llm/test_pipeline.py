@@ -4,6 +4,7 @@ from test_decontamination_op5 import edit
 from test_ngram_join_op10 import brute
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tidewatch.llm.common import stored, table
 from tidewatch.llm.decontamination import budget, plain
 from tidewatch.llm.queries import QUERIES
@@ -49,4 +50,16 @@ def test_stages(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
+
+
+def test_tables_without_labels_or_rows(spark, tmp_path):
+    """Where no document has a label the language stage keeps all; an empty table passes every stage."""
+    table(spark, FOLDER, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = table(spark, FOLDER, "documents").limit(40).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == 40
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0, name

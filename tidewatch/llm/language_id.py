@@ -120,13 +120,15 @@ def _cut(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_windows(
-    docs: DataFrame, text_col: str, lang_col: str, key: Column, per_lang: int, most_langs: int, width: int, each: int,
+    docs: DataFrame, text_col: str, lang_col: str, key: Column, per_lang: int, most_texts: int, width: int, each: int,
 ) -> list:
-    """Up to ``each`` windows, spread evenly, of about ``per_lang`` texts of every language."""
+    """Up to ``each`` windows, spread evenly, of about ``per_lang`` texts of every language, and of
+    fewer where there are so many languages that ``most_texts`` would not do, but of some of each."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), key.alias("key"))
     rows = rows.where("text is not null and lang is not null and length(text) > 0")
-    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
-    rows = rows.join(F.broadcast(langs), "lang").withColumn("place", F.col("key") * F.col("n"))
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    per_lang = min(per_lang, max(4, most_texts // max(1, langs.count())))
+    rows = rows.join(langs, "lang").withColumn("place", F.col("key") * F.col("n"))
 
     def windows(batches):
         for batch in batches:
@@ -144,21 +146,22 @@ def sample_windows(
 
     kept = rows.where(F.col("place") < per_lang).select("text", "lang", "place")
     found = kept.mapInArrow(windows, "lang string, place double, window binary")
-    return found.orderBy("place", "lang", "window").limit(most_langs * per_lang * each).collect()
+    return found.orderBy("place", "lang", "window").collect()
 
 
 def train(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, per_lang: int = 400,
-    most_langs: int = 64, hidden: int = 8, steps: int = 260, rows: int = 192, rate: float = 0.02, seed: int = 7,
+    most_texts: int = 40_000, hidden: int = 8, steps: int = 260, rows: int = 192, rate: float = 0.02, seed: int = 7,
 ) -> tuple[ByteGRU, list[str]] | None:
     """The network and its languages, learned from windows of a bounded sample of labelled texts.
 
-    About ``per_lang`` texts of each of the ``most_langs`` commonest languages, chosen by a hash of
-    the row, with up to 4 windows of ``WINDOW // 2`` bytes each. None where no labelled text is left.
+    About ``per_lang`` texts of every language, chosen by a hash of the row, with up to 4 windows of
+    ``WINDOW // 2`` bytes each; of more than 100 languages fewer texts each, so that about ``most_texts``
+    are taken in all. None where no labelled text is left.
     """
     width = WINDOW // 2
     key = F.abs(F.xxhash64(F.lit(seed), F.col(text_col))) / F.lit(float(2 ** 63)) if key is None else key
-    sample = sample_windows(docs, text_col, lang_col, key, per_lang, most_langs, width, 4)
+    sample = sample_windows(docs, text_col, lang_col, key, per_lang, most_texts, width, 4)
     if not sample:
         return None
     names = sorted({r.lang for r in sample})
@@ -244,7 +247,11 @@ def keep_known(
     docs: DataFrame, model: tuple[ByteGRU, list[str]] | None, least: float = 0.5, text_col: str = "text",
 ) -> DataFrame:
     """The documents, with all their columns, whose language is told with a score of ``least`` and
-    more; ``und`` goes. Rows are judged where they are read and not moved."""
+    more; ``und`` goes. Where nothing was learned nothing can be told, and all documents stay. Null,
+    empty and letterless texts go. Repeated rows and null ids are judged by their text; a long text is
+    read whole, an empty table stays empty. Rows are judged where they are read and not moved."""
+    if model is None:
+        return docs
     def keep(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
