@@ -14,7 +14,7 @@ from .common import stored
 
 KEYS_KEPT = 200_000
 CHUNK = 64           # pages of a host that are searched together for frequent tokens
-LEAST_PAGES = 5      # hosts with fewer different pages have no template of their own
+LEAST_PAGES = 2      # one page alone shows nothing that a host repeats
 SHARE = 0.9          # of a host's pages that a template token stands in
 MOST_TEXT = 0.8      # of the text around it that an element holds to be the root
 
@@ -187,18 +187,39 @@ def _host(url_col: str):
     return F.lower(host)
 
 
-def _counted(page: str | None) -> tuple[Counter, Counter, Counter]:
+# A page once it is read: its element paths, how often each is opened, and its blocks.
+PARSED = "paths array<string>, opened array<int>, at array<int>, aside array<boolean>, text array<string>"
+FIELDS = ("paths", "opened", "at", "aside", "text")
+_KINDS = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.string()))
+
+
+def parsed(page: str | None) -> tuple[list, ...]:
+    opened: list[str] = [""]
+    found = blocks(page, opened)
+    times = Counter(opened)
+    place = {path: k for k, path in enumerate(times)}
+    return list(times), list(times.values()), [place[b[0]] for b in found], [b[1] for b in found], [b[2] for b in found]
+
+
+def _blocks_of(paths: list, at: list, aside: list, text: list) -> list[tuple[str, bool, str]]:
+    return [(paths[k], a, t) for k, a, t in zip(at, aside, text)]
+
+
+def _pages(batch: pa.RecordBatch):
+    """The parsed pages of a batch, as lists in the order of FIELDS."""
+    return zip(*(batch.column(batch.schema.get_field_index(name)).to_pylist() for name in FIELDS))
+
+
+def _counted(paths: list, opened: list, at: list, aside: list, text: list) -> tuple[Counter, Counter, Counter]:
     """Counts of the tokens of a page, characters beneath its elements that are not in an aside one
     deeper down, and characters that stand directly in its elements.
 
     A token is an element, by its path, or (path, word) of a block. The page itself is the element ""."""
-    opened: list[str] = [""]
-    found = blocks(page, opened)
-    tokens, beneath, own = Counter(opened), Counter(), Counter()
-    for path, _, text in found:
-        words = text.split()
-        tokens.update((path, w) for w in words)
-        own[path] += len(text) + 1
+    tokens, beneath, own = Counter(dict(zip(paths, opened))), Counter(), Counter()
+    for k, t in zip(at, text):
+        path = paths[k]
+        tokens.update((path, w) for w in t.split())
+        own[path] += len(t) + 1
     for path, n in own.items():
         for above in _above(path):
             beneath[above] += n
@@ -209,7 +230,7 @@ def frequent(pages: DataFrame) -> DataFrame:
     """(host, path, word): the tokens that stand in ``SHARE`` of the pages of some chunk of a host.
 
     A token of that share of all of a host's pages has it in at least one chunk of any division, so
-    none is missed, and rare words are never moved. Pages are (host, html, times), see ``templates``."""
+    none is missed, and rare words are never moved. Pages are parsed ones with host and times, see ``templates``."""
     def search(batches):
         # host: pages, their weight, weight of the pages of each token
         seen: dict[str, list] = {}
@@ -227,10 +248,10 @@ def frequent(pages: DataFrame) -> DataFrame:
                 [pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["host", "path", "word"])
 
         for batch in batches:
-            for host, page, times in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for host, times, page in zip(batch["host"].to_pylist(), batch["times"].to_pylist(), _pages(batch)):
                 mine = seen.setdefault(host, [0, 0.0, {}])
                 weights, before = mine[2], len(mine[2])
-                for token in _counted(page)[0]:
+                for token in _counted(*page)[0]:
                     weights[token] = weights.get(token, 0.0) + 1 / times
                 mine[0] += 1
                 mine[1] += 1 / times
@@ -241,11 +262,11 @@ def frequent(pages: DataFrame) -> DataFrame:
                     yield rows([host])
         yield rows(list(seen))
 
-    return pages.select("host", "html", "times").mapInArrow(search, "host string, path string, word string").distinct()
+    return pages.select("host", "times", *FIELDS).mapInArrow(search, "host string, path string, word string").distinct()
 
 
 def occurrences(pages: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(host, path, word, chars, own, pages, total, a, b) of the given tokens over pages (key, host, html, times).
+    """(host, path, word, chars, own, pages, total, a, b) of the given tokens over parsed pages with key, host and times.
 
     ``word`` is null for an element; ``chars`` is its text, without that of aside elements in it, and
     ``own`` what stands directly in it. a and b are sums of hashes of (page, count): equal for tokens
@@ -265,15 +286,16 @@ def occurrences(pages: DataFrame, tokens: DataFrame) -> DataFrame:
 
         wanted: dict[str, frozenset] = {}
         for batch in batches:
-            for i, (key, host, page, times) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+            columns = (batch[name].to_pylist() for name in ("key", "host", "times"))
+            for i, (key, host, times, page) in enumerate(zip(*columns, _pages(batch))):
                 known = wanted.get(host)
                 if known is None:
                     if len(wanted) > 64:
                         wanted.clear()
                     known = wanted[host] = frozenset(
-                        t["path"] if t["word"] is None else (t["path"], t["word"]) for t in batch.column(4)[i].as_py())
+                        t["path"] if t["word"] is None else (t["path"], t["word"]) for t in batch["tokens"][i].as_py())
                 x, y = key & 0x7FFFFFFF, (key >> 32) & 0x7FFFFFFF
-                tokens, beneath, own = _counted(page)
+                tokens, beneath, own = _counted(*page)
                 for token, n in tokens.items():
                     if token not in known:
                         continue
@@ -290,7 +312,7 @@ def occurrences(pages: DataFrame, tokens: DataFrame) -> DataFrame:
         yield rows()
 
     lists = tokens.groupBy("host").agg(F.collect_list(F.struct("path", "word")).alias("tokens"))
-    found = pages.join(stored(lists), "host").select("key", "host", "html", "times", "tokens").mapInArrow(
+    found = pages.join(stored(lists), "host").select("key", "host", "times", *FIELDS, "tokens").mapInArrow(
         count, "host string, path string, word string, chars double, own double, pages double, total long, a long, b long")
     return found.groupBy("host", "path", "word").agg(*(F.sum(c).alias(c) for c in ("chars", "own", "pages", "total", "a", "b")))
 
@@ -344,6 +366,7 @@ def _template(rows: list[tuple]) -> tuple[str, str | None, list[str], list[tuple
     whole = dict(chars)
     constant = sorted((r[0], r[1]) for r in rows if r[1] is not None and size[tuple(r[4:])] > 1)
     weight = {(r[0], r[1]): r[2] for r in rows if r[1] is not None}
+    text_of = dict(own)
     # What the site repeats is no slot.
     for token in constant:
         own[token[0]] = own.get(token[0], 0.0) - weight[token]
@@ -359,25 +382,27 @@ def _template(rows: list[tuple]) -> tuple[str, str | None, list[str], list[tuple
             if up in chars:
                 chars[up] += chars[path]
     root, title = _root(chars, own, free)
-    return root, title, sorted(free), constant
+    # An element with text that differs is a slot, and whole: its blocks stay, whatever recurs in some.
+    fixed = [t for t in constant if not _in_article(t[0]) and own[t[0]] < 0.001 * text_of.get(t[0], 0.0)]
+    return root, title, sorted(free), fixed
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, root, title, free, constant): the template of every host with ``LEAST_PAGES`` different pages.
 
-    Pages (key, host, html) with equal ``contents`` are copies and count once: the one of the
+    Parsed pages with key, host and an equal ``content`` are copies and count once: the one of the
     smallest key stands for them, and where its row is repeated each takes its part (``times``).
     Tokens with one occurrence vector form a class; classes of at least two tokens that stand in
     ``SHARE`` of the pages are valid. The start and end of an element are two tokens, so elements of
     that support always belong to a valid class; words do if another token has their vector, and are
-    ``constant``, what the site puts on every page. Elements nest in the nearest valid one around
+    what the site puts on every page. ``constant`` are those of elements that hold nothing else; a
+    recurring paragraph of an element with text of its own, or in ``article`` or ``main``, is not. Elements nest in the nearest valid one around
     them, and what is in them without being constant is the text of their slots. ``root`` is the
     nearest common ancestor of the slots with text, see ``_root``. Elements in ``free`` hold most of a
     host's text, whatever their names say. Tokens of less support are dropped before they meet, so a
     host's rows are bounded by its pages' size.
     """
-    known = stored(contents(pages))
-    copies = known.groupBy("host", "content", "key").agg(F.count("*").alias("times"))
+    copies = pages.groupBy("host", "content", "key").agg(F.count("*").alias("times"))
     groups = copies.groupBy("host", "content").agg(
         F.min("key").alias("first"), F.sum("times").alias("rows"))
     sizes = groups.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
@@ -404,25 +429,29 @@ def templates(pages: DataFrame) -> DataFrame:
         build, "host string, root string, title string, free array<string>, constant array<struct<path:string,word:string>>")
 
 
-def _content(page: str | None) -> str:
+def _content(found: list[tuple[str, bool, str]]) -> str:
     """The article's text as the page alone shows it, or all text beside menus and the like where
     that is less than half of it, or else all text."""
-    found = blocks(page)
     plain = "\n".join(x[2] for x in found if not x[1])
     text = "\n".join(article(found, None))
     return (text if 2 * len(text) >= len(plain) else plain) or "\n".join(x[2] for x in found)
 
 
-def contents(rows: DataFrame) -> DataFrame:
-    """(key, host, content): a hash of the text by which copies are told."""
-    def read(batches):
+def read(rows: DataFrame) -> DataFrame:
+    """(id, url, host, key, content) and the PARSED page: html is read once, here. ``content`` is a
+    hash of the text by which copies are told."""
+    def parse(batches):
         for batch in batches:
-            found = [int.from_bytes(blake2b(_content(p).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                     for p in batch.column(2).to_pylist()]
+            found = [parsed(page) for page in batch.column(4).to_pylist()]
+            texts = [_content(_blocks_of(paths, *rest)).encode("utf-8", "replace") for paths, _, *rest in found]
+            content = [int.from_bytes(blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["key", "host", "content"])
+                [*batch.columns[:4], pa.array(content, pa.int64()), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(_KINDS))],
+                names=["id", "url", "host", "key", "content", *FIELDS])
 
-    return rows.select("key", "host", "html").mapInArrow(read, "key long, host string, content long")
+    rows = rows.select("id", "url", "host", "key", "html")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("html").schema)
+    return rows.mapInArrow(parse, f"{kinds}, content long, {PARSED}")
 
 
 def main_text(
@@ -434,9 +463,9 @@ def main_text(
     once). A page that has the template's root gives the slots beneath it and the title; other pages
     and hosts without a template give what lies in ``article`` or ``main``, or else in the root that
     the page alone shows. Within these, menus, headers, footers, sidebars, forms, adverts, notices
-    and comments are left out, and blocks that only repeat words of the template are. A block with
-    a word of its own stays whole. Character references are decoded, white space inside a block is
-    one space, blocks are trimmed and joined by an empty line.
+    and comments are left out, and so is what elements hold that say the same on every page. A
+    paragraph stays whole, however often the article's host repeats it. Character references are decoded, white space inside a block is
+    one space, blocks are trimmed and joined by an empty line. Pages are parsed once, to a stored table.
 
     Null and empty html give an empty text. Null urls are one host. Null ids and repeated rows are
     rows of their own. An empty table gives no rows; other columns are not looked at.
@@ -445,24 +474,25 @@ def main_text(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"),
         _host(url_col).alias("host"),
         F.xxhash64(F.col(id_col).cast("string"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).alias("key"))
-    found = stored(templates(rows.select("key", "host", "html")))
-    rows = rows.join(found, "host", "left").select("id", "url", "html", "host", "root", "title", "free", "constant")
+    rows = stored(read(rows))
+    found = stored(templates(rows.select("key", "host", "content", *FIELDS)))
+    rows = rows.select("id", "url", "host", *FIELDS).join(found, "host", "left")
 
     def extract(batches):
         sets: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for i, (page, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            for i, (host, (paths, _, *rest)) in enumerate(zip(batch["host"].to_pylist(), _pages(batch))):
                 # Rows of a host follow each other: its template is unpacked once.
                 if host not in sets:
                     if len(sets) > 64:
                         sets.clear()
-                    root, title, free, constant = (batch.column(k)[i].as_py() for k in range(4, 8))
+                    root, title, free, constant = (batch[name][i].as_py() for name in ("root", "title", "free", "constant"))
                     sets[host] = (root, frozenset((t["path"], t["word"]) for t in constant or ()), title, frozenset(free or ()))
-                texts.append("\n\n".join(article(blocks(page), *sets[host])))
+                texts.append("\n\n".join(article(_blocks_of(paths, *rest), *sets[host])))
             text = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), text, pa.array([len(t) for t in texts], pa.int64())],
+                [batch["id"], batch["url"], text, pa.array([len(t) for t in texts], pa.int64())],
                 names=["id", "url", "text", "n_chars"])
 
     out = rows.select("id", "url").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
