@@ -1,5 +1,6 @@
 """The five scenarios and the branches they miss, with exact results."""
 
+import json
 import uuid
 
 import pytest
@@ -180,6 +181,23 @@ def test_fallbacks(spark):
     assert events[4]["fingerprint"] == str(expected)
 
 
+def test_members_in_pages(five):
+    from tidewatch.operators.extensions import tickets
+    from tidewatch.operators.incidents import incident_members, member_pages
+    key = ("service", "created_at_epoch_ms", "created_seq")
+    members = {}
+    for r in incident_members(five.incident_changes).orderBy("member_no").collect():
+        members.setdefault(tuple(r[c] for c in key), []).append((r["member_no"], r["alert_id"], r["alert_name"]))
+    pages = member_pages(five.incident_changes, 2).collect()
+    assert max(len(m) for m in members.values()) > 2 >= max(len(r["members"]) for r in pages)
+    found = {}
+    for r in sorted(pages, key=lambda r: r["page"]):
+        found.setdefault(tuple(r[c] for c in key), []).extend(map(tuple, r["members"]))
+    assert found == members
+    notes = tickets(five.incident_changes, 2).collect()
+    assert len(notes) == len(pages) and sum(len(json.loads(r["work_notes"])) for r in notes) == sum(map(len, members.values()))
+
+
 def test_incident_record_lists_members(five):
     from tidewatch.operators.incidents import incident_members, incident_records
     last = incident_records(five.incident_changes).filter("service = 'payment-service'").orderBy("seq").collect()[-1]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.text import has_word
 from tidewatch.model import HIGH_VALUE_AMOUNT, ORDER
-from tidewatch.operators.incidents import INCIDENT, latest_incidents
+from tidewatch.operators.incidents import INCIDENT, latest_incidents, member_pages
 from tidewatch.operators.keyed import (
     CHUNK_MS, Keep, again, carried, in_chunk, trailing_slices, trailing_sum, with_context,
 )
@@ -247,15 +247,16 @@ def split_late(rows: DataFrame, key: str = "lane", chunk_ms: int = CHUNK_MS, kee
     return newest.select(*rows.columns, "newest_ms", late.alias("late"))
 
 
-def tickets(incidents: DataFrame) -> DataFrame:
-    """Latest incidents in the field names of a ticket table; the notes list the alert names."""
-    joined = F.when(F.col("is_first_of_alert"), F.struct("member_count", "alert_name"))
-    out = incidents.groupBy(*INCIDENT).agg(
-        F.max_by(F.struct("incident_id", "title", "priority"), F.struct(*ORDER)).alias("i"),
-        F.array_sort(F.collect_list(joined)).alias("members"))
-    return out.select(
-        F.col("i.incident_id").alias("correlation_id"), F.col("i.title").alias("short_description"),
-        F.col("i.priority").alias("severity"), F.col("service").alias("cmdb_ci"),
+def tickets(incidents: DataFrame, page_size: int = 1000) -> DataFrame:
+    """Latest incidents in the field names of a ticket table; the notes list the alert names.
+
+    An incident with more members than ``page_size`` is a ticket and further pages of notes. The
+    incidents are read twice.
+    """
+    latest = latest_incidents(incidents, fields=("incident_id", "title", "priority"))
+    return member_pages(incidents, page_size).join(latest, list(INCIDENT)).select(
+        F.col("incident_id").alias("correlation_id"), F.col("title").alias("short_description"),
+        F.col("priority").alias("severity"), F.col("service").alias("cmdb_ci"), "page",
         F.to_json("members.alert_name").alias("work_notes"))
 
 

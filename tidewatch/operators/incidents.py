@@ -158,6 +158,15 @@ def incident_members(incidents: DataFrame) -> DataFrame:
     )
 
 
+def member_pages(incidents: DataFrame, size: int = 1000) -> DataFrame:
+    """The members of every incident in lists of at most ``size``, in the order they joined: (incident,
+    page from 0, members), so that no row grows with its incident."""
+    member = F.struct(F.col("member_count").alias("member_no"), "alert_id", "alert_name")
+    page = F.floor((F.col("member_count") - 1) / size).alias("page")
+    return incidents.filter("is_first_of_alert").groupBy(*INCIDENT, page).agg(
+        F.array_sort(F.collect_list(member)).alias("members"))
+
+
 def latest_incidents(incidents: DataFrame, per=INCIDENT, fields=None) -> DataFrame:
     """The last row of every incident, or of every service with ``per=("service",)``.
 

@@ -114,7 +114,7 @@ def carried(
         *[F.max(c).alias(n) for n, c in peak.items()],
         *[F.sum(c).alias(n) for n, c in total.items()],
         *[F.min_by(c, position).alias(n) for n, c in first.items()],
-        *[F.collect_set(c).alias(n) for n, c in seen.items()],
+        *[F.array_sort(F.collect_set(c)).alias(n) for n, c in seen.items()],
         *[F.sum(c).alias("_t_" + n) for n, (c, _) in since.items()],
         *[F.max_by("_b_" + n, position).alias("_b_" + n) for n in since])
     earlier = chunks_before(key)
@@ -124,7 +124,7 @@ def carried(
         *[F.max(n).over(earlier).alias("_in_" + n) for n in peak],
         *[F.sum(n).over(earlier).alias("_in_" + n) for n in total],
         *[F.first(n).over(earlier).alias("_in_" + n) for n in first],
-        *[F.array_distinct(F.flatten(F.collect_list(n).over(earlier))).alias("_in_" + n) for n in seen],
+        *[F.array_distinct(F.flatten(F.collect_set(n).over(earlier))).alias("_in_" + n) for n in seen],
         *[F.coalesce(F.sum("_t_" + n).over(earlier), F.lit(0)).alias("_c_" + n) for n in since],
         *["_b_" + n for n in since])
     summary = summary.select("*", *[

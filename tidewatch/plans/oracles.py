@@ -557,7 +557,8 @@ arrived AS (SELECT 'lane-' || b AS lane, event_id AS seq, ts_ms AS ms, ts_ms + C
 peaked AS (SELECT *, max(ms) OVER (PARTITION BY lane ORDER BY arrival, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM arrived)""",
         "SELECT lane, seq, ms AS event_ms, newest AS newest_ms FROM peaked WHERE ms < newest - 10000"),
     "tickets": _w(_ACCEPTED, """SELECT incident_id AS correlation_id, title AS short_description, inc_priority AS severity, service AS cmdb_ci,
-      '["' || array_to_string(names, '","') || '"]' AS work_notes FROM last"""),
+      page, '["' || array_to_string(list_slice(names, page * 1000 + 1, page * 1000 + 1000), '","') || '"]' AS work_notes
+      FROM (SELECT *, unnest(range((len(names) + 999) // 1000)) AS page FROM last)"""),
     "incident_feedback": _w(_ACCEPTED + """,
 reached AS (SELECT incident_id, member_count, min(ms) AS ms FROM accepted WHERE member_count IN (2, 5) GROUP BY ALL),
 news AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ms DESC, member_count DESC) AS back FROM reached)""",

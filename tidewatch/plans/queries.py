@@ -558,7 +558,8 @@ def late_events(spark, folder):
 
 @query
 def tickets(spark, folder):
-    return extensions.tickets(alert_pipeline(spark, folder).incident_changes)
+    pipeline = alert_pipeline(spark, folder)
+    return extensions.tickets(pipeline.keep(pipeline.incident_changes))
 
 
 @query
