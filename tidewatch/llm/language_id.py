@@ -127,8 +127,10 @@ def sample_windows(
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), key.alias("key"))
     rows = rows.where("text is not null and lang is not null and length(text) > 0")
     langs = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    per_lang = min(per_lang, max(4, most_texts // max(1, langs.count())))
-    rows = rows.join(langs, "lang").withColumn("place", F.col("key") * F.col("n"))
+    n_langs = langs.count()
+    per_lang = min(per_lang, max(4, most_texts // max(1, n_langs)))
+    # Some thousand rows of two columns go to every task, so that no text is moved for them; more are joined.
+    rows = rows.join(F.broadcast(langs) if n_langs <= 10_000 else langs, "lang").withColumn("place", F.col("key") * F.col("n"))
 
     def windows(batches):
         for batch in batches:
