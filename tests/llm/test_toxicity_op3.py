@@ -3,7 +3,8 @@ from collections import Counter
 
 import numpy as np
 
-from tidewatch.llm.toxicity import DECAY, SPAN, explicit, kernel, toxicity, train
+from tidewatch.llm.toxicity import (
+    CHUNK, DECAY, NO_WORD, PIECE, SPAN, WindowScorer, explicit, kernel, toxicity, train, words_of)
 
 
 def subsequences(word):
@@ -28,6 +29,48 @@ def test_kernel_is_that_of_weighted_subsequences():
     assert got[1, 0] > 0.5 > got[3, 0]
 
 
+def brute(marks, weights, bias, unit):
+    """Decision value of a unit from its own subsequences, without folded weights."""
+    return float(kernel([unit], marks)[0] @ weights) + bias
+
+
+def test_windows_equal_their_units_one_by_one():
+    rng = random.Random(3)
+    insults = ["idiot", "drop dead", "дурак", "élan vital"]
+    marks, weights = explicit(insults), np.array([1.0, 0.7, 0.9, -0.4])
+    scorer = WindowScorer(weights @ marks, -0.2)
+    words = ["idiot", "id", "iot", "drop", "dead", "дурак", "é", "vital", "a-b", "...", "42", "x" * 40, "straße", "\u3000", "I.D"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(200)]
+    texts.append(" ".join(rng.choices(words, k=3 * CHUNK // 4)))
+    texts += ["", "  ", "...", "one"]
+    owner, single, double = scorer.windows(texts)
+    seen = {}
+
+    def value(unit):
+        if unit not in seen:
+            seen[unit] = brute(marks, weights, -0.2, unit)
+        return seen[unit]
+
+    at = 0
+    for i, text in enumerate(texts):
+        spelled = words_of(text)
+        for k, word in enumerate(spelled):
+            assert owner[at] == i and abs(single[at] - value(word)) < 1e-4
+            if k + 1 == len(spelled):
+                assert double[at] == NO_WORD
+            elif len(word) + len(spelled[k + 1]) <= PIECE - 3:
+                assert abs(double[at] - value(f"{word} {spelled[k + 1]}")) < 1e-4
+            at += 1
+    assert at == len(owner)
+
+
+def test_words_are_spelled_without_marks():
+    assert words_of("An i.d.i.o.t, 42 Й\u00a0\u3000x!") == ["an", "idiot", "й", "x"]
+    assert words_of("you i d i o t now") == ["you", "idiot", "now"]
+    assert words_of("a b see") == ["a", "b", "see"]
+    assert words_of(None) == words_of(" 1 ") == []
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     part = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
@@ -79,3 +122,36 @@ def test_insults_in_another_script(spark):
     got = {r.doc_id: r.predicted for r in toxicity(spark.createDataFrame(
         [(i, t.translate(letters)) for i, t in fresh], "doc_id long, text string"), model).collect()}
     assert sum(got[i] == y for i, y in truth) >= 78
+
+
+def test_two_words_that_are_toxic_only_together(spark):
+    rng = random.Random(7)
+    part = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
+
+    def text(i):
+        words = ["".join(rng.choices(part, k=rng.randint(1, 3))) for _ in range(60)]
+        for w in (("drop dead",) if i % 4 == 0 else ("drop", "dead")):
+            words.insert(rng.randrange(60), w)
+        return " ".join(words)
+
+    rows, fresh = [(i, text(i)) for i in range(600)], [(i, text(i)) for i in range(200)]
+    model = train(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
+    assert sum(got[i] == (i % 4 == 0) for i, _ in fresh) >= 196
+
+
+def test_insults_with_a_blank_put_in(spark):
+    rows, labels = corpus(400, 1)
+    model = train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = [t for i, t in corpus(80, 6)[0] if i % 4]
+    parted = ["id iot", "st upid", "worth less", "clo wn"]
+    _, single, double = model[0].windows(clean)
+    assert min(model[0].scores(parted)) > 0.6 > 0 > max(single.max(), double.max())
+    # Toxic texts of the corpus hold three insults each.
+    texts = clean + [f"{t} {' '.join(random.Random(k).sample(parted, 3))}" for k, t in enumerate(clean[:20])]
+    got = toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    found = {r.doc_id: r.predicted for r in got}
+    assert sum(found[i] for i in range(len(clean))) <= 1
+    assert sum(found[i] for i in range(len(clean), len(texts))) == 20

@@ -17,9 +17,12 @@ LETTERS = 32
 OTHER = 256        # added to the code points of letters beside a to z
 HASHED_BITS = 17   # of the places of subsequences that hold such a letter
 PAD = LETTERS ** 3 + 2 ** HASHED_BITS
-WORDS_KEPT = 400_000
-NO_WORD = np.float32(-8.0)
-SURE = 0.6         # decision value from which a word counts as a hit
+CHUNK = 1 << 16    # letters whose sums are held at a time
+GROUP = 4_000_000  # letters of texts that are spelled together
+EDGE = 26          # blank between words
+NO_WORD = -8.0
+VALUES = ["best", "hits", "words", "pair", "pair_hits"]
+SURE = 0.6         # decision value from which a window counts as a hit
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 
 
@@ -28,48 +31,96 @@ def _letter(c: int) -> bool:
     return chr(c).isalpha() or 0x900 <= c < 0x1100 and unicodedata.category(chr(c))[0] == "M"
 
 
-def _codes() -> np.ndarray:
-    """Letter codes of the code points below 0x250; 255 is no letter, 26 the edge of a word."""
-    table = np.full(0x250, 255, np.int32)
-    for c in range(0x250):
-        if chr(c).isalpha():
-            table[c] = OTHER + c if c >= 0x80 else ord(chr(c).lower()) - 97
-    return table
+def _code(c: int) -> int:
+    if chr(c).isspace():
+        return EDGE
+    if not _letter(c):
+        return 255
+    return OTHER + c if c >= 0x80 else ord(chr(c).lower()) - 97
 
 
-CODES = _codes()
+CODES = np.array([_code(c) for c in range(0x250)], np.int32)  # 255 is no letter
 
 
-def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all words in a row, each between two edges, and the words' lengths.
-
-    What is no letter is dropped, so characters put between letters leave the word as it was."""
-    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(w) for w in words])
-    owner = np.repeat(np.arange(len(words)), sizes)
+def _coded(text: str) -> np.ndarray:
+    """Letter codes of all code points; what is no letter is 255."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = CODES[np.minimum(points, 0x24F)]
     far = np.flatnonzero(points >= 0x250)
     if len(far):
         found, which = np.unique(points[far], return_inverse=True)
-        code[far] = np.array([OTHER + c if _letter(c) else 255 for c in found.tolist()], np.int32)[which]
+        code[far] = np.array([_code(c) for c in found.tolist()], np.int32)[which]
+    return code
+
+
+def coded(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter codes of words or of words with blanks, each between two edges, and their lengths.
+
+    What is no letter is dropped, so characters put between letters leave the word as it was."""
+    code = _coded("".join(units))
+    owner = np.repeat(np.arange(len(units)), [len(w) for w in units])
     keep = code != 255
     code, owner = code[keep], owner[keep]
-    n = np.bincount(owner, minlength=len(words))
+    n = np.bincount(owner, minlength=len(units))
     length = np.where(n, n + 2, 0)
     start = np.cumsum(length) - length
-    out = np.full(length.sum(), 26, np.int32)
+    out = np.full(length.sum(), EDGE, np.int32)
     out[start[owner] + 1 + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]] = code
     return out, length
 
 
-def pieces(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of at most ``PIECE`` codes padded with 255, their lengths and the words they are of."""
+def spelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letter codes of all texts in a row with one edge between words, the places of the edges, and
+    the text that each word is of. Word k lies between edges k and k + 1.
+
+    Three or more letters that stand alone one after the other are spelled as one word."""
+    lower = [f" {t.lower()} " for t in texts]
+    code = _coded("".join(lower))
+    first = np.cumsum([0] + [len(t) for t in lower])
+    at = np.flatnonzero(code != 255)
+    code = code[at]
+    edge = code == EDGE
+    keep = np.ones(len(code), bool)
+    keep[1:] = ~(edge[1:] & edge[:-1])
+    code, at = code[keep], at[keep]
+    edges = np.flatnonzero(code == EDGE)
+    owner = np.searchsorted(first, at[edges[:-1] + 1], "right") - 1
+    alone = np.diff(edges) == 2
+    if alone.any():
+        # Runs end where a longer word or another text begins.
+        begin = np.ones(len(alone), bool)
+        begin[1:] = (alone[1:] != alone[:-1]) | (owner[1:] != owner[:-1])
+        run = np.cumsum(begin) - 1
+        inside = alone & (np.bincount(run)[run] >= 3) & ~begin
+        if inside.any():
+            keep = np.ones(len(code), bool)
+            keep[edges[:-1][inside]] = False
+            code, owner = code[keep], owner[~inside]
+            edges = np.flatnonzero(code == EDGE)
+    return code, edges, owner
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text as they are spelled, without what is no letter."""
+    code, _, _ = spelled([text or ""])
+    points = np.where(code == EDGE, 32, np.where(code < EDGE, code + 97, code - OTHER))
+    return points.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").split()
+
+
+def _cut(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of pieces of at most ``PIECE`` that overlap by half, and what they are of.
+
+    The last piece ends with its word."""
     count = np.where(length, 1 + np.maximum(0, -(-(length - PIECE) // (PIECE // 2))), 0)
     owner = np.repeat(np.arange(len(length)), count)
     nth = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
     size = np.minimum(PIECE, length[owner])
-    # The last piece ends with its word.
-    first = (np.cumsum(length) - length)[owner] + np.minimum(nth * (PIECE // 2), length[owner] - size)
+    return start[owner] + np.minimum(nth * (PIECE // 2), length[owner] - size), size, owner
+
+
+def pieces(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of at most ``PIECE`` codes padded with 255, their lengths and the words they are of."""
+    first, size, owner = _cut(np.cumsum(length) - length, length)
     at = first[:, None] + np.arange(PIECE)
     rows = np.where(np.arange(PIECE) < size[:, None], code[np.minimum(at, max(0, len(code) - 1))], 255)
     return rows.astype(np.int32), size, owner
@@ -85,16 +136,21 @@ def _norms() -> np.ndarray:
 NORMS = _norms()
 
 
+def _hashed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Places of subsequences that hold a letter beside a to z."""
+    a, b, c = (v.astype(np.uint32) for v in (a, b, c))
+    h = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F))
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + c * np.uint32(0xC2B2AE35)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0x297A2D39)
+    return LETTERS ** 3 + (h >> np.uint32(32 - HASHED_BITS)).astype(np.int32)
+
+
 def _places(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Places of subsequences. Those of a to z and edges have their own, the others hashed ones."""
     place = (x * LETTERS + y) * LETTERS + z
     other = (x | y | z) >= OTHER
     if other.any():
-        a, b, c = (v[other].astype(np.uint32) for v in (x, y, z))
-        h = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F))
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + c * np.uint32(0xC2B2AE35)
-        h = (h ^ (h >> np.uint32(13))) * np.uint32(0x297A2D39)
-        place[other] = LETTERS ** 3 + (h >> np.uint32(32 - HASHED_BITS)).astype(np.int32)
+        place[other] = _hashed(x[other], y[other], z[other])
     return np.where(z == 255, PAD, place)
 
 
@@ -135,30 +191,80 @@ def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
     return out
 
 
-class WordScorer:
-    """Decision values of words. The machine is linear in the landmarks' kernel values and these in
-    the subsequences, so its weights fold into one number for each subsequence of three letters."""
+class WindowScorer:
+    """Decision values of windows of a text. The machine is linear in the landmarks' kernel values and
+    these in the subsequences, so its weights fold into one number for each subsequence of three letters."""
 
     def __init__(self, weight: np.ndarray, bias: float):
-        self.weight, self.bias = weight.astype(np.float32), np.float32(bias)
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), NO_WORD, np.float32)
-        if not words:
-            return out
-        rows, size, owner = pieces(*coded(words))
-        # Words of a to z alone have the shorter way.
-        other = (rows >= OTHER).any(axis=1)
-        for low, high, kind in ((*r, k) for r in ((0, 6), (6, 9), (9, 12), (12, 16), (16, PIECE)) for k in (False, True)):
-            some = np.flatnonzero((size > low) & (size <= high) & (other == kind))
-            for at in range(0, len(some), 4000):
-                k = some[at:at + 4000]
-                value = np.zeros(len(k), np.float32)
-                for code, weight in subsequences(rows[k, :high]):
-                    value += self.weight[code].sum(1) * np.float32(weight)
-                np.maximum.at(out, owner[k], value / NORMS[size[k]].astype(np.float32) + self.bias)
+        self.weight, self.bias = weight.astype(np.float32), float(bias)
+
+    def scores(self, units: list[str]) -> np.ndarray:
+        """Values of words, or of words with blanks; of a long one that of its best piece."""
+        out = np.full(len(units), NO_WORD)
+        if units:
+            code, length = coded(units)
+            first, size, owner = _cut(np.cumsum(length) - length, length)
+            value = np.empty(len(first))
+            self._fill(code, [(first, first + size - 1, value)])
+            np.maximum.at(out, owner, value)
         return out
 
+    def _sums(self, x: np.ndarray):
+        """For every span: the sums of the weights of the subsequences that begin before each letter."""
+        x = x.astype(np.int64)
+        high, middle, other = x * LETTERS ** 2, x * LETTERS, x >= OTHER
+        mixed = other.any()
+        for span in range(2, SPAN):
+            w = max(0, len(x) - span)
+            sums = np.zeros(len(x) + 1)
+            total = sums[1:w + 1]
+            for a in range(1, span):
+                place = high[:w] + middle[a:a + w]
+                place += x[span:]
+                if mixed:
+                    some = np.flatnonzero(other[:w] | other[a:a + w] | other[span:])
+                    place[some] = _hashed(x[some], x[some + a], x[some + span])
+                total += self.weight.take(place)
+            yield span, np.cumsum(sums) * DECAY ** (span + 1)
+
+    def _fill(self, code: np.ndarray, sets: list) -> None:
+        """Values of windows (first, last, value), which are sorted by their first letter."""
+        for at in range(0, len(code), CHUNK):
+            parts = []
+            for first, last, value in sets:
+                k = slice(*np.searchsorted(first, (at, at + CHUNK)))
+                parts.append((first[k] - at, last[k] - at, value[k]))
+            if not any(len(p[0]) for p in parts):
+                continue
+            for _, _, value in parts:
+                value[:] = 0
+            for span, sums in self._sums(code[at:at + CHUNK + PIECE]):
+                for first, last, value in parts:
+                    value += sums[np.maximum(last - span + 1, first)] - sums[first]
+            for first, last, value in parts:
+                value /= NORMS[last - first + 1]
+                value += self.bias
+
+    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every word of the texts: its text, its value, and the value of it and the next word.
+
+        Of two words of more than ``PIECE`` letters the window is the middle, around the blank.
+        The last word of a text has no next one."""
+        code, edges, owner = spelled(texts)
+        if not len(owner):
+            return owner, np.zeros(0), np.zeros(0)
+        first, size, word = _cut(edges[:-1], np.diff(edges) + 1)
+        value = np.empty(len(first))
+        two = np.flatnonzero(owner[1:] == owner[:-1])
+        begin = np.maximum(edges[two], edges[two + 1] - PIECE // 2)
+        end = np.minimum(edges[two + 2], edges[two + 1] + PIECE // 2 - 1)
+        pair = np.empty(len(two))
+        self._fill(code, [(first, first + size - 1, value), (begin, end, pair)])
+        single, double = np.full(len(owner), NO_WORD), np.full(len(owner), NO_WORD)
+        np.maximum.at(single, word, value)
+        double[two] = pair
+        return owner, single, double
+
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps; the bias is the last column."""
@@ -190,65 +296,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def _text_words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
+def document_values(scorer: WindowScorer, batches, text_at: int):
+    """For every batch: an array (document, value) of what ``VALUES`` names.
 
-def document_values(scorer: WordScorer, batches, text_at: int):
-    """For every batch: the greatest value of a word, the hits, the words.
-
-    Three or more letters that stand alone one after the other are read as one word as well.
-    Values of the words seen last are kept, of at most ``WORDS_KEPT``."""
-    place: dict[str, int] = {}
-    value = np.zeros(0, np.float32)
-    single = np.zeros(0, bool)
+    Windows are every word and every two adjacent ones with the blank as a letter. Hits are words,
+    and pairs of two that are no hits themselves."""
     for batch in batches:
-        best, over, count = [], [], []
-        for text in batch.column(text_at):
-            words = _text_words(text.as_py())
-            new = list(set(words).difference(place))
-            if len(place) + len(new) > WORDS_KEPT:
-                place.clear()
-                value, single, new = value[:0], single[:0], list(set(words))
-            if new:
-                # Room grows by halves; the values of new words are appended.
-                need = len(place) + len(new)
-                if need > len(value):
-                    value = np.resize(value, need * 3 // 2)
-                    single = np.resize(single, need * 3 // 2)
-                at = slice(len(place), need)
-                value[at] = scorer.scores([w if len(w) <= 4096 else w[:0] for w in new])
-                for i, w in enumerate(new):
-                    if len(w) > 4096:
-                        value[at.start + i] = max(
-                            scorer.scores([w[k:k + 4096] for k in range(0, len(w), 4096 - PIECE)]))
-                single[at] = [len(w) == 1 and w.isalpha() for w in new]
-                place.update(zip(new, range(at.start, need)))
-            if not words:
-                best.append(float(NO_WORD)), over.append(0), count.append(0)
+        texts = [t or "" for t in batch.column(text_at).to_pylist()]
+        n = len(texts)
+        out = np.zeros((n, len(VALUES)))
+        out[:, 0] = out[:, 3] = NO_WORD
+        group = np.cumsum([len(t) + 2 for t in texts]) // GROUP
+        for k in np.unique(group):
+            at = np.flatnonzero(group == k)
+            owner, single, double = scorer.windows([texts[i] for i in at])
+            if not len(owner):
                 continue
-            index = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            found = value[index]
-            top, hits = float(found.max()), int((found > SURE).sum())
-            alone = single[index]
-            if alone.sum() >= 3:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], alone, [0]])))
-                runs = ["".join(words[a:b]) for a, b in zip(edge[::2], edge[1::2]) if b - a >= 3]
-                if runs:
-                    more = scorer.scores(runs)
-                    top, hits = max(top, float(more.max())), hits + int((more > SURE).sum())
-            best.append(top), over.append(hits), count.append(len(words))
-        yield batch, np.array(best), np.array(over), np.array(count)
-
-
-def _features(best: np.ndarray, over: np.ndarray, count: np.ndarray) -> np.ndarray:
+            owner = at[owner]
+            hit = single > SURE
+            own = hit.copy()
+            own[:-1] |= hit[1:]
+            np.maximum.at(out[:, 0], owner, single)
+            out[:, 1] += np.bincount(owner[hit], minlength=n)
+            out[:, 2] += np.bincount(owner, minlength=n)
+            np.maximum.at(out[:, 3], owner[~own], double[~own])
+            out[:, 4] += np.bincount(owner[(double > SURE) & ~own], minlength=n)
+        yield batch, out
+
+
+def _features(x: np.ndarray) -> np.ndarray:
+    best, over, count, pair, pairs = x.T
     return np.stack([
         np.clip(best, -3, 1.5), np.log1p(over), over > 0, 100 * over / np.maximum(count, 50),
-        np.log(np.maximum(count, 20))], 1).astype(float)
+        np.log(np.maximum(count, 20)), np.clip(pair, -3, 1.5), np.log1p(pairs)], 1).astype(float)
 
 
-def _hardest(table: DataFrame, scorer: WordScorer, n: int) -> list:
-    """The n words (w, b) of the greatest value."""
+def _hardest(table: DataFrame, scorer: WindowScorer, n: int) -> list:
+    """The n units (w, b) of the greatest value."""
     def value(batches):
         for batch in batches:
             words = batch.column(0).to_pylist()
@@ -262,15 +346,17 @@ def _hardest(table: DataFrame, scorer: WordScorer, n: int) -> list:
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     positive: int = 2500, negative: int = 7500, landmarks: int = 144, cost: float = 4.0,
-    seed: int = 5,
-) -> tuple[WordScorer, np.ndarray] | None:
+    units: int = 3000, seed: int = 5,
+) -> tuple[WindowScorer, np.ndarray] | None:
     """The machine and its calibration, from about ``positive`` toxic and ``negative`` clean texts.
 
-    The sample is bounded and chosen by a hash of the id. Every sentence's words carry the label
-    of their text; words far commoner in toxic texts are examples of one side, words of clean texts
-    of the other, common ones and in later rounds those that the machine took for toxic. A third of
-    the landmarks is of each of these three kinds. A text's score
-    is a logistic function of its greatest word value and of the number and share of its hits.
+    The sample is bounded and chosen by a hash of the id. Units are the words of a text and every two
+    adjacent ones, with the blank as a letter; they carry the label of their text. Units far commoner in toxic
+    texts are examples of one side (at most ``units`` words and as many pairs, the most significant), also with
+    a blank put into the word; units of clean texts are those of the other, the 2,000 commonest words, five times ``units``
+    words and pairs each chosen by hash, and in later rounds those that the machine took for toxic. A third of
+    the landmarks is of each of these three kinds. A text's score is a logistic function of the greatest
+    value of its windows and of the number and share of its hits.
     None where one of the labels has no text.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(
@@ -289,12 +375,14 @@ def train(
 
     def distinct(batches):
         for batch in batches:
-            words, y = [], []
+            units, y = [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = [w for w in set(_text_words(text)) if len(w) <= 64]
-                words += own
+                words = words_of(text)
+                own = set(words)
+                own.update(f"{v} {w}" for v, w in zip(words, words[1:]) if len(v) + len(w) <= PIECE - 3)
+                units += own
                 y += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(y, pa.int32())], names=["w", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(y, pa.int32())], names=["w", "y"])
 
     table = chosen.mapInArrow(distinct, "w string, y int").groupBy("w").agg(
         F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
@@ -302,19 +390,30 @@ def train(
     n = {r.y: r["count"] for r in counts}
     if 0 not in n or 1 not in n:
         return None
-    # Words of the toxic side: significantly (G test) and at least four times commoner there.
+    # The toxic side: significantly (G test) and at least four times commoner in toxic texts.
     rate = (F.col("a") + F.col("b")) / (n[0] + n[1])
     g = 2 * (F.col("a") * F.log(F.col("a") / (rate * n[1])) + F.coalesce(F.col("b") * F.log(F.col("b") / (rate * n[0])), F.lit(0.0)))
     odds = (F.col("a") / n[1]) / ((F.col("b") + 0.5) / n[0])
-    toxic = table.where(F.col("a") >= 2).withColumn("g", g).where((F.col("g") > 12) & (odds > 4))
-    toxic = toxic.orderBy(F.desc("g"), "w").limit(3000).collect()
-    clean = table.where("b > 0").where(odds < 2)
-    common = clean.orderBy(F.desc("b"), "w").limit(2000).select("w", "b").collect()
-    others = clean.orderBy(F.xxhash64("w"), "w").limit(15000).select("w", "b").collect()
+    table = stored(table.select("w", "a", "b", odds.alias("odds"), F.contains("w", F.lit(" ")).alias("two"), g.alias("g")))
+    telling = table.where((F.col("a") >= 2) & (F.col("g") > 12) & (F.col("odds") > 4))
+    toxic = telling.where(~F.col("two")).orderBy(F.desc("g"), "w").limit(units).collect()
+    # Two words teach something of their own only where neither is toxic by itself.
+    plain = ~F.exists(F.split("w", " "), lambda x: x.isin([r.w for r in toxic])) if toxic else F.lit(True)
+    table = table.where(~F.col("two") | plain)
+    # Among so many pairs many are commoner in toxic texts by chance, so they have to be surer.
+    pairs = table.where("two").count()
+    surer = F.col("two") & plain & (F.col("g") > 12 + 2 * np.log(max(1, pairs)))
+    toxic += telling.where(surer).orderBy(F.desc("g"), "w").limit(units).collect()
+    clean = table.where("b > 0 and odds < 2")
+    common = clean.where(~F.col("two")).orderBy(F.desc("b"), "w").limit(2000).select("w", "b").collect()
+    others = [r for two in (False, True) for r in clean.where(F.col("two") == two).orderBy(
+        F.xxhash64("w"), "w").limit(5 * units).select("w", "b").collect()]
     if not toxic or not common:
         return None
-    # Rounds: the clean words that the last machine values most become examples and landmarks.
-    table = stored(table.select("w", "a", "b", odds.alias("odds")))
+    # Insults with a blank put in are examples as well, all those of a word as heavy as the word.
+    parted = [(f"{r.w[:i]} {r.w[i:]}", min(30.0, r.a) / (len(r.w) - 1))
+              for r in toxic if " " not in r.w and len(r.w) >= 4 for i in range(1, len(r.w))][:2 * units]
+    # Rounds: the clean units that the last machine values most become examples and landmarks.
     hard: list = []
     for last in (False, False, True):
         third = landmarks // 3
@@ -326,32 +425,31 @@ def train(
         keep = size > 1e-3
         root = base[:, keep] / np.sqrt(size[keep])
         other = [*common, *others, *hard]
-        words = [r.w for r in toxic] + [r.w for r in other]
-        y = np.repeat([1.0, -1.0], [len(toxic), len(other)])
-        weight = np.concatenate([[min(30.0, r.a) for r in toxic], [min(30.0, r.b) for r in other]])
+        examples = [r.w for r in toxic] + [w for w, _ in parted] + [r.w for r in other]
+        y = np.repeat([1.0, -1.0], [len(toxic) + len(parted), len(other)])
+        weight = np.concatenate([
+            [min(30.0, r.a) for r in toxic], [v for _, v in parted], [min(30.0, r.b) for r in other]])
         weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum() / 4
-        w, bias = _svm(kernel(words, marks) @ root, y, weight / weight.mean(), cost)
-        scorer = WordScorer((root @ w) @ marks, bias)
+        w, bias = _svm(kernel(examples, marks) @ root, y, weight / weight.mean(), cost)
+        scorer = WindowScorer((root @ w) @ marks, bias)
         if not last:
             hard = _hardest(table.where("b > 0 and odds < 4"), scorer, 2000 + len(hard))
 
     def values(batches):
-        for batch, best, over, count in document_values(scorer, batches, 0):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(best), pa.array(over), pa.array(count)], names=["y", "best", "over", "count"])
+        for batch, found in document_values(scorer, batches, 0):
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, found.T)], names=["y", *VALUES])
 
-    found = chosen.mapInArrow(values, "y int, best double, over long, count long").toPandas()
-    x = _features(found.best.to_numpy(), found.over.to_numpy(), found["count"].to_numpy())
-    return scorer, _logistic(x, found.y.to_numpy(float))
+    found = chosen.mapInArrow(values, "y int, " + ", ".join(f"{v} double" for v in VALUES)).toPandas()
+    return scorer, _logistic(_features(found[VALUES].to_numpy()), found.y.to_numpy(float))
 
 
 def toxicity(
-    docs: DataFrame, model: tuple[WordScorer, np.ndarray] | None, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, model: tuple[WindowScorer, np.ndarray] | None, id_col: str = "doc_id", text_col: str = "text",
     extra: list[str] | None = None,
 ) -> DataFrame:
     """One row per document: (id, extra..., score, predicted).
 
-    Every word of the whole text is read. Null and empty texts get the score of a text without a
+    Every word and every two adjacent words of the whole text are read. Null and empty texts get the score of a text without a
     word; with nothing learned all scores are 0. Null ids and repeated rows are rows of their own.
     """
     def score(batches):
@@ -359,8 +457,8 @@ def toxicity(
             for batch in batches:
                 yield rows_of(batch, np.zeros(batch.num_rows))
             return
-        for batch, *found in document_values(model[0], batches, 1):
-            x = _features(*found)
+        for batch, found in document_values(model[0], batches, 1):
+            x = _features(found)
             yield rows_of(batch, 1 / (1 + np.exp(-np.clip(x @ model[1][:-1] + model[1][-1], -30, 30))))
 
     def rows_of(batch, value):
