@@ -198,6 +198,17 @@ def test_members_in_pages(five):
     assert len(notes) == len(pages) and sum(len(json.loads(r["work_notes"])) for r in notes) == sum(map(len, members.values()))
 
 
+def test_ticket_holds_all_members(spark):
+    from tidewatch.operators.extensions import tickets
+    row = "'svc' AS service, 0L AS created_at_epoch_ms, 0L AS created_seq, id AS event_ms, id AS seq, 0 AS alert_pos"
+    changes = spark.range(2500).selectExpr(
+        "'INC1' AS incident_id", *row.split(", "), "concat(id + 1, ' alerts') AS title", "'P1' AS priority", "true AS is_first_of_alert",
+        "id + 1 AS member_count", "concat('A', id) AS alert_id", "concat('n', id) AS alert_name")
+    (ticket,) = tickets(changes.repartition(5)).collect()
+    assert (ticket["correlation_id"], ticket["short_description"]) == ("INC1", "2500 alerts")
+    assert json.loads(ticket["work_notes"]) == [f"n{i}" for i in range(2500)]
+
+
 def test_incident_record_lists_members(five):
     from tidewatch.operators.incidents import incident_members, incident_records
     last = incident_records(five.incident_changes).filter("service = 'payment-service'").orderBy("seq").collect()[-1]
