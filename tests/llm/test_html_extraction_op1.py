@@ -131,3 +131,20 @@ def test_copies_of_a_page_make_no_template(spark):
     pages += [(k, f"http://f.org/{k}", f"<article><h1>Other {k}</h1><p>its text {k * 7}</p></article>") for k in range(50, 53)]
     got = texts(spark, pages)
     assert {t for k, t in got.items() if k < 50} == {whole} and got[51] == "Other 51\n\nits text 357"
+
+
+def test_pages_are_moved_as_packed_bags(spark):
+    import json
+    from tidewatch.llm.html_extraction import _bag, _packed, _pages, _tokens
+    html = "<html><body><div class='x'><p>one two &eacute; one</p>three<p>" + "four five one " * 200 + "</p></div></body></html>"
+    page = parsed(html)
+    found = read(spark.createDataFrame([(1, "u", "h", 7, html)], "id long, url string, host string, key long, html string"))
+    assert found.columns == ["id", "url", "host", "key", "content", "page"]
+    (back,) = _pages(found.select("page").toArrow().to_batches()[0])
+    assert [list(f) for f in page] == back
+    bag = _bag(*page)
+    assert len(_packed(bag)) < len(_packed(page)) < len(json.dumps(page))
+    words = [w for t in page[4] for w in t.split()]
+    tokens, beneath, own = _tokens(*bag)
+    assert sum(n for t, n in tokens.items() if isinstance(t, tuple)) == len(words)
+    assert beneath[""] == sum(own.values()) == sum(len(t) + 1 for t in page[4])

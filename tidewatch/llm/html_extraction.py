@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import json
 import re
+import zlib
 from collections import Counter
 from hashlib import blake2b
 
@@ -187,10 +189,8 @@ def _host(url_col: str):
     return F.lower(host)
 
 
-# A page once it is read: its element paths, how often each is opened, and its blocks.
-PARSED = "paths array<string>, opened array<int>, at array<int>, aside array<boolean>, text array<string>"
-FIELDS = ("paths", "opened", "at", "aside", "text")
-_KINDS = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.string()))
+# A page once it is read, packed: its element paths, how often each is opened, and its blocks.
+PARSED = "page binary"
 
 
 def parsed(page: str | None) -> tuple[list, ...]:
@@ -205,27 +205,47 @@ def _blocks_of(paths: list, at: list, aside: list, text: list) -> list[tuple[str
     return [(paths[k], a, t) for k, a, t in zip(at, aside, text)]
 
 
+def _packed(fields: tuple[list, ...]) -> bytes:
+    return zlib.compress(json.dumps(fields, ensure_ascii=False, separators=(",", ":")).encode())
+
+
 def _pages(batch: pa.RecordBatch):
-    """The parsed pages of a batch, as lists in the order of FIELDS."""
-    return zip(*(batch.column(batch.schema.get_field_index(name)).to_pylist() for name in FIELDS))
+    """The packed pages of a batch, parsed ones or bags of words, as they were."""
+    return (json.loads(zlib.decompress(page.as_buffer())) for page in batch["page"])
+
+
+def _bag(paths: list, opened: list, at: list, aside: list, text: list) -> tuple[list, ...]:
+    """A parsed page without the order of its words: paths, opened, and the elements with text of their
+    own, its length and its words in alphabetical order, which pack better."""
+    words: dict[int, list[str]] = {}
+    own: Counter = Counter()
+    for k, t in zip(at, text):
+        words.setdefault(k, []).extend(t.split())
+        own[k] += len(t) + 1
+    return paths, opened, list(words), [own[k] for k in words], [" ".join(sorted(w)) for w in words.values()]
 
 
-def _counted(paths: list, opened: list, at: list, aside: list, text: list) -> tuple[Counter, Counter, Counter]:
-    """Counts of the tokens of a page, characters beneath its elements that are not in an aside one
+def _tokens(paths: list, opened: list, at: list, sizes: list, words: list) -> tuple[Counter, Counter, Counter]:
+    """Counts of the tokens of a bag, characters beneath its elements that are not in an aside one
     deeper down, and characters that stand directly in its elements.
 
     A token is an element, by its path, or (path, word) of a block. The page itself is the element ""."""
     tokens, beneath, own = Counter(dict(zip(paths, opened))), Counter(), Counter()
-    for k, t in zip(at, text):
+    for k, n, t in zip(at, sizes, words):
         path = paths[k]
         tokens.update((path, w) for w in t.split())
-        own[path] += len(t) + 1
+        own[path] = n
     for path, n in own.items():
         for above in _above(path):
             beneath[above] += n
     return tokens, beneath, own
 
 
+def _counted(*page: list) -> tuple[Counter, Counter, Counter]:
+    """As ``_tokens``, of a parsed page."""
+    return _tokens(*_bag(*page))
+
+
 def frequent(pages: DataFrame) -> DataFrame:
     """(host, path, word): the tokens that stand in ``SHARE`` of the pages of some chunk of a host.
 
@@ -262,7 +282,7 @@ def frequent(pages: DataFrame) -> DataFrame:
                     yield rows([host])
         yield rows(list(seen))
 
-    return pages.select("host", "times", *FIELDS).mapInArrow(search, "host string, path string, word string").distinct()
+    return pages.select("host", "times", "page").mapInArrow(search, "host string, path string, word string").distinct()
 
 
 def occurrences(pages: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -295,7 +315,7 @@ def occurrences(pages: DataFrame, tokens: DataFrame) -> DataFrame:
                     known = wanted[host] = frozenset(
                         t["path"] if t["word"] is None else (t["path"], t["word"]) for t in batch["tokens"][i].as_py())
                 x, y = key & 0x7FFFFFFF, (key >> 32) & 0x7FFFFFFF
-                tokens, beneath, own = _counted(*page)
+                tokens, beneath, own = _tokens(*page)
                 for token, n in tokens.items():
                     if token not in known:
                         continue
@@ -311,8 +331,16 @@ def occurrences(pages: DataFrame, tokens: DataFrame) -> DataFrame:
                     yield rows()
         yield rows()
 
+    def bags(batches):
+        for batch in batches:
+            packed = pa.array([_packed(_bag(*page)) for page in _pages(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["key", "host", "times", "page"])
+
     lists = tokens.groupBy("host").agg(F.collect_list(F.struct("path", "word")).alias("tokens"))
-    found = pages.join(stored(lists), "host").select("key", "host", "times", *FIELDS, "tokens").mapInArrow(
+    # Pages meet the tokens of their host as bags of words, which are smaller to move.
+    rows = pages.select("key", "host", "times", "page")
+    rows = rows.mapInArrow(bags, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    found = rows.join(stored(lists), "host").select("key", "host", "times", "page", "tokens").mapInArrow(
         count, "host string, path string, word string, chars double, own double, pages double, total long, a long, b long")
     return found.groupBy("host", "path", "word").agg(*(F.sum(c).alias(c) for c in ("chars", "own", "pages", "total", "a", "b")))
 
@@ -446,8 +474,8 @@ def read(rows: DataFrame) -> DataFrame:
             texts = [_content(_blocks_of(paths, *rest)).encode("utf-8", "replace") for paths, _, *rest in found]
             content = [int.from_bytes(blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(content, pa.int64()), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(_KINDS))],
-                names=["id", "url", "host", "key", "content", *FIELDS])
+                [*batch.columns[:4], pa.array(content, pa.int64()), pa.array([_packed(f) for f in found], pa.binary())],
+                names=["id", "url", "host", "key", "content", "page"])
 
     rows = rows.select("id", "url", "host", "key", "html")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("html").schema)
@@ -475,8 +503,8 @@ def main_text(
         _host(url_col).alias("host"),
         F.xxhash64(F.col(id_col).cast("string"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).alias("key"))
     rows = stored(read(rows))
-    found = stored(templates(rows.select("key", "host", "content", *FIELDS)))
-    rows = rows.select("id", "url", "host", *FIELDS).join(found, "host", "left")
+    found = stored(templates(rows.select("key", "host", "content", "page")))
+    rows = rows.select("id", "url", "host", "page").join(found, "host", "left")
 
     def extract(batches):
         sets: dict[str, tuple] = {}
