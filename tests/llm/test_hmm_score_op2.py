@@ -79,3 +79,16 @@ def test_words_split_at_ascii_white_space_only():
     assert words("A\x0bb\x1cC D e") == [b"a", b"b\x1cc\xc2\xa0d", b"e"]
     assert words("ÀB") == ["Àb".encode()] and words(None) == []
     assert hmm_score.ending(b"xabc") == hmm_score.ending(b"abc")
+
+
+def test_long_documents_are_worked_on_together(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(hmm_score, "CHUNK", 1000)
+    lengths = [3, 900, 2, 5, 800, 4, 700, 1] * 4
+    docs = [np.full(n, i, "<u2").tobytes() for i, n in enumerate(lengths)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs, pa.binary())], names=["id", "symbols"])
+    chunks = [([len(d) for d in found], [d[0] for d in found], part.column(0).to_pylist()) for found, part in hmm_score._chunks([batch], 1)]
+    assert all(symbols == ids for _, symbols, ids in chunks)
+    assert sorted(i for _, _, ids in chunks for i in ids) == list(range(len(docs)))
+    assert sum(max(n) for n, _, _ in chunks) < sum(lengths) / 1.5
+    assert max(chunks[-1][0]) <= 700

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
@@ -146,32 +147,30 @@ class Chain:
         """Scaled forward pass over several documents at once, longest first.
 
         Positions are laid out time by time: all first tokens, then all second ones, and so on.
-        Returns the layout, the scaled states and the scales."""
+        Returns the layout, the symbols, where the tokens of each document stand, the emissions, the
+        scaled states and the scales."""
         order = np.argsort([-len(d) for d in docs], kind="stable")
         lengths = np.array([len(docs[i]) for i in order])
         active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
         start = np.concatenate([[0], np.cumsum(active)])
-        symbol = np.empty(start[-1], np.int64)
-        owner = np.empty(start[-1], np.int64)
-        for row, i in enumerate(order):
-            at = start[:lengths[row]] + row
-            symbol[at] = docs[i]
-            owner[at] = i
-        emit = self.emit[symbol]
+        at = np.concatenate([start[:n] + row for row, n in enumerate(lengths)])
+        symbol, owner = np.empty(start[-1], np.int64), np.repeat(order, lengths)
+        symbol[at] = np.concatenate([docs[i] for i in order])
+        emit = np.take(self.emit, symbol, 0)
         state, scale = np.empty_like(emit), np.empty(len(symbol), np.float32)
-        now = self.first
+        now, ones = self.first, np.ones(len(self.first), np.float32)
         for t in range(len(active)):
             s = slice(start[t], start[t + 1])
             now = (now if t == 0 else now[:active[t]] @ self.move) * emit[s]
-            total = now.sum(1)
+            total = now @ ones
             now /= total[:, None]
             state[s], scale[s] = now, total
-        return active, start, symbol, owner, emit, state, scale
+        return active, start, symbol, (owner, at), emit, state, scale
 
     def log_likelihood(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each document's symbols."""
-        *_, owner, _, _, scale = self.forward(docs)
-        return np.bincount(owner, np.log10(scale.astype(float)), len(docs))
+        *_, (owner, at), _, _, scale = self.forward(docs)
+        return np.bincount(owner, np.log10(scale[at].astype(float)), len(docs))
 
     def expected(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts of several documents: first states, moves, emissions."""
@@ -179,22 +178,28 @@ class Chain:
         states = len(self.first)
         moves = np.zeros((states, states))
         after = np.ones((active[0], states), np.float32)  # backward values of the later token
+        emit /= scale[:, None]
+        back = np.ascontiguousarray(self.move.T)
         for t in range(len(active) - 1, -1, -1):
             s = slice(start[t], start[t + 1])
             if t + 1 < len(active):
-                n, later = active[t + 1], slice(start[t + 1], start[t + 2])
-                seen = emit[later] * after[:n] / scale[later][:, None]
+                n = active[t + 1]
+                seen = emit[start[t + 1]:start[t + 2]] * after[:n]
                 moves += state[s][:n].T.astype(float) @ seen
-                after[:n] = seen @ self.move.T
+                np.matmul(seen, back, out=after[:n])
             state[s] *= after[:active[t]]
         moves *= self.move
-        counts = np.stack([np.bincount(symbol, state[:, k], SYMBOLS) for k in range(states)], 1)
+        counts = np.stack([np.bincount(symbol, k, SYMBOLS) for k in state.T.astype(float, order="C")], 1)
         return state[:active[0]].sum(0, dtype=float), moves, counts
 
 
 def _chunks(batches, column: int):
-    """Symbol arrays of some documents at a time, and the rows they stand in."""
+    """Symbol arrays of some documents at a time, and the rows they stand in.
+
+    A chunk takes as many steps as its longest document has tokens, so the documents of a batch are
+    chunked by length: the long ones meet in one chunk and the others take few steps."""
     for batch in batches:
+        batch = batch.take(pc.array_sort_indices(pc.binary_length(batch.column(column)), order="descending"))
         docs, at, size = [], 0, 0
         for i, data in enumerate(batch.column(column)):
             docs.append(np.frombuffer(data.as_buffer(), "<u2"))
