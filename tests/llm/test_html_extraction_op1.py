@@ -148,3 +148,26 @@ def test_pages_are_moved_as_packed_bags(spark):
     tokens, beneath, own = _tokens(*bag)
     assert sum(n for t, n in tokens.items() if isinstance(t, tuple)) == len(words)
     assert beneath[""] == sum(own.values()) == sum(len(t) + 1 for t in page[4])
+
+
+def test_frequent_tokens_of_a_chunk_against_brute_force(spark):
+    """Words that cannot become frequent are let go, so a chunk of long pages is not cut into smaller ones."""
+    from tidewatch.llm.html_extraction import CHUNK, KEYS_KEPT, _Chunk, _distinct, frequent
+    least, own = 0.9, 2 * KEYS_KEPT // CHUNK
+    # Word s of a paragraph is missing from s pages: the first, the last or some between.
+    pages = [(k, "http://h.org/", 7, 1 + k % 3, "<p>" + " ".join(
+        [f"a{s}" for s in range(25) if k >= s] + [f"z{s}" for s in range(25) if k < CHUNK - s]
+        + [f"m{s}" for s in range(25) if k * 37 % CHUNK >= s] + ["late"] * (k > CHUNK - 20)
+        + [f"n{k}x{i}" for i in range(own)]) + "</p>" + f"<div class=c{k % 11 == 0}><i>x</i></div>") for k in range(CHUNK)]
+    whole = sum(1 / times for *_, times, _ in pages)
+    weights, chunk = {}, _Chunk()
+    for *_, times, page in pages:
+        for token in _counted(*parsed(page))[0]:
+            weights[token] = weights.get(token, 0.0) + 1 / times
+        chunk.add(_distinct(*parsed(page)), times)
+    expected = {t if isinstance(t, tuple) else (t, None) for t, w in weights.items() if w >= least * whole - 1e-6}
+    assert 10 < len(expected) < 60 and ("p", "late") not in expected and ("p", "a3") in expected
+    assert set(chunk.frequent()) == expected and chunk.held < KEYS_KEPT / 10
+    rows = spark.createDataFrame(pages, "id long, url string, key long, times long, html string").withColumn("host", F.lit("h.org"))
+    known = read(rows.coalesce(1)).withColumn("times", 1 + F.col("id") % 3)
+    assert {(r.path, r.word) for r in frequent(known).collect()} == expected

@@ -225,15 +225,25 @@ def _bag(paths: list, opened: list, at: list, aside: list, text: list) -> tuple[
     return paths, opened, list(words), [own[k] for k in words], [" ".join(sorted(w)) for w in words.values()]
 
 
-def _tokens(paths: list, opened: list, at: list, sizes: list, words: list) -> tuple[Counter, Counter, Counter]:
+def _tokens(
+    paths: list, opened: list, at: list, sizes: list, words: list, known: dict | None = None,
+) -> tuple[Counter, Counter, Counter]:
     """Counts of the tokens of a bag, characters beneath its elements that are not in an aside one
     deeper down, and characters that stand directly in its elements.
 
-    A token is an element, by its path, or (path, word) of a block. The page itself is the element ""."""
+    A token is an element, by its path, or (path, word) of a block. The page itself is the element "".
+    With ``known``, words by their path and elements at None, only its tokens are counted."""
     tokens, beneath, own = Counter(dict(zip(paths, opened))), Counter(), Counter()
+    if known is not None:
+        elements = known.get(None, ())
+        tokens = Counter({path: n for path, n in tokens.items() if path in elements})
     for k, n, t in zip(at, sizes, words):
         path = paths[k]
-        tokens.update((path, w) for w in t.split())
+        found = t.split()
+        if known is not None:
+            wanted = known.get(path, ())
+            found = [w for w in found if w in wanted] if wanted else ()
+        tokens.update((path, w) for w in found)
         own[path] = n
     for path, n in own.items():
         for above in _above(path):
@@ -246,39 +256,90 @@ def _counted(*page: list) -> tuple[Counter, Counter, Counter]:
     return _tokens(*_bag(*page))
 
 
+def _distinct(paths: list, opened: list, at: list, aside: list, text: list) -> dict:
+    """The tokens of a parsed page once each: words by their path, elements at None."""
+    found: dict = {None: set(paths)}
+    for k, t in zip(at, text):
+        found.setdefault(paths[k], set()).update(t.split())
+    return found
+
+
+class _Chunk:
+    """Weights of the tokens of up to ``CHUNK`` pages of a host, as far as they can still be frequent.
+
+    A token that is missing from more than its share of the pages a whole chunk can have is not
+    frequent however the chunk goes on, so after the first few pages no token is new."""
+
+    def __init__(self):
+        self.pages, self.weight, self.held = 0, 0.0, 0
+        self.weights: dict[str | None, Counter] = {}
+
+    def add(self, found: dict, times: int) -> None:
+        # The tokens yet unseen are missing from all pages before.
+        closed = self.weight > self._bar()
+        for path, tokens in found.items():
+            counts = self.weights.get(path)
+            if counts is None:
+                if closed:
+                    continue
+                counts = self.weights[path] = Counter()
+            if closed:
+                tokens = counts.keys() & tokens
+            before = len(counts)
+            if times == 1:
+                counts.update(tokens)
+            else:
+                for token in tokens:
+                    counts[token] += 1 / times
+            self.held += len(counts) - before
+        self.pages += 1
+        self.weight += 1 / times
+        if self.pages in (CHUNK // 8, CHUNK // 4, CHUNK // 2):
+            least = self.weight - self._bar()
+            self.weights = {path: Counter({t: w for t, w in counts.items() if w >= least}) for path, counts in self.weights.items()}
+            self.held = sum(map(len, self.weights.values()))
+
+    def _bar(self) -> float:
+        """The greatest weight of pages that a token may be missing from."""
+        return (1 - SHARE) * (self.weight + CHUNK - self.pages) + 1e-5
+
+    def frequent(self) -> list[tuple[str, str | None]]:
+        """(path, word) of the tokens that stand in ``SHARE`` of the pages so far."""
+        least = SHARE * self.weight - 1e-6
+        return [(token, None) if path is None else (path, token)
+                for path, counts in self.weights.items() for token, w in counts.items() if w >= least]
+
+
 def frequent(pages: DataFrame) -> DataFrame:
     """(host, path, word): the tokens that stand in ``SHARE`` of the pages of some chunk of a host.
 
     A token of that share of all of a host's pages has it in at least one chunk of any division, so
     none is missed, and rare words are never moved. Pages are parsed ones with host and times, see ``templates``."""
     def search(batches):
-        # host: pages, their weight, weight of the pages of each token
-        seen: dict[str, list] = {}
+        seen: dict[str, _Chunk] = {}
         held = 0
 
         def rows(hosts) -> pa.RecordBatch:
             nonlocal held
             out: list[tuple] = []
             for host in hosts:
-                _, n, weights = seen.pop(host)
-                held -= len(weights)
-                out += [(host, *(t if isinstance(t, tuple) else (t, None)))
-                        for t, w in weights.items() if w >= SHARE * n - 1e-6]
+                chunk = seen.pop(host)
+                held -= chunk.held
+                out += [(host, *token) for token in chunk.frequent()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["host", "path", "word"])
 
         for batch in batches:
             for host, times, page in zip(batch["host"].to_pylist(), batch["times"].to_pylist(), _pages(batch)):
-                mine = seen.setdefault(host, [0, 0.0, {}])
-                weights, before = mine[2], len(mine[2])
-                for token in _counted(*page)[0]:
-                    weights[token] = weights.get(token, 0.0) + 1 / times
-                mine[0] += 1
-                mine[1] += 1 / times
-                held += len(weights) - before
+                chunk = seen.get(host)
+                if chunk is None:
+                    chunk = seen[host] = _Chunk()
+                before = chunk.held
+                chunk.add(_distinct(*page), times)
+                held += chunk.held - before
                 if held > KEYS_KEPT:
                     yield rows(list(seen))
-                elif mine[0] >= CHUNK:
+                elif chunk.pages >= CHUNK:
                     yield rows([host])
         yield rows(list(seen))
 
@@ -304,7 +365,7 @@ def occurrences(pages: DataFrame, tokens: DataFrame) -> DataFrame:
             seen.clear()
             return found
 
-        wanted: dict[str, frozenset] = {}
+        wanted: dict[str, dict] = {}
         for batch in batches:
             columns = (batch[name].to_pylist() for name in ("key", "host", "times"))
             for i, (key, host, times, page) in enumerate(zip(*columns, _pages(batch))):
@@ -312,13 +373,13 @@ def occurrences(pages: DataFrame, tokens: DataFrame) -> DataFrame:
                 if known is None:
                     if len(wanted) > 64:
                         wanted.clear()
-                    known = wanted[host] = frozenset(
-                        t["path"] if t["word"] is None else (t["path"], t["word"]) for t in batch["tokens"][i].as_py())
+                    known = wanted[host] = {}
+                    for t in batch["tokens"][i].as_py():
+                        path, word = (None, t["path"]) if t["word"] is None else (t["path"], t["word"])
+                        known.setdefault(path, set()).add(word)
                 x, y = key & 0x7FFFFFFF, (key >> 32) & 0x7FFFFFFF
-                tokens, beneath, own = _tokens(*page)
+                tokens, beneath, own = _tokens(*page, known)
                 for token, n in tokens.items():
-                    if token not in known:
-                        continue
                     path, word = token if isinstance(token, tuple) else (token, None)
                     slot = seen.setdefault((host, path, word), [0.0, 0.0, 0.0, 0, 0, 0])
                     slot[0] += (beneath[path] if word is None else n * (len(word) + 1)) / times
